@@ -48,8 +48,14 @@ def trim(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACE_CHARS))
 
 
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
 def collapse_space(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{SPACE}]+", " ")
+    """Every run of white space becomes one blank. The wide character class is only used on non-ASCII text."""
+    narrow = F.regexp_replace(c, r"[\t\n\x0b\f\r]\s*| \s+", " ")
+    return F.when(is_ascii(c), narrow).otherwise(F.regexp_replace(c, f"[{SPACE}]+", " "))
 
 
 def first_filled(*cols: Column) -> Column:
@@ -59,8 +65,8 @@ def first_filled(*cols: Column) -> Column:
 
 def clean(c: Column) -> Column:
     """Collapse white space, drop a value that is only 'nan', then trim."""
-    flat = collapse_space(blank_if_null(c))
-    return F.when(F.lower(flat) == "nan", "").otherwise(F.trim(flat))
+    text = blank_if_null(c)
+    return F.when(F.lower(text) == "nan", "").otherwise(F.trim(collapse_space(text)))
 
 
 def clean_location(c: Column) -> Column:
@@ -70,7 +76,7 @@ def clean_location(c: Column) -> Column:
 
 def split_tags(c: Column, most: int = 10) -> Column:
     parts = F.split(clean(c), r";|, (?=[A-Z0-9])")
-    return F.slice(F.filter(F.transform(parts, F.trim), lambda x: x != ""), 1, most)
+    return F.slice(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""), 1, most)
 
 
 def city_key(location: Column) -> Column:
@@ -112,33 +118,28 @@ def to_number(c: Column) -> Column:
     )
 
 
-def _named_month_date(text: Column) -> Column:
-    month = F.initcap(F.substring(F.regexp_extract(text, r"^([A-Za-z]{3,9}) ", 1), 1, 3))
-    rest = F.regexp_extract(text, r"^[A-Za-z]{3,9} ([0-9]{1,2}),? [0-9]{4}\z", 1)
-    year = F.regexp_extract(text, r"([0-9]{4})\z", 1)
-    named = F.try_to_date(F.concat_ws(" ", month, rest, year), "MMM d yyyy")
-    return F.when(text.rlike(r"^[A-Za-z]{3,9} [0-9]{1,2},? [0-9]{4}\z"), named)
+def _month_name_date(text: Column) -> Column:
+    month = F.initcap(F.substring(text, 1, 3))
+    rest = F.regexp_replace(text, r"^[A-Za-z]+ ([0-9]{1,2}),? ([0-9]{4})\z", "$1 $2")
+    return F.try_to_date(F.concat_ws(" ", month, rest), "MMM d yyyy")
 
 
 def date_millis(c: Column) -> Column:
     """Epoch milliseconds of a date text, NULL where it cannot be read. Texts without a zone are UTC."""
     text = trim(blank_if_null(c))
-    slashed = F.when(text.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\z"), F.try_to_date(text, "M/d/yyyy"))
-    day = F.coalesce(
-        F.when(text.rlike(r"^[0-9]{4}(-[0-9]{1,2}){0,2}\z"), text.try_cast("date")),
-        _named_month_date(text),
-        slashed,
-    )
-    zoned = F.when(
-        text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})\z"),
-        text.try_cast("timestamp"),
-    )
-    plain = F.when(
-        text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?\z"),
-        F.concat(text, F.lit("Z")).try_cast("timestamp"),
-    )
-    return F.coalesce(
-        F.unix_date(day).cast("long") * 86400000, F.unix_millis(zoned), F.unix_millis(plain)
+    clock = r"[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?"
+
+    def at_midnight(day: Column) -> Column:
+        return F.unix_date(day).cast("long") * 86400000
+
+    return (
+        F.when(text.rlike(r"^[0-9]{4}(-[0-9]{1,2}){0,2}\z"), at_midnight(text.try_cast("date")))
+        .when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}" + clock + r"(Z|[+-][0-9]{2}:?[0-9]{2})\z"),
+              F.unix_millis(text.try_cast("timestamp")))
+        .when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}" + clock + r"\z"),
+              F.unix_millis(F.concat(text, F.lit("Z")).try_cast("timestamp")))
+        .when(text.rlike(r"^[A-Za-z]{3,9} [0-9]{1,2},? [0-9]{4}\z"), at_midnight(_month_name_date(text)))
+        .when(text.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\z"), at_midnight(F.try_to_date(text, "M/d/yyyy")))
     )
 
 

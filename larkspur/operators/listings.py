@@ -150,13 +150,12 @@ def pagination(
 def normalize_listings(df: DataFrame) -> DataFrame:
     """Typed, cleaned listings. A blank id becomes 'job-' and the row's position among the kept rows."""
     kept = df.where((F.col("job_title") != "") & (F.col("company_name") != ""))
-    place = tx.clean_location(F.col("job_location"))
-    return with_position(kept, "ordinal", "_position").select(
+    typed = with_position(kept, "ordinal", "_position").select(
         "ordinal",
         tx.first_filled(F.col("id"), F.concat(F.lit("job-"), F.col("_position").cast("string"))).alias("id"),
         tx.clean(F.col("job_title")).alias("title"),
         tx.clean(F.col("company_name")).alias("company"),
-        place.alias("location"),
+        tx.clean_location(F.col("job_location")).alias("location"),
         tx.clean(F.col("job_seniority_level")).alias("seniority"),
         tx.clean(F.col("job_employment_type")).alias("employment"),
         tx.split_tags(tx.first_filled(F.col("industries"), F.col("job_industries"))).alias("industries"),
@@ -170,8 +169,8 @@ def normalize_listings(df: DataFrame) -> DataFrame:
         F.col("url"),
         tx.first_filled(F.col("apply_link"), F.col("url")).alias("apply"),
         F.coalesce(F.nullif(F.col("country_code"), F.lit("")), F.lit("US")).alias("country"),
-        tx.city_key(place).alias("city_key"),
     )
+    return typed.withColumn("city_key", tx.city_key(F.col("location")))
 
 
 def haystack() -> Column:
@@ -221,20 +220,31 @@ def only_saved(df: DataFrame, saved: DataFrame) -> DataFrame:
     return df.join(saved.select(F.col("job_id").alias("id")), "id", "left_semi")
 
 
-def sort_keys(mode: str = "fresh") -> list[Column]:
-    """Order of a sort mode; ties keep the input order and a NaN score goes last."""
-    fresh = tx.freshness(F.col("posted")).desc()
-    order = {
-        "fresh": [fresh],
-        "score": [F.nanvl(F.col("score"), F.lit(float("-inf"))).desc(), fresh],
-        "pay": [tx.pay_max(F.col("pay")).desc()],
-        "company": [F.collate(F.col("company"), "UNICODE").asc()],
-    }
-    return [*order.get(mode, order["fresh"]), F.col("ordinal").asc()]
+def with_sort_keys(df: DataFrame, mode: str = "fresh") -> tuple[DataFrame, list[Column]]:
+    """Compute the keys of a sort mode once per row, so that no comparison evaluates them again.
+
+    Ties keep the input order and a NaN score goes last.
+    """
+    fresh = tx.freshness(F.col("posted"))
+    keys = {
+        "score": [F.nanvl(F.col("score"), F.lit(float("-inf"))), fresh],
+        "pay": [tx.pay_max(F.col("pay"))],
+        "company": [],
+    }.get(mode, [fresh])
+    keyed = df.withColumns({f"_key{i}": key for i, key in enumerate(keys)})
+    order = [F.col(f"_key{i}").desc() for i in range(len(keys))]
+    if mode == "company":
+        order = [F.collate(F.col("company"), "UNICODE").asc()]
+    return keyed, [*order, F.col("ordinal").asc()]
+
+
+def _without_keys(df: DataFrame) -> DataFrame:
+    return df.drop("_key0", "_key1")
 
 
 def sort_listings(df: DataFrame, mode: str = "fresh") -> DataFrame:
-    return df.orderBy(*sort_keys(mode))
+    keyed, order = with_sort_keys(df, mode)
+    return _without_keys(keyed.orderBy(*order))
 
 
 def rails(df: DataFrame, mode: str = "fresh", saved_only: bool = False, size: int = RAIL_SIZE) -> DataFrame:
@@ -243,25 +253,22 @@ def rails(df: DataFrame, mode: str = "fresh", saved_only: bool = False, size: in
     The first rail takes at most ``size`` rows from a city, so 2 * size rows per city are enough for all
     rails. Spark applies that limit before the shuffle; what follows handles a few hundred rows.
     """
+    keyed, order = with_sort_keys(df, mode)
+    overall = Window.orderBy(*order)
     if saved_only:
-        best = df.orderBy(*sort_keys(mode)).limit(SAVED_SIZE)
-        place = F.row_number().over(Window.orderBy(*sort_keys(mode)))
-        return best.withColumn("rail_position", place).withColumn("rail", F.lit("Saved Job Listings"))
-    per_city = Window.partitionBy("city_key").orderBy(*sort_keys(mode))
-    overall = Window.orderBy(*sort_keys(mode))
-    candidates = df.withColumn("_in_city", F.row_number().over(per_city)).where(F.col("_in_city") <= 2 * size)
+        best = keyed.orderBy(*order).limit(SAVED_SIZE).withColumn("rail_position", F.row_number().over(overall))
+        return _without_keys(best).withColumn("rail", F.lit("Saved Job Listings"))
+    per_city = Window.partitionBy("city_key").orderBy(*order)
+    candidates = keyed.withColumn("_in_city", F.row_number().over(per_city)).where(F.col("_in_city") <= 2 * size)
     ranked = candidates.withColumn("_overall", F.row_number().over(overall))
-    title = F.concat(F.lit("Latest Jobs in "), F.col("_rail"))
     first = F.col("_overall") <= size
     named = ranked.withColumn("_rail", F.when(first, EVERYWHERE).otherwise(F.col("city_key"))).where(
         first | F.col("city_key").isin(*CITIES)
     )
     in_rail = Window.partitionBy("_rail").orderBy("_overall")
-    return (
-        named.withColumn("rail_position", F.row_number().over(in_rail))
-        .where(F.col("rail_position") <= size)
-        .withColumn("rail", title)
-        .drop("_in_city", "_overall", "_rail")
+    placed = named.withColumn("rail_position", F.row_number().over(in_rail)).where(F.col("rail_position") <= size)
+    return _without_keys(
+        placed.withColumn("rail", F.concat(F.lit("Latest Jobs in "), F.col("_rail"))).drop("_in_city", "_overall", "_rail")
     )
 
 
@@ -281,36 +288,40 @@ def top_values(df: DataFrame, column: str, most: int) -> DataFrame:
 
 def job_cards(df: DataFrame, now_ms: int) -> DataFrame:
     """The texts shown on a listing card, as of ``now_ms``."""
-    posted = tx.date_millis(F.col("posted"))
-    hours = F.greatest(F.lit(1).cast("long"), F.floor((F.lit(now_ms) - posted) / 3600000.0 + 0.5).cast("long"))
-    days = F.floor(hours / 24 + 0.5).cast("long")
-    months = F.floor(days / 30 + 0.5).cast("long")
+    short_pay = F.regexp_replace(F.regexp_replace(tx.clean(F.col("pay")), "(?i)per hour", "/hr"), "(?i)hourly", "/hr")
+    base = df.withColumns(
+        {
+            "_posted": tx.date_millis(F.col("posted")),
+            "short_pay": F.substring(short_pay, 1, 28),
+            "_achieved": F.get(F.col("achievements"), F.lit(0)),
+        }
+    )
+    hours = F.floor((F.lit(now_ms) - F.col("_posted")) / 3600000.0 + 0.5).cast("long")
+    base = base.withColumn("_hours", F.greatest(F.lit(1).cast("long"), hours))
+    days = F.floor(F.col("_hours") / 24 + 0.5).cast("long")
     age = (
-        F.when(posted.isNull() | (posted == 0), "5h")
-        .when(hours < 24, F.concat(hours.cast("string"), F.lit("h")))
+        F.when(F.col("_posted").isNull() | (F.col("_posted") == 0), "5h")
+        .when(F.col("_hours") < 24, F.concat(F.col("_hours").cast("string"), F.lit("h")))
         .when(days < 30, F.concat(days.cast("string"), F.lit("d")))
-        .otherwise(F.concat(months.cast("string"), F.lit("mo")))
-    )
-    short_pay = F.substring(
-        F.regexp_replace(F.regexp_replace(tx.clean(F.col("pay")), "(?i)per hour", "/hr"), "(?i)hourly", "/hr"), 1, 28
+        .otherwise(F.concat(F.floor(days / 30 + 0.5).cast("string"), F.lit("mo")))
     )
-    achieved = F.get(F.col("achievements"), F.lit(0))
+    achieved = F.col("_achieved")
     tag_list = F.array(
         F.col("location"),
-        F.when(F.col("pay") != "", short_pay),
+        F.when(F.col("pay") != "", F.col("short_pay")),
         tx.first_filled(F.col("employment"), F.lit("Full Time")),
         F.col("seniority"),
         F.when(F.length(achieved) > 14, F.concat(F.substring(achieved, 1, 14), F.lit("…"))).otherwise(achieved),
         F.get(F.col("certifications"), F.lit(0)),
         F.get(F.col("industries"), F.lit(0)),
     )
-    return df.select(
+    return base.select(
         "ordinal",
         "id",
         age.alias("age"),
         tx.first_sentence(F.col("summary"), 120).alias("sentence"),
         tx.snippet(F.col("summary"), 260).alias("snippet"),
-        short_pay.alias("short_pay"),
+        "short_pay",
         tx.initials(F.col("company")).alias("initials"),
         F.filter(tag_list, lambda t: t.isNotNull() & (t != "")).alias("tags"),
         F.array_join(F.concat(F.slice("skills", 1, 4), F.slice("certifications", 1, 2)), ", ").alias("skill_text"),

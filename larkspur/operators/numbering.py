@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1 << 17
+BLOCK = 1 << 14
 
 
 def _block_starts(df: DataFrame, order_col: str, block: int) -> DataFrame:
