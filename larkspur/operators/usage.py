@@ -11,6 +11,7 @@ from larkspur.functions import text as tx
 # Fixed value: days kept in the daily counters, the current one included.
 RETENTION_DAYS = 30
 DIMENSIONS = ("sdk_devices", "devices", "ip_addresses", "countries", "external_referrers", "bots")
+BOUNDED = ("countries", "bots")
 
 
 def ingest_requests(df: DataFrame) -> DataFrame:
@@ -92,22 +93,33 @@ def retained(counters: DataFrame, today: str, day_col: str = "day") -> DataFrame
     return counters.where(day.isNull() | (day >= first))
 
 
+def usage_entries(counters: DataFrame, today: str) -> DataFrame:
+    """The retained counters in date order, every dimension in long form."""
+    return retained(counters, today).orderBy("day", "dim", "key")
+
+
 def usage_report(counters: DataFrame, today: str) -> DataFrame:
-    """One row per retained day, oldest first, with a map per dimension.
+    """One row per retained day, oldest first.
 
-    A day has as many entries as it has addresses, so build this on a report, not on the stored counters.
+    Crawlers and countries come as maps: there are ten crawler keys and at most 26 * 26 country codes.
+    Devices, addresses and referrers have no such bound and stay in ``usage_entries``; here they are counted.
     """
     kept = retained(counters, today)
-    per_dim = kept.where(F.col("dim").isin(*DIMENSIONS))
-    entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "n"))))
-    maps = per_dim.groupBy("day").pivot("dim", list(DIMENSIONS)).agg(entries)
+
+    def total(dim: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("dim") == dim, F.col("n"))), F.lit(0)).alias(dim)
+
+    wide = [d for d in DIMENSIONS if d not in BOUNDED]
     counts = kept.groupBy("day").agg(
-        F.coalesce(F.max(F.when(F.col("dim") == "global_count", F.col("n"))), F.lit(0)).alias("global_count"),
-        F.coalesce(F.max(F.when(F.col("dim") == "crawler_count", F.col("n"))), F.lit(0)).alias("crawler_count"),
+        total("global_count"),
+        total("crawler_count"),
+        *[F.count_if(F.col("dim") == d).alias(f"{d}_seen") for d in wide],
     )
+    entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "n"))))
+    maps = kept.where(F.col("dim").isin(*BOUNDED)).groupBy("day").pivot("dim", list(BOUNDED)).agg(entries)
     empty = F.create_map().cast("map<string,bigint>")
-    filled = [F.coalesce(F.col(d), empty).alias(d) for d in DIMENSIONS]
-    return counts.join(maps, "day", "left").select("day", "global_count", "crawler_count", *filled).orderBy("day")
+    filled = {d: F.coalesce(F.col(d), empty) for d in BOUNDED}
+    return counts.join(maps, "day", "left").withColumns(filled).orderBy("day")
 
 
 def merge_counters(*parts: DataFrame) -> DataFrame:

@@ -135,12 +135,17 @@ def by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MAP_TEXT = "coalesce(string_agg(concat(key, '=', CAST(n AS VARCHAR)), '|' ORDER BY key) FILTER (WHERE dim = '{d}'), '')"
 
 
+_WIDE = [d for d in us.DIMENSIONS if d not in us.BOUNDED]
+
+
 @query(
     "a8_usage_report",
     over_requests(
         "SELECT day, coalesce(max(n) FILTER (WHERE dim = 'global_count'), 0) AS global_count, "
         "coalesce(max(n) FILTER (WHERE dim = 'crawler_count'), 0) AS crawler_count, "
-        + ", ".join(f"{_MAP_TEXT.format(d=d)} AS {d}" for d in us.DIMENSIONS)
+        + ", ".join(f"count(*) FILTER (WHERE dim = '{d}') AS {d}_seen" for d in _WIDE)
+        + ", "
+        + ", ".join(f"{_MAP_TEXT.format(d=d)} AS {d}" for d in us.BOUNDED)
         + f" FROM counters WHERE day >= DATE '{TODAY}' - 29 GROUP BY day",
         _FACTS, COUNTERS,
     ),
@@ -150,9 +155,14 @@ def report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def as_text(name: str):
         pairs = F.transform(F.map_entries(name), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
-        return F.array_join(pairs, "|").alias(name)
+        return F.array_join(pairs, "|")
+
+    return made.withColumns({d: as_text(d) for d in us.BOUNDED})
+
 
-    return made.select("day", "global_count", "crawler_count", *[as_text(d) for d in us.DIMENSIONS])
+@query("a8_usage_entries", over_requests(f"SELECT day, dim, key, n FROM counters WHERE day >= DATE '{TODAY}' - 29", _FACTS, COUNTERS))
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return us.usage_entries(us.usage_by_date(enriched(spark, sf_dir)), TODAY)
 
 
 @query("f7_retention", over_requests(f"SELECT day, dim, key, n FROM counters WHERE day >= DATE '{TODAY}' - 29", _FACTS, COUNTERS))
@@ -164,15 +174,16 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     "n18_upgrade_buckets",
     over_requests(
         """SELECT day, CAST(count(*) AS DOUBLE) AS global_count, CAST(0 AS DOUBLE) AS crawler_count,
-        count(DISTINCT device) AS devices, count(DISTINCT device) AS sdk_devices FROM enriched GROUP BY day"""
+        count(DISTINCT country) AS devices, count(DISTINCT country) AS sdk_devices FROM enriched GROUP BY day"""
     ),
 )
 def upgraded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Daily buckets as an older version stored them: text numbers, no crawler count, devices only.
-    rows = enriched(spark, sf_dir).groupBy("day", "device").agg(F.count("*").alias("n"))
+    # Daily buckets as an older version stored them: text numbers, no crawler count, a devices map only.
+    # The map is filled with country codes, whose number is bounded.
+    rows = enriched(spark, sf_dir).groupBy("day", "country").agg(F.count("*").alias("n"))
     old = rows.groupBy("day").agg(
         F.sum("n").cast("string").alias("global_count"),
-        F.map_from_entries(F.collect_list(F.struct("device", "n"))).alias("devices"),
+        F.map_from_entries(F.collect_list(F.struct("country", "n"))).alias("devices"),
     )
     sizes = [F.size(d).cast("long").alias(d) for d in ("devices", "sdk_devices")]
     return us.upgrade_buckets(old).select("day", "global_count", "crawler_count", *sizes)
