@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = {"save": "saved", "applied": "applied", "hide": "hidden"}
@@ -27,9 +27,11 @@ def jobs_of(state: DataFrame, user_uid: str, kind: str) -> DataFrame:
 def overlay(df: DataFrame, layers: list[str], name: str) -> DataFrame:
     """Merge map columns from left to right; the rightmost layer holding a key wins."""
     empty = F.create_map().cast("map<string,string>")
+
+    def over(base: Column, patch: Column) -> Column:
+        return F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(patch, k)), patch)
+
     merged = F.coalesce(F.col(layers[0]), empty)
     for layer in layers[1:]:
-        patch = F.coalesce(F.col(layer), empty)
-        kept = F.map_filter(merged, lambda k, v, p=patch: ~F.map_contains_key(p, k))
-        merged = F.map_concat(kept, patch)
+        merged = over(merged, F.coalesce(F.col(layer), empty))
     return df.withColumn(name, merged)
