@@ -130,6 +130,17 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **used)
 
 
+def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The view over tables read as streams."""
+    sql = VIEWS[name].replace("<copies>", _COPIES_SPARK)
+
+    def stream(t: str) -> DataFrame:
+        schema = table(spark, sf_dir, t).schema
+        return spark.readStream.schema(schema).option("pathGlobFilter", f"{t}.parquet").parquet(sf_dir)
+
+    return spark.sql(sql, **{t: stream(t) for t in TABLES if "{" + t + "}" in sql})
+
+
 def view_sql(name: str) -> str:
     """The view as a common table expression for the SQL counterpart."""
     sql = VIEWS[name].replace("<copies>", _COPIES_OTHER)
