@@ -39,6 +39,9 @@ EVERYWHERE = "United States"
 CHIPS = ("Remote", "Hybrid", "Healthcare", "Software", "Finance", "Entry Level")
 INDUSTRY_OPTIONS, SENIORITY_OPTIONS = 35, 20
 
+# Rows up to which a window of listings is taken by sorting.
+SHALLOW_ROWS = 50_000
+
 LISTING_COLUMNS = (
     "ordinal", "id", "title", "company", "location", "seniority", "employment", "industries", "summary",
     "pay", "posted", "score", "skills", "certifications", "achievements", "url", "apply", "country", "city_key",
@@ -112,10 +115,20 @@ def clamp_size(value: float | None, default: int = PAGE_SIZE, most: int = PAGE_M
     return min(most, max(1, int(value or default)))
 
 
-def slice_window(df: DataFrame, country: str | None, offset: int | None = 0, limit: int | None = None) -> DataFrame:
-    return (
-        filter_country(df, country).orderBy("ordinal").offset(max(0, int(offset or 0))).limit(clamp_size(limit))
-    )
+def slice_window(
+    df: DataFrame, country: str | None, offset: int | None = 0, limit: int | None = None, shallow: int = SHALLOW_ROWS
+) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` of the country in input order.
+
+    Near the start Spark keeps the first rows of each task. A deep window would drag all rows before it
+    into one task, so there the rows are numbered instead and filtered by position.
+    """
+    start, size = max(0, int(offset or 0)), clamp_size(limit)
+    rows = filter_country(df, country)
+    if start + size <= shallow:
+        return rows.orderBy("ordinal").offset(start).limit(size)
+    position = F.col("_position")
+    return with_position(rows, "ordinal", "_position").where(position.between(start, start + size - 1)).drop("_position")
 
 
 def window_totals(df: DataFrame, country: str | None) -> DataFrame:
@@ -147,12 +160,17 @@ def pagination(
     )
 
 
-def normalize_listings(df: DataFrame) -> DataFrame:
-    """Typed, cleaned listings. A blank id becomes 'job-' and the row's position among the kept rows."""
+def normalize_listings(df: DataFrame, with_id: bool = True) -> DataFrame:
+    """Typed, cleaned listings. A blank id becomes 'job-' and the row's position among the kept rows.
+
+    Without ``with_id`` there is no id column and no shuffle for the positions.
+    """
     kept = df.where((F.col("job_title") != "") & (F.col("company_name") != ""))
-    typed = with_position(kept, "ordinal", "_position").select(
+    made = F.concat(F.lit("job-"), F.col("_position").cast("string")) if with_id else None
+    rows = with_position(kept, "ordinal", "_position") if with_id else kept
+    typed = rows.select(
         "ordinal",
-        tx.first_filled(F.col("id"), F.concat(F.lit("job-"), F.col("_position").cast("string"))).alias("id"),
+        *([tx.first_filled(F.col("id"), made).alias("id")] if with_id else []),
         tx.clean(F.col("job_title")).alias("title"),
         tx.clean(F.col("company_name")).alias("company"),
         tx.clean_location(F.col("job_location")).alias("location"),
@@ -202,9 +220,12 @@ def search_listings(
         out = out.where(tx.trim(F.col("pay")) != "")
     if need_employment:
         out = out.where(tx.trim(F.col("employment")) != "")
-    for needle in (chip.lower(), query.strip().lower()):
-        if needle:
-            out = out.where(F.contains(haystack(), F.lit(needle)))
+    needles = [n for n in (chip.lower(), query.strip().lower()) if n]
+    if needles:
+        out = out.withColumn("_hay", haystack())
+        for needle in needles:
+            out = out.where(F.contains(F.col("_hay"), F.lit(needle)))
+        out = out.drop("_hay")
     if hidden is not None:
         out = without_hidden(out, hidden)
     if saved is not None:

@@ -25,8 +25,8 @@ def mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ls.map_aliases(view(spark, sf_dir, "listings_raw"))
 
 
-def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ls.normalize_listings(ls.dedupe_listings(mapped(spark, sf_dir)))
+def listings(spark: SparkSession, sf_dir: str, with_id: bool = True) -> DataFrame:
+    return ls.normalize_listings(ls.dedupe_listings(mapped(spark, sf_dir)), with_id)
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -350,6 +350,17 @@ def window_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ls.slice_window(raw(spark, sf_dir), "us", 700, 0)
 
 
+@query(
+    "f3_deep_window_slice",
+    q.with_ctes(["listings_raw"], f"SELECT ordinal, {RAW_COLUMNS} FROM listings_raw ORDER BY ordinal DESC LIMIT 300"),
+)
+def deep_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The last 300 rows, as a window far from the start: numbered, not sorted into one task.
+    rows = raw(spark, sf_dir)
+    total = ls.window_totals(rows, "").first()["csv_rows_total"]
+    return ls.slice_window(rows, "", total - 300, 300, shallow=0)
+
+
 _COUNTS = "count(*) FILTER (WHERE country_code = '' OR upper(country_code) = 'US')"
 
 
@@ -400,12 +411,12 @@ def _top(column: str, most: int) -> str:
 
 @query("a2_top_industries", _top("industries", ls.INDUSTRY_OPTIONS))
 def top_industries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ls.top_values(listings(spark, sf_dir), "industries", ls.INDUSTRY_OPTIONS)
+    return ls.top_values(listings(spark, sf_dir, with_id=False), "industries", ls.INDUSTRY_OPTIONS)
 
 
 @query("a2_top_seniority", _top("seniority", ls.SENIORITY_OPTIONS))
 def top_seniority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ls.top_values(listings(spark, sf_dir), "seniority", ls.SENIORITY_OPTIONS)
+    return ls.top_values(listings(spark, sf_dir, with_id=False), "seniority", ls.SENIORITY_OPTIONS)
 
 
 _SORTED = "ordinal, id, title, company, pay, posted, CASE WHEN isnan(score) THEN -1.0 ELSE score END AS score"
@@ -545,12 +556,12 @@ def _trend(key: str, source: str) -> str:
 
 @query("a15_skill_trend", _trend("skill", "SELECT month, unnest(list_distinct(list_concat(skills, certifications))) AS skill FROM dated"))
 def skills_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ins.skill_trend(listings(spark, sf_dir))
+    return ins.skill_trend(listings(spark, sf_dir, with_id=False))
 
 
 @query("a16_hiring_momentum", _trend("company", "SELECT month, company FROM dated"))
 def momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ins.hiring_momentum(listings(spark, sf_dir))
+    return ins.hiring_momentum(listings(spark, sf_dir, with_id=False))
 
 
 @query(
