@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import SPACE, blank_if_null, trim
+from larkspur.functions.text import SPACE_CHARS, blank_if_null, trim
 
 # Longest title, body and comment.
 TITLE_MAX, BODY_MAX, COMMENT_MAX = 300, 6000, 4000
 
 
 def clean_forum_text(c: Column, most: int = 2000) -> Column:
-    text = F.regexp_replace(blank_if_null(c), f"[{SPACE}]+\n", "\n")
+    """Drop white space before line ends and blank lines, shrink runs of blanks, trim and cut."""
+    lines = F.split(blank_if_null(c), "\n")
+    stripped = F.transform(lines, lambda line: F.rtrim(line, F.lit(SPACE_CHARS)))
+    text = F.array_join(F.filter(stripped, lambda line: line != ""), "\n")
     return F.substring(trim(F.regexp_replace(text, r"[ \t]{2,}", " ")), 1, most)
 
 

@@ -5,68 +5,78 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import SPACE, blank_if_null, collapse_space, first_filled, trim, url_host, url_path
+from larkspur.functions.text import URL_START, blank_if_null, collapse_space, trim, url_host
 
-# Named crawlers, tried in this order, and the pattern for any other one.
+# Named crawlers, found by these words in this order, and the pattern for any other one.
 KNOWN_CRAWLERS = (
-    ("googlebot", "(?i)googlebot"),
-    ("oai-searchbot", "(?i)oai-searchbot"),
-    ("facebookexternalhit", "(?i)facebookexternalhit"),
-    ("bingbot", "(?i)bingbot"),
-    ("applebot", "(?i)applebot"),
-    ("duckduckbot", "(?i)duckduckbot"),
-    ("baiduspider", "(?i)baiduspider"),
-    ("yandexbot", "(?i)yandex"),
-    ("slurp", r"(?i)\bslurp\b"),
+    ("googlebot", "googlebot"),
+    ("oai-searchbot", "oai-searchbot"),
+    ("facebookexternalhit", "facebookexternalhit"),
+    ("bingbot", "bingbot"),
+    ("applebot", "applebot"),
+    ("duckduckbot", "duckduckbot"),
+    ("baiduspider", "baiduspider"),
+    ("yandexbot", "yandex"),
 )
-OTHER_CRAWLER = "(?i)(bot|crawler|spider|slurp|archiver|fetcher|preview)"
+SLURP = r"\bslurp\b"
+OTHER_CRAWLER = "(bot|crawler|spider|slurp|archiver|fetcher|preview)"
 SKIPPED_PATHS = ("/.netlify/", "/usage-dashboard")
 
 
 def is_trackable(method: Column, url: Column, skipped: tuple[str, ...] = SKIPPED_PATHS) -> Column:
-    path = url_path(url)
+    """GET or HEAD on a valid URL whose path starts with none of ``skipped``."""
     kept = F.upper(method).isin("GET", "HEAD") & (url_host(url) != "")
-    for prefix in skipped:
-        kept = kept & ~path.startswith(prefix)
+    if skipped:
+        paths = "|".join(p.replace(".", r"\.") for p in skipped)
+        kept = kept & ~trim(url).rlike(f"{URL_START}(?:{paths})")
     return kept
 
 
 def detect_crawler(user_agent: Column) -> Column:
-    agent = blank_if_null(user_agent)
+    agent = F.lower(blank_if_null(user_agent))
     found = F.when(F.lit(False), F.lit(None).cast("string"))
-    for key, pattern in KNOWN_CRAWLERS:
-        found = found.when(agent.rlike(pattern), key)
-    return found.when(agent.rlike(OTHER_CRAWLER), "other-crawler")
+    for key, word in KNOWN_CRAWLERS:
+        found = found.when(F.contains(agent, F.lit(word)), key)
+    return found.when(agent.rlike(SLURP), "slurp").when(agent.rlike(OTHER_CRAWLER), "other-crawler")
 
 
 def _device_name(c: Column) -> Column:
     return F.substring(collapse_space(trim(blank_if_null(c))), 1, 120)
 
 
+def platform_name(platform: Column) -> Column:
+    """The client's own platform text without quotes."""
+    return _device_name(F.replace(blank_if_null(platform), F.lit('"'), F.lit("")))
+
+
+def bracket_name(user_agent: Column) -> Column:
+    """The first bracketed text of the user agent."""
+    return _device_name(F.regexp_extract(blank_if_null(user_agent), r"\(([^)]+)\)", 1))
+
+
+def device_kind(user_agent: Column) -> Column:
+    agent = F.lower(blank_if_null(user_agent))
+    return (
+        F.when(agent.rlike(r"\b(iphone|android.+mobile|mobile)\b"), "mobile")
+        .when(agent.rlike(r"\b(ipad|tablet)\b"), "tablet")
+        .when(agent.rlike(r"\b(macintosh|mac os x|windows nt|x11|linux)\b"), "desktop")
+        .otherwise("unknown")
+    )
+
+
 def device(user_agent: Column, platform: Column) -> Column:
-    agent = blank_if_null(user_agent)
-    lower = F.lower(agent)
-    named = _device_name(F.replace(blank_if_null(platform), F.lit('"'), F.lit("")))
-    bracket = _device_name(F.regexp_extract(agent, r"\(([^)]+)\)", 1))
+    named, bracket = platform_name(platform), bracket_name(user_agent)
     return (
         F.when(~named.isin("", "unknown"), named)
         .when(~bracket.isin("", "unknown"), bracket)
-        .when(lower.rlike(r"\b(iphone|android.+mobile|mobile)\b"), "mobile")
-        .when(lower.rlike(r"\b(ipad|tablet)\b"), "tablet")
-        .when(lower.rlike(r"\b(macintosh|mac os x|windows nt|x11|linux)\b"), "desktop")
-        .otherwise("unknown")
+        .otherwise(device_kind(user_agent))
     )
 
 
 def client_ip(*candidates: Column) -> Column:
-    def first_part(c: Column) -> Column:
-        return F.substring(trim(F.substring_index(blank_if_null(c), ",", 1)), 1, 96)
-
-    def usable(c: Column) -> Column:
-        # A candidate that only says 'unknown' counts as missing.
-        return F.when(first_part(c) != "unknown", first_part(c))
-
-    return F.coalesce(F.nullif(first_filled(*[usable(c) for c in candidates]), F.lit("")), F.lit("unknown"))
+    """First part of the first candidate that says anything; 'unknown' counts as nothing."""
+    parts = [F.substring(trim(F.substring_index(blank_if_null(c), ",", 1)), 1, 96) for c in candidates]
+    return F.coalesce(*[F.when(~p.isin("", "unknown"), p) for p in parts], F.lit("unknown"))
 
 
 def country(*candidates: Column) -> Column:
@@ -74,8 +84,11 @@ def country(*candidates: Column) -> Column:
     return F.coalesce(*[F.when(code.rlike(r"^[A-Z]{2}\z"), code) for code in codes], F.lit("ZZ"))
 
 
-def external_referrer(referer: Column, url: Column) -> Column:
-    """Host of the referrer unless it is the own host or one of its sub-domains."""
-    host, own = url_host(referer), url_host(url)
+def foreign_host(host: Column, own: Column) -> Column:
+    """The host unless it is empty, the own host, or one of its sub-domains."""
     internal = (own != "") & ((host == own) | host.endswith(F.concat(F.lit("."), own)))
     return F.when((host != "") & ~internal, host)
+
+
+def external_referrer(referer: Column, url: Column) -> Column:
+    return foreign_host(url_host(referer), url_host(url))

@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The white space characters of ECMAScript, as a character class body and as plain characters.
-SPACE = (
-    r"\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
+OTHER_SPACE = (
+    r"\t\n\x0b\f\r\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
     r"\x{202f}\x{205f}\x{3000}\x{feff}"
 )
+SPACE = OTHER_SPACE + " "
 SPACE_CHARS = (
     "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -29,12 +30,11 @@ REGISTRY_STOP_WORDS = (
 URL_HOST = (
     r"^(?:(?:https?|ftp|wss?):[/\\]*|[a-z][a-z0-9+.-]*://)"
     r"(?:[^/?#\\]*@)?"
-    r"(\[[0-9a-f:.]+\]|[^/?#\\:@\[\]<>^|%" + SPACE + r"]+)(?::[0-9]*)?(?:[/?#\\].*)?\z"
-)
-URL_PATH = (
-    r"^(?:(?:[hH][tT][tT][pP][sS]?|[fF][tT][pP]|[wW][sS][sS]?):[/\\]*|[a-zA-Z][a-zA-Z0-9+.-]*://)"
-    r"[^/?#\\]+(/[^?#]*)"
+    r"(\[[0-9a-f:.]+\]|[a-z0-9._~!$&()*+,;={}\p{L}\p{N}-]+)(?::[0-9]*)?(?:[/?#\\]|\z)"
 )
+# Everything before the path, and the path itself.
+URL_START = r"^(?:(?:[hH][tT][tT][pP][sS]?|[fF][tT][pP]|[wW][sS][sS]?):[/\\]*|[a-zA-Z][a-zA-Z0-9+.-]*://)[^/?#\\]+"
+URL_PATH = URL_START + r"(/[^?#]*)"
 
 _NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
 
@@ -53,9 +53,13 @@ def is_ascii(c: Column) -> Column:
 
 
 def collapse_space(c: Column) -> Column:
-    """Every run of white space becomes one blank. The wide character class is only used on non-ASCII text."""
+    """Every run of white space becomes one blank.
+
+    The wide character class is only used on non-ASCII text, and single blanks are left alone.
+    """
     narrow = F.regexp_replace(c, r"[\t\n\x0b\f\r]\s*| \s+", " ")
-    return F.when(is_ascii(c), narrow).otherwise(F.regexp_replace(c, f"[{SPACE}]+", " "))
+    wide = F.regexp_replace(c, f"[{OTHER_SPACE}][{SPACE}]*| [{SPACE}]+", " ")
+    return F.when(is_ascii(c), narrow).otherwise(wide)
 
 
 def first_filled(*cols: Column) -> Column:

@@ -29,12 +29,13 @@ def extract_contacts(df: DataFrame, key: str, text_col: str = "text") -> DataFra
     lines = F.transform(F.slice(F.split(text, r"\r?\n", NAME_LINES + 1), 1, NAME_LINES), lambda x: tx.trim(x))
 
     def is_name(line: Column) -> Column:
-        return F.length(line).between(4, 79) & line.rlike(NAME_LINE) & ~line.rlike(EMAIL)
+        # A line of these characters has no '@', so it holds no e-mail address either.
+        return F.length(line).between(4, 79) & line.rlike(NAME_LINE)
 
     return df.select(
         key,
         F.coalesce(F.get(F.filter(lines, is_name), F.lit(0)), F.lit("")).alias("full_name"),
-        F.regexp_extract(text, EMAIL, 0).alias("email"),
+        F.when(F.contains(text, F.lit("@")), F.regexp_extract(text, EMAIL, 0)).otherwise("").alias("email"),
         tx.trim(tx.collapse_space(F.regexp_extract(text, PHONE, 0))).alias("phone"),
         tx.trim(F.substring(text, 1, SNIPPET)).alias("snippet"),
     )

@@ -25,16 +25,34 @@ def trackable(df: DataFrame, skipped: tuple[str, ...] = rq.SKIPPED_PATHS) -> Dat
 
 
 def enrich_requests(df: DataFrame) -> DataFrame:
-    """Day, device, crawler, address, country and external referrer of each request."""
-    return df.select(
+    """Day, device, crawler, address, country and external referrer of each request.
+
+    Texts used more than once are computed in a step of their own, so that each is evaluated once per row.
+    """
+    agent = F.col("user_agent")
+    texts = df.withColumns(
+        {
+            "_platform": rq.platform_name(F.col("sec_ch_ua_platform")),
+            "_bracket": rq.bracket_name(agent),
+            "_host": tx.url_host(F.col("referer")),
+            "_own": tx.url_host(F.col("url")),
+        }
+    )
+    named, bracket = F.col("_platform"), F.col("_bracket")
+    device = (
+        F.when(~named.isin("", "unknown"), named)
+        .when(~bracket.isin("", "unknown"), bracket)
+        .otherwise(rq.device_kind(agent))
+    )
+    return texts.select(
         "request_id",
         "ts",
         F.to_date("ts").alias("day"),
-        rq.device(F.col("user_agent"), F.col("sec_ch_ua_platform")).alias("device"),
-        rq.detect_crawler(F.col("user_agent")).alias("bot"),
+        device.alias("device"),
+        rq.detect_crawler(agent).alias("bot"),
         rq.client_ip(F.col("ip_address")).alias("ip_address"),
         rq.country(F.col("country")).alias("country"),
-        rq.external_referrer(F.col("referer"), F.col("url")).alias("referrer"),
+        rq.foreign_host(F.col("_host"), F.col("_own")).alias("referrer"),
     )
 
 

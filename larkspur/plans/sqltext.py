@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from larkspur.functions import text as tx
-from larkspur.functions.requests import KNOWN_CRAWLERS, OTHER_CRAWLER
+from larkspur.functions.requests import KNOWN_CRAWLERS, OTHER_CRAWLER, SLURP
 from larkspur.operators.companies import INDUSTRY_PATTERNS, OTHER_INDUSTRY
 from larkspur.plans.views import view_sql
 
@@ -88,8 +88,8 @@ def infer_industry(x: str) -> str:
 
 
 def crawler(x: str) -> str:
-    whens = " ".join(f"WHEN regexp_matches({x}, '{p}') THEN '{k}'" for k, p in KNOWN_CRAWLERS)
-    return f"CASE {whens} WHEN regexp_matches({x}, '{OTHER_CRAWLER}') THEN 'other-crawler' END"
+    whens = " ".join(f"WHEN regexp_matches({x}, '(?i){p}') THEN '{k}'" for k, p in (*KNOWN_CRAWLERS, ("slurp", SLURP)))
+    return f"CASE {whens} WHEN regexp_matches({x}, '(?i){OTHER_CRAWLER}') THEN 'other-crawler' END"
 
 
 def device(agent: str, platform: str) -> str:
