@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import forum as fo
 from larkspur.functions import text as tx
+from larkspur.operators.companies import with_post_company
 from larkspur.operators.listings import first_per_key
 from larkspur.operators.ordered import with_previous
-from larkspur.operators.threads import active, latest_per_group
+from larkspur.operators.threads import POSTS_MAX, active, comment_counts, latest_per_group, loaded_comments
+from larkspur.operators.votes import with_my_vote
 
 # Default texts, profile lengths and rows shown on a profile.
 POST_TITLE, MEMBER_NAME = "Untitled thread", "Community Member"
@@ -212,6 +214,18 @@ def sort_posts(posts: DataFrame, mode: str = "hot") -> DataFrame:
     return ranked.orderBy(*[F.col(k).desc() for k in keys], "id")
 
 
+def company_page(
+    posts: DataFrame, comments: DataFrame, state: DataFrame, registry: DataFrame, company_slug: str, user_uid: str,
+    mode: str = "hot",
+) -> DataFrame:
+    """The forum page of one company: its newest posts with comment counts, one member's votes and the company."""
+    own = posts.where(F.col("company_slug") == company_slug)
+    shown = latest_per_group(active(own), "company_slug", POSTS_MAX).drop("place")
+    counted = comment_counts(shown, loaded_comments(own, comments))
+    named = with_post_company(with_my_vote(counted, state, user_uid, "post"), registry)
+    return sort_posts(named, mode)
+
+
 def user_activity(users: DataFrame, posts: DataFrame, comments: DataFrame) -> DataFrame:
     """Newest active posts and comments of each member beside the profile; members without any keep one row."""
 

@@ -278,7 +278,8 @@ def rails(df: DataFrame, mode: str = "fresh", saved_only: bool = False, size: in
     overall = Window.orderBy(*order)
     if saved_only:
         best = keyed.orderBy(*order).limit(SAVED_SIZE).withColumn("rail_position", F.row_number().over(overall))
-        return _without_keys(best).withColumn("rail", F.lit("Saved Job Listings"))
+        saved = best.withColumn("rail_position", F.col("rail_position").cast("long"))
+        return _without_keys(saved).withColumn("rail", F.lit("Saved Job Listings"))
     per_city = Window.partitionBy("city_key").orderBy(*order)
     candidates = keyed.withColumn("_in_city", F.row_number().over(per_city)).where(F.col("_in_city") <= 2 * size)
     ranked = candidates.withColumn("_overall", F.row_number().over(overall))
@@ -288,6 +289,7 @@ def rails(df: DataFrame, mode: str = "fresh", saved_only: bool = False, size: in
     )
     in_rail = Window.partitionBy("_rail").orderBy("_overall")
     placed = named.withColumn("rail_position", F.row_number().over(in_rail)).where(F.col("rail_position") <= size)
+    placed = placed.withColumn("rail_position", F.col("rail_position").cast("long"))
     return _without_keys(
         placed.withColumn("rail", F.concat(F.lit("Latest Jobs in "), F.col("_rail"))).drop("_in_city", "_overall", "_rail")
     )

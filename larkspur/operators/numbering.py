@@ -1,9 +1,11 @@
-"""Dense positions over a unique integer order column, without a single-task window.
-
-Rows are cut into blocks of ``block`` consecutive order values. As the values are unique a block holds
-at most ``block`` rows, however the rows are spread, so the per-block window is bounded. The start of a
-block is the number of rows in earlier blocks, summed in two steps: inside a group of ``block`` blocks
-and over the groups. Everything depends on row values only, so a lost executor changes nothing.
+"""Dense positions over a unique integer order column, without an unbounded single-task window.
+
+Rows are cut into blocks of 2**bits consecutive order values. As the values are unique a block holds at
+most 2**bits rows, however the rows are spread, so the per-block window is bounded. The start of a block
+is the number of rows in earlier blocks. It is summed level by level: over the blocks of one block of
+blocks, then over those, and so on. Every window on the way is bounded by 2**bits rows, and with the
+default the last one by 2**22 rows for any 64-bit value. All of it depends on row values only, so a lost
+executor changes nothing.
 """
 
 from __future__ import annotations
@@ -11,40 +13,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1 << 14
+BITS = 14
+LEVELS = 3
 
 
-def _block_starts(df: DataFrame, order_col: str, block: int) -> DataFrame:
-    per_block = (
-        df.select(F.floor(F.col(order_col) / block).cast("long").alias("_block"))
-        .groupBy("_block")
-        .agg(F.count("*").alias("_rows"))
-        .withColumn("_group", F.floor(F.col("_block") / block).cast("long"))
-    )
-    inside = Window.partitionBy("_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    over_groups = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    groups = (
-        per_block.groupBy("_group")
-        .agg(F.sum("_rows").alias("_rows"))
-        .select("_group", F.coalesce(F.sum("_rows").over(over_groups), F.lit(0)).alias("_group_start"))
-    )
+def _starts(counts: DataFrame, bits: int, levels: int) -> DataFrame:
+    """Running start (_at_block, _start) of blocks given as (_at_block, _rows)."""
+    before = Window.orderBy("_at_block").rowsBetween(Window.unboundedPreceding, -1)
+    if levels == 1:
+        return counts.select("_at_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    above = counts.withColumn("_above", F.shiftright("_at_block", bits))
+    inside = Window.partitionBy("_above").orderBy("_at_block").rowsBetween(Window.unboundedPreceding, -1)
+    upper = _starts(above.groupBy(F.col("_above").alias("_at_block")).agg(F.sum("_rows").alias("_rows")), bits, levels - 1)
     return (
-        per_block.select(
-            "_block", "_group", F.coalesce(F.sum("_rows").over(inside), F.lit(0)).alias("_inside_start")
-        )
-        .join(groups, "_group")
-        .select("_block", (F.col("_group_start") + F.col("_inside_start")).alias("_start"))
+        above.select("_at_block", "_above", F.coalesce(F.sum("_rows").over(inside), F.lit(0)).alias("_inside"))
+        .join(upper.select(F.col("_at_block").alias("_above"), F.col("_start").alias("_above_start")), "_above")
+        .select("_at_block", (F.col("_above_start") + F.col("_inside")).alias("_start"))
     )
 
 
-def with_position(df: DataFrame, order_col: str, name: str = "position", block: int = BLOCK) -> DataFrame:
+def with_position(df: DataFrame, order_col: str, name: str = "position", bits: int = BITS) -> DataFrame:
     """Add the 0-based position of each row in the order of ``order_col`` (unique integers)."""
-    in_block = Window.partitionBy("_block").orderBy(order_col)
-    starts = _block_starts(df, order_col, block)
+    block = F.shiftright(F.col(order_col).cast("long"), bits)
+    counts = df.groupBy(block.alias("_at_block")).agg(F.count("*").alias("_rows"))
+    in_block = Window.partitionBy("_at_block").orderBy(order_col)
     return (
-        df.withColumn("_block", F.floor(F.col(order_col) / block).cast("long"))
+        df.withColumn("_at_block", block)
         .withColumn("_at", F.row_number().over(in_block).cast("long") - 1)
-        .join(starts, "_block")
+        .join(_starts(counts, bits, LEVELS), "_at_block")
         .withColumn(name, F.col("_start") + F.col("_at"))
-        .drop("_block", "_at", "_start")
+        .drop("_at_block", "_at", "_start")
     )

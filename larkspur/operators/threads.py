@@ -18,7 +18,9 @@ def active(df: DataFrame) -> DataFrame:
 def latest_per_group(df: DataFrame, key: str, most: int, order: str = "created_ms") -> DataFrame:
     """The newest rows of each group. Spark limits each group before the shuffle."""
     newest = Window.partitionBy(key).orderBy(F.col(order).desc(), F.col("id").desc())
-    return df.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= most)
+    # The cast comes last: on the bare row number Spark can limit each group early.
+    ranked = df.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= most)
+    return ranked.withColumn("place", F.col("place").cast("long"))
 
 
 def loaded_comments(posts: DataFrame, comments: DataFrame) -> DataFrame:

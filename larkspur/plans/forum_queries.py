@@ -530,3 +530,23 @@ def overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = st.overlay(rows, ["defaults", "stored", "patch"], "settings")
     pairs = F.transform(F.array_sort(F.map_entries("settings")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return made.select("seq", F.array_join(pairs, "|").alias("settings"))
+
+
+@query(
+    "l4_company_page",
+    q.with_ctes(
+        ["posts", "comments", "vote_events", "companies", "domain_overrides"],
+        """SELECT s.id, s.company_slug, s.created_ms, s.score, greatest(s.comment_count, coalesce(c.n, 0)) AS comment_count,
+        coalesce(v.value, 0) AS my_vote, coalesce(r.name, replace(s.company_slug, '-', ' ')) AS company_name,
+        coalesce(r.industry, 'Company') AS company_industry,
+        s.score + greatest(s.comment_count, coalesce(c.n, 0)) * 2 + s.created_ms / 1e13 AS hot_score
+        FROM shown s LEFT JOIN (SELECT post_id, count(*) AS n FROM loaded GROUP BY post_id) c ON c.post_id = s.id
+        LEFT JOIN vote_state v ON v.target_id = s.id AND v.target_type = 'post' AND v.user_uid = 'u7'
+        LEFT JOIN registry r ON r.slug = s.company_slug WHERE s.company_slug = 'c3'""",
+        _LOADED, _EVENTS_ONLY, _ISLANDS, _REGISTRY,
+    ),
+)
+def company_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = posts(spark, sf_dir).select("id", "company_slug", "created_ms", "score", "comment_count", "status")
+    state = vo.vote_state(votes(spark, sf_dir))
+    return fm.company_page(rows, comments(spark, sf_dir), state, registry(spark, sf_dir), "c3", "u7").drop("status")

@@ -449,6 +449,14 @@ def _rail_query(mode: str) -> None:
 for _mode in _ORDERS:
     _rail_query(_mode)
 
+@query(
+    "o3_listing_cap",
+    q.over_listings("SELECT ordinal, title, company FROM listings ORDER BY ordinal LIMIT 4000"),
+)
+def capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ls.first_rows(listings(spark, sf_dir, with_id=False)).select("ordinal", "title", "company")
+
+
 _STATE = """state AS (SELECT user_uid, job_id, CASE action WHEN 'save' THEN 'saved' WHEN 'hide' THEN 'hidden' ELSE action END AS kind,
   max(ts) AS ts FROM job_state_events GROUP BY user_uid, job_id, action HAVING action = 'hide' OR count(*) % 2 = 1)"""
 

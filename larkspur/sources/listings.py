@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,9 +65,14 @@ def read_listings_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    """Whether Spark finds anything under a path; nothing is read."""
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as err:
+        if err.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 def first_available(spark: SparkSession, paths: list[str]) -> str:

@@ -38,14 +38,30 @@ def rows_of(columns, rows):
     return sorted(columns), sorted(made, key=repr)
 
 
+# The type the other engine should report for a Spark type.
+SAME_TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN",
+    "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+}
+
+
+def other_types(df, cur):
+    """Columns whose types differ between the two sides."""
+    theirs = {d[0]: str(d[1]) for d in cur.description}
+    return {c: (t, theirs.get(c)) for c, t in df.dtypes if SAME_TYPES.get(t, t) != theirs.get(c)}
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     """None when equal, else a short text."""
     df = fn(spark, sf_dir)
     got_cols, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     cur = con.execute(sql)
     want_cols, want = rows_of([d[0] for d in cur.description], cur.fetchall())
+    types = other_types(df, cur)
     if got_cols != want_cols:
         return f"columns {got_cols} != {want_cols}"
+    if types:
+        return f"types {types}"
     if len(got) != len(want):
         return f"rows {len(got)} != {len(want)}"
     bad = [(g, w) for g, w in zip(got, want) if g != w]

@@ -21,12 +21,12 @@ def raw(spark, rows):
     return spark.createDataFrame([tuple(r[n] for n in NAMES) for r in full], schema)
 
 
-@pytest.mark.parametrize("block", [2, 7, 1000])
-def test_position_is_dense_for_any_spread(spark, block):
-    rng = random.Random(block)
-    values = rng.sample(range(10**6), 200) + [2**40 + x for x in rng.sample(range(1000), 100)] + [-5, -1]
+@pytest.mark.parametrize("bits", [1, 3, 14])
+def test_position_is_dense_for_any_spread(spark, bits):
+    rng = random.Random(bits)
+    values = rng.sample(range(10**6), 200) + [2**40 + x for x in rng.sample(range(1000), 100)] + [-5, -1, 2**62 + 1, 2**62, -(2**61)]
     df = spark.createDataFrame([(v,) for v in values], "o long").repartition(5)
-    got = {r["o"]: r["position"] for r in with_position(df, "o", block=block).collect()}
+    got = {r["o"]: r["position"] for r in with_position(df, "o", bits=bits).collect()}
     assert got == {v: i for i, v in enumerate(sorted(values))}
 
 
