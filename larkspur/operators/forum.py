@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import forum as fo
 from larkspur.functions import text as tx
+from larkspur.functions.times import utc_timestamp
 from larkspur.operators.companies import with_post_company
 from larkspur.operators.listings import first_per_key
 from larkspur.operators.ordered import with_previous
@@ -37,8 +38,8 @@ def _millis(df: DataFrame, name: str, now_ms: int) -> Column:
     kind = dict(df.dtypes)[name]
     if kind == "string":
         return F.coalesce(tx.date_millis(F.col(name)), F.lit(now_ms)).cast("long")
-    if kind == "timestamp":
-        return F.coalesce(F.unix_millis(name), F.lit(now_ms)).cast("long")
+    if kind.startswith("timestamp"):
+        return F.coalesce(F.unix_millis(utc_timestamp(df, name)), F.lit(now_ms)).cast("long")
     return fo.time_millis(F.col(name), F.lit(None).cast("long"), now_ms)
 
 

@@ -14,7 +14,8 @@ def creation_votes(rows: DataFrame, target_type: str) -> DataFrame:
     """The first +1 an author casts by creating a post or comment."""
     return rows.select(
         F.lit(-1).cast("long").alias("seq"),
-        F.timestamp_millis("created_ms").cast("timestamp_ntz").alias("ts"),
+        # Without a zone, so that the session zone plays no part.
+        F.expr("timestampadd(MILLISECOND, created_ms, TIMESTAMP_NTZ '1970-01-01 00:00:00')").alias("ts"),
         F.col("author_uid").alias("user_uid"),
         F.lit(target_type).alias("target_type"),
         F.col("id").alias("target_id"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.functions.times import utc_day, utc_timestamp
 from larkspur.operators import usage as us
 from larkspur.streaming import windows as wn
 
@@ -13,7 +14,7 @@ WIDTH, LATENESS = "1 day", "1 day"
 
 def request_facts(requests: DataFrame) -> DataFrame:
     """(ts, dim, key) of the trackable requests; the same for a stream and for a table."""
-    timed = requests.withColumn("ts", wn.utc_timestamp(requests, "ts"))
+    timed = requests.withColumn("ts", utc_timestamp(requests, "ts"))
     return us.daily_facts(us.enrich_requests(us.trackable(timed)), "ts")
 
 
@@ -26,6 +27,6 @@ def counters_so_far(spark: SparkSession, path: str, counters: DataFrame, landed:
     """Closed days from the stream's files and open days counted from the landed requests."""
     closed = wn.read_closed(spark, path, counters.schema)
     still_open = wn.open_rows(request_facts(landed), "ts", closed)
-    counted = still_open.groupBy(wn.utc_day(F.col("ts")).alias("day"), "dim", "key").agg(F.count("*").alias("n"))
-    done = closed.select(wn.utc_day(F.col("window_start")).alias("day"), "dim", "key", "n")
+    counted = still_open.groupBy(utc_day(F.col("ts")).alias("day"), "dim", "key").agg(F.count("*").alias("n"))
+    done = closed.select(utc_day(F.col("window_start")).alias("day"), "dim", "key", "n")
     return us.merge_counters(done, counted)
