@@ -188,10 +188,10 @@ def check_votes(df: DataFrame) -> DataFrame:
     )
 
 
-def check_updates(versions: DataFrame) -> DataFrame:
+def check_updates(versions: DataFrame, chunk: str = "hour") -> DataFrame:
     """Versions (id, ts, seq, score, comment_count): score moves by at most 2, comment_count by 0 or 1."""
-    hourly = versions.withColumn("_hour", F.date_trunc("hour", "ts"))
-    stepped = with_previous(hourly, ["id"], ["ts", "seq"], ["score", "comment_count"], "_hour").drop("_hour")
+    cut = versions.withColumn("_chunk", F.date_trunc(chunk, "ts"))
+    stepped = with_previous(cut, ["id"], ["ts", "seq"], ["score", "comment_count"], "_chunk").drop("_chunk")
     first = F.col("previous_score").isNull()
     score_step = F.col("score") - F.col("previous_score")
     count_step = F.col("comment_count") - F.col("previous_comment_count")

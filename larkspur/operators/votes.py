@@ -29,29 +29,29 @@ def all_votes(posts: DataFrame, comments: DataFrame, events: DataFrame) -> DataF
     return created.withColumn("created", F.lit(0)).unionByName(events.withColumn("created", F.lit(1)))
 
 
-def vote_state(events: DataFrame) -> DataFrame:
+def vote_state(events: DataFrame, chunk: str = "hour") -> DataFrame:
     """Live vote of each voter and target: -1, 0 or 1.
 
     A vote equal to the live one clears it, any other replaces it. So the last run of equal votes decides:
-    an odd run leaves that vote, an even one none. Runs are measured per hour first, which splits a hot
-    voter and target over many tasks, and the hours are put together from one row each.
+    an odd run leaves that vote, an even one none. Runs are measured per ``chunk`` of time first, which
+    splits a hot voter and target over many tasks, and the chunks are put together from one row each.
     """
     if "created" not in events.columns:
         events = events.withColumn("created", F.lit(1))
-    rows = events.withColumn("_hour", F.when(F.col("created") == 1, F.date_trunc("hour", "ts")))
-    back = Window.partitionBy(*VOTE_KEYS, "_hour").orderBy(F.col("ts").desc(), F.col("seq").desc())
+    rows = events.withColumn("_chunk", F.when(F.col("created") == 1, F.date_trunc(chunk, "ts")))
+    back = Window.partitionBy(*VOTE_KEYS, "_chunk").orderBy(F.col("ts").desc(), F.col("seq").desc())
     so_far = back.rowsBetween(Window.unboundedPreceding, 0)
-    hours = (
+    chunks = (
         rows.withColumn("_last", F.first("delta").over(back))
         .withColumn("_broken", F.max((F.col("delta") != F.col("_last")).cast("int")).over(so_far))
-        .groupBy(*VOTE_KEYS, "_hour")
+        .groupBy(*VOTE_KEYS, "_chunk")
         .agg(F.max("_last").alias("_last"), F.count_if(F.col("_broken") == 0).alias("_tail"), F.count("*").alias("_n"))
     )
-    later = Window.partitionBy(*VOTE_KEYS).orderBy(F.col("_hour").desc_nulls_last())
+    later = Window.partitionBy(*VOTE_KEYS).orderBy(F.col("_chunk").desc_nulls_last())
     before = later.rowsBetween(Window.unboundedPreceding, -1)
     breaks = (F.col("_last") != F.col("_final")) | (F.col("_tail") < F.col("_n"))
     run = (
-        hours.withColumn("_final", F.first("_last").over(later))
+        chunks.withColumn("_final", F.first("_last").over(later))
         .withColumn("_stops", F.max(breaks.cast("int")).over(before))
         .where((F.coalesce(F.col("_stops"), F.lit(0)) == 0) & (F.col("_last") == F.col("_final")))
         .groupBy(*VOTE_KEYS)

@@ -117,10 +117,10 @@ def signed_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _unescape(x: str) -> str:
-    # Character references that occur in the given pages; &amp; goes last.
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&#39;", "''")):
-        x = f"replace({x}, '{name}', '{char}')"
-    return f"replace({x}, '&amp;', '&')"
+    # Character references that occur in the given pages, with or without the final semicolon; &amp goes last.
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("nbsp", "\u00a0"), ("#39", "''")):
+        x = f"regexp_replace({x}, '&{name};?', '{char}', 'g')"
+    return f"regexp_replace({x}, '&amp;?', '&', 'g')"
 
 
 _CUT = "(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>"

@@ -48,6 +48,8 @@ def test_vote_state_equals_a_fold(spark):
         rows = vote_rows(600, seed)
         got = {(r["user_uid"], r["target_id"]): r["value"] for r in vo.vote_state(votes(spark, rows).repartition(6)).collect()}
         assert got == brute_state(rows)
+    by_minute = vo.vote_state(votes(spark, rows), chunk="minute")
+    assert {(r["user_uid"], r["target_id"]): r["value"] for r in by_minute.collect()} == brute_state(rows)
 
 
 def test_one_voter_across_hours(spark):
