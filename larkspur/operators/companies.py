@@ -38,7 +38,10 @@ def first_companies(df: DataFrame, most: int = REGISTRY_MAX) -> DataFrame:
 
 
 def normalize_companies(df: DataFrame, overrides: DataFrame | None = None, most: int = REGISTRY_MAX) -> DataFrame:
-    """Registry rows from (ordinal, rank, name, industry, domain); ``overrides`` maps name to domain."""
+    """Registry rows from (ordinal, rank, name, industry, domain); ``overrides`` maps name to domain.
+
+    Figures and places are taken over where the input has them.
+    """
     place = F.row_number().over(Window.orderBy("ordinal"))
     rows = first_companies(df, most).withColumn("_place", place)
     name = tx.first_filled(F.col("name"), F.concat(F.lit("Company "), F.col("_place").cast("string")))
@@ -49,6 +52,10 @@ def normalize_companies(df: DataFrame, overrides: DataFrame | None = None, most:
         # Left side: at most ``most`` rows, so Spark may broadcast it whatever the size of the overrides.
         known = overrides.groupBy("name").agg(F.max("domain").alias("_known"))
         rows = rows.join(known, "name", "left")
+    def given(column: str, kind: str, default) -> Column:
+        value = F.col(column) if column in df.columns else F.lit(None)
+        return F.coalesce(value.cast(kind), F.lit(default).cast(kind)).alias(column)
+
     return rows.select(
         "ordinal",
         F.coalesce(F.nullif(F.col("rank"), F.lit(0)), F.col("_place")).cast("long").alias("rank"),
@@ -60,6 +67,10 @@ def normalize_companies(df: DataFrame, overrides: DataFrame | None = None, most:
             F.nullif(F.col("_known"), F.lit("")),
             tx.domain_guess(F.col("name"), tx.REGISTRY_STOP_WORDS),
         ).alias("domain"),
+        given("revenue_millions", "double", None),
+        given("employees", "bigint", None),
+        given("headquarters", "string", ""),
+        given("state", "string", ""),
     )
 
 

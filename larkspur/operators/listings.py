@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -222,10 +225,11 @@ def search_listings(
         out = out.where(tx.trim(F.col("employment")) != "")
     needles = [n for n in (chip.lower(), query.strip().lower()) if n]
     if needles:
-        out = out.withColumn("_hay", haystack())
-        for needle in needles:
-            out = out.where(F.contains(F.col("_hay"), F.lit(needle)))
-        out = out.drop("_hay")
+        # A one-element array binds the long text once for all needles.
+        def holds_all(text: Column) -> Column:
+            return reduce(and_, [F.contains(text, F.lit(n)) for n in needles])
+
+        out = out.where(F.exists(F.array(haystack()), holds_all))
     if hidden is not None:
         out = without_hidden(out, hidden)
     if saved is not None:

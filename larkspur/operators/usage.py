@@ -12,6 +12,12 @@ from larkspur.functions import text as tx
 RETENTION_DAYS = 30
 DIMENSIONS = ("sdk_devices", "devices", "ip_addresses", "countries", "external_referrers", "bots")
 BOUNDED = ("countries", "bots")
+PAIRS = "device_bots"
+# Lifetime counts and the daily dimension they are the sum of.
+LIFETIME = {
+    "global_count": "global_count", "crawler_count": "crawler_count", "bots": "bots", "external_referrers": "external_referrers",
+    "sdk_devices": "device_global", "devices": "device_crawler", PAIRS: PAIRS,
+}
 
 
 def ingest_requests(df: DataFrame) -> DataFrame:
@@ -79,14 +85,20 @@ def device_bots(enriched: DataFrame) -> DataFrame:
     return enriched.where(F.col("bot").isNotNull()).groupBy("device", "bot").agg(F.count("*").alias("n"))
 
 
-def daily_facts(enriched: DataFrame, when: str = "day") -> DataFrame:
-    """One row per request and counted dimension; ``when`` is the day, or the event time on a stream."""
+def daily_facts(enriched: DataFrame, when: str = "day", pairs: bool = False) -> DataFrame:
+    """One row per request and counted dimension; ``when`` is the day, or the event time on a stream.
+
+    With ``pairs`` there is one more dimension, device and crawler together, for the lifetime counts.
+    """
     is_crawler = F.col("bot").isNotNull()
 
     def fact(dimension: str, key: Column) -> Column:
         return F.struct(F.lit(dimension).alias("dim"), key.alias("key"))
 
+    both = F.when(is_crawler, F.concat_ws(" | ", "device", "bot"))
+    extra = [fact(PAIRS, both)] if pairs else []
     facts = F.array(
+        *extra,
         fact("global_count", F.lit("")),
         fact("crawler_count", F.when(is_crawler, "")),
         fact("sdk_devices", F.col("device")),
@@ -113,7 +125,7 @@ def retained(counters: DataFrame, today: str, day_col: str = "day") -> DataFrame
 
 def usage_entries(counters: DataFrame, today: str) -> DataFrame:
     """The retained counters in date order, every dimension in long form."""
-    return retained(counters, today).orderBy("day", "dim", "key")
+    return retained(counters, today).where(F.col("dim") != PAIRS).orderBy("day", "dim", "key")
 
 
 def usage_report(counters: DataFrame, today: str) -> DataFrame:
@@ -140,6 +152,14 @@ def usage_report(counters: DataFrame, today: str) -> DataFrame:
     return counts.join(maps, "day", "left").withColumns(filled).orderBy("day")
 
 
+def lifetime_counts(counters: DataFrame) -> DataFrame:
+    """Totals, crawlers, referrers and devices over all days (what, key, n), from daily counters with pairs."""
+    what = F.create_map(*[F.lit(x) for pair in LIFETIME.items() for x in pair])[F.col("dim")]
+    return (
+        counters.where(F.col("dim").isin(*LIFETIME)).groupBy(what.alias("what"), "key").agg(F.sum("n").alias("n"))
+    )
+
+
 def merge_counters(*parts: DataFrame) -> DataFrame:
     """Add up counters of separate runs."""
     together = parts[0]

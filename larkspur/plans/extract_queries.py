@@ -40,13 +40,19 @@ def registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "s9_registry_json",
-    q.with_ctes(["companies"], "SELECT rank, name, industry, domain FROM companies ORDER BY ordinal LIMIT 500"),
+    q.with_ctes(
+        ["companies"],
+        "SELECT rank, name, industry, domain, '' AS headquarters, 'S' AS state, CAST(rank * 2.5 AS DOUBLE) AS revenue_millions, rank * 10 AS employees "
+        "FROM companies ORDER BY ordinal LIMIT 500",
+    ),
 )
 def registry_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = run_dir(spark, "registry-json")
     # The registry is capped at 500 companies, so one document holds it.
     firms = co.first_companies(view(spark, sf_dir, "companies"))
-    document = firms.agg(F.sort_array(F.collect_list(F.struct("ordinal", "rank", "name", "industry", "domain"))).alias("data"))
+    figures = [(F.col("rank") * 2.5).alias("revenueMillions"), (F.col("rank") * 10).alias("employees"), F.lit("S").alias("state")]
+    firm = F.struct("ordinal", "rank", "name", "industry", "domain", *figures)
+    document = firms.agg(F.sort_array(F.collect_list(firm)).alias("data"))
     document.select(F.to_json(F.struct("data")).alias("value")).write.text(path)
     return read_registry_json(spark, path).drop("ordinal")
 

@@ -360,7 +360,8 @@ def my_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _REGISTRY = f"""registry AS (SELECT ordinal, CASE WHEN rank = 0 THEN place ELSE rank END AS rank, name,
   CASE WHEN industry = '' THEN {q.infer_industry('name')} ELSE industry END AS industry, {q.slug('name')} AS slug,
-  coalesce(nullif(domain, ''), (SELECT o.domain FROM domain_overrides o WHERE o.name = c.name), {q.domain_guess('name', co.tx.REGISTRY_STOP_WORDS)}) AS domain
+  coalesce(nullif(domain, ''), (SELECT o.domain FROM domain_overrides o WHERE o.name = c.name), {q.domain_guess('name', co.tx.REGISTRY_STOP_WORDS)}) AS domain,
+  CAST(NULL AS DOUBLE) AS revenue_millions, CAST(NULL AS BIGINT) AS employees, '' AS headquarters, '' AS state
   FROM (SELECT *, row_number() OVER (ORDER BY ordinal) AS place FROM companies ORDER BY ordinal LIMIT 500) c)"""
 
 

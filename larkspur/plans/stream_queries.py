@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from larkspur.operators.usage import PAIRS, lifetime_counts
 from larkspur.plans import forum_queries as fq
 from larkspur.plans import request_queries as rq
 from larkspur.plans import sqltext as q
@@ -16,14 +18,34 @@ from larkspur.streaming import votes as vo
 from larkspur.streaming.windows import read_closed, run_to_end
 
 
-@query("m1_usage_stream", rq.USAGE_BY_DATE)
-def usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = run_dir(spark, "usage")
     counters = us.daily_counters(stream_view(spark, sf_dir, "requests"))
     run_to_end(counters, f"{work}/days", f"{work}/checkpoint")
     return us.counters_so_far(spark, f"{work}/days", counters, view(spark, sf_dir, "requests"))
 
 
+@query("m1_usage_stream", rq.USAGE_BY_DATE)
+def usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counters(spark, sf_dir).where(F.col("dim") != PAIRS)
+
+
+@query(
+    "m1_lifetime_stream",
+    rq.over_requests(
+        """SELECT 'global_count' AS what, '' AS key, count(*) AS n FROM enriched
+        UNION ALL SELECT 'crawler_count', '', count(*) FROM enriched WHERE bot IS NOT NULL
+        UNION ALL SELECT 'bots', bot, count(*) FROM enriched WHERE bot IS NOT NULL GROUP BY bot
+        UNION ALL SELECT 'external_referrers', referrer, count(*) FROM enriched WHERE referrer IS NOT NULL GROUP BY referrer
+        UNION ALL SELECT 'device_global', device, count(*) FROM enriched GROUP BY device
+        UNION ALL SELECT 'device_crawler', device, count(*) FROM enriched WHERE bot IS NOT NULL GROUP BY device
+        UNION ALL SELECT 'device_bots', concat(device, ' | ', bot), count(*) FROM enriched WHERE bot IS NOT NULL GROUP BY device, bot"""
+    ),
+)
+def lifetime_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifetime_counts(_counters(spark, sf_dir))
+
+
 def _vote_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = run_dir(spark, "votes")
     changes = vo.vote_changes(stream_view(spark, sf_dir, "vote_events"))

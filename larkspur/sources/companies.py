@@ -40,13 +40,20 @@ def read_registry_csv(spark: SparkSession, path: str, most: int = REGISTRY_MAX)
 
 def read_registry_json(spark: SparkSession, path: str) -> DataFrame:
     """Companies of a JSON document with a ``data`` array."""
-    schema = "array<struct<rank:bigint,company:string,name:string,industry:string,domain:string>>"
+    schema = (
+        "array<struct<rank:bigint,company:string,name:string,industry:string,domain:string,revenueMillions:double,"
+        "revenue:double,employees:bigint,headquarters:string,state:string>>"
+    )
     text = spark.read.text(path, wholetext=True)
     rows = text.select(F.posexplode(F.from_json(F.get_json_object("value", "$.data"), schema)).alias("ordinal", "c"))
-    blank = [F.coalesce(F.col(f"c.{c}"), F.lit("")).alias(c) for c in ("industry", "domain")]
+    texts = [tx.blank_if_null(F.col(f"c.{c}")).alias(c) for c in ("industry", "domain", "headquarters", "state")]
     return rows.select(
-        F.col("ordinal").cast("long").alias("ordinal"), F.col("c.rank").alias("rank"),
-        tx.first_filled(F.col("c.company"), F.col("c.name")).alias("name"), *blank,
+        F.col("ordinal").cast("long").alias("ordinal"),
+        F.col("c.rank").alias("rank"),
+        tx.first_filled(F.col("c.company"), F.col("c.name")).alias("name"),
+        *texts,
+        F.coalesce("c.revenueMillions", "c.revenue").alias("revenue_millions"),
+        F.col("c.employees").alias("employees"),
     )
 
 

@@ -15,7 +15,7 @@ WIDTH, LATENESS = "1 day", "1 day"
 def request_facts(requests: DataFrame) -> DataFrame:
     """(ts, dim, key) of the trackable requests; the same for a stream and for a table."""
     timed = requests.withColumn("ts", utc_timestamp(requests, "ts"))
-    return us.daily_facts(us.enrich_requests(us.trackable(timed)), "ts")
+    return us.daily_facts(us.enrich_requests(us.trackable(timed)), "ts", pairs=True)
 
 
 def daily_counters(requests: DataFrame) -> DataFrame:

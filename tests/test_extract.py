@@ -114,9 +114,13 @@ def test_registry_files(spark, tmp_path):
     (tmp_path / "r.csv").write_text("Rank,Company\n1,Big Bank, Inc,10.5,3\nx,bad,1,\n2,Acme,7,\n3,NoNumber,x,\n")
     got = [(r["ordinal"], r["rank"], r["name"], r["industry"]) for r in sc.read_registry_csv(spark, str(tmp_path / "r.csv")).collect()]
     assert got == [(1, 1, "Big Bank, Inc", "Financial Services"), (2, 2, "Acme", "Fortune 500")]
-    (tmp_path / "r.json").write_text(json.dumps({"data": [{"rank": 1, "company": "A"}, {"rank": 2, "name": "B", "domain": "b.example"}]}))
-    got = [tuple(r) for r in sc.read_registry_json(spark, str(tmp_path / "r.json")).orderBy("ordinal").collect()]
-    assert got == [(0, 1, "A", "", ""), (1, 2, "B", "", "b.example")]
+    (tmp_path / "r.json").write_text(json.dumps({"data": [{"rank": 1, "company": "A"}, {"rank": 2, "name": "B", "domain": "b.example", "revenue": 7, "state": "TX"}]}))
+    names = ["ordinal", "rank", "name", "domain", "revenue_millions", "employees", "state"]
+    firms = sc.read_registry_json(spark, str(tmp_path / "r.json"))
+    got = [tuple(r) for r in firms.orderBy("ordinal").select(names).collect()]
+    assert got == [(0, 1, "A", "", None, None, ""), (1, 2, "B", "b.example", 7.0, None, "TX")]
+    kept = normalize_companies(firms).orderBy("ordinal").select("slug", "domain", "revenue_millions", "state").collect()
+    assert [tuple(r) for r in kept] == [("a", "a.com", None, ""), ("b", "b.example", 7.0, "TX")]
 
 
 def test_job_table_round_trip(spark, tmp_path):
