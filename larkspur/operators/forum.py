@@ -248,4 +248,6 @@ def merge_stores(stores: list[DataFrame]) -> DataFrame:
         return current
     key = F.struct("company_slug", "id")
     added = first_per_key(legacy, key, "_store").drop("_store")
-    return current.unionByName(added.join(current.select("company_slug", "id"), ["company_slug", "id"], "left_anti"))
+    # Distinct keys are combined before the shuffle, however often the current store repeats one.
+    there = current.select("company_slug", "id").distinct()
+    return current.unionByName(added.join(there, ["company_slug", "id"], "left_anti"))

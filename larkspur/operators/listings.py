@@ -45,11 +45,6 @@ INDUSTRY_OPTIONS, SENIORITY_OPTIONS = 35, 20
 # Rows up to which a window of listings is taken by sorting.
 SHALLOW_ROWS = 50_000
 
-LISTING_COLUMNS = (
-    "ordinal", "id", "title", "company", "location", "seniority", "employment", "industries", "summary",
-    "pay", "posted", "score", "skills", "certifications", "achievements", "url", "apply", "country", "city_key",
-)
-
 
 def map_aliases(df: DataFrame, spec: dict[str, tuple[str, ...]] = ALIASES) -> DataFrame:
     """Bring input columns to the fixed listing columns; absent ones become ''. ``ordinal`` is kept."""
