@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from larkspur.plans import registered
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = registered.QUERIES, registered.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +22,7 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_entry(spark):
+    assert QUERIES.keys() <= entry.queries().keys() and ORACLES.keys() <= entry.oracle_sql().keys()
     assert entry.entry(spark).count() > 0
 
 
