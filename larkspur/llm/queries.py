@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat, maxscore, pages, pieces, quality
+from larkspur.llm import chat, jaccard, maxscore, pages, pieces, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +129,11 @@ def encode_pieces(spark: SparkSession, sf_dir: str, docs: DataFrame | None = Non
         F.sha2("pieces.ids", 256).alias("ids_sha256"),
         F.sha2("pieces.decoded", 256).alias("decoded_sha256"),
     )
+
+
+# --- 2 n-gram Jaccard join
+
+
+@query("op2_jaccard_join")
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_documents(table(spark, sf_dir, "documents"))
