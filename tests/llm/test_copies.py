@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import jaccard
+from larkspur.llm import jaccard, suffix
 from larkspur.llm.components import components
 from larkspur.llm.queries import QUERIES
 from tests.llm import brute
@@ -66,3 +67,49 @@ def test_components_of_long_chains(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, 200), (200, 100), (300, 300), (None, 1)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 200: 100, 300: 300}
+
+
+def byte_docs(seed):
+    rng = random.Random(seed)
+    text = lambda n: "".join(rng.choice("abcdé \n") for _ in range(n))
+    parts = [text(rng.choice([99, 100, 101, 130, 250, 700])) for _ in range(12)] + ["ab" * 120, "x" * 400]
+    docs = [None, "", "x" * 99, "x" * 100, "x" * 101, "é" * 80]
+    for _ in range(60):
+        docs.append("".join(rng.choice([text(rng.randint(0, 150)), rng.choice(parts), rng.choice(parts)]) for _ in range(rng.randint(1, 6))))
+    docs += rng.sample(docs, 8)
+    return list(enumerate(docs))
+
+
+def removed(df):
+    rows = df.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("d")).collect()
+    return {r["doc_id"]: tuple(r)[1:] for r in rows}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_removed_bytes(spark, seed):
+    docs = byte_docs(seed)
+    assert removed(suffix.remove_repeats(frame(spark, docs))) == brute.removed_bytes(docs)
+
+
+def test_removed_bytes_of_the_given_documents(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows = QUERIES["op4_suffix_dedup"](spark, SF).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in rows} == brute.removed_bytes(docs)
+
+
+def test_levels_stay_few():
+    levels = suffix.Levels()
+    for k in range(64):
+        codes = np.arange(k * 10, k * 10 + 10, dtype=np.uint64)
+        assert not levels.known(codes).any()
+        levels.add(codes, np.arange(10))
+        assert len(levels.arrays) <= 8
+    assert levels.known(np.arange(650, dtype=np.uint64)).sum() == 640 and len(levels.all()[0]) == 640
+
+
+def test_removed_bytes_odd_inputs(spark):
+    long = "0123456789" * 11
+    docs = frame(spark, [(2, long), (2, long), (1, "q" + long), (None, long[:105]), (3, None)]).withColumn("doc", F.lit(1))
+    got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix.remove_repeats(docs).collect())
+    assert got == [(0, 105, 0, 0), (1, 111, 110, 1), (2, 110, 110, 1), (2, 110, 110, 1), (3, 0, 0, 0)]
+    assert suffix.remove_repeats(docs.limit(0)).count() == 0
