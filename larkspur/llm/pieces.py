@@ -1,14 +1,16 @@
 """SentencePiece encoding and decoding with a table of distinct chunks.
 
 The model's pieces never hold a white-space marker after another character, so no piece reaches over the border in
-front of a marker, and each chunk (markers and the word after them) is segmented by itself. Every task keeps a
+front of a marker, and each chunk (markers and the word after them) is segmented by itself. Every worker keeps a
 table of the chunks it has met: a distinct chunk is segmented once, and a text's ids are looked up chunk by chunk and
-joined by position. The table is emptied at a fixed number of chunks or characters, which changes no result.
+joined by position. Texts are taken in groups, so that a group's new chunks are segmented in one call. The table is emptied at a fixed number of chunks or characters, which changes no result.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -17,8 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 MARKER = "▁"
-TABLE_CHUNKS = 200_000
-TABLE_CHARS = 8_000_000
+TABLE_CHUNKS = 400_000
+TABLE_CHARS = 16_000_000
+GROUP_CHARS = 2_000_000
 CHUNK = re.compile(" +[^ ]*")
 TYPE = StructType([StructField("ids", BinaryType()), StructField("decoded", StringType())])
 
@@ -35,25 +38,40 @@ class ChunkTable:
         self.chars = 0
 
     def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.ids and c != " "]
+        """Segment the chunks that are not in the table, all in one call; the table holds all of them afterwards."""
+        new = list(chunks - self.ids.keys())
         if len(self.ids) + len(new) > TABLE_CHUNKS or self.chars > TABLE_CHARS:
             self.ids, self.texts, self.chars = {}, {}, 0
-            new = [c for c in chunks if c != " "]
+            new = list(chunks)
+        if not new:
+            return
         # The library puts one marker in front, hence the chunk without its first blank.
         found = self.model.encode([c[1:] for c in new], num_threads=1)
-        for chunk, ids, text in zip(new, found, self.model.decode(found) if found else []):
-            self.ids[chunk] = b"".join(i.to_bytes(4, "little") for i in ids)
-            self.texts[chunk] = " " + text
+        for chunk, ids, text in zip(new, found, self.model.decode(found)):
+            self.ids[chunk] = array("I", ids).tobytes()
+            text = " " + text
+            self.texts[chunk] = chunk if text == chunk else text
             self.chars += len(chunk)
         # A last blank alone is one marker; the library has no text for it, as it puts a marker in front itself.
-        self.ids[" "], self.texts[" "] = self.model.piece_to_id(MARKER).to_bytes(4, "little"), " "
+        self.ids[" "], self.texts[" "] = array("I", [self.model.piece_to_id(MARKER)]).tobytes(), " "
 
-    def encode(self, text: str, begin: bytes, end: bytes) -> tuple[bytes, str]:
-        if not text:
-            return begin + end, ""
-        chunks = CHUNK.findall(" " + text.replace(MARKER, " "))
-        self.learn(set(chunks))
-        return begin + b"".join(map(self.ids.__getitem__, chunks)) + end, "".join(map(self.texts.__getitem__, chunks))[1:]
+    def encode(self, texts: list[str], begin: bytes, end: bytes) -> list[tuple[bytes, str]]:
+        chunks = [CHUNK.findall(" " + t.replace(MARKER, " ")) if t else [] for t in texts]
+        self.learn(set().union(*chunks))
+        ids, shown = self.ids.__getitem__, self.texts.__getitem__
+        return [(begin + b"".join(map(ids, c)) + end, "".join(map(shown, c))[1:]) for c in chunks]
+
+
+def grouped(texts: list[str]) -> Iterator[list[str]]:
+    """Consecutive texts with about GROUP_CHARS characters together."""
+    group, chars = [], 0
+    for text in texts:
+        group.append(text)
+        chars += len(text)
+        if chars >= GROUP_CHARS:
+            yield group
+            group, chars = [], 0
+    yield group
 
 
 @lru_cache(maxsize=2)
@@ -81,7 +99,9 @@ def encoded(text: Column | str, model_path: str, begin: bool = True, end: bool =
         held = table(model_path)
         first = held.model.bos_id().to_bytes(4, "little") if begin else b""
         last = held.model.eos_id().to_bytes(4, "little") if end else b""
-        made = [held.encode(x.as_py() or "", first, last) for x in column]
+        made = []
+        for group in grouped([x or "" for x in column.to_pylist()]):
+            made.extend(held.encode(group, first, last))
         return pa.StructArray.from_arrays(
             [pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.string())], ["ids", "decoded"]
         )

@@ -69,9 +69,11 @@ def test_a_small_chunk_table_changes_nothing(monkeypatch):
     path = public_tokenizers.path("piece_bpe_32k.model")
     large, small = pieces.ChunkTable(path), pieces.ChunkTable(path)
     texts = ["the cat sat", "on the mat there", "the cat on the mat"] * 3
-    want = [large.encode(t, b"", b"") for t in texts]
+    want = [large.encode([t], b"", b"") for t in texts]
     monkeypatch.setattr(pieces, "TABLE_CHUNKS", 4)
-    assert [small.encode(t, b"", b"") for t in texts] == want
+    assert [small.encode([t], b"", b"") for t in texts] == want
+    monkeypatch.setattr(pieces, "GROUP_CHARS", 20)
+    assert [t for g in pieces.grouped(texts) for t in g] == texts
 
 
 def chats(spark, data):
