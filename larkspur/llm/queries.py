@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat, jaccard, maxscore, pages, pieces, quality, suffix
+from larkspur.llm import chat, jaccard, lines, maxscore, mixing, pages, pieces, quality, sentences, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -146,3 +146,112 @@ def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = suffix.remove_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# --- 3 line dedup
+
+
+@query(
+    "op3_line_dedup",
+    r"""
+WITH line AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents
+), seq AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), two AS (
+  SELECT doc_id, pos, i, line, lead(line) OVER w AS next, lead(i) OVER w AS next_i FROM seq WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), later AS (
+  SELECT doc_id, pos FROM (
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, pos) AS nth FROM two WHERE next IS NOT NULL
+  ) WHERE nth > 1
+), taken AS (
+  SELECT doc_id, pos, i, next_i, lead(pos) OVER w = pos + 1 AS goes_on, lag(pos) OVER w AS before FROM two
+  WHERE (doc_id, pos) IN (SELECT doc_id, pos + k FROM later, (VALUES (0), (1)) AS t(k)) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), gone AS (
+  -- A removed line takes the blank ones between it and a removed line that follows.
+  SELECT l.doc_id, l.i FROM line l JOIN taken t ON t.doc_id = l.doc_id AND l.i >= t.i AND l.i < CASE WHEN t.goes_on THEN t.next_i ELSE t.i + 1 END
+), run AS (
+  SELECT doc_id, count(*) AS n_runs FROM taken WHERE before IS NULL OR pos > before + 1 GROUP BY doc_id
+), whole AS (
+  SELECT l.doc_id, count(s.pos) AS n_lines, count(s.pos) FILTER (g.i IS NOT NULL) AS n_removed,
+    sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '')) AS kept_sha256
+  FROM line l LEFT JOIN seq s ON s.doc_id = l.doc_id AND s.i = l.i LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id
+)
+SELECT doc_id, n_lines, n_removed, coalesce(n_runs, 0) AS n_runs, kept_sha256 FROM whole LEFT JOIN run USING (doc_id)""",
+)
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = lines.judge_lines(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "lines.n_lines", "lines.n_removed", "lines.n_runs", F.sha2("lines.kept", 256).alias("kept_sha256"))
+
+
+# --- 8 substring dedup by sentence spans
+
+
+@query("op8_sentence_dedup")
+def sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = sentences.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_sentences", "n_removed", "n_runs", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# --- 9 mixing sources to target weights
+
+
+def level_sql(name: str, keys: list[str], weight: str, given: str) -> str:
+    """One level of the tree: fill nodes in order of room per weight, and share the rest by weight."""
+    parent = ", ".join(keys[:-1]) or "1"
+    order = ", ".join([f"{k} NULLS FIRST" for k in keys])
+    return f"""
+{name}_node AS (
+  SELECT n.*, {given} AS given FROM (
+    SELECT {", ".join(keys)}, CAST(sum(tokens) * {mixing.MOST_EPOCHS} AS DOUBLE) AS room, CAST({weight} AS DOUBLE) AS weight FROM leaf GROUP BY ALL
+  ) n
+), {name}_level AS (
+  SELECT *, row_number() OVER w AS nth,
+    (given - coalesce(sum(room) OVER (PARTITION BY {parent} ORDER BY room / weight, {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (PARTITION BY {parent} ORDER BY room / weight, {order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM {name}_node WINDOW w AS (PARTITION BY {parent} ORDER BY room / weight, {order})
+), {name}_held AS (
+  SELECT *, min(CASE WHEN level * weight < room THEN nth END) OVER (PARTITION BY {parent}) AS held,
+    arg_min(level, nth) FILTER (level * weight < room) OVER (PARTITION BY {parent}) AS share
+  FROM {name}_level
+), {name} AS (
+  SELECT {", ".join(keys)}, CASE WHEN held IS NULL OR nth < held THEN room ELSE greatest(share, 0) * weight END AS budget FROM {name}_held
+)"""
+
+
+def case_sql(column: str, weights: dict[str, float]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 1 END"
+
+
+def parent_sql(parent: str, keys: list[str]) -> str:
+    return f"(SELECT p.budget FROM {parent} p WHERE " + " AND ".join(f"p.{k} IS NOT DISTINCT FROM n.{k}" for k in keys) + ")"
+
+
+MIX_SQL = f"""
+WITH row AS (
+  SELECT doc_id, CASE WHEN coalesce(source, '') LIKE '%0' THEN 'hub' ELSE 'edge' END AS domain, lang, source,
+    CAST(ceil(length(coalesce(text, '')) / 4) AS BIGINT) AS n_tokens FROM documents
+), leaf AS (
+  SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM row GROUP BY ALL
+), {level_sql("d", ["domain"], case_sql("domain", mixing.DOMAIN_WEIGHTS), f"(SELECT sum(tokens) * CAST({mixing.SHARE} AS DOUBLE) FROM leaf)")},
+{level_sql("l", ["domain", "lang"], case_sql("lang", mixing.LANGUAGE_WEIGHTS), parent_sql("d", ["domain"]))},
+{level_sql("s", ["domain", "lang", "source"], "1", parent_sql("l", ["domain", "lang"]))},
+spent AS (
+  SELECT leaf.*, CAST(floor(s.budget + 1e-6) AS BIGINT) AS budget FROM leaf JOIN s
+    ON s.domain = leaf.domain AND s.lang IS NOT DISTINCT FROM leaf.lang AND s.source IS NOT DISTINCT FROM leaf.source
+), placed AS (
+  SELECT row.*, CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END AS whole, CASE WHEN tokens > 0 THEN budget % tokens ELSE -1 END AS rest
+  FROM row JOIN spent
+    ON spent.domain = row.domain AND spent.lang IS NOT DISTINCT FROM row.lang AND spent.source IS NOT DISTINCT FROM row.source
+), summed AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source
+    ORDER BY substr(md5('{mixing.SEED}:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8), doc_id ROWS UNBOUNDED PRECEDING) AS upto
+  FROM placed
+)
+SELECT doc_id, domain, lang, source, n_tokens, CAST(whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS n_copies FROM summed"""
+
+
+@query("op9_mix", MIX_SQL)
+def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("tie")

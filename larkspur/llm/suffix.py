@@ -216,11 +216,23 @@ STRETCHES = {k: pa.int32() if k == "shard" else pa.binary() for k in ("shard", "
 STRETCHES_DDL = "shard int, docs binary, ties binary, at binary, print binary, first binary, known binary"
 
 
-def stretch_rows(shards: int):
-    """For mapInArrow over (doc, tie, text, firsts, lasts): each open stretch, one row per shard.
+def dealt_stretches(prints: np.ndarray, at: np.ndarray, first: np.ndarray, docs: tuple, shards: int) -> pa.RecordBatch:
+    """One row per shard with the stretches of a batch, given by fingerprint, document and place.
 
-    Of equal stretches in a batch only the earliest is compared further; the others are known to repeat it.
+    Of equal stretches only the earliest is compared further; the others are known to repeat it.
     """
+    order = np.lexsort((first, ordered_docs(*docs)[0][at], prints))
+    prints, at, first = prints[order], at[order], first[order]
+    known = np.zeros(len(prints), np.uint8)
+    known[1:] = prints[1:] == prints[:-1]
+    # Known ones need no comparison, so any shard may carry them.
+    shard = ((prints >> A.U64(40)) * A.U64(shards) >> A.U64(24)).astype(np.int64)
+    shard = np.where(known == 1, np.arange(len(prints)) % shards, shard)
+    return dealt(STRETCHES, shard, shards, at, docs, {"print": prints, "first": first.astype(np.uint32), "known": known})
+
+
+def stretch_rows(shards: int):
+    """For mapInArrow over (doc, tie, text, firsts, lasts): each open stretch, one row per shard."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -241,14 +253,7 @@ def stretch_rows(shards: int):
                     found.append((A.Fingerprints(data).of(place, place + SIZE), at, first))
                 if not found or not sum(len(f[0]) for f in found):
                     continue
-                prints, at, first = (np.concatenate(c) for c in zip(*found))
-                order = np.lexsort((first, ordered_docs(*docs)[0][at], prints))
-                prints, at, first = prints[order], at[order], first[order]
-                known = np.zeros(len(prints), np.uint8)
-                known[1:] = prints[1:] == prints[:-1]
-                # Known ones need no comparison, so any shard may carry them.
-                shard = np.where(known == 1, np.arange(len(prints)) % shards, ((prints >> A.U64(40)) * A.U64(shards) >> A.U64(24)).astype(np.int64))
-                yield dealt(STRETCHES, shard, shards, at, docs, {"print": prints, "first": first.astype(np.uint32), "known": known})
+                yield dealt_stretches(*(np.concatenate(c) for c in zip(*found)), docs, shards)
 
     return rows
 
