@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as tx
 
-# Most companies in the registry, and the sizes of search results.
+# Most companies in the registry, and in a search result.
 REGISTRY_MAX = 500
-SEARCH_LIMIT, HUB_LIMIT = 20, 12
+SEARCH_LIMIT = 20
 # Name patterns and the industry they stand for, tried in this order.
 INDUSTRY_PATTERNS = (
     ("bank|financial|capital|credit|visa|mastercard|amex|express", "Financial Services"),
@@ -33,7 +33,7 @@ def infer_industry(name: Column) -> Column:
 
 
 def first_companies(df: DataFrame, most: int = REGISTRY_MAX) -> DataFrame:
-    """The registry holds the first rows only; this is what bounds every broadcast of it."""
+    """The first rows of a registry, in input order."""
     return df.orderBy("ordinal").limit(most)
 
 
@@ -94,19 +94,18 @@ def search_companies(registry: DataFrame, query: str, limit: int = SEARCH_LIMIT)
 def with_company_domain(listings: DataFrame, registry: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """Domain of a listing: host of its link, else registry by name, else override, else a guess.
 
-    The registry is capped at REGISTRY_MAX rows, so it is safe to broadcast however common a company is.
+    A registry of any size is looked up whole. Spark chooses the join by its size and splits a very common company.
     """
     wanted = F.lower(tx.clean(F.col("company")))
     first = Window.partitionBy("_name").orderBy("ordinal")
     known = (
-        first_companies(registry)
-        .withColumn("_name", F.lower(tx.clean(F.col("name"))))
+        registry.withColumn("_name", F.lower(tx.clean(F.col("name"))))
         .where("_name <> ''")
         .withColumn("_rank", F.row_number().over(first))
         .where("_rank = 1")
         .select("_name", F.col("domain").alias("_registered"))
     )
-    out = listings.withColumn("_name", wanted).join(F.broadcast(known), "_name", "left")
+    out = listings.withColumn("_name", wanted).join(known, "_name", "left")
     if overrides is None:
         out = out.withColumn("_override", F.lit(None).cast("string"))
     else:
@@ -126,9 +125,8 @@ def with_post_company(posts: DataFrame, registry: DataFrame) -> DataFrame:
     known = company_by_slug(registry).select(
         F.col("slug").alias("company_slug"), F.col("name").alias("_name"), F.col("industry").alias("_industry")
     )
-    # The registry is capped at REGISTRY_MAX rows.
     return (
-        posts.join(F.broadcast(known), "company_slug", "left")
+        posts.join(known, "company_slug", "left")
         .withColumn("company_name", F.coalesce("_name", F.replace(F.col("company_slug"), F.lit("-"), F.lit(" "))))
         .withColumn("company_industry", F.coalesce("_industry", F.lit("Company")))
         .drop("_name", "_industry")

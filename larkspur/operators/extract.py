@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as tx
+from larkspur.operators.companies import company_by_slug
 
 # Contact patterns, the lines searched for a name, and lengths.
 EMAIL = r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"
@@ -157,12 +158,12 @@ def extract_job_postings(df: DataFrame, key: str = "page_id") -> DataFrame:
     return df.select(key, "url", "html").mapInPandas(parse, f"{key} {key_type}, {fields}")
 
 
-def outcome_records(answers: DataFrame, registry: DataFrame) -> DataFrame:
-    """Newest outcome records with company fields; the company must be in the registry and the outcome known.
+def outcome_records(answers: DataFrame, registry: DataFrame, most: int | None = OUTCOMES_MAX) -> DataFrame:
+    """Newest outcome records with company fields; the company must be in the registry.
 
-    The registry is capped, so it can be broadcast.
+    A record with an unknown outcome is kept and marked in ``known_outcome``. Of companies with one slug the last counts.
     """
-    firm = registry.select(
+    firm = company_by_slug(registry).select(
         "slug", F.col("rank").alias("company_rank"), F.col("name").alias("company_name"),
         F.col("domain").alias("company_domain"),
     )
@@ -170,17 +171,17 @@ def outcome_records(answers: DataFrame, registry: DataFrame) -> DataFrame:
     def said(name: str) -> Column:
         return tx.trim(tx.blank_if_null(F.col(name))).alias(name)
 
-    return (
-        answers.where(F.col("outcome").isin(*OUTCOMES))
-        .join(F.broadcast(firm), answers["company_slug"] == firm["slug"])
+    found = (
+        answers.join(firm, answers["company_slug"] == firm["slug"])
         .orderBy(F.col("saved_at").desc(), F.col("id").desc())
-        .limit(OUTCOMES_MAX)
         .select(
             "id", "saved_at", "company_rank", "company_name", "company_domain", said("full_name"), said("email"),
-            said("phone"), "outcome", "date_applied", said("notes"),
+            said("phone"), "outcome", F.coalesce(F.col("outcome").isin(*OUTCOMES), F.lit(False)).alias("known_outcome"),
+            "date_applied", said("notes"),
             F.substring(tx.trim(tx.blank_if_null(F.col("resume"))), 1, EXCERPT_MAX).alias("resume_excerpt"),
         )
     )
+    return found if most is None else found.limit(most)
 
 
 def allowed_pages(pages: DataFrame, rules: DataFrame, key: str = "page_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import forum as fo
@@ -210,9 +210,22 @@ def quarantined(checked: DataFrame) -> DataFrame:
 
 def sort_posts(posts: DataFrame, mode: str = "hot") -> DataFrame:
     """Order by new, top or hot; ties by id."""
-    ranked = posts.withColumn("hot_score", fo.hot_score(F.col("score"), F.col("comment_count"), F.col("created_ms")))
+    return _scored(posts).orderBy(*_post_order(mode))
+
+
+def rank_posts(posts: DataFrame, mode: str = "hot") -> DataFrame:
+    """The same order as ``place`` within each company."""
+    place = F.row_number().over(Window.partitionBy("company_slug").orderBy(*_post_order(mode))).cast("long")
+    return _scored(posts).withColumn("place", place)
+
+
+def _scored(posts: DataFrame) -> DataFrame:
+    return posts.withColumn("hot_score", fo.hot_score(F.col("score"), F.col("comment_count"), F.col("created_ms")))
+
+
+def _post_order(mode: str) -> list[Column]:
     keys = {"new": ["created_ms"], "top": ["score", "created_ms"]}.get(mode, ["hot_score"])
-    return ranked.orderBy(*[F.col(k).desc() for k in keys], "id")
+    return [*[F.col(k).desc() for k in keys], F.col("id").asc()]
 
 
 def company_page(

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as tx
-from larkspur.operators.numbering import with_position
+from larkspur.operators.numbering import positions, window_at, with_position
+from larkspur.session import stored
 
 # Each listing column with the input names it may come from, first filled one wins.
 ALIASES = {
@@ -33,18 +34,14 @@ ALIASES = {
     "country_code": ("country_code",),
     "ingest_utc_date": ("ingest_utc_date",),
 }
-# Sizes of pages, rails and option lists; the keyword chips.
+# Sizes of pages, rails and option lists.
 PAGE_SIZE, PAGE_MAX = 500, 2500
 LISTINGS_MAX = 4000
 RAIL_SIZE, SAVED_SIZE = 18, 80
 CITIES = ("Los Angeles", "New York", "Bay Area", "Chicago", "Austin")
 EVERYWHERE = "United States"
-CHIPS = ("Remote", "Hybrid", "Healthcare", "Software", "Finance", "Entry Level")
 INDUSTRY_OPTIONS, SENIORITY_OPTIONS = 35, 20
 
-# Rows up to which a window of listings is taken by sorting.
-SHALLOW_ROWS = 50_000
-
 
 def map_aliases(df: DataFrame, spec: dict[str, tuple[str, ...]] = ALIASES) -> DataFrame:
     """Bring input columns to the fixed listing columns; absent ones become ''. ``ordinal`` is kept."""
@@ -113,20 +110,10 @@ def clamp_size(value: float | None, default: int = PAGE_SIZE, most: int = PAGE_M
     return min(most, max(1, int(value or default)))
 
 
-def slice_window(
-    df: DataFrame, country: str | None, offset: int | None = 0, limit: int | None = None, shallow: int = SHALLOW_ROWS
-) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` of the country in input order.
-
-    Near the start Spark keeps the first rows of each task. A deep window would drag all rows before it
-    into one task, so there the rows are numbered instead and filtered by position.
-    """
+def slice_window(df: DataFrame, country: str | None, offset: int | None = 0, limit: int | None = None) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` of the country, sorted in input order."""
     start, size = max(0, int(offset or 0)), clamp_size(limit)
-    rows = filter_country(df, country)
-    if start + size <= shallow:
-        return rows.orderBy("ordinal").offset(start).limit(size)
-    position = F.col("_position")
-    return with_position(rows, "ordinal", "_position").where(position.between(start, start + size - 1)).drop("_position")
+    return window_at(filter_country(df, country), "ordinal", start, size)
 
 
 def window_totals(df: DataFrame, country: str | None) -> DataFrame:
@@ -158,14 +145,41 @@ def pagination(
     )
 
 
+def named() -> Column:
+    """Whether a mapped listing has a title and a company."""
+    return (F.col("job_title") != "") & (F.col("company_name") != "")
+
+
+def survivors(mapped: DataFrame) -> DataFrame:
+    """(ordinal, _position) of the listings left after de-duplication that have a title and a company.
+
+    Worked out on narrow rows and stored, so that the wide rows are read once, in the plan that needs them.
+    """
+    narrow = mapped.select("ordinal", listing_key().alias("_of"), named().alias("_named"))
+    left = first_per_key(narrow, F.col("_of")).where("_named").select("ordinal")
+    return stored(positions(left, "ordinal", "_position"), "survivors")
+
+
+def normalize_snapshot(mapped: DataFrame) -> DataFrame:
+    """De-duplicated, numbered and normalised listings of a mapped snapshot.
+
+    The wide rows meet the survivors by ordinal, so conditions on listing columns reach below the join, and only rows that
+    are returned are shuffled.
+    """
+    return _typed(mapped.join(survivors(mapped), "ordinal"), True)
+
+
 def normalize_listings(df: DataFrame, with_id: bool = True) -> DataFrame:
     """Typed, cleaned listings. A blank id becomes 'job-' and the row's position among the kept rows.
 
     Without ``with_id`` there is no id column and no shuffle for the positions.
     """
-    kept = df.where((F.col("job_title") != "") & (F.col("company_name") != ""))
+    kept = df.where(named())
+    return _typed(with_position(kept, "ordinal", "_position") if with_id else kept, with_id)
+
+
+def _typed(rows: DataFrame, with_id: bool) -> DataFrame:
     made = F.concat(F.lit("job-"), F.col("_position").cast("string")) if with_id else None
-    rows = with_position(kept, "ordinal", "_position") if with_id else kept
     typed = rows.select(
         "ordinal",
         *([tx.first_filled(F.col("id"), made).alias("id")] if with_id else []),

@@ -10,37 +10,74 @@ executor changes nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.session import stored
+
 BITS = 14
 LEVELS = 3
 
 
 def _starts(counts: DataFrame, bits: int, levels: int) -> DataFrame:
-    """Running start (_at_block, _start) of blocks given as (_at_block, _rows)."""
+    """Running start (_at_block, _rows, _start) of blocks given as (_at_block, _rows)."""
     before = Window.orderBy("_at_block").rowsBetween(Window.unboundedPreceding, -1)
     if levels == 1:
-        return counts.select("_at_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+        return counts.select("_at_block", "_rows", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
     above = counts.withColumn("_above", F.shiftright("_at_block", bits))
     inside = Window.partitionBy("_above").orderBy("_at_block").rowsBetween(Window.unboundedPreceding, -1)
     upper = _starts(above.groupBy(F.col("_above").alias("_at_block")).agg(F.sum("_rows").alias("_rows")), bits, levels - 1)
     return (
-        above.select("_at_block", "_above", F.coalesce(F.sum("_rows").over(inside), F.lit(0)).alias("_inside"))
+        above.select("_at_block", "_rows", "_above", F.coalesce(F.sum("_rows").over(inside), F.lit(0)).alias("_inside"))
         .join(upper.select(F.col("_at_block").alias("_above"), F.col("_start").alias("_above_start")), "_above")
-        .select("_at_block", (F.col("_above_start") + F.col("_inside")).alias("_start"))
+        .select("_at_block", "_rows", (F.col("_above_start") + F.col("_inside")).alias("_start"))
     )
 
 
-def with_position(df: DataFrame, order_col: str, name: str = "position", bits: int = BITS) -> DataFrame:
-    """Add the 0-based position of each row in the order of ``order_col`` (unique integers)."""
-    block = F.shiftright(F.col(order_col).cast("long"), bits)
-    counts = df.groupBy(block.alias("_at_block")).agg(F.count("*").alias("_rows"))
+def _numbered(rows: DataFrame, order_col: str, starts: DataFrame, name: str, bits: int) -> DataFrame:
+    """Rows of the blocks in ``starts`` with their position."""
     in_block = Window.partitionBy("_at_block").orderBy(order_col)
     return (
-        df.withColumn("_at_block", block)
+        rows.withColumn("_at_block", _block(order_col, bits))
         .withColumn("_at", F.row_number().over(in_block).cast("long") - 1)
-        .join(_starts(counts, bits, LEVELS), "_at_block")
+        .join(starts, "_at_block")
         .withColumn(name, F.col("_start") + F.col("_at"))
-        .drop("_at_block", "_at", "_start")
+        .drop("_at_block", "_at", "_start", "_rows")
+    )
+
+
+def _block(order_col: str, bits: int) -> Column:
+    return F.shiftright(F.col(order_col).cast("long"), bits)
+
+
+def _counts(rows: DataFrame, order_col: str, bits: int) -> DataFrame:
+    return rows.groupBy(_block(order_col, bits).alias("_at_block")).agg(F.count("*").alias("_rows"))
+
+
+def positions(df: DataFrame, order_col: str, name: str = "position", bits: int = BITS) -> DataFrame:
+    """(order_col, position) of each row. The order column is stored once, so that ``df`` runs once."""
+    order = stored(df.select(order_col), "order")
+    return _numbered(order, order_col, _starts(_counts(order, order_col, bits), bits, LEVELS), name, bits)
+
+
+def with_position(df: DataFrame, order_col: str, name: str = "position", bits: int = BITS) -> DataFrame:
+    """Add the 0-based position of each row in the order of ``order_col`` (unique integers).
+
+    ``df`` runs twice: once for its order column alone, and once in the plan that is returned.
+    """
+    return df.join(positions(df, order_col, name, bits), order_col).select(*df.columns, name)
+
+
+def window_at(df: DataFrame, order_col: str, start: int, size: int, bits: int = BITS) -> DataFrame:
+    """Rows ``start`` to ``start + size`` in the order of ``order_col`` (unique integers), sorted.
+
+    Blocks are counted from the order column alone. Only rows of blocks that reach into the window are numbered, so the
+    plan is the same, and its shuffle as small, at any depth.
+    """
+    starts = _starts(_counts(df, order_col, bits), bits, LEVELS)
+    reach = starts.where((F.col("_start") < start + size) & (F.col("_start") + F.col("_rows") > start))
+    inside = df.withColumn("_wanted", _block(order_col, bits)).join(
+        reach.select(F.col("_at_block").alias("_wanted")), "_wanted", "left_semi"
     )
+    numbered = _numbered(inside.drop("_wanted"), order_col, reach, "_position", bits)
+    return numbered.where(F.col("_position").between(start, start + size - 1)).orderBy(order_col).select(*df.columns)

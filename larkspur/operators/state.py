@@ -9,10 +9,11 @@ KINDS = {"save": "saved", "applied": "applied", "hide": "hidden"}
 
 
 def job_state(events: DataFrame) -> DataFrame:
-    """Live state from toggle events: saved and applied need an odd number of toggles, hidden any."""
+    """Live state from toggle events: saved and applied need an odd number of toggles, hidden any. Other actions do nothing."""
     kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[F.col("action")]
     return (
-        events.groupBy("user_uid", "job_id", kind.alias("kind"))
+        events.where(F.col("action").isin(*KINDS))
+        .groupBy("user_uid", "job_id", kind.alias("kind"))
         .agg(F.count("*").alias("_n"), F.max("ts").alias("ts"))
         .where((F.col("kind") == "hidden") | (F.col("_n") % 2 == 1))
         .drop("_n")

@@ -26,8 +26,8 @@ def latest_per_group(df: DataFrame, key: str, most: int, order: str = "created_m
 def loaded_comments(posts: DataFrame, comments: DataFrame) -> DataFrame:
     """Active comments of the newest active posts of each company, oldest first.
 
-    Posts are looked up ten at a time, and the comment limit of a company is shared among its look-ups.
-    No post can fill more than COMMENTS_MAX places, so each post is cut to that before the join.
+    Posts are looked up ten at a time, and the comment limit of a company is shared among its look-ups. Comments of other
+    posts leave before anything is ranked, and no post is ranked beyond its look-up's share.
     """
     shown = latest_per_group(active(posts), "company_slug", POSTS_MAX)
     lookups = shown.groupBy("company_slug").agg(F.ceil(F.count("*") / POSTS_PER_LOOKUP).alias("_lookups"))
@@ -39,12 +39,13 @@ def loaded_comments(posts: DataFrame, comments: DataFrame) -> DataFrame:
     )
     oldest = Window.partitionBy("post_id").orderBy("created_ms", "id")
     in_lookup = Window.partitionBy("_company", "_lookup").orderBy("created_ms", "id")
-    first = active(comments).withColumn("_at", F.row_number().over(oldest)).where(F.col("_at") <= COMMENTS_MAX)
+    # The share is constant within a post, so the limit per post holds the look-up's first rows.
+    found = active(comments).join(wanted, "post_id").withColumn("_in_post", F.row_number().over(oldest))
     return (
-        first.join(wanted, "post_id")
+        found.where(F.col("_in_post") <= F.col("_share"))
         .withColumn("_at", F.row_number().over(in_lookup))
         .where(F.col("_at") <= F.col("_share"))
-        .drop("_at", "_company", "_lookup", "_share")
+        .drop("_in_post", "_at", "_company", "_lookup", "_share")
     )
 
 
@@ -60,18 +61,20 @@ def attach_parents(comments: DataFrame) -> DataFrame:
     return kept.unionByName(comments.where(F.col("parent_id").isNull()))
 
 
-def thread_paths(comments: DataFrame) -> DataFrame:
+def thread_paths(comments: DataFrame, posts: DataFrame | None = None) -> DataFrame:
     """Place of every comment in its tree: (id, post_id, root_post_id, depth, path, in_cycle).
 
     ``path`` holds (created_ms, id) from the top comment down, so ordering by root_post_id and path gives
     the display order. Each round doubles the distance a row has looked up its ancestors, so a tree of
     depth d takes about log2(d) rounds. A path that meets a comment twice is a cycle; such comments are
-    flagged and never reached from a post.
+    flagged and never reached from a post. Only active comments take part, of ``posts`` if given; replies of a comment
+    that does not are top level.
     """
     enable_checkpoints(comments.sparkSession)
     step = F.struct(F.col("created_ms").alias("created_ms"), F.col("id").alias("id"))
+    shown = active(comments) if posts is None else active(comments).join(posts.select(F.col("id").alias("post_id")), "post_id", "left_semi")
     nodes = (
-        attach_parents(comments.select("id", "post_id", "parent_id", "created_ms"))
+        attach_parents(shown.select("id", "post_id", "parent_id", "created_ms"))
         .select(
             "id", "post_id", F.col("parent_id").alias("_next"), F.array(step).alias("path"),
             F.col("post_id").alias("root_post_id"), (F.col("parent_id") == F.col("id")).alias("_loop"),
@@ -100,9 +103,9 @@ def thread_paths(comments: DataFrame) -> DataFrame:
     return nodes.select("id", "post_id", "root_post_id", (F.size("path") - 1).alias("depth"), "path", "in_cycle")
 
 
-def thread_tree(comments: DataFrame) -> DataFrame:
-    """Reachable comments in display order."""
-    return thread_paths(comments).where(~F.col("in_cycle")).drop("in_cycle").orderBy("root_post_id", "path")
+def thread_tree(comments: DataFrame, posts: DataFrame | None = None) -> DataFrame:
+    """Reachable active comments in display order."""
+    return thread_paths(comments, posts).where(~F.col("in_cycle")).drop("in_cycle").orderBy("root_post_id", "path")
 
 
 def comment_counts(posts: DataFrame, comments: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import requests as rq
 from larkspur.functions import text as tx
+from larkspur.functions.times import utc_day, utc_timestamp
 
 # Fixed value: days kept in the daily counters, the current one included.
 RETENTION_DAYS = 30
@@ -53,7 +54,7 @@ def enrich_requests(df: DataFrame) -> DataFrame:
     return texts.select(
         "request_id",
         "ts",
-        F.to_date("ts").alias("day"),
+        utc_day(utc_timestamp(df, "ts")).alias("day"),
         device.alias("device"),
         rq.detect_crawler(agent).alias("bot"),
         rq.client_ip(F.col("ip_address")).alias("ip_address"),

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 VOTE_KEYS = ["user_uid", "target_type", "target_id"]
-# Fixed value: most votes of one member that are shown with a page.
-VOTES_MAX = 1000
 
 
 def creation_votes(rows: DataFrame, target_type: str) -> DataFrame:
@@ -90,14 +88,14 @@ def shown_stats(stored: DataFrame, live: DataFrame) -> DataFrame:
     return both.select("uid", *[v.alias(c) for c, v in larger.items()], F.coalesce("karma", F.lit(0)).alias("karma"))
 
 
-def with_my_vote(rows: DataFrame, state: DataFrame, user_uid: str, target_type: str) -> DataFrame:
-    """Add one member's vote on each row, 0 without one. At most VOTES_MAX votes are looked at and sent out."""
-    mine = (
-        state.where((F.col("user_uid") == user_uid) & (F.col("value") != 0))
-        .orderBy("target_type", "target_id")
-        .limit(VOTES_MAX)
-        .where(F.col("target_type") == target_type)
-        .select(F.col("target_id").alias("id"), F.col("value").alias("my_vote"))
-    )
-    joined = rows.join(F.broadcast(mine), "id", "left")
+def with_my_vote(
+    rows: DataFrame, state: DataFrame, user_uid: str, target_type: str, most: int | None = None
+) -> DataFrame:
+    """Add one member's vote on each row, 0 without one. ``most`` bounds the votes on these targets, by target."""
+    mine = state.where(
+        (F.col("user_uid") == user_uid) & (F.col("target_type") == target_type) & (F.col("value") != 0)
+    ).select(F.col("target_id").alias("id"), F.col("value").alias("my_vote"))
+    if most is not None:
+        mine = mine.orderBy("id").limit(most)
+    joined = rows.join(mine, "id", "left")
     return joined.withColumn("my_vote", F.coalesce("my_vote", F.lit(0)))

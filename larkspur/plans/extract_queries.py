@@ -143,14 +143,27 @@ def job_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.extract_job_postings(view(spark, sf_dir, "job_pages_html"))
 
 
-_BACK = "SELECT CAST(page_id AS VARCHAR) AS page_id, url, title, coalesce(company, '') AS company, coalesce(location, '') AS location, coalesce(date_posted, '') AS date_posted, coalesce(employment_type, '') AS employment_type FROM postings"
+_BACK = "SELECT CAST(page_id AS VARCHAR) AS page_id, url, title, coalesce(company, '') AS company, coalesce(location, '') AS location, coalesce(date_posted, '') AS date_posted, coalesce(employment_type, '') AS employment_type, coalesce(description, '') AS description FROM postings"
 
 
 @query("s10_job_table_csv", q.with_ctes(["job_pages_html"], _BACK, _POSTINGS))
 def job_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = run_dir(spark, "jobs")
     write_jobs_csv(job_postings(spark, sf_dir), path)
-    return read_jobs_csv(spark, path).drop("description")
+    return read_jobs_csv(spark, path)
+
+
+@query(
+    "s11_job_table_head",
+    q.with_ctes(["listings_raw"], "SELECT CAST(ordinal AS VARCHAR) AS ordinal, id, trim(url) AS url FROM listings_raw ORDER BY listings_raw.ordinal LIMIT 700"),
+)
+def job_table_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of a table in several files of unequal size."""
+    path = run_dir(spark, "head")
+    part = F.floor(F.log2(F.col("ordinal") / 50.0 + 1)).cast("int")
+    rows = view(spark, sf_dir, "listings_raw").select("ordinal", "id", "url")
+    write_jobs_csv(rows.repartitionByRange(6, part, "ordinal").sortWithinPartitions("ordinal"), path)
+    return read_jobs_csv(spark, path, most=700)
 
 
 @query(
@@ -179,10 +192,10 @@ _ANSWER_OUTCOME = "(['applied', 'oa', 'phone', 'interview', 'final', 'offer', 'r
     q.with_ctes(
         ["resumes", *_FIRMS],
         f"""SELECT a.doc_id AS id, a.doc_id * 10 AS saved_at, r.rank AS company_rank, r.name AS company_name, r.domain AS company_domain,
-        concat('Ann ', CAST(a.doc_id AS VARCHAR)) AS full_name, '' AS email, '' AS phone, a.outcome, '2026-05-01' AS date_applied, 'ok' AS notes,
+        concat('Ann ', CAST(a.doc_id AS VARCHAR)) AS full_name, '' AS email, '' AS phone, a.outcome, a.outcome <> 'unsure' AS known_outcome, '2026-05-01' AS date_applied, 'ok' AS notes,
         substr({q.trim('a.text')}, 1, 1200) AS resume_excerpt
         FROM (SELECT *, {_ANSWER_OUTCOME} AS outcome, concat('customer-', lpad(CAST(doc_id % 700 AS VARCHAR), 9, '0')) AS company_slug FROM resumes) a
-        JOIN registry r ON r.slug = a.company_slug WHERE a.outcome <> 'unsure' ORDER BY a.doc_id DESC LIMIT 200""",
+        JOIN registry r ON r.slug = a.company_slug ORDER BY a.doc_id DESC LIMIT 200""",
         _REGISTRY,
     ),
 )

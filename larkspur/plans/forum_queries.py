@@ -348,14 +348,16 @@ def larger_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     "j6_my_votes",
     q.with_ctes(
         ["posts", "vote_events"],
-        """SELECT p.id, p.company_slug, coalesce(v.value, 0) AS my_vote FROM posts p LEFT JOIN vote_state v
-        ON v.target_id = p.id AND v.target_type = 'post' AND v.user_uid = 'u7'""",
-        _EVENTS_ONLY, _ISLANDS,
+        """SELECT p.id, p.company_slug, coalesce(v.delta, 0) AS my_vote FROM posts p LEFT JOIN vote_events v ON v.seq = p.id AND v.seq % 3 = 0""",
     ),
 )
 def my_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # All votes as one member's, on a target each, two of three on comments: far more than any page shows.
+    cast = votes(spark, sf_dir).withColumns(
+        {"user_uid": F.lit("u7"), "target_id": F.col("seq"), "target_type": F.when(F.col("seq") % 3 == 0, "post").otherwise("comment")}
+    )
     rows = posts(spark, sf_dir).select("id", "company_slug")
-    return vo.with_my_vote(rows, vo.vote_state(votes(spark, sf_dir)), "u7", "post")
+    return vo.with_my_vote(rows, vo.vote_state(cast), "u7", "post")
 
 
 _REGISTRY = f"""registry AS (SELECT ordinal, CASE WHEN rank = 0 THEN place ELSE rank END AS rank, name,
@@ -422,16 +424,17 @@ def post_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(spark, sf_dir)
 
 
-def _order_query(mode: str) -> None:
-    sql = "SELECT *, score + comment_count * 2 + created_ms / 1e13 AS hot_score FROM counted"
+def _order_query(mode: str, order: str) -> None:
+    scored = "SELECT *, score + comment_count * 2 + created_ms / 1e13 AS hot_score FROM counted"
+    sql = f"SELECT *, row_number() OVER (PARTITION BY company_slug ORDER BY {order}, id) AS place FROM ({scored})"
 
     @query(f"o2_posts_{mode}", q.with_ctes(["posts", "comments"], sql, _COUNTED))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fm.sort_posts(counted(spark, sf_dir), mode)
+        return fm.rank_posts(counted(spark, sf_dir), mode)
 
 
-for _mode in ("hot", "new", "top"):
-    _order_query(_mode)
+for _mode, _order in (("hot", "hot_score DESC"), ("new", "created_ms DESC"), ("top", "score DESC, created_ms DESC")):
+    _order_query(_mode, _order)
 
 
 @query(
@@ -446,6 +449,8 @@ def latest_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return th.latest_per_group(th.active(posts(spark, sf_dir)), "company_slug", th.POSTS_MAX).select("id", "company_slug", "place")
 
 
+_SHOWN = """linked AS (SELECT c.id, c.post_id, p.id AS parent_id, c.created_ms FROM (SELECT * FROM comments WHERE status = 'active') c
+  LEFT JOIN (SELECT * FROM comments WHERE status = 'active') p ON c.parent_id = p.id)"""
 _TREE = """tree AS (SELECT id, post_id, post_id AS root_post_id, 0 AS depth, concat(CAST(created_ms AS VARCHAR), ':', CAST(id AS VARCHAR)) AS path
   FROM linked WHERE parent_id IS NULL
   UNION ALL SELECT l.id, l.post_id, t.root_post_id, t.depth + 1, concat(t.path, '/', CAST(l.created_ms AS VARCHAR), ':', CAST(l.id AS VARCHAR))
@@ -454,7 +459,7 @@ _TREE = """tree AS (SELECT id, post_id, post_id AS root_post_id, 0 AS depth, con
 
 @query(
     "t1_thread_tree",
-    q.with_ctes(["comments"], "SELECT id, post_id, root_post_id, depth, path FROM tree", _LINKED, _TREE).replace("WITH ", "WITH RECURSIVE ", 1),
+    q.with_ctes(["comments"], "SELECT id, post_id, root_post_id, depth, path FROM tree", _SHOWN, _TREE).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = F.transform("path", lambda s: F.concat_ws(":", s["created_ms"].cast("string"), s["id"].cast("string")))
@@ -466,7 +471,7 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     q.with_ctes(
         ["posts", "comments"],
         "SELECT p.id, greatest(p.comment_count, coalesce(t.n, 0)) AS comment_count FROM posts p LEFT JOIN (SELECT root_post_id, count(*) AS n FROM tree GROUP BY root_post_id) t ON t.root_post_id = p.id",
-        _LINKED, _TREE,
+        _SHOWN, _TREE,
     ).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def counts_from_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@ from larkspur.operators.state import job_state, jobs_of
 from larkspur.plans import sqltext as q
 from larkspur.plans.catalog import query
 from larkspur.plans.views import view
-from larkspur.session import run_dir
-from larkspur.sources.listings import first_available, payload_listings, read_listings_csv, read_payloads
+from larkspur.session import run_dir, stored
+from larkspur.sources.listings import first_available, land_listings_csv, payload_listings, read_listings_json, read_payloads
 from larkspur.sources.shards import build_shards, read_page, shard_keys, shard_pagination
 
 RAW_COLUMNS = ", ".join(ls.ALIASES)
@@ -26,7 +26,8 @@ def mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listings(spark: SparkSession, sf_dir: str, with_id: bool = True) -> DataFrame:
-    return ls.normalize_listings(ls.dedupe_listings(mapped(spark, sf_dir)), with_id)
+    rows = mapped(spark, sf_dir)
+    return ls.normalize_snapshot(rows) if with_id else ls.normalize_listings(ls.dedupe_listings(rows), False)
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -77,11 +78,22 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TRIMMED = ", ".join(f"{q.trim(c)} AS {c}" for c in ls.ALIASES)
 
 
-@query("s1_csv_snapshot_scan", q.with_ctes(["listings_raw"], f"SELECT {_TRIMMED} FROM listings_raw"))
+def in_files(df: DataFrame, path: str, **options) -> str:
+    """Write rows in order of ``ordinal`` to files of unequal size, later ones larger."""
+    part = F.least(F.lit(5), F.floor(F.log2(F.col("ordinal") / 100.0 + 1)).cast("int"))
+    ordered = df.repartitionByRange(6, part, "ordinal").sortWithinPartitions("ordinal")
+    ordered.drop("ordinal").write.csv(path, header=True, quote='"', escape='"', emptyValue="", **options)
+    return path
+
+
+_PLACED = "placed AS (SELECT *, row_number() OVER (ORDER BY ordinal) AS place FROM listings_raw)"
+
+
+@query("s1_csv_snapshot_scan", q.with_ctes(["listings_raw"], f"SELECT {_TRIMMED}, place FROM placed", _PLACED))
 def csv_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = run_dir(spark, "csv")
-    raw(spark, sf_dir).drop("ordinal").write.csv(path, header=True, quote='"', escape='"', emptyValue="")
-    return read_listings_csv(spark, path).drop("ordinal")
+    path = in_files(raw(spark, sf_dir), run_dir(spark, "csv"))
+    landed = land_listings_csv(spark, path, run_dir(spark, "landed"))
+    return with_position(landed, "ordinal", "place").drop("ordinal").withColumn("place", F.col("place") + 1)
 
 
 @query(
@@ -108,6 +120,18 @@ def json_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ls.map_aliases(payload_listings(found.withColumn("ordinal", ordinal).drop("place")))
 
 
+@query("s2_json_to_listings", q.over_listings("SELECT ordinal, id, title, company FROM numbered", "numbered AS (SELECT * REPLACE (row_number() OVER (ORDER BY ordinal) AS ordinal) FROM listings)"))
+def json_to_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payload files of unequal size, from the scan to normalised listings."""
+    path = run_dir(spark, "payloads")
+    rows = raw(spark, sf_dir).withColumn("page", F.floor(F.col("ordinal") / 500).cast("long"))
+    packed = rows.groupBy("page").agg(F.to_json(F.sort_array(F.collect_list(F.struct("ordinal", *ls.ALIASES)))).alias("value"))
+    part = F.floor(F.log2(F.col("page") + 1)).cast("int")
+    packed.repartitionByRange(6, part, "page").sortWithinPartitions("page").select("value").write.text(path)
+    made = ls.normalize_snapshot(stored(ls.map_aliases(read_listings_json(spark, path)), "mapped"))
+    return with_position(made, "ordinal", "place").select((F.col("place") + 1).alias("ordinal"), "id", "title", "company")
+
+
 @query("s3_map_aliases", q.with_ctes(["listings_raw"], "SELECT * FROM mapped", q.MAPPED))
 def alias_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     renamed = raw(spark, sf_dir).withColumnsRenamed(
@@ -144,14 +168,15 @@ def union_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "s5_first_available",
-    q.with_ctes(["listings_raw"], f"SELECT {RAW_COLUMNS} FROM deduped ORDER BY ordinal LIMIT 4000", q.MAPPED, q.DEDUPED),
+    q.with_ctes(["listings_raw"], f"SELECT ordinal, {RAW_COLUMNS} FROM deduped ORDER BY ordinal LIMIT 4000", q.MAPPED, q.DEDUPED),
 )
 def preferred_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The order of the rows decides which of two alike is kept and where the cap cuts.
     bundled = run_dir(spark, "bundled")
     raw(spark, sf_dir).write.parquet(bundled)
     path = first_available(spark, [f"{bundled}-remote", bundled])
     rows = ls.dedupe_listings(ls.map_aliases(spark.read.parquet(path)))
-    return ls.first_rows(rows).drop("ordinal")
+    return ls.first_rows(rows)
 
 
 _SHARDED = f"""sharded AS (SELECT ordinal, {RAW_COLUMNS}, CAST(floor(pos / 500) AS BIGINT) AS shard_index FROM us_rows)"""
@@ -358,7 +383,7 @@ def deep_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The last 300 rows, as a window far from the start: numbered, not sorted into one task.
     rows = raw(spark, sf_dir)
     total = ls.window_totals(rows, "").first()["csv_rows_total"]
-    return ls.slice_window(rows, "", total - 300, 300, shallow=0)
+    return ls.slice_window(rows, "", total - 300, 300)
 
 
 _COUNTS = "count(*) FILTER (WHERE country_code = '' OR upper(country_code) = 'US')"
@@ -511,7 +536,7 @@ def saved_rail(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"""SELECT ordinal, l.id, l.company, coalesce(nullif({q.host_of_url('apply')}, ''), nullif(r.domain, ''), o.domain,
           {q.domain_guess('lower(l.company)', tx.LISTING_STOP_WORDS)}) AS company_domain
         FROM listings l LEFT JOIN registry r ON lower(l.company) = r.n LEFT JOIN domain_overrides o ON o.name = l.company""",
-        f"""registry AS (SELECT {q.clean('lower(name)')} AS n, domain FROM (SELECT * FROM companies ORDER BY ordinal LIMIT 500)
+        f"""registry AS (SELECT {q.clean('lower(name)')} AS n, domain FROM companies
           QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY ordinal) = 1)""",
         views=("companies", "domain_overrides"),
     ),

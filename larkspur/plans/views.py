@@ -82,7 +82,8 @@ SELECT conv_id * 1000 + turn AS id, conv_id AS post_id,
   CASE WHEN turn = 1 THEN NULL WHEN turn = 5 THEN -1 ELSE conv_id * 1000 + CAST(floor(turn / 2) AS BIGINT) END AS parent_id,
   concat('c', CAST(conv_id % 10 AS STRING)) AS company_slug, text AS body,
   concat('u', CAST((conv_id + turn) % 50 AS STRING)) AS author_uid,
-  1700000000000 + conv_id * 60000 + turn * 1000 AS created_ms, CAST(1 AS BIGINT) AS score, 'active' AS status
+  1700000000000 + conv_id * 60000 + turn * 1000 AS created_ms, CAST(1 AS BIGINT) AS score,
+  CASE WHEN (conv_id + turn) % 6 = 0 THEN 'removed' ELSE 'active' END AS status
 FROM {conversations} WHERE turn > 0
 """
 

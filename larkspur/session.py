@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -26,23 +25,34 @@ def build_session(master: str, app: str = "larkspur", **extra: str) -> SparkSess
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, named by spark.checkpoint.dir.
+    """The folder every executor can reach, named by spark.checkpoint.dir, else a folder in the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_runs"
+    return named.rstrip("/")
 
-    Only a local master may fall back to a folder of this machine.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    made = tempfile.mkdtemp(prefix="larkspur-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+
+_RUNS: list[str] = []
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
     """A new sub-folder of the shared folder for one run."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _RUNS.append(path)
+    return path
+
+
+def release_runs(spark: SparkSession) -> None:
+    """Delete the folders of all runs so far. Results that still read them must have been written before."""
+    jvm = spark.sparkContext._jvm
+    while _RUNS:
+        path = jvm.org.apache.hadoop.fs.Path(_RUNS.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: its plan runs once, whatever reads it later."""
+    path = run_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def enable_checkpoints(spark: SparkSession) -> None:

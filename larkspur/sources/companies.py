@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as tx
 from larkspur.operators.companies import REGISTRY_MAX, infer_industry
+from larkspur.sources.order import input_order
 
 # Fixed value: a registry line is rank, name and a number, each followed by a comma.
 REGISTRY_LINE = r"^([0-9]+),(.+?),([0-9]+(?:\.[0-9]+)?),"
@@ -19,13 +20,8 @@ MISSING = (
 
 def read_registry_csv(spark: SparkSession, path: str, most: int = REGISTRY_MAX) -> DataFrame:
     """Companies of the first matching lines in input order; header and other lines are dropped."""
-    lines = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_name").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_line"),
-    )
-    order = ["_file", "_block", "_line"]
+    lines = spark.read.text(path).select("value", input_order().alias("_order"))
+    order = ["_order"]
     first = lines.where(F.col("value").rlike(REGISTRY_LINE)).orderBy(*order).limit(most)
     name = F.regexp_extract("value", REGISTRY_LINE, 2)
     # At most ``most`` rows reach this window.
@@ -58,13 +54,16 @@ def read_registry_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_jobs_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
+    df.write.mode("overwrite").csv(
+        path, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def read_jobs_csv(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    """Job table for analysis: the first rows if asked, missing cells as ''."""
+    """Job table for analysis: the first rows, in order of file names and lines, if asked; missing cells as ''."""
     raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
-    rows = raw.limit(most) if most else raw
+    names = raw.columns
+    rows = raw if most is None else raw.withColumn("_order", input_order()).orderBy("_order").limit(most)
     return rows.select(
-        *[F.when(F.col(c).isNull() | F.col(c).isin(*MISSING), "").otherwise(F.col(c)).alias(c) for c in rows.columns]
+        *[F.when(F.col(c).isNull() | F.col(c).isin(*MISSING), "").otherwise(F.col(c)).alias(c) for c in names]
     )

@@ -9,23 +9,30 @@ from pyspark.sql import types as T
 
 from larkspur.functions import text as tx
 from larkspur.operators.listings import ALIASES
+from larkspur.sources.order import input_order, with_ordinal
 
 
 def read_listings_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
     """All-text rows of a CSV snapshot with header.
 
     Cells are trimmed, blank rows dropped, short rows padded with '' and extra cells ignored. ``ordinal``
-    is the input order as read. A file with quoted line breaks cannot be split, so land a large snapshot
-    as Parquet once, or pass ``multi_line=False`` where no cell holds a line break.
+    grows with file name and line. A file with quoted line breaks cannot be split, so land a large snapshot
+    once with ``land_listings_csv``, or pass ``multi_line=False`` where no cell holds a line break.
     """
     raw = spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"', inferSchema=False)
     names = [c.strip() for c in raw.columns]
     cells = [tx.trim(tx.blank_if_null(F.col(f"`{old}`"))).alias(new) for old, new in zip(raw.columns, names)]
-    rows = raw.select(F.monotonically_increasing_id().alias("ordinal"), *cells)
+    rows = raw.select(input_order().alias("_order"), *cells)
     filled = F.lit(False)
     for name in names:
         filled = filled | (F.col(f"`{name}`") != "")
-    return rows.where(filled)
+    return with_ordinal(rows.where(filled), "_order").select("ordinal", *[f"`{n}`" for n in names])
+
+
+def land_listings_csv(spark: SparkSession, path: str | list[str], target: str, multi_line: bool = True) -> DataFrame:
+    """Store a CSV snapshot as Parquet with ``ordinal``, so that later reads are split, pruned and pushed down."""
+    read_listings_csv(spark, path, multi_line).write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)
 
 
 _ROW = T.MapType(T.StringType(), T.StringType())
@@ -56,12 +63,15 @@ def payload_listings(df: DataFrame, names: dict[str, tuple[str, ...]] = ALIASES)
     return df.select(*others, *[F.col("row")[f].alias(f) for f in fields])
 
 
-def read_listings_json(spark: SparkSession, path: str) -> DataFrame:
-    """One payload per line."""
-    lines = spark.read.text(path).withColumnRenamed("value", "payload")
-    rows = payload_listings(read_payloads(lines.withColumn("_line", F.monotonically_increasing_id())))
-    order = F.struct("_line", "place")
-    return rows.withColumn("source_order", order).drop("_line", "place")
+def read_listings_json(spark: SparkSession, path: str | list[str], whole_files: bool = False) -> DataFrame:
+    """Listings of payloads, one per line, or one per file that may spread over lines.
+
+    ``ordinal`` grows with file name, line and place in the payload; a payload holds fewer than 2**31 rows.
+    """
+    texts = spark.read.text(path, wholetext=whole_files).select(F.col("value").alias("payload"), input_order().alias("_order"))
+    rows = payload_listings(read_payloads(with_ordinal(texts, "_order", "_text")))
+    ordinal = F.shiftleft(F.col("_text"), 31) + F.col("place")
+    return rows.withColumn("ordinal", ordinal).drop("_text", "place")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
