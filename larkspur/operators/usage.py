@@ -130,27 +130,35 @@ def usage_entries(counters: DataFrame, today: str) -> DataFrame:
 
 
 def usage_report(counters: DataFrame, today: str) -> DataFrame:
-    """One row per retained day, oldest first.
+    """One row per retained day, oldest first, then one with the totals of those days, whose day is NULL.
 
     Crawlers and countries come as maps: there are ten crawler keys and at most 26 * 26 country codes.
-    Devices, addresses and referrers have no such bound and stay in ``usage_entries``; here they are counted.
+    Devices, addresses and referrers have no such bound and stay in ``usage_entries``; here they are counted, in the totals
+    each once.
     """
-    kept = retained(counters, today)
+    kept = retained(counters, today).where(F.col("dim") != PAIRS)
+    none = F.lit(None).cast(dict(kept.dtypes)["day"])
+    days = kept.select(F.explode(F.array(F.struct("day"), F.struct(none.alias("day")))).alias("d"), "dim", "key", "n")
+    summed = days.groupBy(F.col("d.day").alias("day"), "dim", "key").agg(F.sum("n").alias("n"))
 
     def total(dim: str) -> Column:
         return F.coalesce(F.max(F.when(F.col("dim") == dim, F.col("n"))), F.lit(0)).alias(dim)
 
+    def entries(dim: str) -> Column:
+        held = F.collect_list(F.when(F.col("dim") == dim, F.struct("key", "n")))
+        return F.map_from_entries(F.sort_array(held)).alias(dim)
+
     wide = [d for d in DIMENSIONS if d not in BOUNDED]
-    counts = kept.groupBy("day").agg(
-        total("global_count"),
-        total("crawler_count"),
-        *[F.count_if(F.col("dim") == d).alias(f"{d}_seen") for d in wide],
+    return (
+        summed.groupBy("day")
+        .agg(
+            total("global_count"),
+            total("crawler_count"),
+            *[F.count_if(F.col("dim") == d).alias(f"{d}_seen") for d in wide],
+            *[entries(d) for d in BOUNDED],
+        )
+        .orderBy(F.col("day").asc_nulls_last())
     )
-    entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "n"))))
-    maps = kept.where(F.col("dim").isin(*BOUNDED)).groupBy("day").pivot("dim", list(BOUNDED)).agg(entries)
-    empty = F.create_map().cast("map<string,bigint>")
-    filled = {d: F.coalesce(F.col(d), empty) for d in BOUNDED}
-    return counts.join(maps, "day", "left").withColumns(filled).orderBy("day")
 
 
 def lifetime_counts(counters: DataFrame) -> DataFrame:

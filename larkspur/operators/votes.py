@@ -27,6 +27,15 @@ def all_votes(posts: DataFrame, comments: DataFrame, events: DataFrame) -> DataF
     return created.withColumn("created", F.lit(0)).unionByName(events.withColumn("created", F.lit(1)))
 
 
+CHUNK = "_chunk"
+CHUNK_COLUMNS = ("_last", "_tail", "_n")
+
+
+def with_created(events: DataFrame) -> DataFrame:
+    """Votes without the mark ``created`` are later toggles."""
+    return events if "created" in events.columns else events.withColumn("created", F.lit(1))
+
+
 def vote_state(events: DataFrame, chunk: str = "hour") -> DataFrame:
     """Live vote of each voter and target: -1, 0 or 1.
 
@@ -34,18 +43,25 @@ def vote_state(events: DataFrame, chunk: str = "hour") -> DataFrame:
     an odd run leaves that vote, an even one none. Runs are measured per ``chunk`` of time first, which
     splits a hot voter and target over many tasks, and the chunks are put together from one row each.
     """
-    if "created" not in events.columns:
-        events = events.withColumn("created", F.lit(1))
-    rows = events.withColumn("_chunk", F.when(F.col("created") == 1, F.date_trunc(chunk, "ts")))
-    back = Window.partitionBy(*VOTE_KEYS, "_chunk").orderBy(F.col("ts").desc(), F.col("seq").desc())
+    rows = with_created(events)
+    return combine_chunks(chunk_summaries(rows.withColumn(CHUNK, F.when(F.col("created") == 1, F.date_trunc(chunk, "ts")))))
+
+
+def chunk_summaries(rows: DataFrame) -> DataFrame:
+    """Last vote, length of the run it ends, and rows of each voter, target and chunk."""
+    back = Window.partitionBy(*VOTE_KEYS, CHUNK).orderBy(F.col("ts").desc(), F.col("seq").desc())
     so_far = back.rowsBetween(Window.unboundedPreceding, 0)
-    chunks = (
+    return (
         rows.withColumn("_last", F.first("delta").over(back))
         .withColumn("_broken", F.max((F.col("delta") != F.col("_last")).cast("int")).over(so_far))
-        .groupBy(*VOTE_KEYS, "_chunk")
+        .groupBy(*VOTE_KEYS, CHUNK)
         .agg(F.max("_last").alias("_last"), F.count_if(F.col("_broken") == 0).alias("_tail"), F.count("*").alias("_n"))
     )
-    later = Window.partitionBy(*VOTE_KEYS).orderBy(F.col("_chunk").desc_nulls_last())
+
+
+def combine_chunks(chunks: DataFrame) -> DataFrame:
+    """Live votes from the summaries of chunks; the chunk of creation sorts before all others."""
+    later = Window.partitionBy(*VOTE_KEYS).orderBy(F.col(CHUNK).desc_nulls_last())
     before = later.rowsBetween(Window.unboundedPreceding, -1)
     breaks = (F.col("_last") != F.col("_final")) | (F.col("_tail") < F.col("_n"))
     run = (

@@ -322,7 +322,10 @@ _STATS = """stats AS (SELECT uid, CAST(sum(p) AS BIGINT) AS posts, CAST(sum(c) A
   UNION ALL SELECT user_uid, 0, 0, 1, 0 FROM vote_state WHERE value <> 0) GROUP BY uid)"""
 
 
-@query("a12_user_stats", q.with_ctes(_FULL, "SELECT * FROM stats", _WITH_CREATED, _ISLANDS, _STATS))
+MEMBER_STATS = q.with_ctes(_FULL, "SELECT * FROM stats", _WITH_CREATED, _ISLANDS, _STATS)
+
+
+@query("a12_user_stats", MEMBER_STATS)
 def user_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vo.member_stats(posts(spark, sf_dir), comments(spark, sf_dir), full_state(spark, sf_dir))
 

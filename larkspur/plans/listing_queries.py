@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -186,8 +188,8 @@ _URL = "https://data.example/listings.csv"
 @query("s6_build_shards", q.with_ctes(["listings_raw"], f"SELECT ordinal, {RAW_COLUMNS}, shard_index FROM sharded", q.MAPPED, _US, _SHARDED))
 def shard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = run_dir(spark, "shards")
-    build_shards(spark, mapped(spark, sf_dir), path, _URL, "2026-05-01T00:00:00Z")
-    return spark.read.parquet(f"{path}/shards")
+    meta = build_shards(spark, mapped(spark, sf_dir), path, _URL, "2026-05-01T00:00:00Z")
+    return spark.read.parquet(f"{path}/shards/{meta.first()['build']}")
 
 
 @query(
@@ -201,17 +203,33 @@ def shard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def shard_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_shards(spark, mapped(spark, sf_dir), run_dir(spark, "shards"), _URL, "2026-05-01T00:00:00Z")
+    return build_shards(spark, mapped(spark, sf_dir), run_dir(spark, "shards"), _URL, "2026-05-01T00:00:00Z").drop("build")
+
+
+_CA = "ca_rows AS (SELECT *, row_number() OVER (ORDER BY ordinal) - 1 AS pos FROM mapped WHERE country_code = '' OR upper(country_code) = 'CA')"
 
 
 @query(
     "s7_read_shard_page",
-    q.with_ctes(["listings_raw"], f"SELECT ordinal, {RAW_COLUMNS}, shard_index FROM sharded WHERE shard_index = 2", q.MAPPED, _US, _SHARDED),
+    q.with_ctes(
+        ["listings_raw"],
+        f"""SELECT 'US' AS page_of, ordinal, {RAW_COLUMNS}, shard_index FROM sharded WHERE shard_index = 2
+        UNION ALL SELECT 'CA', ordinal, {RAW_COLUMNS}, CAST(floor(pos / 100) AS BIGINT) FROM ca_rows WHERE floor(pos / 100) = 1
+        UNION ALL SELECT 'live', ordinal, {RAW_COLUMNS}, NULL FROM us_rows WHERE floor(pos / 40) = 1""",
+        q.MAPPED, _US, _SHARDED, _CA,
+    ),
 )
 def shard_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = run_dir(spark, "shards")
-    build_shards(spark, mapped(spark, sf_dir), path, _URL, "2026-05-01T00:00:00Z")
-    return read_page(spark, path, 3)
+    """Pages of two countries under one root, after a rebuild, and of a source without a build."""
+    path, rows, when = run_dir(spark, "shards"), mapped(spark, sf_dir), "2026-05-01T00:00:00Z"
+    build_shards(spark, rows, path, _URL, when, rows_per_shard=50)
+    build_shards(spark, rows, path, _URL, when, "ca", 100)
+    build_shards(spark, rows, path, _URL, when)
+    us, ca = read_page(spark, path, _URL, 3, country=" us "), read_page(spark, path, _URL, 2, country="CA")
+    live = read_page(spark, path, f"{_URL}?other", 2, rows, per_page=40).withColumn("shard_index", F.lit(None).cast("long"))
+    beyond = read_page(spark, path, _URL, 10_000_000)
+    pages = [("US", us), ("CA", ca), ("live", live), ("US", beyond)]
+    return reduce(DataFrame.unionByName, [p.withColumn("page_of", F.lit(of)) for of, p in pages])
 
 
 @query(
@@ -424,7 +442,7 @@ def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shard_page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = run_dir(spark, "shards")
     build_shards(spark, mapped(spark, sf_dir), path, _URL, "2026-05-01T00:00:00Z")
-    return shard_pagination(spark, path, 2, 400)
+    return shard_pagination(spark, path, _URL, 2, 400)
 
 
 def _top(column: str, most: int) -> str:

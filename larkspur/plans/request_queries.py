@@ -146,8 +146,11 @@ _WIDE = [d for d in us.DIMENSIONS if d not in us.BOUNDED]
         + ", ".join(f"count(*) FILTER (WHERE dim = '{d}') AS {d}_seen" for d in _WIDE)
         + ", "
         + ", ".join(f"{_MAP_TEXT.format(d=d)} AS {d}" for d in us.BOUNDED)
-        + f" FROM counters WHERE day >= DATE '{TODAY}' - 29 GROUP BY day",
+        + " FROM with_totals GROUP BY day",
         _FACTS, COUNTERS,
+        f"""retained AS (SELECT * FROM counters WHERE day >= DATE '{TODAY}' - 29),
+        with_totals AS (SELECT day, dim, key, n FROM retained
+          UNION ALL SELECT NULL, dim, key, CAST(sum(n) AS BIGINT) FROM retained GROUP BY dim, key)""",
     ),
 )
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:

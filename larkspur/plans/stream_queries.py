@@ -6,23 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.operators.usage import PAIRS, lifetime_counts
+from larkspur.operators.votes import all_votes, scores
 from larkspur.plans import forum_queries as fq
 from larkspur.plans import request_queries as rq
 from larkspur.plans import sqltext as q
 from larkspur.plans.catalog import query
-from larkspur.plans.views import stream_view, view
+from larkspur.plans.views import stream_view
 from larkspur.session import run_dir
 from larkspur.streaming import members as mb
 from larkspur.streaming import usage as us
 from larkspur.streaming import votes as vo
-from larkspur.streaming.windows import read_closed, run_to_end
 
 
 def _counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = run_dir(spark, "usage")
-    counters = us.daily_counters(stream_view(spark, sf_dir, "requests"))
-    run_to_end(counters, f"{work}/days", f"{work}/checkpoint")
-    return us.counters_so_far(spark, f"{work}/days", counters, view(spark, sf_dir, "requests"))
+    us.count_requests(stream_view(spark, sf_dir, "requests"), f"{work}/days", f"{work}/checkpoint").awaitTermination()
+    return us.counters_so_far(spark, f"{work}/days")
 
 
 @query("m1_usage_stream", rq.USAGE_BY_DATE)
@@ -46,11 +45,10 @@ def lifetime_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifetime_counts(_counters(spark, sf_dir))
 
 
-def _vote_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _vote_state(spark: SparkSession, events: DataFrame) -> DataFrame:
     work = run_dir(spark, "votes")
-    changes = vo.vote_changes(stream_view(spark, sf_dir, "vote_events"))
-    run_to_end(changes, f"{work}/changes", f"{work}/checkpoint")
-    return read_closed(spark, f"{work}/changes", changes.schema)
+    vo.summarise_votes(events, work, f"{work}-checkpoint").awaitTermination()
+    return vo.state_so_far(spark, work)
 
 
 _LIVE = "SELECT * FROM vote_state WHERE value <> 0"
@@ -58,7 +56,7 @@ _LIVE = "SELECT * FROM vote_state WHERE value <> 0"
 
 @query("m2_vote_stream", q.with_ctes(["vote_events"], _LIVE, fq._EVENTS_ONLY, fq._ISLANDS))
 def vote_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vo.state_of(_vote_changes(spark, sf_dir))
+    return _vote_state(spark, stream_view(spark, sf_dir, "vote_events"))
 
 
 @query(
@@ -70,22 +68,16 @@ def vote_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def score_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vo.scores_of(_vote_changes(spark, sf_dir))
+    return scores(_vote_state(spark, stream_view(spark, sf_dir, "vote_events")))
 
 
-@query(
-    "m3_member_stream",
-    q.with_ctes(
-        ["posts", "comments"],
-        """SELECT uid, CAST(sum(p) AS BIGINT) AS posts, CAST(sum(c) AS BIGINT) AS comments, count(*) AS karma FROM (
-        SELECT author_uid AS uid, 1 AS p, 0 AS c FROM posts UNION ALL SELECT author_uid, 0, 1 FROM comments) GROUP BY uid""",
-    ),
-)
+@query("m3_member_stream", fq.MEMBER_STATS)
 def member_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = run_dir(spark, "members")
-    stats = mb.hourly_stats(stream_view(spark, sf_dir, "posts"), stream_view(spark, sf_dir, "comments"))
-    run_to_end(stats, f"{work}/hours", f"{work}/checkpoint")
-    return mb.stats_so_far(spark, f"{work}/hours", stats, fq.posts(spark, sf_dir), fq.comments(spark, sf_dir))
+    posts, comments = (stream_view(spark, sf_dir, v) for v in ("posts", "comments"))
+    mb.count_members(posts, comments, f"{work}/sums", f"{work}/checkpoint").awaitTermination()
+    votes = all_votes(posts, comments, stream_view(spark, sf_dir, "vote_events"))
+    return mb.stats_so_far(spark, f"{work}/sums", _vote_state(spark, votes))
 
 
 @query(
@@ -94,6 +86,5 @@ def member_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def comment_count_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = run_dir(spark, "comments")
-    hourly = mb.hourly_comments(stream_view(spark, sf_dir, "comments"))
-    run_to_end(hourly, f"{work}/hours", f"{work}/checkpoint")
-    return mb.comments_so_far(spark, f"{work}/hours", hourly, fq.comments(spark, sf_dir))
+    mb.count_comments(stream_view(spark, sf_dir, "comments"), f"{work}/sums", f"{work}/checkpoint").awaitTermination()
+    return mb.comments_so_far(spark, f"{work}/sums")

@@ -137,7 +137,7 @@ def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
     def stream(t: str) -> DataFrame:
         schema = table(spark, sf_dir, t).schema
-        return spark.readStream.schema(schema).option("pathGlobFilter", f"{t}.parquet").parquet(sf_dir)
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).option("pathGlobFilter", f"{t}.parquet").parquet(sf_dir)
 
     return spark.sql(sql, **{t: stream(t) for t in TABLES if "{" + t + "}" in sql})
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from larkspur.operators.numbering import with_position
 from larkspur.sources.listings import path_exists
 
 DEFAULT_COUNTRY = "US"
+#: Shards in one file.
+FILE_SHARDS = 200
 
 
 def source_hash(url: Column) -> Column:
@@ -28,27 +32,31 @@ def shard_keys(url: Column, country: Column, shard_index: Column) -> tuple[Colum
 def with_shard(df: DataFrame, country: str | None, rows_per_shard: int | None = None) -> DataFrame:
     """Rows of the country with ``shard_index``, in input order."""
     size = clamp_size(rows_per_shard)
-    code = (country or "").strip().upper() or DEFAULT_COUNTRY
-    numbered = with_position(filter_country(df, code), "ordinal")
+    numbered = with_position(filter_country(df, country_code(country)), "ordinal")
     return numbered.withColumn("shard_index", F.floor(F.col("position") / size).cast("long")).drop("position")
 
 
+def country_code(country: str | None) -> str:
+    return (country or "").strip().upper() or DEFAULT_COUNTRY
+
+
 def build_shards(
     spark: SparkSession, df: DataFrame, path: str, url: str, built_at: str,
     country: str | None = None, rows_per_shard: int | None = None,
 ) -> DataFrame:
-    """Write shards sorted by index, then the meta row; the meta row is what makes a build visible.
+    """Write the shards of one source and country to a folder of their own, then the meta row that names it.
 
-    Shards lie in index order in ordinary Parquet files, so a page read is pruned by row group statistics.
+    Builds of many sources and countries share ``path``. A rebuild writes beside the live build, and the new meta row is what
+    makes it visible, so a reader never meets a missing or mixed page. Shard numbers are dense, so that rows are dealt by them,
+    FILE_SHARDS to a file, without sampling; a page read is pruned by row group statistics.
     """
-    size = clamp_size(rows_per_shard)
-    code = (country or "").strip().upper() or DEFAULT_COUNTRY
-    rows = with_shard(df, code, size)
-    rows.repartitionByRange("shard_index").sortWithinPartitions("shard_index", "ordinal").write.mode(
-        "overwrite"
-    ).parquet(f"{path}/shards")
+    size, code = clamp_size(rows_per_shard), country_code(country)
+    build = uuid.uuid4().hex
+    rows = with_shard(df, code, size).withColumn("_file", F.floor(F.col("shard_index") / FILE_SHARDS))
+    folder = f"{path}/shards/{build}"
+    rows.repartition("_file").sortWithinPartitions("shard_index", "ordinal").drop("_file").write.parquet(folder)
     total = F.col("total_filtered_rows")
-    meta = spark.read.parquet(f"{path}/shards").agg(F.count("*").alias("total_filtered_rows")).select(
+    meta = spark.read.parquet(folder).agg(F.count("*").alias("total_filtered_rows")).select(
         F.lit(url).alias("csv_url"),
         source_hash(F.lit(url)).alias("source_hash"),
         F.lit(code).alias("country_code"),
@@ -56,31 +64,52 @@ def build_shards(
         total,
         F.ceil(total / size).cast("long").alias("shard_count"),
         F.lit(built_at).alias("built_at"),
+        F.lit(build).alias("build"),
+        F.unix_micros(F.current_timestamp()).alias("written"),
+    )
+    meta.write.mode("append").parquet(f"{path}/meta")
+    return shard_meta(spark, path, url, code)
+
+
+def shard_meta(spark: SparkSession, path: str, url: str, country: str | None = None) -> DataFrame | None:
+    """The row of the newest build of one source and country; None if there is none."""
+    if not path_exists(spark, f"{path}/meta"):
+        return None
+    own = spark.read.parquet(f"{path}/meta").where(
+        (F.col("source_hash") == source_hash(F.lit(url))) & (F.col("country_code") == country_code(country))
     )
-    meta.write.mode("overwrite").parquet(f"{path}/meta")
-    return spark.read.parquet(f"{path}/meta")
+    newest = own.orderBy(F.col("written").desc(), "build").limit(1)
+    return None if newest.isEmpty() else newest.drop("written")
 
 
 def read_page(
-    spark: SparkSession, path: str, page: int | None, live: DataFrame | None = None,
+    spark: SparkSession, path: str, url: str, page: int | None, live: DataFrame | None = None,
     country: str | None = None, per_page: int | None = None,
 ) -> DataFrame:
-    """Rows of one page. Past the last shard it is empty; without shards the live listings are sliced."""
+    """Rows of one page of a source and country. Past the last shard it is empty; without a build the live listings are
+    sliced."""
     number = max(1, int(page or 1))
-    if not path_exists(spark, f"{path}/meta"):
+    meta = shard_meta(spark, path, url, country)
+    if meta is None:
         if live is None:
-            raise FileNotFoundError(f"no shards under {path}")
+            raise FileNotFoundError(f"no shards of {url} for {country_code(country)} under {path}")
         size = clamp_size(per_page)
-        return slice_window(live, country, (number - 1) * size, size)
-    return spark.read.parquet(f"{path}/shards").where(F.col("shard_index") == number - 1)
+        return slice_window(live, country_code(country), (number - 1) * size, size)
+    folder = f"{path}/shards/{meta.first()['build']}"
+    return spark.read.parquet(folder).where(F.col("shard_index") == number - 1).orderBy("ordinal")
 
 
-def shard_pagination(spark: SparkSession, path: str, page: int | None, per_page: int | None = None) -> DataFrame:
-    """One row describing a page of the shards."""
+def shard_pagination(
+    spark: SparkSession, path: str, url: str, page: int | None, per_page: int | None = None, country: str | None = None
+) -> DataFrame:
+    """One row describing a page of the shards of a source and country."""
     number = max(1, int(page or 1))
     wanted = clamp_size(per_page)
     size, count = F.col("rows_per_shard"), F.col("shard_count")
-    return spark.read.parquet(f"{path}/meta").select(
+    meta = shard_meta(spark, path, url, country)
+    if meta is None:
+        raise FileNotFoundError(f"no shards of {url} for {country_code(country)} under {path}")
+    return meta.select(
         F.lit(number).cast("long").alias("page"),
         size.alias("per_page"),
         F.lit(wanted).cast("long").alias("requested_per_page"),

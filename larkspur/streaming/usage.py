@@ -4,29 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from larkspur.functions.times import utc_day, utc_timestamp
 from larkspur.operators import usage as us
 from larkspur.streaming import windows as wn
 
-WIDTH, LATENESS = "1 day", "1 day"
+SCHEMA = "day date, dim string, key string, n bigint"
 
 
 def request_facts(requests: DataFrame) -> DataFrame:
-    """(ts, dim, key) of the trackable requests; the same for a stream and for a table."""
+    """(day, dim, key) of the trackable requests; the same for a stream and for a table."""
     timed = requests.withColumn("ts", utc_timestamp(requests, "ts"))
-    return us.daily_facts(us.enrich_requests(us.trackable(timed)), "ts", pairs=True)
+    facts = us.daily_facts(us.enrich_requests(us.trackable(timed)), "ts", pairs=True)
+    return facts.select(utc_day(F.col("ts")).alias("day"), "dim", "key")
 
 
-def daily_counters(requests: DataFrame) -> DataFrame:
-    """Counters of closed days."""
-    return wn.closed_windows(request_facts(requests), "ts", WIDTH, LATENESS, ["dim", "key"], {"n": F.lit(1)})
+def count_requests(requests: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Daily counters of the requests that have arrived, late ones too."""
+    return wn.append_sums(request_facts(requests), path, checkpoint, ["day", "dim", "key"], {"n": F.lit(1).cast("long")})
 
 
-def counters_so_far(spark: SparkSession, path: str, counters: DataFrame, landed: DataFrame) -> DataFrame:
-    """Closed days from the stream's files and open days counted from the landed requests."""
-    closed = wn.read_closed(spark, path, counters.schema)
-    still_open = wn.open_rows(request_facts(landed), "ts", closed)
-    counted = still_open.groupBy(utc_day(F.col("ts")).alias("day"), "dim", "key").agg(F.count("*").alias("n"))
-    done = closed.select(utc_day(F.col("window_start")).alias("day"), "dim", "key", "n")
-    return us.merge_counters(done, counted)
+def counters_so_far(spark: SparkSession, path: str) -> DataFrame:
+    return us.merge_counters(wn.read_sums(spark, path, SCHEMA))

@@ -1,57 +1,50 @@
-"""Vote stream to score changes, with the live vote of each voter and target as state."""
+"""Vote stream to live votes, by summaries of hours.
 
-from __future__ import annotations
+Each micro-batch lands its votes and sums up anew the hours it touches, from all votes landed in them. An hour's newest
+summary counts. Hours are put together as in the batch operator, so a vote that arrives late, in whatever batch, is applied in
+its place.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from larkspur.operators.votes import VOTE_KEYS
-
+from pyspark.sql.streaming import StreamingQuery
 
-def _next_vote(live: int, deltas: np.ndarray) -> int:
-    """Live vote after the given votes in order: only the last run of equal votes matters."""
-    last = int(deltas[-1])
-    others = np.flatnonzero(deltas != last)
-    run = len(deltas) - (others[-1] + 1 if len(others) else 0)
-    if run == len(deltas) and live == last:
-        run += 1
-    return last if run % 2 else 0
+from larkspur.functions.times import utc_day, utc_timestamp
+from larkspur.operators.votes import CHUNK, CHUNK_COLUMNS, VOTE_KEYS, chunk_summaries, combine_chunks, with_created
+from larkspur.sources.listings import path_exists
+from larkspur.streaming import windows as wn
 
+VOTE_COLUMNS = (*VOTE_KEYS, "seq", "ts", "delta", "created")
 
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    live = state.get[0] if state.exists else 0
-    votes = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "seq"])
-    value = _next_vote(live, votes["delta"].to_numpy())
-    state.update((value,))
-    if value != live:
-        yield pd.DataFrame([(*key, live, value, value - live)], columns=[*VOTE_KEYS, "previous", "value", "diff"])
 
+def _hour(df: DataFrame) -> Column:
+    """Number of the UTC hour of a vote; -1 for the vote cast by creating something."""
+    hour = F.floor(F.unix_seconds(utc_timestamp(df, "ts")) / 3600).cast("long")
+    return F.when(F.col("created") == 1, hour).otherwise(F.lit(-1).cast("long"))
 
-def vote_changes(events: DataFrame) -> DataFrame:
-    """One row per voter, target and micro-batch that changes the live vote.
 
-    Votes are put in order within a micro-batch; a vote arriving in a later batch than its successor is
-    applied late. The batch operator is the reference. Batches are bounded by the source's trigger options.
-    """
-    kinds = dict(events.dtypes)
-    schema = (
-        f"user_uid string, target_type string, target_id {kinds['target_id']}, previous int, value int, diff int"
-    )
-    rows = events.select(*VOTE_KEYS, "seq", "ts", "delta")
-    return rows.groupBy(*VOTE_KEYS).applyInPandasWithState(
-        _fold, schema, "value int", "append", GroupStateTimeout.NoTimeout
-    )
+def summarise_votes(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Land the votes under ``path`` and keep the summaries of their hours."""
 
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        votes = batch.select(*VOTE_COLUMNS, _hour(batch).alias(CHUNK))
+        day = F.when(F.col(CHUNK) >= 0, F.floor(F.col(CHUNK) / 24)).otherwise(-1).cast("long")
+        votes.withColumn("day", day).write.mode("overwrite").partitionBy("day").parquet(f"{path}/votes/batch={number}")
+        landed = spark.read.parquet(f"{path}/votes")
+        touched = landed.where(F.col("batch") == number).select("day", CHUNK).distinct()
+        wanted = landed.where(F.col("batch") <= number).join(touched, ["day", CHUNK], "left_semi").drop("day", "batch")
+        chunk_summaries(wanted).write.mode("overwrite").parquet(f"{path}/hours/batch={number}")
 
-def state_of(changes: DataFrame) -> DataFrame:
-    """Live votes from the change log."""
-    return changes.groupBy(*VOTE_KEYS).agg(F.sum("diff").cast("int").alias("value")).where("value <> 0")
+    return wn.in_batches(with_created(events), checkpoint, write)
 
 
-def scores_of(changes: DataFrame) -> DataFrame:
-    return changes.groupBy("target_type", "target_id").agg(F.sum("diff").alias("score"))
+def state_so_far(spark: SparkSession, path: str, target_id: str = "bigint") -> DataFrame:
+    """Live vote of each voter and target that is not 0."""
+    if not path_exists(spark, f"{path}/hours"):
+        return spark.createDataFrame([], f"user_uid string, target_type string, target_id {target_id}, value int")
+    hours = spark.read.parquet(f"{path}/hours")
+    newest = hours.groupBy(*VOTE_KEYS, CHUNK).agg(F.max_by(F.struct(*CHUNK_COLUMNS), "batch").alias("s"))
+    return combine_chunks(newest.select(*VOTE_KEYS, CHUNK, "s.*")).where("value <> 0")

@@ -1,4 +1,9 @@
-"""Counting over closed windows: append-only results in Parquet, and the open rest from the landing table."""
+"""Sums of a stream, kept as one small table per micro-batch.
+
+A micro-batch is summed by key and written to the folder of its number. A batch that is run again after a failure writes
+the same folder, so every row counts once. The sums of all batches add up to the result, whatever order rows arrive in: there
+is no watermark behind which a late row is lost, and no state that grows with the keys.
+"""
 
 from __future__ import annotations
 
@@ -9,42 +14,27 @@ from pyspark.sql.streaming import StreamingQuery
 from larkspur.sources.listings import path_exists
 
 
-def closed_windows(
-    stream: DataFrame, time_col: str, width: str, lateness: str, keys: list[str], sums: dict[str, Column]
-) -> DataFrame:
-    """Sums per window and key. A window is emitted once, when the watermark has passed its end."""
-    return (
-        stream.withWatermark(time_col, lateness)
-        .groupBy(F.window(time_col, width).alias("_window"), *keys)
-        .agg(*[F.sum(value).alias(name) for name, value in sums.items()])
-        .select(F.col("_window.start").alias("window_start"), F.col("_window.end").alias("window_end"), *keys, *sums)
-    )
+def append_sums(stream: DataFrame, path: str, checkpoint: str, keys: list[str], sums: dict[str, Column]) -> StreamingQuery:
+    """Work off what is there, in batches that the source bounds."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        summed = batch.groupBy(*keys).agg(*[F.sum(value).alias(name) for name, value in sums.items()])
+        summed.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return in_batches(stream, checkpoint, write)
 
 
-def append_to(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Work off what is there. The file sink and the checkpoint make every window appear exactly once."""
+def in_batches(stream: DataFrame, checkpoint: str, write) -> StreamingQuery:
     return (
-        df.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
+        stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def run_to_end(df: DataFrame, path: str, checkpoint: str) -> None:
-    append_to(df, path, checkpoint).awaitTermination()
-
-
-def read_closed(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Closed windows so far; an empty table before the first one."""
+def read_sums(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The sums of all batches so far; an empty table before the first one."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
-
-
-def open_rows(rows: DataFrame, time_col: str, closed: DataFrame) -> DataFrame:
-    """Rows of the windows still open: those from the end of the last closed window on."""
-    last = closed.agg(F.max(F.unix_micros("window_end")).alias("at")).first()["at"]
-    return rows if last is None else rows.where(F.col(time_col) >= F.timestamp_micros(F.lit(last)))

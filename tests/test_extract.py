@@ -63,9 +63,11 @@ def test_outcomes(spark):
     firms = spark.createDataFrame([(1, 1, "Acme", "I", "a.example")], "ordinal long, rank long, name string, industry string, domain string")
     rows = [(i, i, "acme" if i % 2 else "none", " Ann ", None, "", "offer" if i % 3 else "maybe", "d", " n ", " r" * 900) for i in range(1, 1000)]
     df = spark.createDataFrame(rows, "id long, saved_at long, company_slug string, full_name string, email string, phone string, outcome string, date_applied string, notes string, resume string")
+    firms = firms.unionByName(firms.selectExpr("2 ordinal", "2 rank", "'ACME' name", "industry", "domain"))
     got = ex.outcome_records(df, normalize_companies(firms)).collect()
     assert len(got) == 200
-    assert [r["id"] for r in got[:3]] == [997, 995, 991]
+    assert [(r["id"], r["known_outcome"]) for r in got[:3]] == [(999, False), (997, True), (995, True)]
+    assert ex.outcome_records(df, normalize_companies(firms), most=None).count() == 500
     assert (got[0]["company_domain"], got[0]["full_name"], got[0]["email"], len(got[0]["resume_excerpt"])) == ("a.example", "Ann", "", 1200)
 
 
@@ -99,7 +101,11 @@ def test_listing_payloads(spark, tmp_path):
     mapped = map_aliases(found.where("n = 1").withColumn("ordinal", F.col("place").cast("long"))).orderBy("ordinal").collect()
     assert [(r["id"], r["job_title"], r["job_base_pay_range"]) for r in mapped] == [("1", "A", ""), ("2", "B", "")]
     (tmp_path / "p.json").write_text("\n".join(bodies[:2]))
-    assert [r["id"] for r in sl.read_listings_json(spark, str(tmp_path)).orderBy("source_order").collect()] == ["1", "2"] * 2
+    assert [r["id"] for r in sl.read_listings_json(spark, str(tmp_path)).orderBy("ordinal").collect()] == ["1", "2"] * 2
+    (tmp_path / "spread").mkdir()
+    (tmp_path / "spread" / "q.json").write_text(json.dumps({"jobs": rows}, indent=1))
+    whole = sl.read_listings_json(spark, str(tmp_path / "spread"), whole_files=True)
+    assert [r["id"] for r in map_aliases(whole).orderBy("ordinal").collect()] == ["1", "2"]
 
 
 def test_first_available(spark, tmp_path):

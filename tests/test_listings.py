@@ -15,6 +15,8 @@ from larkspur.sources.shards import build_shards, read_page, shard_pagination
 NAMES = ["ordinal", *ls.ALIASES]
 
 
+URL = "https://x.example/l.csv"
+
 def raw(spark, rows):
     full = [{**{n: "" for n in NAMES}, **r, "ordinal": i} for i, r in enumerate(rows)]
     schema = "ordinal long, " + ", ".join(f"{n} string" for n in ls.ALIASES)
@@ -134,7 +136,7 @@ def test_windows_and_pages(spark):
     ids = lambda d: [r["id"] for r in d.orderBy("ordinal").collect()]
     us = [str(i) for i in range(30) if i % 3 != 2]
     assert ids(ls.slice_window(df, "us", 3, 5)) == us[3:8]
-    assert ids(ls.slice_window(df, "us", 3, 5, shallow=0)) == us[3:8]
+    assert [r["id"] for r in ls.slice_window(df.repartition(5), "us", 7, 9).collect()] == us[7:16]
     assert ids(ls.slice_window(df, "", -4, -5)) == ["0"]
     assert ids(ls.slice_window(df, "us", 18, 0)) == us[18:]
     assert [ls.clamp_size(x) for x in (0, None, -5, 99999, 7)] == [500, 500, 1, 2500, 7]
@@ -156,17 +158,34 @@ def test_page_union_stops_at_the_gap(spark):
 def test_shards_cover_all_rows_once(spark, tmp_path):
     df = raw(spark, [{"id": str(i), "country_code": ["US", "", "ca"][i % 3]} for i in range(100)])
     path = str(tmp_path / "shards")
-    meta = build_shards(spark, df.repartition(7), path, "https://x.example/l.csv", "now", "us", 9).first()
+    meta = build_shards(spark, df.repartition(7), path, URL, "now", "us", 9).first()
     assert (meta["total_filtered_rows"], meta["shard_count"], meta["country_code"], meta["rows_per_shard"]) == (67, 8, "US", 9)
     us = [str(i) for i in range(100) if i % 3 != 2]
     for page in range(1, 10):
-        got = [r["id"] for r in read_page(spark, path, page).orderBy("ordinal").collect()]
+        got = [r["id"] for r in read_page(spark, path, URL, page).collect()]
         assert got == us[(page - 1) * 9 : page * 9]
-    assert [r["id"] for r in read_page(spark, path, -3).orderBy("ordinal").collect()] == us[:9]
-    last = shard_pagination(spark, path, 9, 9).first()
+    assert [r["id"] for r in read_page(spark, path, URL, -3).collect()] == us[:9]
+    last = shard_pagination(spark, path, URL, 9, 9).first()
     assert (last["shard_index"], last["has_next"], last["per_page_matches_shard"]) == (None, False, True)
-    live = read_page(spark, str(tmp_path / "none"), 2, live=df, country="US", per_page=10)
-    assert [r["id"] for r in live.orderBy("ordinal").collect()] == us[10:20]
+    live = read_page(spark, str(tmp_path / "none"), URL, 2, live=df, country="US", per_page=10)
+    assert [r["id"] for r in live.collect()] == us[10:20]
+
+
+def test_shards_of_sources_and_countries_stay_apart(spark, tmp_path):
+    df = raw(spark, [{"id": str(i), "country_code": ["US", "ca"][i % 2]} for i in range(60)])
+    path = str(tmp_path / "shards")
+    ids = lambda url, page, country=None: [r["id"] for r in read_page(spark, path, url, page, country=country).collect()]
+    build_shards(spark, df, path, URL, "now", "US", 10)
+    with pytest.raises(FileNotFoundError):
+        ids(URL, 1, "CA")
+    build_shards(spark, df, path, URL, "now", "CA", 10)
+    build_shards(spark, df.where("ordinal < 8"), path, "other", "now", "US", 3)
+    assert ids(URL, 2) == [str(i) for i in range(20, 40, 2)] and ids(URL, 2, " ca ") == [str(i) for i in range(21, 41, 2)]
+    assert ids("other", 2) == ["6"] and ids(URL, 4) == []
+    old = read_page(spark, path, URL, 1)
+    build_shards(spark, df.where("ordinal >= 30"), path, URL, "later", "US", 10)
+    assert ids(URL, 1) == [str(i) for i in range(30, 50, 2)]
+    assert [r["id"] for r in old.collect()] == [str(i) for i in range(0, 20, 2)]  # a reader of the old build still finds it
 
 
 def test_company_domain_order(spark):

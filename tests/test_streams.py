@@ -1,6 +1,5 @@
-"""Streams give the batch results, also over several micro-batches."""
+"""Streams give the batch results, over several micro-batches and with rows out of order."""
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from larkspur.operators import usage as us
@@ -10,8 +9,7 @@ from larkspur.plans.views import view
 from larkspur.streaming import members as mb
 from larkspur.streaming import usage as su
 from larkspur.streaming import votes as sv
-from larkspur.streaming.windows import read_closed, run_to_end
-from tests.test_forum import brute_state, fold, vote_rows, votes
+from tests.test_forum import brute_state, vote_rows, votes
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,76 +19,50 @@ def rows_of(df):
     return sorted(tuple(str(r[n]) for n in names) for r in df.collect())
 
 
-def test_folding_a_batch():
-    rng = np.random.default_rng(1)
-    for _ in range(500):
-        before = rng.choice([1, -1], rng.integers(0, 5))
-        batch = rng.choice([1, -1], rng.integers(1, 6))
-        assert sv._next_vote(fold(before), batch) == fold([*before, *batch])
+def in_parts(df, order, path, parts=3):
+    """Write the rows to one folder in parts, newest first; after each part the caller may run its stream."""
+    for number in range(parts):
+        part = df.where(F.pmod(F.floor(order), F.lit(parts)) == parts - 1 - number)
+        part.coalesce(1).write.mode("append").parquet(path)
+        yield number
 
 
-def test_usage_in_two_runs(spark, tmp_path):
+def test_usage_with_late_files(spark, tmp_path):
     landed = view(spark, SF, "requests")
-    half = F.lit("2024-01-16").cast("timestamp_ntz")
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
-    schema = landed.schema
-
-    def run():
-        counters = su.daily_counters(spark.readStream.schema(schema).parquet(source))
-        run_to_end(counters, out, checkpoint)
-        return counters
-
-    landed.where(F.col("ts") < half).coalesce(1).write.mode("append").parquet(source)
-    counters = run()
-    first = read_closed(spark, out, counters.schema).select("window_start").distinct().count()
-    landed.where(F.col("ts") >= half).coalesce(1).write.mode("append").parquet(source)
-    run()
-    closed = read_closed(spark, out, counters.schema)
-    days = closed.select("window_start").distinct().count()
-    assert 0 < first < days < 30
+    assert su.counters_so_far(spark, out).count() == 0
+    third = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 86400 / 10  # ten days a part, the last ones first
+    for _ in in_parts(landed, third, source):
+        su.count_requests(spark.readStream.schema(landed.schema).parquet(source), out, checkpoint).awaitTermination()
     batch = us.daily_facts(rq.enriched(spark, SF), pairs=True).groupBy("day", "dim", "key").agg(F.count("*").alias("n"))
-    assert rows_of(su.counters_so_far(spark, out, counters, landed)) == rows_of(batch)
+    assert rows_of(su.counters_so_far(spark, out)) == rows_of(batch)
+    su.count_requests(spark.readStream.schema(landed.schema).parquet(source), out, checkpoint).awaitTermination()
+    assert rows_of(su.counters_so_far(spark, out)) == rows_of(batch)
 
 
-def test_counters_before_the_first_run(spark, tmp_path):
-    landed = view(spark, SF, "requests")
-    source = str(tmp_path / "in")
-    landed.write.parquet(source)
-    counters = su.daily_counters(spark.readStream.schema(landed.schema).parquet(source))
-    batch = us.usage_by_date(rq.enriched(spark, SF))
-    got = su.counters_so_far(spark, str(tmp_path / "none"), counters, landed).where(F.col("dim") != us.PAIRS)
-    assert rows_of(got) == rows_of(batch)
-
-
-def test_votes_in_several_batches(spark, tmp_path):
+def test_votes_out_of_order(spark, tmp_path):
     rows = sorted(vote_rows(900, 11), key=lambda r: (r[1], r[0]))
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
-    changes = None
-    for part in (rows[:300], rows[300:600], rows[600:]):
+    assert sv.state_so_far(spark, out).count() == 0
+    for part in (rows[600:], rows[1:300:2], rows[300:600], rows[:300:2]):
         votes(spark, part).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(votes(spark, part).schema).parquet(source)
-        changes = sv.vote_changes(stream)
-        run_to_end(changes, out, checkpoint)
-    log = read_closed(spark, out, changes.schema)
-    got = {(r["user_uid"], r["target_id"]): r["value"] for r in sv.state_of(log).collect()}
+        sv.summarise_votes(stream, out, checkpoint).awaitTermination()
+    state = sv.state_so_far(spark, out)
+    got = {(r["user_uid"], r["target_id"]): r["value"] for r in state.collect()}
     assert got == {k: v for k, v in brute_state(rows).items() if v}
-    expected = vo.scores(vo.vote_state(votes(spark, rows)).where("value <> 0"))
-    assert rows_of(sv.scores_of(log)) == rows_of(expected)
-
-
-def test_members_have_closed_hours(spark, tmp_path):
-    posts, comments = view(spark, SF, "posts"), view(spark, SF, "comments")
-    # One post per hour instead of one per minute, so that most hours are closed.
-    posts, comments = (d.withColumn("created_ms", (F.col("created_ms") - 1700000000000) * 60 + 1700000000000) for d in (posts, comments))
-    streams = []
-    for name, df in (("posts", posts), ("comments", comments)):
-        df.write.parquet(str(tmp_path / name))
-        streams.append(spark.readStream.schema(df.schema).parquet(str(tmp_path / name)))
-    out = str(tmp_path / "out")
-    stats = mb.hourly_stats(*streams)
-    run_to_end(stats, out, str(tmp_path / "checkpoint"))
-    assert read_closed(spark, out, stats.schema).count() > 0
-    got = {r["uid"]: (r["posts"], r["comments"], r["karma"]) for r in mb.stats_so_far(spark, out, stats, posts, comments).collect()}
-    state = vo.vote_state(vo.all_votes(posts, comments, view(spark, SF, "vote_events").limit(0)))
-    batch = {r["uid"]: (r["posts"], r["comments"], r["karma"]) for r in vo.member_stats(posts, comments, state).collect()}
-    assert got == batch
+    assert rows_of(vo.scores(state)) == rows_of(vo.scores(vo.vote_state(votes(spark, rows)).where("value <> 0")))
+
+
+def test_members_in_three_files_out_of_order(spark, tmp_path):
+    posts, comments, events = (view(spark, SF, v) for v in ("posts", "comments", "vote_events"))
+    paths = {n: str(tmp_path / n) for n in ("posts", "comments", "votes", "sums", "hours")}
+    steps = zip(
+        in_parts(posts, F.col("id"), paths["posts"]), in_parts(comments, F.col("id"), paths["comments"]), in_parts(events, F.col("seq") / 7, paths["votes"])
+    )
+    for _ in steps:
+        s = {n: spark.readStream.schema(df.schema).parquet(paths[n]) for n, df in (("posts", posts), ("comments", comments), ("votes", events))}
+        mb.count_members(s["posts"], s["comments"], paths["sums"], f"{paths['sums']}-c").awaitTermination()
+        sv.summarise_votes(vo.all_votes(s["posts"], s["comments"], s["votes"]), paths["hours"], f"{paths['hours']}-c").awaitTermination()
+    batch = vo.member_stats(posts, comments, vo.vote_state(vo.all_votes(posts, comments, events)))
+    assert rows_of(mb.stats_so_far(spark, paths["sums"], sv.state_so_far(spark, paths["hours"]))) == rows_of(batch)
