@@ -122,10 +122,45 @@ def to_number(c: Column) -> Column:
     )
 
 
-def _month_name_date(text: Column) -> Column:
-    month = F.initcap(F.substring(text, 1, 3))
-    rest = F.regexp_replace(text, r"^[A-Za-z]+ ([0-9]{1,2}),? ([0-9]{4})\z", "$1 $2")
-    return F.try_to_date(F.concat_ws(" ", month, rest), "MMM d yyyy")
+# Parts: day and month or month and day, year, hour, minute, second, half of the day, offset.
+_WORDED = (
+    r"(?i)^(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,? )?(?:([0-9]{1,2}) ([a-z]{3,9})|([a-z]{3,9}) ([0-9]{1,2})),? ([0-9]{4})"
+    r"(?:,? ([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?(?: ?([ap]m))?)?(?: ?(?:gmt|utc|z)?([+-][0-9]{2}:?[0-9]{2})?)?\z"
+)
+_SLASHED = r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})(?: ([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?)?\z"
+
+
+def _clock_millis(hour: Column, minute: Column, second: Column, half: Column | None = None) -> Column:
+    """Milliseconds of a time of day given as texts, 0 for missing ones; NULL beyond a day."""
+    def number(c: Column) -> Column:
+        return F.coalesce(c.try_cast("int"), F.lit(0))
+
+    h = number(hour)
+    if half is not None:
+        low = F.lower(half)
+        h = F.when(low == "pm", h % 12 + 12).when(low == "am", h % 12).otherwise(h)
+    in_range = (h < 24) & (number(minute) < 60) & (number(second) < 60)
+    return F.when(in_range, (h * 3600 + number(minute) * 60 + number(second)).cast("long") * 1000)
+
+
+def _worded_millis(text: Column) -> Column:
+    def part(n: int) -> Column:
+        return F.regexp_extract(text, _WORDED, n)
+
+    month = F.initcap(F.substring(F.concat(part(2), part(3)), 1, 3))
+    day = F.try_to_date(F.concat_ws(" ", month, F.concat(part(1), part(4)), part(5)), "MMM d yyyy")
+    offset = F.replace(part(10), F.lit(":"))
+    minutes = F.coalesce(F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, 4, 2).try_cast("int"), F.lit(0))
+    ahead = F.when(offset.startswith("-"), -minutes).otherwise(minutes).cast("long") * 60000
+    return F.unix_date(day).cast("long") * 86400000 + _clock_millis(part(6), part(7), part(8), part(9)) - ahead
+
+
+def _slashed_millis(text: Column) -> Column:
+    def part(n: int) -> Column:
+        return F.regexp_extract(text, _SLASHED, n)
+
+    day = F.try_to_date(F.concat_ws("-", part(1), part(2), part(3)), "yyyy-M-d")
+    return F.unix_date(day).cast("long") * 86400000 + _clock_millis(part(4), part(5), part(6))
 
 
 def date_millis(c: Column) -> Column:
@@ -142,7 +177,8 @@ def date_millis(c: Column) -> Column:
               F.unix_millis(text.try_cast("timestamp")))
         .when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}" + clock + r"\z"),
               F.unix_millis(F.concat(text, F.lit("Z")).try_cast("timestamp")))
-        .when(text.rlike(r"^[A-Za-z]{3,9} [0-9]{1,2},? [0-9]{4}\z"), at_midnight(_month_name_date(text)))
+        .when(text.rlike(_WORDED), _worded_millis(text))
+        .when(text.rlike(_SLASHED), _slashed_millis(text))
         .when(text.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\z"), at_midnight(F.try_to_date(text, "M/d/yyyy")))
     )
 

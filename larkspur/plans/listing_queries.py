@@ -282,6 +282,25 @@ scalar("n6_pay_max", "listings_raw", "ordinal", {
 scalar("n7_freshness", "listings_raw", "ordinal", {
     "fresh_ms": (lambda: tx.freshness(F.col("job_posted_date")), q.freshness("job_posted_date")),
 })
+_FORMS = ("yyyy-MM-dd", "d MMM yyyy", "EEE, dd MMM yyyy 10:00:00 'GMT'", "yyyy/MM/dd", "MMM d, yyyy 10:00", "MMMM d yyyy", "M/d/yyyy", "d MMM yyyy 9:30 'PM'", "EEE MMM dd yyyy 10:00:00 'GMT-0500'")
+_FORM_HOURS = (0, 0, 10, 0, 10, 0, 0, 21.5, 15)
+
+
+@query(
+    "n7_date_forms",
+    q.with_ctes(
+        ["listings_raw"],
+        f"""SELECT ordinal, CAST(epoch_ms(CAST(try_cast(job_posted_date AS DATE) AS TIMESTAMP)) AS BIGINT)
+        + CAST({list(_FORM_HOURS)}[CAST(ordinal % {len(_FORM_HOURS)} AS INTEGER) + 1] * 3600000 AS BIGINT) AS posted_ms FROM listings_raw""",
+    ),
+)
+def date_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posting date written in one of several forms, and read again."""
+    day = F.col("job_posted_date").try_cast("date")
+    shown = F.element_at(F.array(*[F.date_format(day, form) for form in _FORMS]), (F.col("ordinal") % len(_FORMS) + 1).cast("int"))
+    return raw(spark, sf_dir).select("ordinal", tx.date_millis(shown).alias("posted_ms"))
+
+
 scalar("n9_company_slug", "listings_raw", "ordinal", {
     "slug": (lambda: tx.slug(F.col("company_name")), q.slug("company_name")),
     "industry_slug": (lambda: tx.slug(F.col("industries")), q.slug("industries")),
@@ -580,6 +599,11 @@ def dataset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ins.profile(mapped(spark, sf_dir))
 
 
+@query("a14_preview", q.with_ctes(["listings_raw"], f"SELECT ordinal, {RAW_COLUMNS} FROM mapped ORDER BY ordinal LIMIT 25", q.MAPPED))
+def dataset_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ins.preview(mapped(spark, sf_dir), "ordinal", 25)
+
+
 _DIST = ["job_seniority_level", "job_employment_type", "job_industries", "country_code"]
 
 

@@ -71,11 +71,13 @@ def domain_guess(x: str, words: tuple[str, ...]) -> str:
 
 
 def url_host(x: str) -> str:
-    return f"regexp_extract(lower({trim(x)}), '{tx.URL_HOST}', 1)"
+    # Written apart from the engine's pattern: the given URLs are absolute, without user, port or brackets.
+    return f"split_part(split_part(split_part(split_part(lower({trim(x)}), '://', 2), '/', 1), '?', 1), '#', 1)"
 
 
 def url_path(x: str) -> str:
-    return f"regexp_extract({trim(x)}, '{tx.URL_PATH}', 1)"
+    rest = f"split_part(split_part(split_part({trim(x)}, '://', 2), '?', 1), '#', 1)"
+    return f"CASE WHEN contains({rest}, '/') THEN substr({rest}, strpos({rest}, '/')) ELSE '' END"
 
 
 def host_of_url(x: str) -> str:
