@@ -8,7 +8,8 @@ shuffles:
 2. The shared tokens go back to their sets. A set with too few of them has no partner. The others order their tokens by
    frequency, then value, and take the prefix that must meet any partner's prefix. Rare tokens are indexed alone.
    Frequent tokens are dealt to classes by hash; the prefix is extended by one token per class, so that some class
-   holds two shared tokens, and two-token combinations of each class are indexed.
+   holds two shared tokens, and two-token combinations of each class are indexed. Each signature carries how many tokens
+   can be shared if it is the first that two sets share, which bounds the similarity.
 3. Sets with a common signature are candidates. Each group is first compared with one leader, the member with the fewest
    tokens of its own. Groups whose members are then in one component are done. In the others, all pairs between the
    largest component and the rest, and among the rest, are compared. No group is expanded into all its pairs otherwise.
@@ -36,12 +37,10 @@ SIZE = 5
 BUCKET_TOKENS = 4_000_000
 LEAST_BUCKETS = 32
 #: Tokens held by more sets are frequent.
-RARE = 16
+RARE = 256
 #: Sets from so many tokens on use combinations; one class for so many tokens.
 COMBINED_FROM = 20
 CLASS_TOKENS = 8
-#: Prefix positions added for tokens of one set that agree in the compared bits.
-SLACK = 2
 MOST_SETS = 1 << 16
 
 
@@ -112,7 +111,20 @@ def lengths(column, kind) -> np.ndarray:
     return np.array([len(x.as_py()) for x in column], np.int64) // np.dtype(kind).itemsize
 
 
-TOKENS = "bucket int, sets binary, sizes binary, at binary, low binary, high binary"
+def lost_tokens(key: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """How many tokens of each row agree with another one of that row in all compared bits."""
+    ordered = np.sort(key)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    lost = np.zeros(n, np.int64)
+    if len(twice):
+        at = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key)
+        order = np.lexsort((row[at], key[at]))
+        key, row = key[at][order], row[at][order]
+        np.add.at(lost, row[1:][(key[1:] == key[:-1]) & (row[1:] == row[:-1])], 1)
+    return lost
+
+
+TOKENS = "bucket int, sets binary, sizes binary, lost binary, at binary, low binary, high binary"
 
 
 def token_rows(buckets: int):
@@ -133,7 +145,9 @@ def token_rows(buckets: int):
                 h, row = h[keep], row[keep]
                 bucket = ((h >> A.U64(32)) * A.U64(buckets)) >> A.U64(32)
                 cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=A.U64))
-                out: dict[str, list] = {name: [] for name in ("bucket", "sets", "sizes", "at", "low", "high")}
+                low, high = h.astype(np.uint32), ((h >> A.U64(32)) * A.U64(0x9E3779B1) >> A.U64(24)).astype(np.uint8)
+                lost = lost_tokens(low | (high.astype(A.U64) << A.U64(32)) | (bucket << A.U64(40)), row, len(ids))
+                out: dict[str, list] = {name: [] for name in ("bucket", "sets", "sizes", "lost", "at", "low", "high")}
                 for b in range(buckets):
                     part = slice(cuts[b], cuts[b + 1])
                     if cuts[b] == cuts[b + 1]:
@@ -144,16 +158,17 @@ def token_rows(buckets: int):
                     out["bucket"].append(b)
                     out["sets"].append(packed(ids[here]))
                     out["sizes"].append(packed(sizes[here].astype(np.int32)))
+                    out["lost"].append(packed(np.minimum(lost[here], 255).astype(np.uint8)))
                     out["at"].append(packed(place[row[part]].astype(np.uint16)))
-                    out["low"].append(packed(h[part].astype(np.uint32)))
-                    out["high"].append(packed(((h[part] >> A.U64(32)) * A.U64(0x9E3779B1) >> A.U64(24)).astype(np.uint8)))
-                types = [pa.int32()] + [pa.binary()] * 5
+                    out["low"].append(packed(low[part]))
+                    out["high"].append(packed(high[part]))
+                types = [pa.int32()] + [pa.binary()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
 
     return rows
 
 
-SHARED = "home int, bucket int, sets binary, sizes binary, counts binary, low binary, high binary, df binary"
+SHARED = "home int, bucket int, sets binary, sizes binary, lost binary, counts binary, low binary, high binary, df binary"
 
 
 def shared_tokens(homes: int):
@@ -166,7 +181,7 @@ def shared_tokens(homes: int):
         place = base + joined(table.column("at"), np.uint16)
         key = joined(table.column("low"), np.uint32).astype(np.uint64)
         key |= joined(table.column("high"), np.uint8).astype(np.uint64) << A.U64(32)
-        ids, sizes = joined(table.column("sets"), np.int64), joined(table.column("sizes"), np.int32)
+        ids, sizes, lost = (joined(table.column(c), kind) for c, kind in (("sets", np.int64), ("sizes", np.int32), ("lost", np.uint8)))
         order = np.argsort(key, kind="stable")
         key, place = key[order], place[order]
         same = np.zeros(len(key) + 1, bool)
@@ -187,7 +202,7 @@ def shared_tokens(homes: int):
         order = np.lexsort((key, owner, home))
         key, place, owner, df, home = key[order], place[order], owner[order], df[order], home[order]
         cuts = np.searchsorted(home, np.arange(homes + 1, dtype=np.uint64))
-        out: dict[str, list] = {n: [] for n in ("home", "bucket", "sets", "sizes", "counts", "low", "high", "df")}
+        out: dict[str, list] = {n: [] for n in ("home", "bucket", "sets", "sizes", "lost", "counts", "low", "high", "df")}
         for k in range(homes):
             part = slice(cuts[k], cuts[k + 1])
             if cuts[k] == cuts[k + 1]:
@@ -198,11 +213,12 @@ def shared_tokens(homes: int):
             out["bucket"].append(bucket)
             out["sets"].append(packed(own[edge]))
             out["sizes"].append(packed(sizes[place[part][edge]]))
+            out["lost"].append(packed(lost[place[part][edge]]))
             out["counts"].append(packed(np.diff(np.append(edge, len(own))).astype(np.int32)))
             out["low"].append(packed(key[part].astype(np.uint32)))
             out["high"].append(packed((key[part] >> A.U64(32)).astype(np.uint8)))
             out["df"].append(packed(np.minimum(df[part], 65535).astype(np.uint16)))
-        types = [pa.int32()] * 2 + [pa.binary()] * 6
+        types = [pa.int32()] * 2 + [pa.binary()] * 7
         return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
 
     return rows
@@ -226,7 +242,7 @@ def combinations(owner: np.ndarray, token: np.ndarray, scheme: np.ndarray) -> tu
     return np.concatenate(owners), np.concatenate(signs)
 
 
-SETS = "set_id long, n long, m long, tokens binary, signs array<long>"
+SETS = "set_id long, n long, lost long, tokens binary, signs array<long>, lefts array<long>"
 
 
 def signatures(table: pa.Table) -> pa.Table:
@@ -234,21 +250,23 @@ def signatures(table: pa.Table) -> pa.Table:
     counts = joined(table.column("counts"), np.int32)
     ids = np.repeat(joined(table.column("sets"), np.int64), counts)
     sizes = np.repeat(joined(table.column("sizes"), np.int32), counts).astype(np.int64)
+    lost = np.repeat(joined(table.column("lost"), np.uint8), counts).astype(np.int64)
     bucket = np.repeat(np.asarray(table.column("bucket").combine_chunks(), np.uint64), lengths(table.column("low"), np.uint32))
     token = joined(table.column("low"), np.uint32).astype(np.uint64)
     token |= (joined(table.column("high"), np.uint8).astype(np.uint64) << A.U64(32)) | (bucket << A.U64(40))
     df = joined(table.column("df"), np.uint16)
     order = np.lexsort((token, df, ids))
-    ids, sizes, token, df = ids[order], sizes[order], token[order], df[order]
+    ids, sizes, lost, token, df = ids[order], sizes[order], lost[order], token[order], df[order]
     edge = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
     m = np.diff(np.append(edge, len(ids)))
-    n = sizes[edge]
+    n, lost = sizes[edge], lost[edge]
     least = (4 * n + 4) // 5
-    able = m + SLACK >= least
+    shared = m + lost  # tokens that agree within a set may be shared as well
+    able = shared >= least
     owner = np.repeat(np.arange(len(edge)), m)
     rank = np.arange(len(ids)) - np.repeat(edge, m)
     band = np.searchsorted(EDGES, n, "right") - 1
-    basic = n - least + 1 + SLACK - (n - m)
+    basic = n - least + 1 - (n - shared)
     inside = able[owner] & (rank < basic[owner])
     frequent = df > RARE
     extended = np.zeros(len(edge), bool)
@@ -256,31 +274,32 @@ def signatures(table: pa.Table) -> pa.Table:
     more = np.where(extended, CLASSES[band + 1], 0)
     inside = able[owner] & (rank < (basic + more)[owner])
     # Of the two schemes a set takes part in, those below COMBINED_FROM index every token alone.
-    alone = inside & (~frequent | (CLASSES[band] == 0)[owner])
-    owners, signs = [owner[alone]], [A.mixed(token[alone] ^ A.U64(A.STEPS[13]))]
+    alone = inside & (rank < basic[owner]) & (~frequent | (CLASSES[band] == 0)[owner])
+    # If a token is the first that two sets share, they share none before it. If that is a frequent one, all are frequent.
+    many = np.bincount(owner[frequent], minlength=len(edge)) + lost
+    owners, signs, left = [owner[alone]], [A.mixed(token[alone] ^ A.U64(A.STEPS[13]))], [(shared[owner] - rank)[alone]]
     for step in (0, 1):
         scheme = (band + step)[owner]
-        pick = inside & frequent & (CLASSES[scheme] > 0)
+        pick = inside & frequent & (CLASSES[scheme] > 0) & (many >= least)[owner]
         o, s = combinations(owner[pick], token[pick], scheme[pick])
         owners.append(o)
         signs.append(s)
-    o, s = np.concatenate(owners), np.concatenate(signs)
+        left.append(many[o])
+    o, s, left = np.concatenate(owners), np.concatenate(signs), np.concatenate(left)
     order = np.lexsort((s, o))
-    o, s = o[order], s[order]
-    new = np.ones(len(o), bool)
-    new[1:] = (o[1:] != o[:-1]) | (s[1:] != s[:-1])
-    o, s = o[new], s[new]
+    o, s, left = o[order], s[order], left[order]
     chosen = np.flatnonzero(able)
     ends = np.concatenate([[0], np.cumsum(np.bincount(o, minlength=len(edge))[chosen])]).astype(np.int32)
     return pa.Table.from_arrays(
         [
             pa.array(ids[edge][chosen]),
             pa.array(n[chosen]),
-            pa.array(m[chosen]),
+            pa.array(lost[chosen]),
             pa.array([packed(np.sort(token[edge[k] : edge[k] + m[k]])) for k in chosen], pa.binary()),
             pa.ListArray.from_arrays(pa.array(ends), pa.array(s.view(np.int64))),
+            pa.ListArray.from_arrays(pa.array(ends), pa.array(left)),
         ],
-        names=["set_id", "n", "m", "tokens", "signs"],
+        names=["set_id", "n", "lost", "tokens", "signs", "lefts"],
     )
 
 
@@ -297,16 +316,17 @@ def overlap(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def admissible(a: str, b: str) -> Column:
-    """Whether two sets may be linked, by their sizes and their numbers of shared tokens."""
-    return 9 * (F.least(f"{a}.m", f"{b}.m") + SLACK) >= 4 * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+    """Whether two sets may be linked, by their sizes and by how many tokens they can share from a signature on."""
+    return 9 * F.least(f"{a}.left", f"{b}.left") >= 4 * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are linked."""
-    tokens = sets.select("set_id", "n", "tokens")
-    left = tokens.toDF("b", "n_b", "tokens_b")
-    right = tokens.toDF("a", "n_a", "tokens_a")
-    both = pairs.join(left, "b").join(right, "a").withColumn("both", overlap("tokens_a", "tokens_b"))
+    tokens = sets.select("set_id", "n", "lost", "tokens")
+    left = tokens.toDF("b", "n_b", "lost_b", "tokens_b")
+    right = tokens.toDF("a", "n_a", "lost_a", "tokens_a")
+    both = pairs.join(left, "b").join(right, "a")
+    both = both.withColumn("both", overlap("tokens_a", "tokens_b") + F.least("lost_a", "lost_b"))
     return both.where("9 * both >= 4 * (n_a + n_b)").select("a", "b")
 
 
@@ -323,10 +343,11 @@ def set_links(members: DataFrame, docs: DataFrame, text: str) -> tuple[DataFrame
         .applyInArrow(signatures, SETS),
         "sets",
     )
-    signed = sets.select("set_id", "n", "m", F.explode("signs").alias("sign"))
+    signed = sets.select("set_id", "n", F.explode(F.arrays_zip("signs", "lefts")).alias("x"))
+    signed = signed.select("set_id", "n", F.col("x.signs").alias("sign"), F.col("x.lefts").alias("left"))
     leaders = (
         signed.groupBy("sign")
-        .agg(F.min(F.struct((F.col("n") - F.col("m")).alias("own"), "set_id", "n", "m")).alias("l"), F.count(F.lit(1)).alias("size"))
+        .agg(F.min(F.struct((F.col("n") - F.col("left")).alias("own"), "set_id", "n", "left")).alias("l"), F.count(F.lit(1)).alias("size"))
         .where("size > 1")
     )
     groups = signed.alias("s").join(leaders, "sign")
@@ -342,13 +363,17 @@ def set_links(members: DataFrame, docs: DataFrame, text: str) -> tuple[DataFrame
 
     # What the leaders left open: groups of several components.
     labelled = groups.select("sign", "s.*").drop("s.sign").join(labels, F.col("set_id") == F.col("node"), "left")
-    labelled = labelled.select("sign", "set_id", "n", "m", F.coalesce("label", "set_id").alias("label"))
-    parts = labelled.groupBy("sign", "label").agg(F.count(F.lit(1)).alias("size"))
-    largest = parts.groupBy("sign").agg(F.max(F.struct("size", "label")).alias("top"), F.count(F.lit(1)).alias("parts"))
-    open_groups = largest.where("parts > 1").select("sign", F.col("top.label").alias("top"))
+    labelled = labelled.select("sign", "set_id", "n", "left", F.coalesce("label", "set_id").alias("label"))
+    reach = [F.min("n").alias("least"), F.max("left").alias("most")]
+    parts = labelled.groupBy("sign", "label").agg(F.count(F.lit(1)).alias("size"), *reach)
+    largest = parts.groupBy("sign").agg(
+        F.max(F.struct("size", "label")).alias("top"), F.count(F.lit(1)).alias("parts"), F.min("least").alias("least"), F.max("most").alias("most")
+    )
+    open_groups = largest.where("parts > 1").select("sign", F.col("top.label").alias("top"), "least", "most")
     opened = stored(labelled.join(open_groups, "sign"), "opened")
+    able = 9 * F.least("left", "most") >= 4 * (F.col("n") + F.col("least"))  # with some member of the group
     rest = (
-        opened.where("label <> top").alias("x")
+        opened.where((F.col("label") != F.col("top")) & able).alias("x")
         .join(opened.alias("y"), F.col("x.sign") == F.col("y.sign"))
         .where((F.col("x.label") != F.col("y.label")) & admissible("x", "y"))
         .select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b"))

@@ -113,3 +113,18 @@ def test_removed_bytes_odd_inputs(spark):
     got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix.remove_repeats(docs).collect())
     assert got == [(0, 105, 0, 0), (1, 111, 110, 1), (2, 110, 110, 1), (2, 110, 110, 1), (3, 0, 0, 0)]
     assert suffix.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_jaccard_of_frequent_tokens(spark):
+    """More copies than a rare token may have, so that only combinations find them, beside sets that nearly match."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(60)]
+    docs = []
+    for i in range(700):
+        t = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            k = rng.randrange(len(t))
+            t[k : k + 1] = [rng.choice(["", f"u{i}", f"v{rng.randrange(3)}"])]
+        docs.append((i, " ".join(t + (["tail", str(rng.randrange(4))] if rng.random() < 0.5 else []))))
+    got = jaccard.join_documents(frame(spark, docs)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.components(docs)
