@@ -30,26 +30,30 @@ BLOCKS = frozenset(
 REGIONS = frozenset("article main section div body td".split())
 ENDS_PARAGRAPH = BLOCKS - {"html", "body"}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|"
-    r"breadcrumb|breadcrumbs|header|masthead|footer|foot|sidebar|side|aside|widget|notice|cookie|cookies|consent|gdpr|popup|modal|"
-    r"overlay|alert|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comment|comments|"
-    r"commentlist|disqus|replies|reply|respond|pagination|pager|toolbar|skip|copyright)(?:$|[\s_-])",
-    re.I,
-)
+# Words of class and id values that mark boilerplate.
+NAMES = frozenset(
+    "ad ads advert advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb "
+    "breadcrumbs header masthead topbar footer foot sidebar side aside widget notice notices disclaimer announcement cookie cookies consent "
+    "gdpr popup modal overlay toast alert paywall newsletter subscribe subscription signup login share sharing social related recommended "
+    "comment comments commentlist disqus replies reply respond pagination pager toolbar skip copyright".split()
+)
+WORDS = re.compile(r"[^\s_-]+")
 SPACE = re.compile(r"\s+")
 
 SIGMA = 1.5
 
 
-def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
+    """Whether an element holds boilerplate. An article's own header, with its title, does not."""
     if tag in BOILERPLATE:
-        return True
+        return not (in_article and tag == "header")
     if tag in ("html", "body", "article", "main"):
         return False
     for name, value in attrs:
-        if name in ("class", "id") and value and NAMES.search(value):
-            return True
+        if name in ("class", "id") and value:
+            found = NAMES.intersection(WORDS.findall(value.lower()))
+            if found - {"header"} or (found and not in_article):
+                return True
         if name == "role" and (value or "").lower() in ROLES:
             return True
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -90,7 +94,7 @@ class Blocks(HTMLParser):
             return
         self.open.append((tag, self.mute, self.plate, self.region))
         self.mute = self.mute or tag in NO_TEXT
-        if not self.plate and is_boilerplate(tag, attrs) and not (tag == "header" and self.region in self.marked):
+        if not self.plate and is_boilerplate(tag, attrs, bool(self.marked) and self.in_article()):
             self.plate = True
         if tag in REGIONS:
             self.regions += 1
@@ -104,6 +108,12 @@ class Blocks(HTMLParser):
         if tag not in VOID and tag in ("svg", "math", "path"):
             self.handle_endtag(tag)
 
+    def in_article(self) -> bool:
+        region = self.region
+        while region and region not in self.marked:
+            region = self.parents[region]
+        return region in self.marked
+
     def close_paragraph(self, tag: str) -> None:
         """A block ends an open paragraph, and an item the item before it."""
         same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}

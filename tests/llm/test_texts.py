@@ -132,6 +132,8 @@ def test_page_text(spark):
         "Last paragraph is again a longer stretch of text for the ratio."
     )
     assert pages.main_text(PAGE) == want
+    headed = PAGE.replace("<h1>The &amp; title</h1>", '<header class="article-header"><h1>The &amp; title</h1></header>')
+    assert pages.main_text(headed) == want
     plain = PAGE.replace("<article>", '<div class="content">').replace("</article>", "</div>")
     assert pages.main_text(plain) == want
     data = [(1, PAGE), (2, None), (3, ""), (4, "<p>only"), (5, "plain"), (6, "<script>x"), (7, "<" * 5000), (1, PAGE)]
