@@ -222,7 +222,7 @@ def checked_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     "f8_check_comments",
     q.with_ctes(
         ["comments"],
-        """SELECT id, concat_ws(',', CASE WHEN id % 10 = 3 THEN 'company_slug' END, CASE WHEN length(body) NOT BETWEEN 1 AND 4000 THEN 'body' END) AS failed FROM comments""",
+        """SELECT id, concat_ws(',', CASE WHEN status <> 'active' THEN 'status' END, CASE WHEN id % 10 = 3 THEN 'company_slug' END, CASE WHEN length(body) NOT BETWEEN 1 AND 4000 THEN 'body' END) AS failed FROM comments""",
     ),
 )
 def checked_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
