@@ -34,45 +34,48 @@ def shared(named: DataFrame) -> DataFrame:
     place = F.struct("doc", "tie", "pos")
     intervals = named.groupBy("name").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
     return named.join(intervals, "name").select(
-        "doc", "tie", "pos", "line", "name", (place > F.col("first")).alias("later")
+        "doc", "tie", "pos", "line", "end", "name", (place > F.col("first")).alias("later")
     )
 
 
 def deepened(ranked: DataFrame, ahead: int) -> DataFrame:
     """Suffixes named by their name and that of the suffix ``ahead`` lines on, if that is shared too."""
-    on = ranked.select("doc", "tie", (F.col("pos") - ahead).alias("pos"), F.col("name").alias("next"))
-    return ranked.join(on, ["doc", "tie", "pos"]).select("doc", "tie", "pos", "line", F.xxhash64("name", "next").alias("name"))
+    on = ranked.select("doc", "tie", (F.col("pos") - ahead).alias("pos"), F.col("name").alias("next"), F.col("end").alias("_end"))
+    named = F.xxhash64("name", "next").alias("name")
+    return ranked.join(on, ["doc", "tie", "pos"]).select("doc", "tie", "pos", "line", F.col("_end").alias("end"), named)
 
 
 def suffix_intervals(docs: DataFrame, least: int) -> DataFrame:
-    """Later copies (doc, tie, pos, depth): suffixes whose first ``depth`` lines, ``least`` or more, also start earlier."""
+    """Later copies (doc, tie, pos, depth, line, end): suffixes whose first ``depth`` lines, ``least`` or more, also start
+    earlier; they reach from ``line`` to ``end`` in the text."""
     sequence = docs.select("doc", "tie", F.posexplode(full_lines(F.col("text"))).alias("pos", "x"))
-    ranked = stored(shared(sequence.select("doc", "tie", "pos", "x.line", "x.name")), "ranks")
+    ranked = stored(shared(sequence.select("doc", "tie", "pos", "x.line", F.col("x.line").alias("end"), "x.name")), "ranks")
     depth, copies = 1, []
     while True:
         if depth >= least:
-            later = ranked.where("later").select("doc", "tie", "pos", F.lit(depth).alias("depth"))
-            copies.append(later)
+            copies.append(ranked.where("later").select("doc", "tie", "pos", F.lit(depth).alias("depth"), "line", "end"))
         ahead = depth if depth >= least else min(depth, least - depth)
         ranked = stored(shared(deepened(ranked, ahead)), "ranks")
         depth += ahead
         if ranked.isEmpty():
             break
-    found = copies[0] if copies else ranked.select("doc", "tie", "pos", F.lit(0).alias("depth"))
+    found = copies[0] if copies else ranked.select("doc", "tie", "pos", F.lit(0).alias("depth"), "line", "end")
     for more in copies[1:]:
         found = found.unionByName(more)
-    return found.groupBy("doc", "tie", "pos").agg(F.max("depth").alias("depth"))
+    return found.groupBy("doc", "tie", "pos").agg(F.max("depth").alias("depth"), F.min("line").alias("line"), F.max("end").alias("end"))
 
 
 def repeated_runs(docs: DataFrame, least: int) -> DataFrame:
-    """Per document the maximal runs of repeated lines, as positions among its lines that are not blank."""
+    """Per document the maximal runs of repeated lines: first and last line of the text, and how many of them are not blank."""
     by_place = Window.partitionBy("doc", "tie").orderBy("pos")
     reached = F.max(F.col("pos") + F.col("depth")).over(by_place.rowsBetween(Window.unboundedPreceding, -1))
     opened = suffix_intervals(docs, least).withColumn("opens", (F.col("pos") > F.coalesce(reached, F.lit(-1))).cast("int"))
     numbered = opened.withColumn("run", F.sum("opens").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = numbered.groupBy("doc", "tie", "run").agg(F.min("pos").alias("first"), F.max(F.col("pos") + F.col("depth") - 1).alias("last"))
+    runs = numbered.groupBy("doc", "tie", "run").agg(
+        F.min("line").alias("first"), F.max("end").alias("last"), (F.max(F.col("pos") + F.col("depth")) - F.min("pos")).alias("full")
+    )
     return runs.groupBy(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).agg(
-        F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_runs")
+        F.collect_list(F.struct("first", "last")).alias("_runs"), F.sum("full").alias("_full")
     )
 
 
@@ -88,19 +91,15 @@ def judge_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
     runs = repeated_runs(docs.select(key.alias("doc"), F.xxhash64(body).alias("tie"), body.alias("text")), least)
     joined = docs.join(runs, (key == F.col("_doc")) & (F.xxhash64(body) == F.col("_tie")), "left")
-    full = full_lines(F.col(text))
-    gone = F.transform(
-        "_runs", lambda r: F.struct(F.get(full["line"], r["first"]).alias("a"), F.get(full["line"], r["last"]).alias("b"))
-    )
-    kept = F.filter(line_array(F.col(text)), lambda _, i: ~F.exists(F.col("_gone"), lambda g: i.between(g["a"], g["b"])))
-    n_removed = F.aggregate("_runs", F.lit(0), lambda acc, r: acc + r["last"] - r["first"] + 1)
+    every = line_array(F.col(text))
+    kept = F.filter(every, lambda _, i: ~F.exists(F.col("_runs"), lambda r: i.between(r["first"], r["last"])))
     made = F.struct(
-        F.size(full).cast("long").alias("n_lines"),
-        F.coalesce(n_removed, F.lit(0)).cast("long").alias("n_removed"),
-        F.greatest(F.coalesce(F.size("_runs"), F.lit(0)), F.lit(0)).cast("long").alias("n_runs"),
+        F.size(F.filter(every, lambda line: line.rlike(WORD))).cast("long").alias("n_lines"),
+        F.coalesce("_full", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_size("_runs"), F.lit(0)).cast("long").alias("n_runs"),
         F.when(F.col("_runs").isNull(), body).otherwise(F.array_join(kept, "\n")).alias("kept"),
     )
-    return joined.withColumn("_gone", gone).withColumn(into, made).drop("_doc", "_tie", "_runs", "_gone")
+    return joined.withColumn(into, made).drop("_doc", "_tie", "_runs", "_full")
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
