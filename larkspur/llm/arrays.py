@@ -1,11 +1,13 @@
 """Words, lines and fingerprints of whole Arrow columns of texts, as numpy arrays.
 
-Texts are read as UTF-8 bytes. A batch is handled in slices of consecutive texts of about two megabytes, so that the
+Texts are read as UTF-8 bytes. A batch is handled in slices of consecutive texts of about half a megabyte, so that the
 work arrays stay small however many rows a batch has.
 """
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,11 +15,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 # The bytes that separate words.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
+#: The C library's call that returns freed memory, where it has one.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 STEPS = tuple(pow(0xD1342543DE82EF95, k + 1, 1 << 64) for k in range(64))
@@ -35,6 +40,13 @@ SAME = np.arange(256, dtype=np.uint8)
 LOWER = np.where((SAME >= 65) & (SAME <= 90), SAME + 32, SAME).astype(np.uint8)
 
 
+def release() -> None:
+    """Give freed memory back to the system. Spark keeps Python workers for later stages, where they would hold it."""
+    pa.default_memory_pool().release_unused()
+    if TRIM is not None:
+        TRIM(0)
+
+
 def flat(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One plain array, null texts as empty ones."""
     if isinstance(column, pa.ChunkedArray):
@@ -112,7 +124,7 @@ class Fingerprints:
     """64-bit fingerprints of any stretch of the given bytes, from one pass of prefix sums."""
 
     def __init__(self, data: np.ndarray, table: np.ndarray = SAME):
-        size = 1 << max(21, int(len(data) + 1).bit_length())
+        size = 1 << max(20, int(len(data) + 1).bit_length())
         up, self.down = powers(size)
         values = (table.astype(U64) + U64(1))[data]
         values *= up[: len(data)]

@@ -34,14 +34,15 @@ from larkspur.llm.components import components, stored
 SIZE = 5
 #: Link: 100 * intersection >= 80 * union, or 9 * intersection >= 4 * (sum of both sizes).
 #: Tokens in one bucket, about; a bucket is one task's array.
-BUCKET_TOKENS = 4_000_000
+BUCKET_TOKENS = 2_000_000
 LEAST_BUCKETS = 32
 #: Tokens held by more sets are frequent.
 RARE = 256
 #: Sets from so many tokens on use combinations; one class for so many tokens.
 COMBINED_FROM = 20
 CLASS_TOKENS = 8
-MOST_SETS = 1 << 16
+#: Documents that one packed row names at most; it bounds the arrays of a task, too.
+MOST_SETS = 2048
 
 
 def bands(most: int = 1 << 40) -> np.ndarray:
@@ -94,8 +95,13 @@ def set_ids(h: np.ndarray, row: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 @F.arrow_udf(StructType([StructField("n", LongType()), StructField("set_id", LongType())]))
 def set_of(column: pa.Array) -> pa.Array:
     """Size and id of each text's set."""
-    h, row, sizes = batch_sets(column)
-    return pa.StructArray.from_arrays([pa.array(sizes), pa.array(set_ids(h, row, sizes))], ["n", "set_id"])
+    found = []
+    for lo in range(0, len(column), MOST_SETS):
+        h, row, sizes = batch_sets(column.slice(lo, MOST_SETS))
+        found.append((sizes, set_ids(h, row, sizes)))
+    sizes, ids = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+    A.release()
+    return pa.StructArray.from_arrays([pa.array(sizes), pa.array(ids)], ["n", "set_id"])
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -164,6 +170,7 @@ def token_rows(buckets: int):
                     out["high"].append(packed(high[part]))
                 types = [pa.int32()] + [pa.binary()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
+            A.release()
 
     return rows
 
@@ -219,6 +226,7 @@ def shared_tokens(homes: int):
             out["high"].append(packed((key[part] >> A.U64(32)).astype(np.uint8)))
             out["df"].append(packed(np.minimum(df[part], 65535).astype(np.uint16)))
         types = [pa.int32()] * 2 + [pa.binary()] * 7
+        A.release()
         return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
 
     return rows
@@ -289,6 +297,7 @@ def signatures(table: pa.Table) -> pa.Table:
     order = np.lexsort((s, o))
     o, s, left = o[order], s[order], left[order]
     chosen = np.flatnonzero(able)
+    A.release()
     ends = np.concatenate([[0], np.cumsum(np.bincount(o, minlength=len(edge))[chosen])]).astype(np.int32)
     return pa.Table.from_arrays(
         [
@@ -312,6 +321,7 @@ def overlap(a: pa.Array, b: pa.Array) -> pa.Array:
         at = np.searchsorted(y, x)
         at[at == len(y)] = 0
         found.append(int((y[at] == x).sum()) if len(y) else 0)
+    A.release()
     return pa.array(found, pa.int64())
 
 

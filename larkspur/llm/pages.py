@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from larkspur.llm.arrays import release
+
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NO_TEXT = frozenset("script style noscript template svg math canvas iframe object audio video map head title".split())
@@ -206,7 +208,9 @@ def main_text(html: str | None) -> str:
 
 @F.arrow_udf(StringType())
 def main_texts(column: pa.Array) -> pa.Array:
-    return pa.array([main_text(x.as_py()) for x in column], pa.string())
+    made = pa.array([main_text(x.as_py()) for x in column], pa.string())
+    release()
+    return made
 
 
 def extract_pages(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:

@@ -68,6 +68,7 @@ def measures(column: pa.Array) -> pa.Array:
     """Counts of each whole text; a null text has none of anything."""
     made = [measure_slice(data, bounds) for _, _, data, bounds in A.slices(column)]
     columns = [np.concatenate(c) for c in zip(*made)] if made else [np.zeros(0, np.int64)] * len(MEASURES)
+    A.release()
     return pa.StructArray.from_arrays([pa.array(c.astype(np.int64)) for c in columns], list(MEASURES))
 
 

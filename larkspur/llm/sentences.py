@@ -53,7 +53,7 @@ def spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     end = np.maximum(np.searchsorted(edges, opens + LEAST_WORDS), np.arange(len(opens)) + LEAST_SENTENCES)
     whole = end <= of_text[text + 1]
     sums = np.zeros(len(starts) + 1, A.U64)
-    up, down = A.powers(1 << max(21, int(len(starts) + 1).bit_length()))
+    up, down = A.powers(1 << max(20, int(len(starts) + 1).bit_length()))
     np.cumsum(A.Fingerprints(data, A.LOWER).of(starts, ends) * up[: len(starts)], out=sums[1:])
     a, b = opens[whole], edges[end[whole]]
     prints = A.mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(A.U64) * A.U64(A.STEPS[20]))
@@ -75,6 +75,7 @@ def span_rows(shards: int):
                     found.append((prints, text + row, sentence))
                 if found and sum(len(f[0]) for f in found):
                     yield dealt_stretches(*(np.concatenate(c) for c in zip(*found)), docs, shards)
+            A.release()
 
     return rows
 
@@ -102,6 +103,7 @@ def cut(texts: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
         left = [raw[: edges[0]]] + [raw[edges[k] : edges[k + 1]] for k in np.flatnonzero(~gone)]
         runs = int(np.count_nonzero(gone & ~np.concatenate([[False], gone[:-1]])))
         out.append((len(places), int(gone.sum()), runs, b"".join(left).decode()))
+    A.release()
     kinds = [("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("n_runs", pa.int64()), ("kept", pa.string())]
     return pa.StructArray.from_arrays([pa.array([o[k] for o in out], kind) for k, (_, kind) in enumerate(kinds)], fields=list(pa.struct(kinds)))
 
