@@ -32,10 +32,11 @@ SIZE = 100
 GRAM = 32
 WITHIN = SIZE - GRAM + 1
 PLACES = A.U64((1 << 28) - 1)
-SHARD_BYTES = 32_000_000
+SHARD_BYTES = 16_000_000
 LEAST_SHARDS = 32
 BATCH_SAMPLES = 100_000
-MOST_DOCS = 1 << 16
+#: Documents that one packed row names at most; it bounds the arrays of a task, too.
+MOST_DOCS = 2048
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -75,8 +76,9 @@ def sample(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     edge = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
     first, last = starts[edge], starts[np.append(edge[1:], len(starts)) - 1] if len(edge) else starts
     around = prints.of(first, last + SIZE)
-    code = (grams[place[edge]] << A.U64(24)) | (around >> A.U64(40))
-    shard = grams[place[edge]] >> A.U64(40)
+    chosen = A.mixed(grams[place[edge]])  # the chosen fingerprints are small ones, so they are spread again
+    code = (chosen << A.U64(24)) | (around >> A.U64(40))
+    shard = chosen >> A.U64(40)
     text = np.searchsorted(bounds, first, "right") - 1
     return code, text, first - bounds[text], last - first, shard
 
@@ -123,6 +125,7 @@ def sample_rows(shards: int):
                     code, at, first, more, high = (np.concatenate(c) for c in zip(*found))
                     shard = ((high * A.U64(shards)) >> A.U64(24)).astype(np.int64)
                     yield dealt(SAMPLES, shard, shards, at, docs, {"code": code, "first": first, "more": more})
+            A.release()
 
     return rows
 
@@ -203,6 +206,7 @@ def scan_shard(table: pa.Table) -> pa.Table:
     repeats = np.concatenate(repeats) if repeats else np.zeros(0, np.int64)
     chosen = np.concatenate([repeats, left])
     doc = named[at[chosen]]
+    A.release()
     return pa.Table.from_arrays(
         [
             pa.array(docs[doc]), pa.array(ties[doc]), pa.array(first[chosen]), pa.array(first[chosen] + more[chosen]),
@@ -254,6 +258,7 @@ def stretch_rows(shards: int):
                 if not found or not sum(len(f[0]) for f in found):
                     continue
                 yield dealt_stretches(*(np.concatenate(c) for c in zip(*found)), docs, shards)
+            A.release()
 
     return rows
 
@@ -284,6 +289,7 @@ def scan_stretches(table: pa.Table) -> pa.Table:
     at, first = at[order], first[order]
     edge = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (first[1:] > first[:-1] + 1)])) if len(at) else np.zeros(0, np.int64)
     doc = named[at[edge]]
+    A.release()
     last = first[np.append(edge[1:], len(first)) - 1] if len(edge) else first
     return pa.Table.from_arrays(
         [pa.array(docs[doc]), pa.array(ties[doc]), pa.array(first[edge]), pa.array(last)], names=["doc", "tie", "first", "last"]
@@ -314,6 +320,7 @@ def cut(texts: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
         removed.append(int(gone.sum()))
         spans.append(int(np.count_nonzero(gone & ~np.concatenate([[False], gone[:-1]]))))
         kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes())
+    A.release()
     return pa.StructArray.from_arrays(
         [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
         fields=list(pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])),
