@@ -122,7 +122,7 @@ MODEL = "piece_bpe_32k.model"
 @query("op10_pieces")
 def encode_pieces(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents") if docs is None else docs
-    made = pieces.encode_documents(docs.select("doc_id", "text"), public_tokenizers.path(MODEL))
+    made = pieces.encode_documents(docs, public_tokenizers.path(MODEL), keep=["doc_id"])
     return made.select(
         "doc_id",
         F.expr("octet_length(pieces.ids) div 4").alias("n_tokens"),

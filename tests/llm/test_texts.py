@@ -3,6 +3,7 @@
 import sys
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,8 +73,10 @@ def test_a_small_chunk_table_changes_nothing(monkeypatch):
     want = [large.encode([t], b"", b"") for t in texts]
     monkeypatch.setattr(pieces, "TABLE_CHUNKS", 4)
     assert [small.encode([t], b"", b"") for t in texts] == want
-    monkeypatch.setattr(pieces, "GROUP_CHARS", 20)
-    assert [t for g in pieces.grouped(texts) for t in g] == texts
+    batch = pa.RecordBatch.from_pydict({"text": texts, "n": list(range(len(texts)))})
+    monkeypatch.setattr(pieces, "GROUP_ROWS", 2)
+    out = [r for b in pieces.encoder(path, "text", ["n"], False, False)(iter([batch])) for r in b.to_pylist()]
+    assert [(r["n"], r["_pieces"]["ids"]) for r in out] == [(k, w[0][0]) for k, w in enumerate(want)]
 
 
 def chats(spark, data):
