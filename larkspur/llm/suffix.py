@@ -2,16 +2,17 @@
 
 A suffix is sampled where the fingerprint of its first GRAM bytes is the smallest within a stretch of SIZE bytes. Equal
 stretches choose the same place, so every repeated stretch is found at a sampled suffix. A sample stands for the run of
-stretches that chose it; its code holds the fingerprints of its first GRAM bytes and of all bytes of that run.
+stretches that chose it; its key is the fingerprint of its first GRAM bytes, its code that of all bytes of that run.
 
-Samples are dealt to shards by their first fingerprint. A shard takes its samples in batches of document order. Each
+Samples are dealt to shards by the first bits of their key. A shard takes its samples in batches of document order. Each
 batch gets a sorted array, which is scanned against the sorted levels: a sample whose code is there already repeats an
 earlier one in all its stretches. New codes become a level, and levels of one size class are merged, so that a shard holds
-a logarithmic number of them. Last, samples that agree in the first fingerprint but not in the rest are handed out again
+a logarithmic number of them. Last, samples that agree in the key but not in the code are handed out again
 with the fingerprint of each of their stretches, and later ones of equal stretches are marked.
 
-A suffix array of every byte would shuffle 16 bytes per byte of text; sampled ones need 15 bytes per sample, about 0.4 per
-byte. Codes have 64 bits beside the shard number, stretches 64 bits.
+A suffix array of every byte would shuffle 16 bytes per byte of text; sampled ones need 19 bytes per sample, about 0.5 per
+byte. Codes and stretches have 64 bits each. Keys have 32 bits beside the shard number; equal keys of unequal grams only
+cause more comparisons.
 """
 
 from __future__ import annotations
@@ -64,10 +65,10 @@ def whole_stretches(bounds: np.ndarray, n: int) -> np.ndarray:
 
 
 def sample(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Code, text, first stretch and last stretch (from the first one) of each sample."""
+    """Code, text, first stretch, last stretch (from the first one), key and shard bits of each sample."""
     n = len(data) - SIZE + 1
     if n <= 0:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     prints = A.Fingerprints(data)
     grams = prints.grams(GRAM)
     least = sliding_least((grams & ~PLACES) | np.arange(len(grams), dtype=A.U64), WITHIN)[:n]
@@ -75,12 +76,12 @@ def sample(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     place = (least[starts] & PLACES).astype(np.int64)
     edge = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
     first, last = starts[edge], starts[np.append(edge[1:], len(starts)) - 1] if len(edge) else starts
-    around = prints.of(first, last + SIZE)
+    code = prints.of(first, last + SIZE)
     chosen = A.mixed(grams[place[edge]])  # the chosen fingerprints are small ones, so they are spread again
-    code = (chosen << A.U64(24)) | (around >> A.U64(40))
+    key = chosen.astype(np.uint32)
     shard = chosen >> A.U64(40)
     text = np.searchsorted(bounds, first, "right") - 1
-    return code, text, first - bounds[text], last - first, shard
+    return code, text, first - bounds[text], last - first, key, shard
 
 
 def dealt(names: dict[str, object], shard: np.ndarray, shards: int, at: np.ndarray, docs: tuple, columns: dict[str, np.ndarray]):
@@ -104,8 +105,8 @@ def dealt(names: dict[str, object], shard: np.ndarray, shards: int, at: np.ndarr
     return pa.RecordBatch.from_arrays([pa.array(out[n], kind) for n, kind in names.items()], names=list(names))
 
 
-SAMPLES = {k: pa.int32() if k == "shard" else pa.binary() for k in ("shard", "docs", "ties", "at", "code", "first", "more")}
-SAMPLES_DDL = "shard int, docs binary, ties binary, at binary, code binary, first binary, more binary"
+SAMPLES = {k: pa.int32() if k == "shard" else pa.binary() for k in ("shard", "docs", "ties", "at", "code", "key", "first", "more")}
+SAMPLES_DDL = "shard int, docs binary, ties binary, at binary, code binary, key binary, first binary, more binary"
 
 
 def sample_rows(shards: int):
@@ -120,11 +121,11 @@ def sample_rows(shards: int):
                 for row, _, data, bounds in A.slices(batch.column("text")):
                     got = sample(data, bounds)
                     if len(got[0]):
-                        found.append((got[0], got[1] + row, got[2].astype(np.uint32), got[3].astype(np.uint8), got[4]))
+                        found.append((got[0], got[1] + row, got[2].astype(np.uint32), got[3].astype(np.uint8), got[4], got[5]))
                 if found:
-                    code, at, first, more, high = (np.concatenate(c) for c in zip(*found))
+                    code, at, first, more, key, high = (np.concatenate(c) for c in zip(*found))
                     shard = ((high * A.U64(shards)) >> A.U64(24)).astype(np.int64)
-                    yield dealt(SAMPLES, shard, shards, at, docs, {"code": code, "first": first, "more": more})
+                    yield dealt(SAMPLES, shard, shards, at, docs, {"code": code, "key": key, "first": first, "more": more})
             A.release()
 
     return rows
@@ -182,12 +183,13 @@ def scan_shard(table: pa.Table) -> pa.Table:
     docs, ties = joined(table.column("docs"), np.int64), joined(table.column("ties"), np.int64)
     place, named = ordered_docs(docs, ties)
     at = place[base + joined(table.column("at"), np.uint16)]
-    code, first, more = joined(table.column("code"), np.uint64), joined(table.column("first"), np.uint32), joined(table.column("more"), np.uint8)
+    code, key = joined(table.column("code"), np.uint64), joined(table.column("key"), np.uint32)
+    first, more = joined(table.column("first"), np.uint32), joined(table.column("more"), np.uint8)
     order = np.lexsort((first, at))
     new = np.ones(len(order), bool)  # rows that are alike in all are one document
     new[1:] = (at[order][1:] != at[order][:-1]) | (first[order][1:] != first[order][:-1])
     order = order[new]
-    code, at, first, more = code[order], at[order], first[order].astype(np.int64), more[order].astype(np.int64)
+    code, key, at, first, more = code[order], key[order], at[order], first[order].astype(np.int64), more[order].astype(np.int64)
     levels, repeats = Levels(), []
     for lo in range(0, len(code), BATCH_SAMPLES):
         batch = code[lo : lo + BATCH_SAMPLES]
@@ -198,8 +200,9 @@ def scan_shard(table: pa.Table) -> pa.Table:
         again |= levels.known(codes)
         repeats.append(lo + order[again])
         levels.add(codes[~again], lo + order[~again])
-    codes, samples = levels.all()
-    key = codes >> A.U64(24)
+    samples = levels.all()[1]
+    samples = samples[np.argsort(key[samples], kind="stable")]
+    key = key[samples]
     same = np.zeros(len(key) + 1, bool)
     same[1:-1] = key[1:] == key[:-1]
     left = samples[same[1:] | same[:-1]]

@@ -97,6 +97,14 @@ def test_removed_bytes_of_the_given_documents(spark):
     assert {r["doc_id"]: tuple(r)[1:] for r in rows} == brute.removed_bytes(docs)
 
 
+def test_a_passage_in_many_surroundings_is_no_repeat(spark):
+    """Too short a passage to be removed; its grams are sampled in each document, with other bytes around them."""
+    rng = random.Random(11)
+    passage = f"{rng.getrandbits(320):080x}"
+    docs = [(i, f"{rng.getrandbits(400):0100x}{passage}{rng.getrandbits(400):0100x}") for i in range(40_000)]
+    assert suffix.remove_repeats(frame(spark, docs)).where("n_removed > 0").count() == 0
+
+
 def test_levels_stay_few():
     levels = suffix.Levels()
     for k in range(64):
