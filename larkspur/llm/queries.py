@@ -190,7 +190,7 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_sentence_dedup")
 def sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = sentences.remove_repeats(table(spark, sf_dir, "documents"))
+    left = sentences.remove_repeats(table(spark, sf_dir, "documents"), both_ends=True)
     return left.select("doc_id", "n_sentences", "n_removed", "n_runs", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -1,8 +1,10 @@
 """Removal of repeated runs of sentences.
 
-A span starts at each sentence and takes the fewest sentences, two at least, that hold LEAST_WORDS words. Spans are
-compared by the fingerprint of their words, A-Z lower-cased. All spans meet in shards by fingerprint; a span that
-repeats an earlier one, in document order, removes its sentences.
+A span starts at each sentence and takes the fewest sentences, two at least, that hold LEAST_WORDS words. With
+``both_ends``, a span also ends at each sentence, and one sentence of LONG_WORDS words is a span. Any longer run that
+repeats, sentence by sentence, is then covered by spans inside it: a sentence whose own span would reach past the run's end
+lies in the span that ends there. Spans are compared by the fingerprint of their words, A-Z lower-cased. All spans meet in
+shards by fingerprint; a span that repeats an earlier one, in document order, removes its sentences.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from larkspur.llm.suffix import MOST_DOCS, REPEATED, STRETCHES_DDL, by_document,
 
 LEAST_SENTENCES = 2
 LEAST_WORDS = 16
+LONG_WORDS = 50
 SHARD_BYTES = 64_000_000
 LEAST_SHARDS = 32
 
@@ -42,26 +45,41 @@ def sentence_starts(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray, en
     return np.flatnonzero(opens)
 
 
-def spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of each span: fingerprint, text, first sentence within the text, end sentence; and the sentences' first bytes
-    with each text's bounds among them."""
+def spans(data: np.ndarray, bounds: np.ndarray, both_ends: bool) -> tuple[np.ndarray, ...]:
+    """Of each span: fingerprint, text, number within the text by start and end, first sentence within the text, end
+    sentence; and the sentences' first bytes."""
     starts, ends, first = A.words(data, bounds)
     opens = sentence_starts(data, bounds, starts, ends, first)
     of_text = np.searchsorted(opens, first)
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(of_text))
     edges = np.append(opens, len(starts))
-    end = np.maximum(np.searchsorted(edges, opens + LEAST_WORDS), np.arange(len(opens)) + LEAST_SENTENCES)
-    whole = end <= of_text[text + 1]
+    low = np.arange(len(opens))
+    high = np.maximum(np.searchsorted(edges, opens + LEAST_WORDS), low + LEAST_SENTENCES)
+    if both_ends:
+        long = np.diff(edges) >= LONG_WORDS
+        high = np.where(long, low + 1, high)
+        end = low + 1
+        start = np.minimum(np.searchsorted(edges, edges[1:] - LEAST_WORDS, "right") - 1, end - LEAST_SENTENCES)
+        start = np.where(long, low, start)
+        new = high[np.maximum(start, 0)] != end  # not the span that its first sentence has anyway
+        new &= start >= of_text[text]
+    whole = high <= of_text[text + 1]
+    low, high = low[whole], high[whole]
+    if both_ends:
+        low, high = np.concatenate([low, start[new]]), np.concatenate([high, end[new]])
+        order = np.lexsort((high, low))
+        low, high = low[order], high[order]
     sums = np.zeros(len(starts) + 1, A.U64)
     up, down = A.powers(1 << max(20, int(len(starts) + 1).bit_length()))
     np.cumsum(A.Fingerprints(data, A.LOWER).of(starts, ends) * up[: len(starts)], out=sums[1:])
-    a, b = opens[whole], edges[end[whole]]
+    a, b = opens[low], edges[high]
     prints = A.mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(A.U64) * A.U64(A.STEPS[20]))
-    number = np.flatnonzero(whole)
-    return prints, text[whole], number - of_text[text[whole]], end[whole] - of_text[text[whole]], starts[opens], of_text
+    text = text[low]
+    number = np.arange(len(text)) - np.searchsorted(text, text)
+    return prints, text, number, low - of_text[text], high - of_text[text], starts[opens]
 
 
-def span_rows(shards: int):
+def span_rows(shards: int, both_ends: bool):
     """For mapInArrow over (doc, tie, text): the spans of each batch, one row per shard."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,8 +89,8 @@ def span_rows(shards: int):
                 docs = np.asarray(batch.column("doc"), np.int64), np.asarray(batch.column("tie"), np.int64)
                 found = []
                 for row, _, data, bounds in A.slices(batch.column("text")):
-                    prints, text, sentence, *_ = spans(data, bounds)
-                    found.append((prints, text + row, sentence))
+                    prints, text, number, *_ = spans(data, bounds, both_ends)
+                    found.append((prints, text + row, number))
                 if found and sum(len(f[0]) for f in found):
                     yield dealt_stretches(*(np.concatenate(c) for c in zip(*found)), docs, shards)
             A.release()
@@ -83,43 +101,46 @@ def span_rows(shards: int):
 CUT = StructType([StructField("n_sentences", LongType()), StructField("n_removed", LongType()), StructField("n_runs", LongType()), StructField("kept", StringType())])
 
 
-@F.arrow_udf(CUT)
-def cut(texts: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
+def cut(both_ends: bool):
     """What is left of each text without the sentences of the given spans."""
-    out = []
-    for text, low, high in zip(texts, firsts, lasts):
-        raw = text.as_py().encode()
-        data = np.frombuffer(raw, np.uint8)
-        _, _, sentence, end, places, _ = spans(data, np.array([0, len(data)]))
-        if not low.is_valid or not len(low):
-            out.append((len(places), 0, 0, text.as_py()))
-            continue
-        ends = dict(zip(sentence.tolist(), end.tolist()))
-        gone = np.zeros(len(places), bool)
-        for a, b in zip(low.values.to_pylist(), high.values.to_pylist()):
-            for k in range(a, b + 1):
-                gone[k : ends[k]] = True
-        edges = np.append(places, len(data))
-        left = [raw[: edges[0]]] + [raw[edges[k] : edges[k + 1]] for k in np.flatnonzero(~gone)]
-        runs = int(np.count_nonzero(gone & ~np.concatenate([[False], gone[:-1]])))
-        out.append((len(places), int(gone.sum()), runs, b"".join(left).decode()))
-    A.release()
-    kinds = [("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("n_runs", pa.int64()), ("kept", pa.string())]
-    return pa.StructArray.from_arrays([pa.array([o[k] for o in out], kind) for k, (_, kind) in enumerate(kinds)], fields=list(pa.struct(kinds)))
-
-
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+
+    @F.arrow_udf(CUT)
+    def left(texts: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
+        out = []
+        for text, low, high in zip(texts, firsts, lasts):
+            raw = text.as_py().encode()
+            data = np.frombuffer(raw, np.uint8)
+            *_, sentence, end, places = spans(data, np.array([0, len(data)]), both_ends)
+            if not low.is_valid or not len(low):
+                out.append((len(places), 0, 0, text.as_py()))
+                continue
+            gone = np.zeros(len(places), bool)
+            for a, b in zip(low.values.to_pylist(), high.values.to_pylist()):
+                for k in range(a, b + 1):
+                    gone[sentence[k] : end[k]] = True
+            edges = np.append(places, len(data))
+            kept = [raw[: edges[0]]] + [raw[edges[k] : edges[k + 1]] for k in np.flatnonzero(~gone)]
+            runs = int(np.count_nonzero(gone & ~np.concatenate([[False], gone[:-1]])))
+            out.append((len(places), int(gone.sum()), runs, b"".join(kept).decode()))
+        A.release()
+        kinds = [("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("n_runs", pa.int64()), ("kept", pa.string())]
+        return pa.StructArray.from_arrays([pa.array([o[k] for o in out], kind) for k, (_, kind) in enumerate(kinds)], fields=list(pa.struct(kinds)))
+
+    return left
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", both_ends: bool = False) -> DataFrame:
     """Per row (doc_id, n_sentences, n_removed, n_runs, kept): ``kept`` is the text without repeated sentences.
 
-    Spans are judged on the input. Null and empty texts have no sentences; texts of fewer sentences or words than a span
+    Without ``both_ends``, the last sentences of a repeated run may stay, and so do single long ones. Spans are judged on the input. Null and empty texts have no sentences; texts of fewer sentences or words than a span
     are left alone. Null ids come first; rows of one doc_id come in order of a fingerprint of their text, and rows alike in
     both are one document with one result. Other columns are ignored.
     """
     texts = keyed(docs, doc_id, text)
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(LEAST_SHARDS, -(-total // SHARD_BYTES))
-    found = texts.mapInArrow(span_rows(shards), STRETCHES_DDL).groupBy("shard").applyInArrow(scan_stretches, REPEATED)
+    found = texts.mapInArrow(span_rows(shards, both_ends), STRETCHES_DDL).groupBy("shard").applyInArrow(scan_stretches, REPEATED)
     runs = by_document(stored(found, "spans"))
     both = texts.join(runs, (F.col("doc") == F.col("_doc")) & (F.col("tie") == F.col("_tie")), "left")
-    done = both.select(F.nullif("doc", F.lit(-(1 << 63))).alias("doc_id"), cut("text", "firsts", "lasts").alias("c"))
+    done = both.select(F.nullif("doc", F.lit(-(1 << 63))).alias("doc_id"), cut(both_ends)("text", "firsts", "lasts").alias("c"))
     return done.select("doc_id", "c.*")

@@ -110,6 +110,41 @@ def test_sentences_of_the_given_documents(spark):
     assert {r["doc_id"]: (r["n_sentences"], r["n_removed"], r["kept"]) for r in got} == brute_sentences(docs)
 
 
+def brute_runs(docs):
+    """{doc_id: (sentences, removed)} by looking up every run of sentences that is long enough."""
+    seen, out = set(), {}
+    for i, text in sorted(docs):
+        split = [tuple(brute.WORD.findall(brute.lower_az(s))) for s in re.findall(r"[^.]+\.", text)]
+        gone = set()
+        for s in range(len(split)):
+            for e in range(s + 1, len(split) + 1):
+                n = sum(map(len, split[s:e]))
+                if n >= 50 or (n >= 16 and e - s >= 2):
+                    run = tuple(split[s:e])
+                    if run in seen:
+                        gone.update(range(s, e))
+                    seen.add(run)
+        out[i] = (len(split), len(gone))
+    return out
+
+
+def test_every_run_of_sentences(spark):
+    rng = random.Random(6)
+    sentence = lambda n: " ".join(rng.choice("ab cd Ef gh".split()) + str(rng.randrange(9)) for _ in range(n)) + "."
+    pool = [sentence(rng.choice([1, 2, 3, 7, 12, 12, 15, 16, 49, 50, 60])) for _ in range(20)]
+    new = lambda: sentence(rng.choice([3, 12]))
+    docs = [" ".join([sentence(12), sentence(12), sentence(3)]), pool[0], sentence(50)]
+    docs += docs + [" ".join(rng.choice([rng.choice(pool), new()]) for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    for _ in range(25):
+        other = docs[rng.randrange(len(docs))].split(". ")
+        docs.append(" ".join([new(), *(s.rstrip(".") + "." for s in other[rng.randrange(len(other)) :]), new()]))
+    docs += ["One. " * 40, "a. b. " * 20]
+    docs = [(i, t.strip()) for i, t in enumerate(docs)]
+    got = {r["doc_id"]: r for r in sentences.remove_repeats(frame(spark, docs), both_ends=True).collect()}
+    assert {i: (r["n_sentences"], r["n_removed"]) for i, r in got.items()} == brute_runs(docs)
+    assert got[3]["kept"] == got[5]["kept"] == ""
+
+
 def leaves(spark, rows):
     return spark.createDataFrame(rows, "domain string, lang string, source string, tokens long, n_docs long")
 
