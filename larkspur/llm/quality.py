@@ -1,8 +1,8 @@
 """Quality rules with thresholds from mergeable quantile sketches per language and source.
 
-Each text is measured in one pass. The features' quantiles are sketched per language and source; sketches of small
-groups are replaced by the merged sketch of their language, or of all documents. A document whose feature lies far
-outside the middle half of its group is rejected. Thresholds are a small table, joined to the measured rows.
+Each text is measured in one pass. The features' quantiles are sketched per language and source. A document whose feature
+lies far outside the middle half of its group, or beyond its tails, is rejected. A group's limits are blended by weight with
+those of its language, and a language's with those of all documents. Thresholds are a small table, joined to the measured rows.
 """
 
 from __future__ import annotations
@@ -23,14 +23,20 @@ MOST_REPEATED = 30
 WINDOW = 8
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-TYPE = StructType([StructField(m, LongType()) for m in MEASURES])
+#: Lines that are not blank are counted, too, for the share of repeated ones.
+COUNTS = (*MEASURES, "n_lines")
+TYPE = StructType([StructField(m, LongType()) for m in COUNTS])
 IS_SYMBOL = A.byte_flags(SYMBOLS.encode())
 
-#: Groups with fewer documents take the thresholds of their language, and languages those of all documents.
-LEAST_DOCS = 200
+#: A group's limits count by its documents, those of its language as so many; likewise for languages and all documents.
+BLEND_DOCS = 100
 #: A feature may lie so many times the middle half's width outside it; the width counts as so much at least.
 REACH = 4.0
 LEAST_WIDTH = {"word_length": 1.0, "symbols": 0.05, "dup_lines": 0.08, "repeats": 0.08}
+#: Nor may it lie so many times the distance from the median to a tail's quantile beyond that; it counts as so much at least.
+TAIL = 0.05
+TAIL_REACH = 2.0
+LEAST_TAIL = {"word_length": 0.25, "symbols": 0.05, "dup_lines": 0.1, "repeats": 0.1}
 SKETCH_K = 400
 
 
@@ -46,7 +52,8 @@ def measure_slice(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     keys = A.mixed(prints.of(line_starts[full], line_ends[full]) + text[full].astype(A.U64) * A.U64(A.STEPS[1]))
     kept = np.unique(keys, return_index=True)[1]
     n = len(bounds) - 1
-    dup_lines = np.bincount(text[full], minlength=n) - np.bincount(text[full][kept], minlength=n)
+    n_lines = np.bincount(text[full], minlength=n)
+    dup_lines = n_lines - np.bincount(text[full][kept], minlength=n)
 
     keys = A.runs(prints.of(starts, ends), WINDOW)
     keys += A.texts_of(first)[: len(keys)].astype(A.U64) * A.U64(A.STEPS[1])
@@ -60,16 +67,16 @@ def measure_slice(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
         hit = at[twice[place] == keys]
         np.add.at(repeated, hit, 1)
         np.add.at(repeated, hit + WINDOW, -1)
-    return [np.diff(first), chars, symbols, dup_lines, A.counts(np.cumsum(repeated)[:-1] > 0, first)]
+    return [np.diff(first), chars, symbols, dup_lines, A.counts(np.cumsum(repeated)[:-1] > 0, first), n_lines]
 
 
 @F.arrow_udf(TYPE)
 def measures(column: pa.Array) -> pa.Array:
     """Counts of each whole text; a null text has none of anything."""
     made = [measure_slice(data, bounds) for _, _, data, bounds in A.slices(column)]
-    columns = [np.concatenate(c) for c in zip(*made)] if made else [np.zeros(0, np.int64)] * len(MEASURES)
+    columns = [np.concatenate(c) for c in zip(*made)] if made else [np.zeros(0, np.int64)] * len(COUNTS)
     A.release()
-    return pa.StructArray.from_arrays([pa.array(c.astype(np.int64)) for c in columns], list(MEASURES))
+    return pa.StructArray.from_arrays([pa.array(c.astype(np.int64)) for c in columns], list(COUNTS))
 
 
 def base_failed(m: str) -> Column:
@@ -79,10 +86,11 @@ def base_failed(m: str) -> Column:
 def features(m: str) -> dict[str, Column]:
     """Shares that do not depend on a text's length."""
     words = F.greatest(F.col(f"{m}.n_words"), F.lit(1)).cast("double")
+    lines = F.greatest(F.col(f"{m}.n_lines"), F.lit(1)).cast("double")
     return {
         "word_length": F.col(f"{m}.word_chars") / words,
         "symbols": F.col(f"{m}.n_symbols") / words,
-        "dup_lines": F.col(f"{m}.n_dup_lines") / words,
+        "dup_lines": F.col(f"{m}.n_dup_lines") / lines,
         "repeats": F.col(f"{m}.n_repeat_words") / words,
     }
 
@@ -109,20 +117,23 @@ def thresholds(measured: DataFrame, lang: str, source: str, m: str = "quality")
     def limits(df: DataFrame, *keys: str) -> DataFrame:
         columns = []
         for name in found:
-            low = F.kll_sketch_get_quantile_double(name, F.lit(0.25))
-            high = F.kll_sketch_get_quantile_double(name, F.lit(0.75))
+            least, low, middle, high, most = (F.kll_sketch_get_quantile_double(name, F.lit(q)) for q in (TAIL, 0.25, 0.5, 0.75, 1 - TAIL))
             reach = REACH * F.greatest(high - low, F.lit(LEAST_WIDTH[name]))
-            columns.append(F.struct((low - reach).alias("low"), (high + reach).alias("high")).alias(name))
-        return df.select(*keys, F.when(F.col("n_docs") >= (LEAST_DOCS if keys else 1), F.struct(*columns)).alias("limits"))
+            below = TAIL_REACH * F.greatest(middle - least, F.lit(LEAST_TAIL[name]))
+            above = TAIL_REACH * F.greatest(most - middle, F.lit(LEAST_TAIL[name]))
+            columns.append(F.struct(F.greatest(low - reach, least - below).alias("low"), F.least(high + reach, most + above).alias("high")).alias(name))
+        return df.select(*keys, F.col("n_docs").cast("double").alias("n_docs"), F.struct(*columns).alias("limits"))
+
+    def blended(own: str, wider: str) -> Column:
+        mean = lambda at: (F.col(f"{own}.n_docs") * F.col(f"{own}.limits.{at}") + BLEND_DOCS * F.col(f"{wider}.limits.{at}")) / (
+            F.col(f"{own}.n_docs") + BLEND_DOCS
+        )
+        return F.struct(*[F.struct(*[mean(f"{name}.{end}").alias(end) for end in ("low", "high")]).alias(name) for name in found])
 
     own = limits(sketched, "lang", "source").alias("o")
-    lang_limits = limits(by_lang, "lang").alias("l")
-    all_limits = limits(of_all).alias("a")
-    return (
-        own.join(lang_limits, F.col("o.lang").eqNullSafe(F.col("l.lang")), "left")
-        .join(F.broadcast(all_limits), F.lit(True), "left")  # one row
-        .select("o.lang", "o.source", F.coalesce("o.limits", "l.limits", "a.limits").alias("limits"))
-    )
+    all_limits = F.broadcast(limits(of_all)).alias("a")  # one row
+    of_lang = limits(by_lang, "lang").alias("l").join(all_limits, F.lit(True)).select("l.lang", blended("l", "a").alias("limits")).alias("w")
+    return own.join(of_lang, F.col("o.lang").eqNullSafe(F.col("w.lang"))).select("o.lang", "o.source", blended("o", "w").alias("limits"))
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", into: str = "quality") -> DataFrame:

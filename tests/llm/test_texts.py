@@ -1,5 +1,6 @@
 """Operators on single rows: chats, pages, quality measures, pieces."""
 
+import random
 import sys
 
 import public_tokenizers
@@ -52,6 +53,31 @@ def test_thresholds_follow_the_group(spark):
     assert quality.keep_good(docs.limit(0)).count() == 0
 
 
+def test_each_feature_rejects(spark):
+    """A planted document per feature goes, also from a small source; plain ones stay, with a stray symbol or line."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    lines = lambda k, n, size=None: [" ".join(word(size or rng.randint(3, 7)) for _ in range(n)) for _ in range(k)]
+    clean = [lines(12, 8) for _ in range(300)]
+    for k in range(3):
+        clean[k][0] += " a & b"
+        clean[k + 3][11] = clean[k + 3][0]
+    rows = [(k, "\n".join(t), "en", "big" if k % 15 else "small") for k, t in enumerate(clean)]
+    part = lines(1, 16)[0]
+    short = lines(30, 2)
+    planted = {
+        "word_length": lines(12, 8, 8),
+        "symbols": [line.replace(" ", " # ") for line in lines(12, 8)],
+        "dup_lines": [x for k, line in enumerate(short) for x in (line, short[k // 2])],
+        "repeats": [*lines(4, 8), part, *lines(4, 8), part, *lines(4, 8)],
+    }
+    names = [(name, source) for name in planted for source in ("big", "small")]
+    rows += [(1000 + k, "\n".join(planted[name]), "en", source) for k, (name, source) in enumerate(names)]
+    judged = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).select("doc_id", "quality.*").collect()
+    assert not any(r["base_failed"] for r in judged)
+    assert {r["doc_id"] for r in judged if r["kept"]} == set(range(300))
+
+
 def test_pieces_equal_the_library(spark):
     import sentencepiece
 
