@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from larkspur.llm import chat, jaccard, lines, maxscore, mixing, pages, pieces, quality, sentences, suffix
+from larkspur.llm import chat, codes, jaccard, lines, maxscore, mixing, pages, periods, personal, pieces, quality, sentences, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -255,3 +257,99 @@ SELECT doc_id, domain, lang, source, n_tokens, CAST(whole + CASE WHEN upto <= re
 @query("op9_mix", MIX_SQL)
 def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("tie")
+
+
+# --- 11 personal data
+
+
+def spans_text(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query("op11_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find_personal(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    base = F.filter("personal", lambda s: s["base"])
+    kinds = F.transform("base", lambda s: s["kind"])
+    of_kind = {f"n_{k}": (F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long") for k in personal.KINDS}
+    return found.withColumn("base", base).select(
+        "doc_id", *[n.alias(name) for name, n in of_kind.items()],
+        F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("personal")).alias("spans"),
+    )
+
+
+# --- 12 periodic runs of words
+
+
+@F.arrow_udf(StringType())
+def with_tail(texts: pa.Array, hashes: pa.Array) -> pa.Array:
+    """Each text with its words from one place on repeated with one period, both drawn from the row's hash; null stays."""
+    made = []
+    for text, h in zip(texts, hashes):
+        words, g = (text.as_py() or "").encode().split(), (h.as_py() or 0) // 10
+        if words:
+            at = g % len(words)
+            period = 1 + (len(words) - at) // (3 + g % 8)
+            words[at:] = [words[at + k % period] for k in range(len(words) - at)]
+        made.append(b" ".join(words).decode() if text.is_valid else None)
+    return pa.array(made, pa.string())
+
+
+@query("op12_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", h.alias("h"), F.coalesce(h % 10 == 0, F.lit(False)).alias("dealt"))
+    tailed = with_tail(F.when(F.col("dealt"), F.col("text")), F.col("h"))
+    docs = docs.withColumn("tailed", tailed).select("doc_id", F.when(F.col("dealt"), F.col("tailed")).otherwise(F.col("text")).alias("text"))
+    found = periods.find_runs(docs, keep=["doc_id"]).select("doc_id", "periods.*").withColumn("best", periods.strongest("runs"))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+# --- 13 vector code compression
+
+
+def round_sql(k: int) -> str:
+    """One round: the nearest entries of all parts, then the floors of the means."""
+    return f"""
+near{k} AS MATERIALIZED (
+  SELECT row_id, p, CAST(min(d * {codes.ENTRIES} + e) AS BIGINT) AS k FROM (
+    SELECT row_id, p, e, CAST(sum((x - y) * (x - y)) AS BIGINT) AS d FROM part JOIN book{k} USING (p, j) GROUP BY ALL
+  ) GROUP BY ALL
+), book{k + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, b.j, coalesce(m.y, b.y) AS y FROM book{k} b LEFT JOIN (
+    SELECT p, k % {codes.ENTRIES} AS e, j, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS y
+    FROM part JOIN near{k} USING (row_id, p) GROUP BY ALL
+  ) m ON m.p = b.p AND m.e = b.e AND m.j = b.j
+), """
+
+
+CODES_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row_id FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), part AS MATERIALIZED (
+  SELECT row_id, (i - 1) // w AS p, (i - 1) % w AS j, CAST(floor({codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM (
+    SELECT row_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i, len(embedding) // {codes.PARTS} AS w FROM v
+  )
+), book0 AS (
+  SELECT p, row_id - 1 AS e, j, x AS y FROM part WHERE row_id <= {codes.ENTRIES}
+), {"".join(round_sql(k) for k in range(codes.ROUNDS + 1))}coded AS (
+  SELECT row_id, string_agg(printf('%02x', k % {codes.ENTRIES}), '' ORDER BY p) AS code, CAST(sum(k // {codes.ENTRIES}) AS BIGINT) AS error
+  FROM near{codes.ROUNDS} GROUP BY row_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY p, e, j)) FROM book{codes.ROUNDS}) AS codebooks_sha256
+FROM coded JOIN v USING (row_id)"""
+
+
+@query("op13_vector_codes", CODES_SQL)
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
