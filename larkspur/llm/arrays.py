@@ -109,9 +109,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-@lru_cache(maxsize=2)
-def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse."""
+def made_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     made = []
     for base in (BASE, pow(BASE, -1, 1 << 64)):
         steps = np.full(size, base, U64)
@@ -120,12 +118,21 @@ def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return made[0], made[1]
 
 
+@lru_cache(maxsize=1)
+def slice_powers() -> tuple[np.ndarray, np.ndarray]:
+    return made_powers(SLICE_BYTES + 1)
+
+
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse. Only those for a usual slice are kept; longer texts make their own."""
+    return slice_powers() if size <= SLICE_BYTES + 1 else made_powers(size)
+
+
 class Fingerprints:
     """64-bit fingerprints of any stretch of the given bytes, from one pass of prefix sums."""
 
     def __init__(self, data: np.ndarray, table: np.ndarray = SAME):
-        size = 1 << max(20, int(len(data) + 1).bit_length())
-        up, self.down = powers(size)
+        up, self.down = powers(len(data) + 1)
         values = (table.astype(U64) + U64(1))[data]
         values *= up[: len(data)]
         self.sums = np.zeros(len(data) + 1, U64)

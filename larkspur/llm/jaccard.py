@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -43,6 +44,8 @@ COMBINED_FROM = 20
 CLASS_TOKENS = 8
 #: Documents that one packed row names at most; it bounds the arrays of a task, too.
 MOST_SETS = 2048
+#: So much text at most, but for a longer single one.
+MOST_BYTES = 6_000_000
 
 
 def bands(most: int = 1 << 40) -> np.ndarray:
@@ -86,6 +89,18 @@ def batch_sets(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, row, np.bincount(row, minlength=n)
 
 
+def parts(column) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of consecutive parts of MOST_SETS texts and MOST_BYTES at most."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    lo = 0
+    while lo < len(column):
+        most = int(np.searchsorted(ends, ends[lo] + MOST_BYTES, "right")) - 1
+        hi = min(max(most, lo + 1), lo + MOST_SETS, len(column))
+        yield lo, hi - lo
+        lo = hi
+
+
 def set_ids(h: np.ndarray, row: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     ids = np.zeros(len(sizes), A.U64)
     np.add.at(ids, row, A.mixed(h ^ A.U64(A.STEPS[7])))
@@ -96,8 +111,8 @@ def set_ids(h: np.ndarray, row: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def set_of(column: pa.Array) -> pa.Array:
     """Size and id of each text's set."""
     found = []
-    for lo in range(0, len(column), MOST_SETS):
-        h, row, sizes = batch_sets(column.slice(lo, MOST_SETS))
+    for lo, n in parts(column):
+        h, row, sizes = batch_sets(column.slice(lo, n))
         found.append((sizes, set_ids(h, row, sizes)))
     sizes, ids = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
     A.release()
@@ -138,8 +153,8 @@ def token_rows(buckets: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, MOST_SETS):
-                column = whole.column(0).slice(lo, MOST_SETS)
+            for lo, n in parts(whole.column(0)):
+                column = whole.column(0).slice(lo, n)
                 h, row, sizes = batch_sets(column)
                 if not len(h):
                     continue
@@ -184,8 +199,8 @@ def shared_tokens(homes: int):
     def rows(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py() if table.num_rows else 0
         heads = lengths(table.column("sets"), np.int64)
-        base = np.repeat(np.cumsum(heads) - heads, lengths(table.column("at"), np.uint16))
-        place = base + joined(table.column("at"), np.uint16)
+        place = np.repeat((np.cumsum(heads) - heads).astype(np.int32), lengths(table.column("at"), np.uint16))
+        place += joined(table.column("at"), np.uint16)
         key = joined(table.column("low"), np.uint32).astype(np.uint64)
         key |= joined(table.column("high"), np.uint8).astype(np.uint64) << A.U64(32)
         ids, sizes, lost = (joined(table.column(c), kind) for c, kind in (("sets", np.int64), ("sizes", np.int32), ("lost", np.uint8)))
@@ -195,6 +210,7 @@ def shared_tokens(homes: int):
         same[1:-1] = key[1:] == key[:-1]
         twice = same[1:] | same[:-1]
         key, place = key[twice], place[twice]
+        del order, same, twice
         owner = ids[place]
         order = np.lexsort((owner, key))
         key, place, owner = key[order], place[order], owner[order]

@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding with a table of distinct chunks.
 
 The model's pieces never hold a white-space marker after another character, so no piece reaches over the border in
-front of a marker, and each chunk (markers and the word after them) is segmented by itself. Every worker keeps a
+front of a marker, and each chunk (markers and the word after them) is segmented by itself. Every task keeps a
 table of the chunks it has met: a distinct chunk is segmented once, and a text's ids are looked up chunk by chunk and
-joined by position. Texts are taken in groups, so that a group's new chunks are segmented in one call. The table's
+joined by position. The table goes when its task ends, as Spark keeps the workers. Texts are taken in groups, so that a group's new chunks are segmented in one call. The table's
 size is bounded, which changes no result.
 """
 
@@ -36,9 +36,7 @@ class ChunkTable:
     """
 
     def __init__(self, model_path: str):
-        import sentencepiece
-
-        self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        self.model = loaded_model(model_path)
         self.young: dict[str, tuple[bytes, str]] = {}
         self.old: dict[str, tuple[bytes, str]] = {}
         self.chars = 0
@@ -73,14 +71,16 @@ class ChunkTable:
         return made
 
 
-@lru_cache(maxsize=2)
-def table(model_path: str) -> ChunkTable:
-    return ChunkTable(model_path)
+@lru_cache(maxsize=1)
+def loaded_model(model_path: str):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=model_path)
 
 
 def pieces_fit_chunks(model_path: str) -> bool:
     """Whether no piece of the model holds a marker after another character."""
-    model = table(model_path).model
+    model = loaded_model(model_path)
     return not any(MARKER in model.id_to_piece(i).lstrip(MARKER) for i in range(model.get_piece_size()))
 
 
@@ -88,7 +88,7 @@ def encoder(model_path: str, text: str, keep: list[str], begin: bool, end: bool)
     """For mapInArrow: the kept columns and the pieces of each row, GROUP_ROWS rows at a time."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = table(model_path)
+        held = ChunkTable(model_path)
         first = held.model.bos_id().to_bytes(4, "little") if begin else b""
         last = held.model.eos_id().to_bytes(4, "little") if end else b""
         for whole in batches:
@@ -98,7 +98,8 @@ def encoder(model_path: str, text: str, keep: list[str], begin: bool, end: bool)
                 ids, decoded = pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.string())
                 struct = pa.StructArray.from_arrays([ids, decoded], ["ids", "decoded"])
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], struct], names=[*keep, "_pieces"])
-            release()
+        del held
+        release()
 
     return rows
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from larkspur.llm import arrays as A
-from larkspur.session import run_dir
+from larkspur.session import stored
 
 # The characters counted as symbols, and the base rules' limits.
 SYMBOLS = "#*$%&|<>"
@@ -112,7 +112,7 @@ def thresholds(measured: DataFrame, lang: str, source: str, m: str = "quality")
     )
     merged = [F.sum("n_docs").alias("n_docs"), *[F.kll_merge_agg_double(name, SKETCH_K).alias(name) for name in found]]
     by_lang = sketched.groupBy("lang").agg(*merged)
-    of_all = by_lang.agg(*merged)
+    of_all = by_lang.agg(*merged).where("n_docs > 0")  # without documents there is no sketch to ask
 
     def limits(df: DataFrame, *keys: str) -> DataFrame:
         columns = []
@@ -136,33 +136,57 @@ def thresholds(measured: DataFrame, lang: str, source: str, m: str = "quality")
     return own.join(of_lang, F.col("o.lang").eqNullSafe(F.col("w.lang"))).select("o.lang", "o.source", blended("o", "w").alias("limits"))
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", into: str = "quality") -> DataFrame:
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, with underscores in front of those that are taken."""
+    held = {c.lower() for c in taken}
+    made = []
+    for name in wanted:
+        while name.lower() in held:
+            name = f"_{name}"
+        made.append(name)
+    return made
+
+
+def judge(
+    docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", into: str = "quality", keep: list[str] | None = None
+) -> DataFrame:
     """Every row of ``docs`` with a struct ``into``: the measures, ``base_failed`` and ``kept``.
 
+    Texts are measured in one pass, however long; the measured rows are written to the shared folder, and thresholds and
+    verdicts are worked out from there. ``keep`` names the other columns, all by default.
+
     Null and empty texts fail the base rules. Rows with a null language or source form groups of their own. Repeated
-    rows are judged alike. A column named ``into`` is replaced; other columns stay as they are. The thresholds are
-    written to the shared folder, so that the join knows their size.
+    rows are judged alike. A column named ``into`` is replaced; other columns stay as they are. An empty table gives no rows, and
+    one in which no document passes the base rules gives all of them, not kept. The thresholds are written, too, so that the join
+    knows their size.
     """
-    measured = docs.withColumn(into, measures(F.col(text)))
-    path = run_dir(docs.sparkSession, "thresholds")
-    narrow = docs.select(F.col(lang).alias("lang"), F.col(source).alias("source"), measures(F.col(text)).alias("m"))
-    thresholds(narrow, "lang", "source", "m").select(
-        F.col("lang").alias("_t_lang"), F.col("source").alias("_t_source"), F.col("limits").alias("_t_limits")
-    ).write.parquet(path)
-    limits = docs.sparkSession.read.parquet(path)
+    kept = [c for c in (docs.columns if keep is None else keep) if c != into]
+    m, own_lang, own_source, of_lang, of_source, limits = free_names(
+        [*docs.columns, into], "measured", "own_lang", "own_source", "of_lang", "of_source", "limits"
+    )
+    measured = stored(
+        docs.select(*kept, F.col(lang).alias(own_lang), F.col(source).alias(own_source), measures(F.col(text)).alias(m)), "measured"
+    )
+    found = stored(
+        thresholds(measured, own_lang, own_source, m).select(
+            F.col("lang").alias(of_lang), F.col("source").alias(of_source), F.col("limits").alias(limits)
+        ),
+        "thresholds",
+    )
     joined = measured.join(
-        limits, F.col(lang).eqNullSafe(F.col("_t_lang")) & F.col(source).eqNullSafe(F.col("_t_source")), "left"
+        found, F.col(own_lang).eqNullSafe(F.col(of_lang)) & F.col(own_source).eqNullSafe(F.col(of_source)), "left"
     )
     fits = F.lit(True)
-    for name, value in features(into).items():
-        fits = fits & value.between(F.col(f"_t_limits.{name}.low"), F.col(f"_t_limits.{name}.high"))
-    failed = base_failed(into)
-    return joined.withColumn(
-        into,
-        F.struct(*[F.col(f"{into}.{m}") for m in MEASURES], failed.alias("base_failed"), (~failed & F.coalesce(fits, F.lit(True))).alias("kept")),
-    ).drop("_t_lang", "_t_source", "_t_limits")
+    for name, value in features(m).items():
+        fits = fits & value.between(F.col(f"{limits}.{name}.low"), F.col(f"{limits}.{name}.high"))
+    failed = base_failed(m)
+    verdict = F.struct(
+        *[F.col(f"{m}.{c}") for c in MEASURES], failed.alias("base_failed"), (~failed & F.coalesce(fits, F.lit(True))).alias("kept")
+    )
+    return joined.select(*kept, verdict.alias(into))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with their columns."""
-    return judge(docs, into="_quality").where("_quality.kept").select(*docs.columns)
+    """The documents that are kept, with their columns. Nulls, ties, repeats and very long texts: see ``judge``."""
+    (into,) = free_names(docs.columns, "verdict")
+    return judge(docs, into=into).where(F.col(into)["kept"]).select(*docs.columns)

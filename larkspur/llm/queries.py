@@ -112,7 +112,7 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_quality_rules")
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(table(spark, sf_dir, "documents"))
+    judged = quality.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.select("doc_id", "quality.*")
 
 
