@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,9 +119,14 @@ def usage_by_date(enriched: DataFrame) -> DataFrame:
     return daily_facts(enriched).groupBy("day", "dim", "key").agg(F.count("*").alias("n"))
 
 
+def first_retained(today: str) -> str:
+    """The first of the RETENTION_DAYS days that end with ``today``."""
+    return (date.fromisoformat(today) - timedelta(days=RETENTION_DAYS - 1)).isoformat()
+
+
 def retained(counters: DataFrame, today: str, day_col: str = "day") -> DataFrame:
     """Counters of the last RETENTION_DAYS days; a day that is no date is kept."""
-    first = F.date_sub(F.lit(today).cast("date"), RETENTION_DAYS - 1)
+    first = F.lit(first_retained(today)).cast("date")
     day = F.col(day_col).try_cast("date")
     return counters.where(day.isNull() | (day >= first))
 

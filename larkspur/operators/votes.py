@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 VOTE_KEYS = ["user_uid", "target_type", "target_id"]
@@ -75,6 +75,58 @@ def combine_chunks(chunks: DataFrame) -> DataFrame:
     return run.select(*VOTE_KEYS, value.alias("value"))
 
 
+RUN_COLUMNS = ("first", "first_n", "last", "last_n", "n")
+
+
+def run_summaries(rows: DataFrame, keys: list[str], order: list[str], carried: dict[str, Column] | None = None) -> DataFrame:
+    """First and last run of equal votes of each key, and its votes: (keys, first, first_n, last, last_n, n).
+
+    ``rows`` hold ``delta`` and ``votes``, so many equal votes in a row; a null delta stands for a stretch that starts and ends with other
+    votes than its neighbours. ``order`` is the order within a key; ``carried`` adds sums per key.
+    """
+    ordered = Window.partitionBy(*keys).orderBy(*order)
+    breaks = ~F.col("delta").eqNullSafe(F.lag("delta").over(ordered)) | F.lag(F.lit(1)).over(ordered).isNull()
+    numbered = rows.withColumn("_breaks", breaks.cast("long")).withColumn("_run", F.sum("_breaks").over(ordered))
+    carried = carried or {}
+    runs = numbered.groupBy(*keys, "_run").agg(
+        F.first("delta").alias("delta"), F.sum("votes").alias("votes"), *[value.alias(name) for name, value in carried.items()]
+    )
+    # The rows lie by key already, so neither step shuffles them again.
+    run = F.struct("delta", "votes")
+    again = [(F.min if name.startswith("lo") else F.max)(name).alias(name) for name in carried]
+    return (
+        runs.groupBy(*keys)
+        .agg(F.min_by(run, "_run").alias("_a"), F.max_by(run, "_run").alias("_z"), F.sum("votes").alias("n"), *again)
+        .select(
+            *keys, *carried, F.col("_a.delta").alias("first"), F.col("_a.votes").alias("first_n"),
+            F.col("_z.delta").alias("last"), F.col("_z.votes").alias("last_n"), "n",
+        )
+    )
+
+
+def runs_of_summaries(summaries: DataFrame, keys: list[str], order: list[str], kept: tuple[str, ...] = ()) -> DataFrame:
+    """The runs that summaries stand for, so that ``run_summaries`` of them is the summary of all their votes.
+
+    A summary that is one run gives one row, any other its first run, its last, and between them a stretch that nothing joins.
+    So summaries of consecutive stretches may be put together in any grouping: the result is the same.
+    """
+    run = lambda delta, votes, at: F.struct(delta.alias("delta"), votes.alias("votes"), F.lit(at).alias("_at"))
+    first, last = run(F.col("first"), F.col("first_n"), 0), run(F.col("last"), F.col("last_n"), 2)
+    between = F.col("n") - F.col("first_n") - F.col("last_n")
+    parts = (
+        F.when(F.col("first_n") == F.col("n"), F.array(first))
+        .when(between == 0, F.array(first, last))
+        .otherwise(F.array(first, run(F.lit(None).cast("int"), between, 1), last))
+    )
+    return summaries.select(*keys, *order, *kept, F.inline(parts))
+
+
+def state_of_summaries(summaries: DataFrame) -> DataFrame:
+    """Live vote of each voter and target: an odd last run leaves its vote, an even one none."""
+    value = F.when(F.col("last_n") % 2 == 1, F.col("last")).otherwise(0).cast("int")
+    return summaries.select(*VOTE_KEYS, value.alias("value"))
+
+
 def scores(state: DataFrame) -> DataFrame:
     """Sum of the live votes per target."""
     return state.groupBy("target_type", "target_id").agg(F.sum("value").alias("score"))

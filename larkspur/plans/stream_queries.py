@@ -29,22 +29,32 @@ def usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counters(spark, sf_dir).where(F.col("dim") != PAIRS)
 
 
-@query(
-    "m1_lifetime_stream",
-    rq.over_requests(
-        """SELECT 'global_count' AS what, '' AS key, count(*) AS n FROM enriched
-        UNION ALL SELECT 'crawler_count', '', count(*) FROM enriched WHERE bot IS NOT NULL
-        UNION ALL SELECT 'bots', bot, count(*) FROM enriched WHERE bot IS NOT NULL GROUP BY bot
-        UNION ALL SELECT 'external_referrers', referrer, count(*) FROM enriched WHERE referrer IS NOT NULL GROUP BY referrer
-        UNION ALL SELECT 'device_global', device, count(*) FROM enriched GROUP BY device
-        UNION ALL SELECT 'device_crawler', device, count(*) FROM enriched WHERE bot IS NOT NULL GROUP BY device
-        UNION ALL SELECT 'device_bots', concat(device, ' | ', bot), count(*) FROM enriched WHERE bot IS NOT NULL GROUP BY device, bot"""
-    ),
+_LIFETIME = rq.over_requests(
+    """SELECT 'global_count' AS what, '' AS key, count(*) AS n FROM enriched
+    UNION ALL SELECT 'crawler_count', '', count(*) FROM enriched WHERE bot IS NOT NULL
+    UNION ALL SELECT 'bots', bot, count(*) FROM enriched WHERE bot IS NOT NULL GROUP BY bot
+    UNION ALL SELECT 'external_referrers', referrer, count(*) FROM enriched WHERE referrer IS NOT NULL GROUP BY referrer
+    UNION ALL SELECT 'device_global', device, count(*) FROM enriched GROUP BY device
+    UNION ALL SELECT 'device_crawler', device, count(*) FROM enriched WHERE bot IS NOT NULL GROUP BY device
+    UNION ALL SELECT 'device_bots', concat(device, ' | ', bot), count(*) FROM enriched WHERE bot IS NOT NULL GROUP BY device, bot"""
 )
+
+
+@query("m1_lifetime_stream", _LIFETIME)
 def lifetime_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifetime_counts(_counters(spark, sf_dir))
 
 
+@query("f7_lifetime_after_roll_up", _LIFETIME)
+def lifetime_after_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All days past the retention are rolled up and their parts deleted; the lifetime counts stay what they were."""
+    work = run_dir(spark, "usage")
+    us.count_requests(stream_view(spark, sf_dir, "requests"), f"{work}/days", f"{work}/checkpoint").awaitTermination()
+    us.roll_up(spark, f"{work}/days", rq.TODAY)
+    us.drop_rolled_days(spark, f"{work}/days")
+    return us.lifetime_so_far(spark, f"{work}/days")
+
+
 def _vote_state(spark: SparkSession, events: DataFrame) -> DataFrame:
     work = run_dir(spark, "votes")
     vo.summarise_votes(events, work, f"{work}-checkpoint").awaitTermination()
