@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.session import enable_checkpoints
+from larkspur.session import enable_checkpoints, stored
 
 # Posts and comments loaded for one company, and posts per comment look-up.
 POSTS_MAX, COMMENTS_MAX, POSTS_PER_LOOKUP = 75, 700, 10
@@ -108,6 +108,98 @@ def thread_tree(comments: DataFrame, posts: DataFrame | None = None) -> DataFram
     return thread_paths(comments, posts).where(~F.col("in_cycle")).drop("in_cycle").orderBy("root_post_id", "path")
 
 
+DAY_MS = 86_400_000
+
+
+def _sibling_links(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, _sibling) with the next comment under the same parent or post, and (_owner, _child) with the first one.
+
+    Siblings go by (created_ms, id). They are sorted within each owner and day, and days are linked by one row each, so that
+    the replies of one comment, however many, are not sorted by one task.
+    """
+    day = F.floor(F.col("created_ms") / DAY_MS)
+    in_day = Window.partitionBy("_owner", "_day").orderBy("created_ms", "id")
+    placed = nodes.withColumn("_day", day).withColumn("_sibling", F.lead("id").over(in_day))
+    heads = placed.groupBy("_owner", "_day").agg(F.min_by("id", F.struct("created_ms", "id")).alias("_child"))
+    days = Window.partitionBy("_owner").orderBy(F.col("_day").asc_nulls_first())
+    linked = heads.withColumn("_then", F.lead("_child").over(days)).withColumn("_first", F.lag(F.lit(1)).over(days).isNull())
+    ends = placed.where(F.col("_sibling").isNull()).drop("_sibling").alias("e").join(
+        linked.alias("d"), (F.col("e._owner") == F.col("d._owner")) & F.col("e._day").eqNullSafe(F.col("d._day"))
+    )
+    siblings = placed.where(F.col("_sibling").isNotNull()).select("id", "_sibling").unionByName(
+        ends.select(F.col("e.id").alias("id"), F.col("d._then").alias("_sibling"))
+    )
+    return siblings, linked.where("_first").select("_owner", "_child")
+
+
+def thread_order(comments: DataFrame, posts: DataFrame | None = None) -> DataFrame:
+    """Place of every comment in its tree, in rows of constant width: (id, post_id, root_post_id, depth, place, in_cycle).
+
+    ``place`` counts from 1 in display order below the post that the top comment stands under; ``depth`` is 0 at the top.
+    It is list ranking on the Euler tour: each comment is entered and left once, entering leads to its first reply, leaving to its next
+    sibling or to leaving its parent. Each round every step takes over what the step it points to has summed up (comments
+    entered, change of depth) and points where that one points, so a tour of n steps takes log2(n) rounds, and a row holds four
+    numbers however deep it is. Steps that never reach an end belong to cycles or hang below one; such comments are flagged,
+    without post, depth and place.
+
+    Takes part who does in ``thread_paths``. Comments of one id must be one row.
+    """
+    shown = active(comments) if posts is None else active(comments).join(posts.select(F.col("id").alias("post_id")), "post_id", "left_semi")
+    owner = F.when(F.col("parent_id").isNull(), F.concat(F.lit("post "), F.col("post_id").cast("string"))).otherwise(
+        F.concat(F.lit("comment "), F.col("parent_id").cast("string"))
+    )
+    nodes = stored(attach_parents(shown.select("id", "post_id", "parent_id", "created_ms")).withColumn("_owner", owner), "comments")
+    siblings, children = _sibling_links(nodes)
+    own = F.concat(F.lit("comment "), F.col("id").cast("string"))
+    linked = nodes.withColumn("_own", own).join(siblings, "id").join(children.withColumnRenamed("_owner", "_own"), "_own", "left")
+
+    def step(enters: bool, next_id: Column, next_enters: Column) -> Column:
+        change = 1 if enters else -1
+        return F.struct(
+            F.lit(enters).alias("enters"), next_id.alias("next_id"), next_enters.alias("next_enters"),
+            F.lit(int(enters)).cast("long").alias("entered"), F.lit(change).cast("long").alias("change"),
+            F.when(next_id.isNull(), F.col("post_id")).alias("root_post_id"),
+        )
+
+    has_child, has_sibling = F.col("_child").isNotNull(), F.col("_sibling").isNotNull()
+    steps = stored(
+        linked.select(
+            "id",
+            F.inline(
+                F.array(
+                    step(True, F.coalesce("_child", "id"), has_child),
+                    step(False, F.coalesce("_sibling", "parent_id"), has_sibling),
+                )
+            ),
+        ),
+        "tour",
+    )
+    unsettled, before = steps.where(F.col("next_id").isNotNull()).count(), -1
+    while unsettled and unsettled != before:
+        # The rest of a tour is no shorter than a round reaches until its last step has settled, so a round that settles
+        # nothing leaves only steps without an end.
+        then = steps.select(
+            F.col("id").alias("next_id"), F.col("enters").alias("next_enters"), F.col("next_id").alias("_id"), F.col("next_enters").alias("_enters"),
+            F.col("entered").alias("_entered"), F.col("change").alias("_change"), F.col("root_post_id").alias("_root"),
+        )
+        moved = steps.where(F.col("next_id").isNotNull()).join(then, ["next_id", "next_enters"])
+        moved = moved.select(
+            "id", "enters", F.col("_id").alias("next_id"), F.col("_enters").alias("next_enters"), (F.col("entered") + F.col("_entered")).alias("entered"),
+            (F.col("change") + F.col("_change")).alias("change"), F.col("_root").alias("root_post_id"),
+        )
+        steps = stored(steps.where(F.col("next_id").isNull()).unionByName(moved), "tour")
+        before, unsettled = unsettled, steps.where(F.col("next_id").isNotNull()).count()
+    entered = steps.where("enters").select("id", "next_id", "entered", "change", "root_post_id")
+    totals = entered.where(F.col("next_id").isNull()).groupBy("root_post_id").agg(F.max("entered").alias("_total"))
+    ranked = entered.join(totals, "root_post_id", "left").select(
+        "id", F.when(F.col("next_id").isNull(), F.col("root_post_id")).alias("root_post_id"),
+        F.when(F.col("next_id").isNull(), -F.col("change")).alias("depth"),
+        F.when(F.col("next_id").isNull(), F.col("_total") - F.col("entered") + 1).alias("place"),
+        F.col("next_id").isNotNull().alias("in_cycle"),
+    )
+    return nodes.select("id", "post_id").join(ranked, "id").select("id", "post_id", "root_post_id", "depth", "place", "in_cycle")
+
+
 def comment_counts(posts: DataFrame, comments: DataFrame) -> DataFrame:
     """Comments of each post at any depth; the stored number wins where it is larger."""
     counted = active(comments).groupBy("post_id").agg(F.count("*").alias("_n"))

@@ -469,6 +469,20 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return th.thread_tree(comments(spark, sf_dir)).withColumn("path", F.array_join(steps, "/"))
 
 
+@query(
+    "t1_thread_order",
+    q.with_ctes(
+        ["comments"],
+        "SELECT id, post_id, root_post_id, depth, row_number() OVER (PARTITION BY root_post_id ORDER BY path) AS place FROM tree",
+        _SHOWN,
+        """tree AS (SELECT id, post_id, post_id AS root_post_id, CAST(0 AS BIGINT) AS depth, [created_ms, id] AS path FROM linked WHERE parent_id IS NULL
+        UNION ALL SELECT l.id, l.post_id, t.root_post_id, t.depth + 1, t.path || [l.created_ms, l.id] FROM linked l JOIN tree t ON l.parent_id = t.id)""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def tree_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return th.thread_order(comments(spark, sf_dir)).where(~F.col("in_cycle")).drop("in_cycle")
+
+
 @query(
     "a9_tree_counts",
     q.with_ctes(
@@ -478,8 +492,8 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def counts_from_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = th.thread_paths(comments(spark, sf_dir))
-    return th.tree_counts(posts(spark, sf_dir).select("id", "comment_count"), paths)
+    placed = th.thread_order(comments(spark, sf_dir))
+    return th.tree_counts(posts(spark, sf_dir).select("id", "comment_count"), placed)
 
 
 @query("t2_comments_of_author", q.with_ctes(["comments"], "SELECT id, post_id, body FROM comments WHERE author_uid = 'u9'"))
