@@ -18,7 +18,7 @@ from larkspur.plans.catalog import query
 from larkspur.plans.views import view
 from larkspur.session import run_dir, stored
 from larkspur.sources.listings import first_available, land_listings_csv, payload_listings, read_listings_json, read_payloads
-from larkspur.sources.shards import build_shards, read_page, shard_keys, shard_pagination
+from larkspur.sources.shards import build_shards, read_page, read_shards, shard_keys, shard_pagination
 
 RAW_COLUMNS = ", ".join(ls.ALIASES)
 
@@ -188,8 +188,8 @@ _URL = "https://data.example/listings.csv"
 @query("s6_build_shards", q.with_ctes(["listings_raw"], f"SELECT ordinal, {RAW_COLUMNS}, shard_index FROM sharded", q.MAPPED, _US, _SHARDED))
 def shard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = run_dir(spark, "shards")
-    meta = build_shards(spark, mapped(spark, sf_dir), path, _URL, "2026-05-01T00:00:00Z")
-    return spark.read.parquet(f"{path}/shards/{meta.first()['build']}")
+    build_shards(spark, mapped(spark, sf_dir), path, _URL, "2026-05-01T00:00:00Z")
+    return read_shards(spark, path, _URL)
 
 
 @query(
@@ -209,6 +209,16 @@ def shard_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CA = "ca_rows AS (SELECT *, row_number() OVER (ORDER BY ordinal) - 1 AS pos FROM mapped WHERE country_code = '' OR upper(country_code) = 'CA')"
 
 
+@query("s6_rebuilt_shards", q.with_ctes(["listings_raw"], f"SELECT ordinal, {RAW_COLUMNS}, shard_index FROM sharded", q.MAPPED, _US, _SHARDED))
+def rebuilt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A build with other titles in a seventh of the rows, then one of the true rows: files without such rows are taken over."""
+    path, rows = run_dir(spark, "shards"), mapped(spark, sf_dir)
+    other = F.when(F.col("ordinal") % 7 == 0, "other").otherwise(F.col("job_title"))
+    build_shards(spark, rows.withColumn("job_title", other), path, _URL, "2026-05-01T00:00:00Z")
+    build_shards(spark, rows, path, _URL, "2026-05-02T00:00:00Z")
+    return read_shards(spark, path, _URL)
+
+
 @query(
     "s7_read_shard_page",
     q.with_ctes(

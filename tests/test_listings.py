@@ -10,6 +10,7 @@ from larkspur.operators import insights as ins
 from larkspur.operators import listings as ls
 from larkspur.operators.numbering import with_position
 from larkspur.operators.state import job_state, overlay
+from larkspur.sources import shards
 from larkspur.sources.shards import build_shards, read_page, shard_pagination
 
 NAMES = ["ordinal", *ls.ALIASES]
@@ -171,6 +172,38 @@ def test_shards_cover_all_rows_once(spark, tmp_path):
     assert [r["id"] for r in live.collect()] == us[10:20]
 
 
+def test_rebuild_writes_changed_files_only(spark, tmp_path, monkeypatch):
+    """One changed row writes one file of the others; builds that are no longer named go with their files."""
+    monkeypatch.setattr(shards, "FILE_SHARDS", 2)
+    df = spark.range(100).select(F.col("id").alias("ordinal"), F.lit("US").alias("country_code"), F.when(F.col("id") % 3 > 0, F.lit("t")).alias("job_title"))
+    path, folder = str(tmp_path / "shards"), tmp_path / "shards" / "shards"
+
+    def built(rows):
+        build = build_shards(spark, rows, path, URL, "now", "US", 10).first()["build"]
+        return build, sorted(int(p.name.partition("=")[2]) for p in (folder / build).glob("_file=*"))
+
+    first, files = built(df)
+    assert files == [0, 1, 2, 3, 4]
+    edited = df.withColumn("job_title", F.when(F.col("ordinal") == 45, "new").otherwise(F.col("job_title")))
+    second, files = built(edited)
+    assert files == [2]
+    assert sorted(tuple(r) for r in shards.read_shards(spark, path, URL).drop("shard_index").collect()) == sorted(map(tuple, edited.collect()))
+    third, files = built(edited)
+    assert files == [] and read_page(spark, path, URL, 5).count() == 10
+    assert {r["job_title"] for r in read_page(spark, path, URL, 5).collect()} == {None, "t", "new"}
+    # The first build is gone, but for the files that later ones took over.
+    assert sorted(p.name for p in (folder / first).glob("_file=*")) == ["_file=0", "_file=1", "_file=3", "_file=4"]
+    assert len(list((tmp_path / "shards" / "meta").glob("of=*"))) == shards.KEEP_BUILDS
+    shorter, files = built(edited.where("ordinal < 95"))
+    assert files == [4] and shards.read_shards(spark, path, URL).count() == 95
+    other, files = built(df.withColumn("ordinal", F.col("ordinal") + 1))
+    assert files == [0, 1, 2, 3, 4]
+    built(df.withColumn("ordinal", F.col("ordinal") + 2))
+    assert not (folder / first).exists() and not (folder / second).exists()
+    assert build_shards(spark, df.limit(0), path, URL, "now", "US", 10).first()["total_filtered_rows"] == 0
+    assert shards.read_shards(spark, path, URL).count() == 0 == read_page(spark, path, URL, 1).count()
+
+
 def test_shards_of_sources_and_countries_stay_apart(spark, tmp_path):
     df = raw(spark, [{"id": str(i), "country_code": ["US", "ca"][i % 2]} for i in range(60)])
     path = str(tmp_path / "shards")
