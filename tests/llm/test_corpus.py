@@ -1,5 +1,6 @@
 """Operators over whole corpora: lines, sentences, mixes, searches and the pipeline."""
 
+import math
 import random
 import re
 
@@ -176,25 +177,40 @@ def test_mix_spends_its_budget_in_seeded_order(spark):
     assert mixing.take_mix(docs.limit(0)).count() == 0
 
 
+def want_top(held, k, step=50):
+    found = []
+    for n, (query, q) in enumerate(held):
+        if query % step == 0:
+            scores = sorted((-sum(a * b for a, b in zip(q, v)), i) for m, (i, v) in enumerate(held) if m != n)[:k]
+            found += [(query, rank, i, -s if abs(s) < 1 << 63 else None) for rank, (s, i) in enumerate(scores, 1)]
+    return sorted(found, key=repr)
+
+
 def test_top_k_equals_comparing_everything(spark):
+    """Every finite vector takes part: components of 2**40 and 1e300, repeated ids, ties, short and empty vectors."""
     rng = np.random.default_rng(1)
     data = [(k, [float(x) for x in rng.normal(size=6) * (0.2 if k % 3 else 1.0)]) for k in range(300)]
-    data += [(300, data[0][1]), (301, None), (302, [0.1, None]), (303, [float("nan")]), (304, [float("inf"), 1.0]), (305, []), (306, [1.0, 2.0]), (5, data[5][1])]
-    data += [(307, [9000.5] * 6), (350, [-7000.25] * 6), (None, [1.0]), (400, [1e300] * 6)]
-    vectors = maxscore.integer_vectors(spark.createDataFrame(data, "id long, x array<double>"), "id", "x")
-    got = {}
-    for r in maxscore.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5, block=3).collect():
-        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
-    held = {i: [int(np.floor(256 * v)) for v in x] for i, x in data if i is not None and i != 400 and x is not None and all(v is not None and np.isfinite(v) for v in x)}
-    want = {}
-    for q in held:
-        if q % 50 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(held[q], held[v])), v) for v in held if v != q)[:5]
-            want[q] = {n + 1: (v, -s) for n, (s, v) in enumerate(scores)}
-    assert got == want
+    data += [(300, data[0][1]), (301, None), (302, [0.1, None]), (303, [float("nan")]), (304, [float("inf"), 1.0]), (305, []), (306, [1.0, 2.0])]
+    data += [(5, data[5][1]), (5, data[7][1]), (50, data[8][1]), (307, [9000.5] * 6), (350, [-7000.25] * 6), (None, [1.0])]
+    data += [(308, [float(1 << 40)] * 6), (400, [1e300] * 6), (401, [-1e300, 1e300]), (402, [1.7e308] * 2), (450, [0.5] * 5 + [-float(1 << 45)])]
+    vectors = maxscore.finite_vectors(spark.createDataFrame(data, "id long, x array<double>").repartition(5), "id", "x")
+    got = sorted((tuple(r) for r in maxscore.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5, block=3).collect()), key=repr)
+    usable = [(i, x) for i, x in data if i is not None and x is not None and all(v is not None and math.isfinite(v) for v in x)]
+    used = [(i, [math.floor(256 * v) if abs(v) < 1e15 else 256 * int(v) for v in x]) for i, x in usable]
+    assert got == want_top(used, 5)
     assert maxscore.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_top_k_of_common_scales(spark):
+    """Thresholds above zero split the terms; the rows found stay those of comparing everything."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(9, 24))
+    data = [(k, [float(x) for x in centres[k % 9] * (k % 4 > 0) + rng.normal(size=24) * 0.3]) for k in range(6000)]
+    vectors = maxscore.finite_vectors(spark.createDataFrame(data, "id long, x array<double>").coalesce(2), "id", "x")
+    got = sorted((tuple(r) for r in maxscore.top_k(vectors, vectors.where("vec_id % 200 = 0"), 5).collect()), key=repr)
+    assert got == want_top([(i, [math.floor(256 * v) for v in x]) for i, x in data], 5, 200)
+
+
 def test_pipeline(spark):
     """Each stage against its plain version on what the stage before kept."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
