@@ -171,6 +171,63 @@ def test_page_text(spark):
     assert sorted((r["page_id"], r["text"]) for r in got if r["page_id"] < 7) == [(1, want), (1, want), (2, ""), (3, ""), (4, "only"), (5, "plain"), (6, "")]
 
 
+def test_containers_of_the_main_part_are_no_boilerplate():
+    article = "<h1>The title of it</h1><p>" + "A longer stretch of text that reads as an article does. " * 4 + "</p><p>Short.</p>"
+    want = "The title of it\n" + ("A longer stretch of text that reads as an article does. " * 4).strip() + "\nShort."
+    junk = "<nav><a href=x>Home</a> <a href=y>News</a></nav>", "<footer>Imprint</footer>"
+    for before, after in [
+        ("<head><title>t</title><body><article>", "</article>"),
+        ('<div class="content has-sidebar"><article>', "</article></div>"),
+        ('<div id="page" class="with-sidebar"><article>', "</article></div>"),
+        ('<div class="sidebar"><main>', "</main></div>"),
+        ('<div class="post comments-open">', "</div>"),
+        ('<form id="aspnetForm"><main>', "</main></form>"),
+        ('<form id="aspnetForm"><div class="content">', "</div></form>"),
+        ("<div><div>", "</div></div>"),
+    ]:
+        assert pages.main_text(f"<html>{before.split('<body>')[0] if '<body>' in before else ''}<body>{junk[0]}{before.split('<body>')[-1]}{article}{after}{junk[1]}") == want, before
+        assert pages.main_text(before + article + after) == want, before
+    two = pages.main_text(f"<body>{junk[0]}<article>{article}</article><article>{article}</article>{junk[1]}")
+    assert two == want + "\n" + want
+    titled = article.replace("<h1>The title of it</h1>", "")
+    assert pages.main_text(f"<body>{junk[0]}<div><h1>The title of it</h1></div><div>{titled}</div>{junk[1]}") == want
+
+
+def test_generated_pages():
+    """Pages made of a known article in random wrappers, among random boilerplate, with unclosed tags and comments."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    plates = [
+        lambda: f"<nav><ul><li><a href=a>{word()}</a><li><a href=b>{word()}</a></ul></nav>",
+        lambda: f"<header><div><a>{word()}</a></div></header>",
+        lambda: f'<aside><h2>{word()}</h2><p>{text(25)}</aside>',
+        lambda: f'<div class="{rng.choice(["ad", "ad-box", "top-banner", "cookie-notice", "sidebar", "share-buttons widget"])}">{text(12)}</div>',
+        lambda: f"<form action=x><label>{word()}</label><input name=q><button>{word()}</button></form>",
+        lambda: f"<script>var x = '<p>{text(30)}</p>';</script><style>p {{ color: red }}</style>",
+        lambda: f'<section class="{rng.choice(["comments", "comment-list", "reader-comments"])}"><div class="comment"><p>{text(40)}</p></div></section>',
+        lambda: f'<p role="alert">{text(9)}</p><div hidden>{text(20)}</div>',
+        lambda: f"<footer><p>{text(6)}<p>&copy; {word()}</footer>",
+    ]
+    wraps = [("", ""), ("<div>", "</div>"), ('<div class="content has-sidebar">', "</div>"), ('<form id="f">', "</form>"), ('<div id="page" class="no-sidebar">', "</div>")]
+    for _ in range(400):
+        blocks, made = [], []
+        for k in range(rng.randint(3, 9)):
+            kind, body = rng.choice(["p", "p", "p", "li", "h3"]) if k else "h1", text(rng.randint(15, 60) if k else 4)
+            body = body if kind in ("p", "li") else text(4)
+            shown = body.replace(" ", "\n  ", 1).replace(" ", " <b>", 1).replace(" ", "</b> ", 1) if rng.random() < 0.3 and body.count(" ") > 8 else body
+            blocks.append(body)
+            made.append({"p": f"<p>{shown}" + rng.choice(["", "</p>"]), "li": f"<ul><li>{shown}</ul>"}.get(kind, f"<{kind}>{shown}</{kind}>"))
+            if rng.random() < 0.2:
+                made.append(rng.choice([plates[3], plates[4], plates[5]])())
+        open_tag, close_tag = rng.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>")])
+        before, after = rng.choice(wraps)
+        head = rng.choice(["<head><title>t</title></head><body>", "<head><title>t</title><body>", "<body>", ""])
+        some = lambda: "".join(rng.choice(plates)() for _ in range(rng.randint(0, 3)))
+        html = f"<!DOCTYPE html><html>{head}{some()}{before}{some()}{open_tag}{''.join(made)}{close_tag}{some()}{after}{some()}</html>"
+        assert pages.main_text(html) == "\n".join(" ".join(b.split()) for b in blocks), html
+
+
 def test_given_pages(spark):
     """The given pages hold their text between the article's marks, one block per paragraph."""
     import html
