@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.session import run_dir
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there and any executor can read it."""
-    path = run_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+from larkspur.session import stored
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, with underscores in front of those that are taken."""
+    held = {c.lower() for c in taken}
+    made = []
+    for name in wanted:
+        while name.lower() in held:
+            name = f"_{name}"
+        made.append(name)
+    return made
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from larkspur.llm import arrays as A
-from larkspur.llm.components import components, stored
+from larkspur.llm.components import components, free_names
+from larkspur.session import stored
 
 SIZE = 5
 #: Link: 100 * intersection >= 80 * union, or 9 * intersection >= 4 * (sum of both sizes).
@@ -436,5 +437,6 @@ def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that name their component, with their columns; documents without words stay. Rows of one doc_id
     are one document."""
-    gone = join_documents(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    (gone_id,) = free_names(docs.columns, "_gone")
+    gone = join_documents(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")

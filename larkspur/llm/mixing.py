@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.components import stored
+from larkspur.llm.components import free_names
+from larkspur.session import stored
 
 #: Tokens of the mix as a share of all tokens, and how often a document may be read.
 SHARE = 0.75
@@ -135,8 +136,10 @@ def take_mix(docs: DataFrame, share: float = SHARE, epochs: int = 1) -> DataFram
     Rows alike in doc_id, text, language and source are taken alike, as often as the one of them that is read most.
     """
     chosen = mix(docs, share, epochs).where("n_copies > 0")
-    keys = ("doc_id", "tie", "lang", "source")
-    chosen = chosen.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("n_copies").alias("_copies"))
-    same = same_node(["doc_id", "lang", "source"]) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_tie"))
-    taken = docs.join(chosen, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    of_doc, of_tie, of_lang, of_source, copies, copy = free_names(docs.columns, "_doc_id", "_tie", "_lang", "_source", "_copies", "_copy")
+    chosen = chosen.groupBy("doc_id", "tie", "lang", "source").agg(F.max("n_copies")).toDF(of_doc, of_tie, of_lang, of_source, copies)
+    same = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col(of_tie)
+    for own, other in (("doc_id", of_doc), ("lang", of_lang), ("source", of_source)):
+        same &= F.col(own).eqNullSafe(F.col(other))
+    taken = docs.join(chosen, same).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
     return taken.select(*docs.columns)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from larkspur.llm import arrays as A
+from larkspur.llm.components import free_names
 from larkspur.session import stored
 
 # The characters counted as symbols, and the base rules' limits.
@@ -136,17 +137,6 @@ def thresholds(measured: DataFrame, lang: str, source: str, m: str = "quality")
     return own.join(of_lang, F.col("o.lang").eqNullSafe(F.col("w.lang"))).select("o.lang", "o.source", blended("o", "w").alias("limits"))
 
 
-def free_names(taken: list[str], *wanted: str) -> list[str]:
-    """The wanted column names, with underscores in front of those that are taken."""
-    held = {c.lower() for c in taken}
-    made = []
-    for name in wanted:
-        while name.lower() in held:
-            name = f"_{name}"
-        made.append(name)
-    return made
-
-
 def judge(
     docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", into: str = "quality", keep: list[str] | None = None
 ) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 
 from larkspur.llm import chat, codes, jaccard, lines, maxscore, mixing, pages, periods, personal, pieces, quality, sentences, suffix
 
+AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -136,7 +137,27 @@ def encode_pieces(spark: SparkSession, sf_dir: str, docs: DataFrame | None = Non
 # --- 2 n-gram Jaccard join
 
 
-@query("op2_jaccard_join")
+@query(
+    "op2_jaccard_join",
+    rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{AZ}', '{AZ.lower()}'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS grams
+  FROM w
+), g AS MATERIALIZED (
+  SELECT doc_id, len(grams) AS n, hash(unnest(grams)) AS gram FROM s
+), link AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach(doc_id, other) AS (
+  SELECT a, b FROM link UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.other
+)
+SELECT doc_id, CAST(len(grams) AS BIGINT) AS n_shingles,
+  least(doc_id, coalesce((SELECT min(other) FROM reach r WHERE r.doc_id = s.doc_id), doc_id)) AS component_id
+FROM s""",
+)
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_documents(table(spark, sf_dir, "documents"))
 
@@ -167,9 +188,14 @@ WITH line AS (
   SELECT doc_id, pos FROM (
     SELECT doc_id, pos, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, pos) AS nth FROM two WHERE next IS NOT NULL
   ) WHERE nth > 1
+), later_long AS (
+  SELECT doc_id, pos FROM (
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS nth FROM seq
+    WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50
+  ) WHERE nth > 1
 ), taken AS (
   SELECT doc_id, pos, i, next_i, lead(pos) OVER w = pos + 1 AS goes_on, lag(pos) OVER w AS before FROM two
-  WHERE (doc_id, pos) IN (SELECT doc_id, pos + k FROM later, (VALUES (0), (1)) AS t(k)) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+  WHERE (doc_id, pos) IN (SELECT doc_id, pos + k FROM later, (VALUES (0), (1)) AS t(k) UNION ALL FROM later_long) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
 ), gone AS (
   -- A removed line takes the blank ones between it and a removed line that follows.
   SELECT l.doc_id, l.i FROM line l JOIN taken t ON t.doc_id = l.doc_id AND l.i >= t.i AND l.i < CASE WHEN t.goes_on THEN t.next_i ELSE t.i + 1 END
@@ -190,9 +216,43 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- 8 substring dedup by sentence spans
 
 
-@query("op8_sentence_dedup")
+@query(
+    "op8_sentence_dedup",
+    rf"""
+WITH piece AS (
+  SELECT doc_id, regexp_extract(coalesce(text, ''), '^[\x20\x09-\x0D]*') AS lead,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS pieces FROM documents
+), word AS (
+  SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM piece
+), cut AS (
+  SELECT *, regexp_extract(piece, '^[^\x20\x09-\x0D]+') AS word, lag(piece) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM word
+), numbered AS (
+  SELECT *, sum(CASE WHEN before IS NULL OR contains(before, chr(10)) OR regexp_matches(before, '(?:[.!?]|。|！|？)[\x20\x09-\x0D]*$') THEN 1 ELSE 0 END)
+    OVER (PARTITION BY doc_id ORDER BY i) AS n FROM cut
+), sentence AS MATERIALIZED (
+  SELECT doc_id, n, count(*) AS n_words, string_agg(piece, '' ORDER BY i) AS shown,
+    translate(string_agg(word, ' ' ORDER BY i), '{AZ}', '{AZ.lower()}') AS said
+  FROM numbered GROUP BY doc_id, n
+), run AS (
+  SELECT doc_id, n, 1 AS size, said AS a, NULL AS b FROM sentence WHERE n_words >= {sentences.LONG_WORDS}
+  UNION ALL SELECT * FROM (SELECT doc_id, n, 2, said, lead(said) OVER (PARTITION BY doc_id ORDER BY n) AS next FROM sentence) WHERE next IS NOT NULL
+), later AS (
+  SELECT doc_id, n, size FROM (SELECT *, row_number() OVER (PARTITION BY size, a, b ORDER BY doc_id, n) AS nth FROM run) WHERE nth > 1
+), gone AS (
+  SELECT DISTINCT doc_id, n + k AS n FROM later, (VALUES (0), (1)) AS t(k) WHERE k < size
+), judged AS (
+  SELECT s.*, g.n IS NOT NULL AS gone, lag(g.n) OVER (PARTITION BY s.doc_id ORDER BY s.n) IS NOT NULL AS after_gone
+  FROM sentence s LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.n = s.n
+), summed AS (
+  SELECT doc_id, count(*) AS n_sentences, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND NOT after_gone) AS n_runs,
+    string_agg(shown, '' ORDER BY n) FILTER (NOT gone) AS kept FROM judged GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,
+  sha256(lead || coalesce(kept, '')) AS kept_sha256
+FROM piece LEFT JOIN summed USING (doc_id)""",
+)
 def sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = sentences.remove_repeats(table(spark, sf_dir, "documents"), both_ends=True)
+    left = sentences.remove_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_sentences", "n_removed", "n_runs", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -1,8 +1,8 @@
 """Removal of repeated runs of sentences.
 
-A span starts at each sentence and takes the fewest sentences, two at least, that hold LEAST_WORDS words. With
-``both_ends``, a span also ends at each sentence, and one sentence of LONG_WORDS words is a span. Any longer run that
-repeats, sentence by sentence, is then covered by spans inside it: a sentence whose own span would reach past the run's end
+A run counts from LEAST_SENTENCES sentences on, whatever their words, and one sentence alone from LONG_WORDS words on. Of each
+run that counts, only the shortest spans are hashed: one that starts at each sentence and one that ends at each. Any longer run
+that repeats, sentence by sentence, is covered by spans inside it: a sentence whose own span would reach past the run's end
 lies in the span that ends there. Spans are compared by the fingerprint of their words, A-Z lower-cased. All spans meet in
 shards by fingerprint; a span that repeats an earlier one, in document order, removes its sentences.
 """
@@ -18,11 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from larkspur.llm import arrays as A
-from larkspur.llm.components import stored
 from larkspur.llm.suffix import MOST_DOCS, REPEATED, STRETCHES_DDL, by_document, dealt_stretches, keyed, scan_stretches
+from larkspur.session import stored
 
 LEAST_SENTENCES = 2
-LEAST_WORDS = 16
 LONG_WORDS = 50
 SHARD_BYTES = 64_000_000
 LEAST_SHARDS = 32
@@ -45,7 +44,7 @@ def sentence_starts(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray, en
     return np.flatnonzero(opens)
 
 
-def spans(data: np.ndarray, bounds: np.ndarray, both_ends: bool) -> tuple[np.ndarray, ...]:
+def spans(data: np.ndarray, bounds: np.ndarray, least_words: int) -> tuple[np.ndarray, ...]:
     """Of each span: fingerprint, text, number within the text by start and end, first sentence within the text, end
     sentence; and the sentences' first bytes."""
     starts, ends, first = A.words(data, bounds)
@@ -54,21 +53,18 @@ def spans(data: np.ndarray, bounds: np.ndarray, both_ends: bool) -> tuple[np.nda
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(of_text))
     edges = np.append(opens, len(starts))
     low = np.arange(len(opens))
-    high = np.maximum(np.searchsorted(edges, opens + LEAST_WORDS), low + LEAST_SENTENCES)
-    if both_ends:
-        long = np.diff(edges) >= LONG_WORDS
-        high = np.where(long, low + 1, high)
-        end = low + 1
-        start = np.minimum(np.searchsorted(edges, edges[1:] - LEAST_WORDS, "right") - 1, end - LEAST_SENTENCES)
-        start = np.where(long, low, start)
-        new = high[np.maximum(start, 0)] != end  # not the span that its first sentence has anyway
-        new &= start >= of_text[text]
+    high = np.maximum(np.searchsorted(edges, opens + least_words), low + LEAST_SENTENCES)
+    long = np.diff(edges) >= LONG_WORDS
+    high = np.where(long, low + 1, high)
+    end = low + 1
+    start = np.minimum(np.searchsorted(edges, edges[1:] - least_words, "right") - 1, end - LEAST_SENTENCES)
+    start = np.where(long, low, start)
+    new = high[np.maximum(start, 0)] != end  # not the span that its first sentence has anyway
+    new &= start >= of_text[text]
     whole = high <= of_text[text + 1]
-    low, high = low[whole], high[whole]
-    if both_ends:
-        low, high = np.concatenate([low, start[new]]), np.concatenate([high, end[new]])
-        order = np.lexsort((high, low))
-        low, high = low[order], high[order]
+    low, high = np.concatenate([low[whole], start[new]]), np.concatenate([high[whole], end[new]])
+    order = np.lexsort((high, low))
+    low, high = low[order], high[order]
     sums = np.zeros(len(starts) + 1, A.U64)
     up, down = A.powers(1 << max(20, int(len(starts) + 1).bit_length()))
     np.cumsum(A.Fingerprints(data, A.LOWER).of(starts, ends) * up[: len(starts)], out=sums[1:])
@@ -79,7 +75,7 @@ def spans(data: np.ndarray, bounds: np.ndarray, both_ends: bool) -> tuple[np.nda
     return prints, text, number, low - of_text[text], high - of_text[text], starts[opens]
 
 
-def span_rows(shards: int, both_ends: bool):
+def span_rows(shards: int, least_words: int):
     """For mapInArrow over (doc, tie, text): the spans of each batch, one row per shard."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +85,7 @@ def span_rows(shards: int, both_ends: bool):
                 docs = np.asarray(batch.column("doc"), np.int64), np.asarray(batch.column("tie"), np.int64)
                 found = []
                 for row, _, data, bounds in A.slices(batch.column("text")):
-                    prints, text, number, *_ = spans(data, bounds, both_ends)
+                    prints, text, number, *_ = spans(data, bounds, least_words)
                     found.append((prints, text + row, number))
                 if found and sum(len(f[0]) for f in found):
                     yield dealt_stretches(*(np.concatenate(c) for c in zip(*found)), docs, shards)
@@ -101,7 +97,7 @@ def span_rows(shards: int, both_ends: bool):
 CUT = StructType([StructField("n_sentences", LongType()), StructField("n_removed", LongType()), StructField("n_runs", LongType()), StructField("kept", StringType())])
 
 
-def cut(both_ends: bool):
+def cut(least_words: int):
     """What is left of each text without the sentences of the given spans."""
 
     @F.arrow_udf(CUT)
@@ -110,7 +106,7 @@ def cut(both_ends: bool):
         for text, low, high in zip(texts, firsts, lasts):
             raw = text.as_py().encode()
             data = np.frombuffer(raw, np.uint8)
-            *_, sentence, end, places = spans(data, np.array([0, len(data)]), both_ends)
+            *_, sentence, end, places = spans(data, np.array([0, len(data)]), least_words)
             if not low.is_valid or not len(low):
                 out.append((len(places), 0, 0, text.as_py()))
                 continue
@@ -129,18 +125,20 @@ def cut(both_ends: bool):
     return left
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", both_ends: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = 0) -> DataFrame:
     """Per row (doc_id, n_sentences, n_removed, n_runs, kept): ``kept`` is the text without repeated sentences.
 
-    Without ``both_ends``, the last sentences of a repeated run may stay, and so do single long ones. Spans are judged on the input. Null and empty texts have no sentences; texts of fewer sentences or words than a span
-    are left alone. Null ids come first; rows of one doc_id come in order of a fingerprint of their text, and rows alike in
-    both are one document with one result. Other columns are ignored.
+    ``least_words`` is how many words a run of several sentences has at least, for callers that let short ones stay. Spans are judged on
+    the input. Null and empty texts have no sentences; texts of fewer sentences or words than a span are left alone. A very long
+    text is a slice of its own, in arrays that grow with its words. Null ids come first; rows of one doc_id come in order of a
+    fingerprint of their text, and rows alike in both are one document with one result. Other columns are ignored. An empty
+    table gives no rows.
     """
     texts = keyed(docs, doc_id, text)
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(LEAST_SHARDS, -(-total // SHARD_BYTES))
-    found = texts.mapInArrow(span_rows(shards, both_ends), STRETCHES_DDL).groupBy("shard").applyInArrow(scan_stretches, REPEATED)
+    found = texts.mapInArrow(span_rows(shards, least_words), STRETCHES_DDL).groupBy("shard").applyInArrow(scan_stretches, REPEATED)
     runs = by_document(stored(found, "spans"))
     both = texts.join(runs, (F.col("doc") == F.col("_doc")) & (F.col("tie") == F.col("_tie")), "left")
-    done = both.select(F.nullif("doc", F.lit(-(1 << 63))).alias("doc_id"), cut(both_ends)("text", "firsts", "lasts").alias("c"))
+    done = both.select(F.nullif("doc", F.lit(-(1 << 63))).alias("doc_id"), cut(least_words)("text", "firsts", "lasts").alias("c"))
     return done.select("doc_id", "c.*")

@@ -22,7 +22,7 @@ def frame(spark, docs):
 
 def line_docs(seed):
     rng = random.Random(seed)
-    pool = [f"line {k}" for k in range(14)] + ["", " ", "\t"]
+    pool = [f"line {k}" for k in range(14)] + ["", " ", "\t", " a b" * 25, "\ta " * 50, "a " * 49, "words " * 24]
     block = ["b1", "b2", "", "b3", "b4", "b5", "b6", "b7"]
     docs = [None, "", "\n\n", "b1\nb2", "one"]
     for _ in range(50):
@@ -44,6 +44,11 @@ def brute_lines(docs, least=2):
             if run in seen:
                 taken.update(range(p, p + least))
             seen.add(run)
+        for p, k in enumerate(full):
+            if len(brute.WORD.findall(every[k])) >= 50:
+                if every[k] in seen:
+                    taken.add(p)
+                seen.add(every[k])
         gone = {k for p in taken for k in (range(full[p], full[p + 1]) if p + 1 in taken else [full[p]])}
         runs = sum(p - 1 not in taken for p in taken)
         out[i] = (len(full), len(gone & set(full)), runs, "\n".join(line for k, line in enumerate(every) if k not in gone))
@@ -57,6 +62,17 @@ def test_line_runs(spark, seed, least):
     assert {r["doc_id"]: tuple(r)[1:] for r in got} == brute_lines(docs, least)
 
 
+def test_helper_columns_give_way(spark):
+    """Columns of the operators' own helper names are data like any others."""
+    names = ("_doc", "_tie", "_runs", "_full", "_lines", "_gone", "_copies", "_copy", "_doc_id", "_lang", "_source", "verdict", "limits", "measured")
+    docs = frame(spark, [(1, "a b c d e f\nb"), (2, "a b c d e f\nb\nx"), (None, None)])
+    docs = docs.withColumns({name: F.lit(k) for k, name in enumerate(names)})
+    for keep in (quality.keep_good, lines.drop_repeated_lines, jaccard.keep_one, mixing.take_mix):
+        kept = keep(docs)
+        assert kept.columns == docs.columns
+        assert all(tuple(r)[5:] == tuple(range(len(names))) for r in kept.collect())
+
+
 def test_lines_odd_inputs(spark):
     docs = frame(spark, [(3, "a\nb"), (3, "a\nb"), (None, "a\nb\nc"), (5, "x\na\nb"), (6, None), (7, "a\nb")])
     left = lines.drop_repeated_lines(docs)
@@ -80,15 +96,12 @@ def brute_sentences(docs):
         gone = set()
         starts = [n for n, _ in cut] + [len(words)]
         for s in range(len(cut)):
-            e = s + 2
-            while e < len(starts) and starts[e] - starts[s] < sentences.LEAST_WORDS:
-                e += 1
-            if e >= len(starts):
-                continue
-            span = tuple(words[starts[s] : starts[e]])
-            if span in seen:
-                gone.update(range(s, e))
-            seen.add(span)
+            for e in (s + 1, s + 2):
+                if e < len(starts) and (e == s + 2 or starts[e] - starts[s] >= 50):
+                    span = e - s, *words[starts[s] : starts[e]]
+                    if span in seen:
+                        gone.update(range(s, e))
+                    seen.add(span)
         ends = [p for _, p in cut[1:]] + [len(text)]
         kept = (text[: cut[0][1]] if cut else text) + "".join(text[p:e] for k, ((_, p), e) in enumerate(zip(cut, ends)) if k not in gone)
         out[i] = (len(cut), len(gone), kept)
@@ -141,7 +154,7 @@ def test_every_run_of_sentences(spark):
         docs.append(" ".join([new(), *(s.rstrip(".") + "." for s in other[rng.randrange(len(other)) :]), new()]))
     docs += ["One. " * 40, "a. b. " * 20]
     docs = [(i, t.strip()) for i, t in enumerate(docs)]
-    got = {r["doc_id"]: r for r in sentences.remove_repeats(frame(spark, docs), both_ends=True).collect()}
+    got = {r["doc_id"]: r for r in sentences.remove_repeats(frame(spark, docs), least_words=16).collect()}
     assert {i: (r["n_sentences"], r["n_removed"]) for i, r in got.items()} == brute_runs(docs)
     assert got[3]["kept"] == got[5]["kept"] == ""
 
