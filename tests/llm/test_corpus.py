@@ -249,3 +249,21 @@ def test_pipeline(spark):
     assert set(end) == set(after)
     assert all(end[i]["decoded_sha256"] == brute.sha(r["text"]) for i, r in after.items())
     assert jaccard.join_documents(docs.limit(0)).count() == 0
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Nulls in any column, repeated rows, a long text, further columns; all rows rejected; no rows at all."""
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    good = [(k, "\n".join(prose(9) for _ in range(5)), "en", f"s{k % 3}", 0) for k in range(60)]
+    odd = [(None, prose(30), "en", "s0", 0), (70, prose(30), None, None, None), (71, None, None, None, None), (72, "", "en", "s1", 0)]
+    odd += [good[3], good[3], (73, prose(30_000), "en", "s1", 0), (74, good[5][1], "de", "s2", 0)]
+    junk = [(k, f"{prose(4)} # # #", "en", "s0", 0) for k in range(40)] + [(41, None, None, None, None)]
+    for name, data in (("mixed", good + odd), ("junk", junk), ("empty", [])):
+        docs = frame(spark, []).unionByName(spark.createDataFrame(data, COLUMNS)) if data else frame(spark, [])
+        docs.withColumn("_tie", F.lit("x")).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    ids = [r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/mixed").collect()]
+    assert set(ids) <= {*range(60), None, 70, 73} and len(ids) > 20
+    for _ in range(3):
+        assert corpus_pipeline.run(spark, f"{tmp_path}/junk").count() == 0
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
