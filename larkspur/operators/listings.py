@@ -178,6 +178,11 @@ def normalize_listings(df: DataFrame, with_id: bool = True) -> DataFrame:
     return _typed(with_position(kept, "ordinal", "_position") if with_id else kept, with_id)
 
 
+def normalize_rows(placed: DataFrame) -> DataFrame:
+    """Typed, cleaned listings of rows that are de-duplicated and carry their ``_position`` already."""
+    return _typed(placed, True)
+
+
 def _typed(rows: DataFrame, with_id: bool) -> DataFrame:
     made = F.concat(F.lit("job-"), F.col("_position").cast("string")) if with_id else None
     typed = rows.select(
@@ -211,6 +216,11 @@ def haystack() -> Column:
     )
 
 
+def needles(query: str = "", chip: str = "") -> list[str]:
+    """The texts that a search looks for in ``haystack``."""
+    return [n for n in (chip.lower(), query.strip().lower()) if n]
+
+
 def search_listings(
     df: DataFrame,
     query: str = "",
@@ -224,19 +234,20 @@ def search_listings(
 ) -> DataFrame:
     """Listings passing every given condition. ``hidden`` and ``saved`` hold one user's ids in ``job_id``."""
     out = df
-    if industry:
-        out = out.where(F.array_contains("industries", industry))
+    # Conditions on plain columns come first, so that the lists and the long text are made for few rows.
     if seniority:
         out = out.where(F.col("seniority") == seniority)
     if need_pay:
         out = out.where(tx.trim(F.col("pay")) != "")
     if need_employment:
         out = out.where(tx.trim(F.col("employment")) != "")
-    needles = [n for n in (chip.lower(), query.strip().lower()) if n]
-    if needles:
+    if industry:
+        out = out.where(F.array_contains("industries", industry))
+    wanted = needles(query, chip)
+    if wanted:
         # A one-element array binds the long text once for all needles.
         def holds_all(text: Column) -> Column:
-            return reduce(and_, [F.contains(text, F.lit(n)) for n in needles])
+            return reduce(and_, [F.contains(text, F.lit(n)) for n in wanted])
 
         out = out.where(F.exists(F.array(haystack()), holds_all))
     if hidden is not None:
@@ -276,6 +287,22 @@ def _without_keys(df: DataFrame) -> DataFrame:
     return df.drop("_key0", "_key1")
 
 
+def placed_listings(df: DataFrame, mode: str = "fresh", name: str = "place") -> DataFrame:
+    """Every listing with its 1-based place in the order of a sort mode, as a column.
+
+    Rows are dealt by ranges of the order and sorted there, once, and stored. A row's number within its partition, and the row
+    counts of the partitions before, give its place; no task sees more than its range. The counts are one row a partition.
+    """
+    keyed, order = with_sort_keys(df, mode)
+    dealt = stored(_without_keys(keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())), "order")
+    part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    starts = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    joined = dealt.withColumn("_part", part).join(F.broadcast(starts), "_part")  # one row per shuffle partition
+    return joined.select(*df.columns, (F.col("_start") + at + 1).alias(name))
+
+
 def sort_listings(df: DataFrame, mode: str = "fresh") -> DataFrame:
     keyed, order = with_sort_keys(df, mode)
     return _without_keys(keyed.orderBy(*order))

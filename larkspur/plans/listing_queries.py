@@ -19,6 +19,8 @@ from larkspur.plans.views import view
 from larkspur.session import run_dir, stored
 from larkspur.sources.listings import first_available, land_listings_csv, payload_listings, read_listings_json, read_payloads
 from larkspur.sources.shards import build_shards, read_page, read_shards, shard_keys, shard_pagination
+from larkspur.sources.snapshots import SNAPSHOT_ROWS, add_snapshot, normalized_listings, snapshot_store
+from larkspur.sources.textindex import search_indexed, write_indexed
 
 RAW_COLUMNS = ", ".join(ls.ALIASES)
 
@@ -411,6 +413,13 @@ def search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(found)
 
 
+@query("f2_indexed_search", q.over_listings(f"SELECT {FLAT_LISTING} FROM listings WHERE contains({_HAY}, 'household') AND contains({_HAY}, 'skill3')"))
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = run_dir(spark, "searched")
+    write_indexed(listings(spark, sf_dir), path)
+    return flat(search_indexed(spark, path, query=" SKILL3 ", chip="Household"))
+
+
 @query(
     "f3_window_slice",
     q.with_ctes(
@@ -494,16 +503,6 @@ def top_seniority(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SORTED = "ordinal, id, title, company, pay, posted, CASE WHEN isnan(score) THEN -1.0 ELSE score END AS score"
 
 
-def _sort_query(mode: str) -> None:
-    @query(f"o1_sort_{mode}", q.over_listings(f"SELECT {_SORTED} FROM listings"))
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        kept = ls.sort_listings(listings(spark, sf_dir), mode)
-        return flat(kept.select("ordinal", "id", "title", "company", "pay", "posted", "score"))
-
-
-for _mode in ("fresh", "score", "pay", "company"):
-    _sort_query(_mode)
-
 _ORDERS = {
     "fresh": f"{q.FRESH} DESC",
     "score": f"CASE WHEN isnan(score) THEN CAST('-Infinity' AS DOUBLE) ELSE score END DESC, {q.FRESH} DESC",
@@ -512,6 +511,19 @@ _ORDERS = {
 }
 
 
+def _sort_query(mode: str) -> None:
+    places = f"CAST(row_number() OVER (ORDER BY {_ORDERS[mode]}, ordinal) AS BIGINT) AS place"
+
+    @query(f"o1_sort_{mode}", q.over_listings(f"SELECT {_SORTED}, {places} FROM listings"))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        placed = ls.placed_listings(listings(spark, sf_dir), mode)
+        return flat(placed.select("ordinal", "id", "title", "company", "pay", "posted", "score", "place"))
+
+
+for _mode in _ORDERS:
+    _sort_query(_mode)
+
+
 def _rail_query(mode: str) -> None:
     @query(f"w1_rails_{mode}", q.over_listings(_RAIL_OUT, _RAILS.format(order=_ORDERS[mode], source="listings")))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -521,6 +533,27 @@ def _rail_query(mode: str) -> None:
 for _mode in _ORDERS:
     _rail_query(_mode)
 
+_DAYS = 3
+_DAILY = f"""daily AS (SELECT * REPLACE ((ordinal % {_DAYS}) * {SNAPSHOT_ROWS} + ordinal AS ordinal) FROM listings_raw)"""
+
+
+def daily_store(spark: SparkSession, sf_dir: str):
+    """The listings dealt to snapshots of three days, each added to a store."""
+    rows = mapped(spark, sf_dir)
+    store = snapshot_store(spark, run_dir(spark, "snapshots"), rows.schema)
+    for day in range(_DAYS):
+        add_snapshot(store, day, rows.where(F.col("ordinal") % _DAYS == day))
+    return store
+
+
+@query(
+    "n1_daily_snapshots",
+    q.with_ctes(["listings_raw"], f"SELECT {FLAT_LISTING} FROM listings", _DAILY, q.MAPPED.replace("FROM listings_raw", "FROM daily"), q.DEDUPED, q.LISTINGS),
+)
+def daily_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(normalized_listings(daily_store(spark, sf_dir)))
+
+
 @query(
     "o3_listing_cap",
     q.over_listings("SELECT ordinal, title, company FROM listings ORDER BY ordinal LIMIT 4000"),
