@@ -23,32 +23,44 @@ def latest_per_group(df: DataFrame, key: str, most: int, order: str = "created_m
     return ranked.withColumn("place", F.col("place").cast("long"))
 
 
-def loaded_comments(posts: DataFrame, comments: DataFrame) -> DataFrame:
-    """Active comments of the newest active posts of each company, oldest first.
-
-    Posts are looked up ten at a time, and the comment limit of a company is shared among its look-ups. Comments of other
-    posts leave before anything is ranked, and no post is ranked beyond its look-up's share.
-    """
+def wanted_posts(posts: DataFrame) -> DataFrame:
+    """The newest active posts of each company (post_id, _company), each with its look-up and the comments that a look-up may load."""
     shown = latest_per_group(active(posts), "company_slug", POSTS_MAX)
     lookups = shown.groupBy("company_slug").agg(F.ceil(F.count("*") / POSTS_PER_LOOKUP).alias("_lookups"))
-    wanted = shown.join(lookups, "company_slug").select(
+    return shown.join(lookups, "company_slug").select(
         F.col("id").alias("post_id"),
         F.col("company_slug").alias("_company"),
         F.floor((F.col("place") - 1) / POSTS_PER_LOOKUP).alias("_lookup"),
         F.ceil(F.lit(COMMENTS_MAX) / F.col("_lookups")).alias("_share"),
     )
-    oldest = Window.partitionBy("post_id").orderBy("created_ms", "id")
-    in_lookup = Window.partitionBy("_company", "_lookup").orderBy("created_ms", "id")
+
+
+def within_share(found: DataFrame, *company: str) -> DataFrame:
+    """Comments of wanted posts that their look-up loads, oldest first.
+
+    ``company`` names the column that the comments are stored by, if any: a company's posts then stay where they are.
+    """
+    oldest = Window.partitionBy(*company, "post_id").orderBy("created_ms", "id")
+    in_lookup = Window.partitionBy(*(company or ("_company",)), "_lookup").orderBy("created_ms", "id")
     # The share is constant within a post, so the limit per post holds the look-up's first rows.
-    found = active(comments).join(wanted, "post_id").withColumn("_in_post", F.row_number().over(oldest))
     return (
-        found.where(F.col("_in_post") <= F.col("_share"))
+        found.withColumn("_in_post", F.row_number().over(oldest))
+        .where(F.col("_in_post") <= F.col("_share"))
         .withColumn("_at", F.row_number().over(in_lookup))
         .where(F.col("_at") <= F.col("_share"))
         .drop("_in_post", "_at", "_company", "_lookup", "_share")
     )
 
 
+def loaded_comments(posts: DataFrame, comments: DataFrame) -> DataFrame:
+    """Active comments of the newest active posts of each company, oldest first.
+
+    Posts are looked up ten at a time, and the comment limit of a company is shared among its look-ups. Comments of other
+    posts leave before anything is ranked, and no post is ranked beyond its look-up's share.
+    """
+    return within_share(active(comments).join(wanted_posts(posts), "post_id"))
+
+
 def attach_parents(comments: DataFrame) -> DataFrame:
     """Keep a parent only where it is among the given comments, of whatever post; else the comment is top level.
 

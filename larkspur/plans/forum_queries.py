@@ -14,6 +14,8 @@ from larkspur.operators import votes as vo
 from larkspur.plans import sqltext as q
 from larkspur.plans.catalog import query
 from larkspur.plans.views import table, view
+from larkspur.session import run_dir
+from larkspur.sources import forum_store
 
 NOW = 1700005000000
 
@@ -272,6 +274,19 @@ def loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "j4_company_comments",
+    q.with_ctes(
+        ["posts", "comments"],
+        "SELECT l.id, l.post_id, l.parent_id, l.company_slug, l.created_ms FROM loaded l JOIN posts p ON p.id = l.post_id WHERE p.company_slug = 'c3'", _LOADED,
+    ),
+)
+def company_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = run_dir(spark, "forum")
+    forum_store.land_forum(posts(spark, sf_dir), comments(spark, sf_dir), path, buckets=8)
+    return forum_store.company_comments(spark, path, "c3").select("id", "post_id", "parent_id", "company_slug", "created_ms")
+
+
 _LINKED = "linked AS (SELECT c.id, c.post_id, p.id AS parent_id, c.created_ms FROM comments c LEFT JOIN comments p ON c.parent_id = p.id)"
 
 
