@@ -44,9 +44,9 @@ def sentence_starts(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray, en
     return np.flatnonzero(opens)
 
 
-def spans(data: np.ndarray, bounds: np.ndarray, least_words: int) -> tuple[np.ndarray, ...]:
-    """Of each span: fingerprint, text, number within the text by start and end, first sentence within the text, end
-    sentence; and the sentences' first bytes."""
+def span_bounds(data: np.ndarray, bounds: np.ndarray, least_words: int) -> tuple[np.ndarray, ...]:
+    """Of each span: text, number within the text by start and end, first sentence within the text, end sentence, first word, end
+    word; then the sentences' first bytes, and the words' starts and ends."""
     starts, ends, first = A.words(data, bounds)
     opens = sentence_starts(data, bounds, starts, ends, first)
     of_text = np.searchsorted(opens, first)
@@ -65,14 +65,18 @@ def spans(data: np.ndarray, bounds: np.ndarray, least_words: int) -> tuple[np.nd
     low, high = np.concatenate([low[whole], start[new]]), np.concatenate([high[whole], end[new]])
     order = np.lexsort((high, low))
     low, high = low[order], high[order]
-    sums = np.zeros(len(starts) + 1, A.U64)
-    up, down = A.powers(1 << max(20, int(len(starts) + 1).bit_length()))
-    np.cumsum(A.Fingerprints(data, A.LOWER).of(starts, ends) * up[: len(starts)], out=sums[1:])
-    a, b = opens[low], edges[high]
-    prints = A.mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(A.U64) * A.U64(A.STEPS[20]))
     text = text[low]
     number = np.arange(len(text)) - np.searchsorted(text, text)
-    return prints, text, number, low - of_text[text], high - of_text[text], starts[opens]
+    return text, number, low - of_text[text], high - of_text[text], opens[low], edges[high], starts[opens], starts, ends
+
+
+def spans(data: np.ndarray, bounds: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each span: fingerprint, text, number within the text."""
+    text, number, _, _, a, b, _, starts, ends = span_bounds(data, bounds, least_words)
+    sums = np.zeros(len(starts) + 1, A.U64)
+    up, down = A.powers(len(starts) + 1)
+    np.cumsum(A.Fingerprints(data, A.LOWER).of(starts, ends) * up[: len(starts)], out=sums[1:])
+    return A.mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(A.U64) * A.U64(A.STEPS[20])), text, number
 
 
 def span_rows(shards: int, least_words: int):
@@ -85,7 +89,7 @@ def span_rows(shards: int, least_words: int):
                 docs = np.asarray(batch.column("doc"), np.int64), np.asarray(batch.column("tie"), np.int64)
                 found = []
                 for row, _, data, bounds in A.slices(batch.column("text")):
-                    prints, text, number, *_ = spans(data, bounds, least_words)
+                    prints, text, number = spans(data, bounds, least_words)
                     found.append((prints, text + row, number))
                 if found and sum(len(f[0]) for f in found):
                     yield dealt_stretches(*(np.concatenate(c) for c in zip(*found)), docs, shards)
@@ -106,7 +110,7 @@ def cut(least_words: int):
         for text, low, high in zip(texts, firsts, lasts):
             raw = text.as_py().encode()
             data = np.frombuffer(raw, np.uint8)
-            *_, sentence, end, places = spans(data, np.array([0, len(data)]), least_words)
+            _, _, sentence, end, _, _, places, _, _ = span_bounds(data, np.array([0, len(data)]), least_words)
             if not low.is_valid or not len(low):
                 out.append((len(places), 0, 0, text.as_py()))
                 continue
