@@ -71,13 +71,16 @@ def with_position(df: DataFrame, order_col: str, name: str = "position", bits: i
 def window_at(df: DataFrame, order_col: str, start: int, size: int, bits: int = BITS) -> DataFrame:
     """Rows ``start`` to ``start + size`` in the order of ``order_col`` (unique integers), sorted.
 
-    Blocks are counted from the order column alone. Only rows of blocks that reach into the window are numbered, so the
-    plan is the same, and its shuffle as small, at any depth.
+    Blocks are counted from the order column alone, and the few that reach into the window are stored. They follow one another, so the
+    rows to number lie in one range of the order column, which reaches the scan: its plan is the same, and its shuffle as
+    small, at any depth.
     """
     starts = _starts(_counts(df, order_col, bits), bits, LEVELS)
-    reach = starts.where((F.col("_start") < start + size) & (F.col("_start") + F.col("_rows") > start))
-    inside = df.withColumn("_wanted", _block(order_col, bits)).join(
-        reach.select(F.col("_at_block").alias("_wanted")), "_wanted", "left_semi"
-    )
-    numbered = _numbered(inside.drop("_wanted"), order_col, reach, "_position", bits)
+    reach = (F.col("_start") < start + size) & (F.col("_start") + F.col("_rows") > start)
+    blocks = stored(starts.where(reach).select("_at_block", "_start"), "blocks")
+    low, high = blocks.agg(F.min("_at_block"), F.max("_at_block")).first()
+    if low is None:
+        return df.limit(0)
+    inside = df.where(F.col(order_col).between(low << bits, ((high + 1) << bits) - 1))
+    numbered = _numbered(inside, order_col, blocks, "_position", bits)
     return numbered.where(F.col("_position").between(start, start + size - 1)).orderBy(order_col).select(*df.columns)
