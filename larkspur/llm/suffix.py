@@ -4,7 +4,9 @@ A suffix is sampled where the fingerprint of its first GRAM bytes is the smalles
 stretches choose the same place, so every repeated stretch is found at a sampled suffix. A sample stands for the run of
 stretches that chose it; its key is the fingerprint of its first GRAM bytes, its code that of all bytes of that run.
 
-Samples are dealt to shards by the first bits of their key. A shard takes its samples in batches of document order. Each
+Samples are dealt to shards by the first bits of their key. Of equal codes in one batch of documents only the earliest goes there
+to be compared; the others are known to repeat it, and any shard carries them, so that a passage that many documents hold
+sends one sample per batch to its shard. A shard takes its samples in batches of document order. Each
 batch gets a sorted array, which is scanned against the sorted levels: a sample whose code is there already repeats an
 earlier one in all its stretches. New codes become a level, and levels of one size class are merged, so that a shard holds
 a logarithmic number of them. Last, samples that agree in the key but not in the code are handed out again
@@ -38,6 +40,8 @@ LEAST_SHARDS = 32
 BATCH_SAMPLES = 100_000
 #: Documents that one packed row names at most; it bounds the arrays of a task, too.
 MOST_DOCS = 2048
+#: Set beside the number of further stretches of a sample that is known to repeat an earlier one.
+KNOWN = np.uint8(128)
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -84,6 +88,19 @@ def sample(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     return code, text, first - bounds[text], last - first, key, shard
 
 
+def known_repeats(code: np.ndarray, at: np.ndarray, first: np.ndarray, docs: tuple) -> np.ndarray:
+    """Flags of the samples of a batch whose code an earlier one of the batch has. The earliest of a code is not flagged, nor are
+    samples of rows that are alike in all, at the same place: they are one document."""
+    place = ordered_docs(*docs)[0][at]
+    order = np.lexsort((first, place, code))
+    ordered, place, first = code[order], place[order], first[order]
+    head = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    lead = np.repeat(head, np.diff(np.append(head, len(ordered))))
+    flags = np.zeros(len(code), bool)
+    flags[order] = (place != place[lead]) | (first != first[lead])
+    return flags
+
+
 def dealt(names: dict[str, object], shard: np.ndarray, shards: int, at: np.ndarray, docs: tuple, columns: dict[str, np.ndarray]):
     """One row per shard that has any: the documents it names, and the packed columns in order of the shard."""
     order = np.argsort(shard, kind="stable")
@@ -125,6 +142,9 @@ def sample_rows(shards: int):
                 if found:
                     code, at, first, more, key, high = (np.concatenate(c) for c in zip(*found))
                     shard = ((high * A.U64(shards)) >> A.U64(24)).astype(np.int64)
+                    known = known_repeats(code, at, first, docs)
+                    shard = np.where(known, np.arange(len(known)) % shards, shard)
+                    more = np.where(known, more | KNOWN, more)
                     yield dealt(SAMPLES, shard, shards, at, docs, {"code": code, "key": key, "first": first, "more": more})
             A.release()
 
@@ -185,6 +205,9 @@ def scan_shard(table: pa.Table) -> pa.Table:
     at = place[base + joined(table.column("at"), np.uint16)]
     code, key = joined(table.column("code"), np.uint64), joined(table.column("key"), np.uint32)
     first, more = joined(table.column("first"), np.uint32), joined(table.column("more"), np.uint8)
+    known = more >= KNOWN
+    carried = at[known], first[known].astype(np.int64), (more[known] ^ KNOWN).astype(np.int64)
+    code, key, at, first, more = (x[~known] for x in (code, key, at, first, more))
     order = np.lexsort((first, at))
     new = np.ones(len(order), bool)  # rows that are alike in all are one document
     new[1:] = (at[order][1:] != at[order][:-1]) | (first[order][1:] != first[order][:-1])
@@ -208,12 +231,13 @@ def scan_shard(table: pa.Table) -> pa.Table:
     left = samples[same[1:] | same[:-1]]
     repeats = np.concatenate(repeats) if repeats else np.zeros(0, np.int64)
     chosen = np.concatenate([repeats, left])
-    doc = named[at[chosen]]
+    at, first, more = (np.concatenate([c, x[chosen]]) for c, x in zip(carried, (at, first, more)))
+    doc = named[at]
     A.release()
     return pa.Table.from_arrays(
         [
-            pa.array(docs[doc]), pa.array(ties[doc]), pa.array(first[chosen]), pa.array(first[chosen] + more[chosen]),
-            pa.array(np.repeat([False, True], [len(repeats), len(left)])),
+            pa.array(docs[doc]), pa.array(ties[doc]), pa.array(first), pa.array(first + more),
+            pa.array(np.repeat([False, True], [len(at) - len(left), len(left)])),
         ],
         names=list(FOUND_NAMES),
     )
@@ -359,6 +383,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     Strings are judged on the input. Null texts are empty, null ids come first, other columns are ignored. Rows of one
     doc_id with unequal texts come in order of a fingerprint of the text; rows alike in both are one document and have one result.
+    A very long text is a slice of its own, in arrays that grow with its bytes. An empty table gives no rows.
     """
     texts = keyed(docs, doc_id, text)
     runs = by_document(repeated_runs(texts))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,25 @@ def test_a_passage_in_many_surroundings_is_no_repeat(spark):
     assert suffix.remove_repeats(frame(spark, docs)).where("n_removed > 0").count() == 0
 
 
+def test_a_hot_passage_sends_one_sample_per_batch():
+    """A passage in a third of the documents, and one long text of one byte, stay far below their number of samples in each shard."""
+    rng = random.Random(12)
+    passage = f"{rng.getrandbits(1600):0400x}"
+    texts = [f"{rng.getrandbits(800):0200x}" + (passage if k % 3 == 0 else "") for k in range(3000)] + ["x" * 50_000]
+    columns = [pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int64()), pa.array(texts)]
+    made = list(suffix.sample_rows(32)(iter([pa.RecordBatch.from_arrays(columns, names=["doc", "tie", "text"])])))
+    codes: dict[bytes, int] = {}
+    n_known = 0
+    for row in (r for batch in made for r in batch.to_pylist()):
+        more = np.frombuffer(row["more"], np.uint8)
+        n_known += int((more >= suffix.KNOWN).sum())
+        for code in np.frombuffer(row["code"], np.uint64)[more < suffix.KNOWN]:
+            codes[code] = codes.get(code, 0) + 1
+    assert max(codes.values()) <= -(-len(texts) // suffix.MOST_DOCS) and n_known > 1000 + 40_000
+    sizes = [sum(len(r["code"]) // 8 for batch in made for r in batch.to_pylist() if r["shard"] == s) for s in range(32)]
+    assert max(sizes) < 2 * sorted(sizes)[16]
+
+
 def test_levels_stay_few():
     levels = suffix.Levels()
     for k in range(64):
