@@ -42,6 +42,7 @@ BATCH_SAMPLES = 100_000
 MOST_DOCS = 2048
 #: Set beside the number of further stretches of a sample that is known to repeat an earlier one.
 KNOWN = np.uint8(128)
+KNOWN_TOGETHER = 512
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -143,8 +144,10 @@ def sample_rows(shards: int):
                     code, at, first, more, key, high = (np.concatenate(c) for c in zip(*found))
                     shard = ((high * A.U64(shards)) >> A.U64(24)).astype(np.int64)
                     known = known_repeats(code, at, first, docs)
-                    shard = np.where(known, np.arange(len(known)) % shards, shard)
+                    # A document's known ones stay together, so that few rows name it, but for very many of them.
+                    shard = np.where(known, (at + np.arange(len(known)) // KNOWN_TOGETHER) % shards, shard)
                     more = np.where(known, more | KNOWN, more)
+                    code, key = np.where(known, A.U64(0), code), np.where(known, np.uint32(0), key)  # no longer of use
                     yield dealt(SAMPLES, shard, shards, at, docs, {"code": code, "key": key, "first": first, "more": more})
             A.release()
 
