@@ -82,10 +82,15 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TRIMMED = ", ".join(f"{q.trim(c)} AS {c}" for c in ls.ALIASES)
 
 
-def in_files(df: DataFrame, path: str, **options) -> str:
-    """Write rows in order of ``ordinal`` to files of unequal size, later ones larger."""
+#: Rows of one CSV file and blocks of one payload file, about. A file is read and written by one task, so with more data there are more files.
+CSV_ROWS, PAYLOAD_BLOCKS = 100_000, 128
+
+
+def in_files(df: DataFrame, path: str, file_rows: int = CSV_ROWS, **options) -> str:
+    """Write rows in order of ``ordinal`` to six files or more of unequal size, later ones larger."""
+    files = max(6, -(-df.count() // file_rows))
     part = F.least(F.lit(5), F.floor(F.log2(F.col("ordinal") / 100.0 + 1)).cast("int"))
-    ordered = df.repartitionByRange(6, part, "ordinal").sortWithinPartitions("ordinal")
+    ordered = df.repartitionByRange(files, part, "ordinal").sortWithinPartitions("ordinal")
     ordered.drop("ordinal").write.csv(path, header=True, quote='"', escape='"', emptyValue="", **options)
     return path
 
