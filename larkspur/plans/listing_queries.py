@@ -129,14 +129,21 @@ def json_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ls.map_aliases(payload_listings(found.withColumn("ordinal", ordinal).drop("place")))
 
 
+def in_payloads(packed: DataFrame, path: str, file_blocks: int = PAYLOAD_BLOCKS) -> str:
+    """Write payloads (page, value) in order of ``page`` to six files or more of unequal size, one on each line."""
+    files = max(6, -(-packed.select("page").count() // file_blocks))
+    part = F.floor(F.log2(F.col("page") + 1)).cast("int")
+    packed.repartitionByRange(files, part, "page").sortWithinPartitions("page").select("value").write.text(path)
+    return path
+
+
 @query("s2_json_to_listings", q.over_listings("SELECT ordinal, id, title, company FROM numbered", "numbered AS (SELECT * REPLACE (row_number() OVER (ORDER BY ordinal) AS ordinal) FROM listings)"))
 def json_to_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payload files of unequal size, from the scan to normalised listings."""
     path = run_dir(spark, "payloads")
     rows = raw(spark, sf_dir).withColumn("page", F.floor(F.col("ordinal") / 500).cast("long"))
     packed = rows.groupBy("page").agg(F.to_json(F.sort_array(F.collect_list(F.struct("ordinal", *ls.ALIASES)))).alias("value"))
-    part = F.floor(F.log2(F.col("page") + 1)).cast("int")
-    packed.repartitionByRange(6, part, "page").sortWithinPartitions("page").select("value").write.text(path)
+    in_payloads(packed, path)
     made = ls.normalize_snapshot(stored(ls.map_aliases(read_listings_json(spark, path)), "mapped"))
     return with_position(made, "ordinal", "place").select((F.col("place") + 1).alias("ordinal"), "id", "title", "company")
 
