@@ -68,6 +68,29 @@ def with_position(df: DataFrame, order_col: str, name: str = "position", bits: i
     return df.join(positions(df, order_col, name, bits), order_col).select(*df.columns, name)
 
 
+def dealt_positions(df: DataFrame, order_col: str, size: int, name: str = "position", bits: int = BITS) -> DataFrame:
+    """``with_position`` for wide rows that are to lie together by runs of ``size`` positions: one shuffle of the wide rows.
+
+    Rows are dealt by the run in which their block starts, so that the rows of a run are in two tasks at most, and
+    numbered there, block by block. ``df`` runs twice: once for the counts of its blocks, and once in the plan that is returned. The starts
+    are stored, one row per block, so that Spark knows their size and need not shuffle the wide rows to meet them.
+    """
+    counts = stored(_counts(df, order_col, bits), "counts")
+    starts = stored(_starts(counts, bits, LEVELS).select("_at_block", "_start"), "starts")
+    dealt = (
+        df.withColumn("_at_block", _block(order_col, bits))
+        .join(starts, "_at_block")
+        .withColumn("_run", F.floor(F.col("_start") / size))
+        .repartition("_run")
+    )
+    in_block = Window.partitionBy("_run", "_at_block").orderBy(order_col)
+    # As in with_position, rows of one order value are at each of their places; unique ones have one.
+    low = F.col("_start") + F.rank().over(in_block) - 1
+    alike = F.count(F.lit(1)).over(in_block.rangeBetween(Window.currentRow, Window.currentRow))
+    placed = dealt.withColumn("_low", low).withColumn("_high", F.col("_low") + alike - 1)
+    return placed.select(*df.columns, F.explode(F.sequence("_low", "_high")).alias(name))
+
+
 def window_at(df: DataFrame, order_col: str, start: int, size: int, bits: int = BITS) -> DataFrame:
     """Rows ``start`` to ``start + size`` in the order of ``order_col`` (unique integers), sorted.
 

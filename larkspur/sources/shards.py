@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from larkspur.operators.listings import clamp_size, filter_country, slice_window
-from larkspur.operators.numbering import with_position
+from larkspur.operators.numbering import dealt_positions
 from larkspur.session import stored
 from larkspur.sources.listings import path_exists
 
@@ -36,9 +36,9 @@ def shard_keys(url: Column, country: Column, shard_index: Column) -> tuple[Colum
 
 
 def with_shard(df: DataFrame, country: str | None, rows_per_shard: int | None = None) -> DataFrame:
-    """Rows of the country with ``shard_index``, in input order."""
+    """Rows of the country with ``shard_index``, in input order; those of one file lie in two tasks at most."""
     size = clamp_size(rows_per_shard)
-    numbered = with_position(filter_country(df, country_code(country)), "ordinal")
+    numbered = dealt_positions(filter_country(df, country_code(country)), "ordinal", size * FILE_SHARDS)
     return numbered.withColumn("shard_index", F.floor(F.col("position") / size).cast("long")).drop("position")
 
 
@@ -70,8 +70,9 @@ def build_shards(
     """Write the shards of one source and country that have changed, then the meta row that makes the build visible.
 
     Builds of many sources and countries share ``path``. Shards lie in files of FILE_SHARDS each. A build's list of files names
-    the folder of each and a digest of its rows: files whose digest is that of the live build are taken over, and only the
-    others are written, to a folder of their own. Shard numbers are dense, so that rows are dealt to files without
+    the folder of each and a digest of its rows. The rows are shuffled once and written to a folder of the build's own, and the
+    digests are taken from there: files whose digest is that of the live build are taken over, and their copies in the new
+    folder are deleted before the build is visible. Shard numbers are dense, so that rows are dealt to files without
     sampling. Files that the last KEEP_BUILDS builds don't name are deleted.
     """
     size, code = clamp_size(rows_per_shard), country_code(country)
@@ -88,15 +89,17 @@ def build_shards(
         before = spark.createDataFrame([], FILES)
     old = before.select("_file", F.col("folder").alias("_folder"), F.col("content").alias("_content"))
     same = F.coalesce(F.col("content") == F.col("_content"), F.lit(False))
+    rows.sortWithinPartitions("_file", "shard_index", "ordinal").write.partitionBy("_file").parquet(f"{path}/shards/{build}")
+    written = _held(spark, path, build, numbered.schema)
     files = stored(
-        file_contents(rows).join(old, "_file", "left").select(
+        file_contents(written).join(old, "_file", "left").select(
             "_file", F.when(same, F.col("_folder")).otherwise(F.lit(build)).alias("folder"), "content", "rows"
         ),
         "files",
     )
-    changed = files.where(F.col("folder") == build).select("_file")
-    ordered = rows.join(changed, "_file", "left_semi").repartition("_file").sortWithinPartitions("_file", "shard_index", "ordinal")
-    ordered.write.partitionBy("_file").parquet(f"{path}/shards/{build}")
+    fs, at = _file_system(spark, path)
+    for r in files.where(F.col("folder") != build).select("_file").toLocalIterator():
+        fs.delete(at(f"shards/{build}/_file={r['_file']}"), True)
     files.write.parquet(f"{path}/files/{build}")
     total = F.col("total_filtered_rows")
     made = files.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("total_filtered_rows")).select(
@@ -109,7 +112,7 @@ def build_shards(
         F.lit(built_at).alias("built_at"),
         F.lit(build).alias("build"),
         F.unix_micros(F.current_timestamp()).alias("written"),
-        F.lit(json.dumps(rows.drop("_file").schema.jsonValue())).alias("columns"),
+        F.lit(json.dumps(numbered.schema.jsonValue())).alias("columns"),
     )
     made.coalesce(1).write.parquet(f"{path}/meta/of={build}")
     drop_old_builds(spark, path, url, code)
@@ -124,6 +127,11 @@ def _builds(spark: SparkSession, path: str, url: str, country: str | None) -> Da
     return own.orderBy(F.col("written").desc(), "build")
 
 
+def _held(spark: SparkSession, path: str, folder: str, schema: StructType) -> DataFrame:
+    """All rows under a folder of shards, with their ``_file``."""
+    return spark.read.schema(StructType([*schema.fields, StructField("_file", IntegerType())])).parquet(f"{path}/shards/{folder}")
+
+
 def build_files(spark: SparkSession, path: str, build: str) -> DataFrame:
     return spark.read.schema(FILES).parquet(f"{path}/files/{build}")
 
@@ -180,7 +188,7 @@ def read_shards(spark: SparkSession, path: str, url: str, country: str | None =
     files = files if file is None else files.where(F.col("_file") == file)
     found = spark.createDataFrame([], schema)
     for n, r in enumerate(files.select("folder").distinct().collect()):  # at most MOST_FOLDERS
-        held = spark.read.schema(StructType([*schema.fields, StructField("_file", IntegerType())])).parquet(f"{path}/shards/{r['folder']}")
+        held = _held(spark, path, r["folder"], schema)
         if file is None:
             own = files.where(F.col("folder") == r["folder"]).select("_file")
             held = held.join(own, "_file", "left_semi")

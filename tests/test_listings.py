@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from larkspur.operators import companies as co
 from larkspur.operators import insights as ins
 from larkspur.operators import listings as ls
-from larkspur.operators.numbering import with_position
+from larkspur.operators.numbering import dealt_positions, with_position
+from larkspur.plans import listing_queries
 from larkspur.operators.state import job_state, overlay
 from larkspur.sources import shards
+from larkspur.sources.listings import read_listings_csv, read_listings_json
 from larkspur.sources.shards import build_shards, read_page, shard_pagination
 
 NAMES = ["ordinal", *ls.ALIASES]
@@ -271,3 +273,43 @@ def test_insights(spark):
     assert share == {("certifications", "CPA"): 0.75, ("certifications", ""): 0.25}
     assert ins.profile(df).first()["row_count"] == 4
     assert ins.preview(df, "ordinal", 2).count() == 2
+
+
+def test_a_build_works_out_its_rows_once(spark, tmp_path):
+    """The rows are shuffled and written once; digests come from what was written."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    df = raw(spark, [{"id": str(k), "job_title": f"t{k}", "country_code": "US"} for k in range(200)]).repartition(7)
+    path = str(tmp_path / "shards")
+    for when in ("now", "later"):
+        build_shards(spark, df.withColumn("job_title", counted("job_title")), path, URL, when, "US", 10)
+        assert shards.read_shards(spark, path, URL).where("job_title = concat('t', id) AND shard_index = floor(ordinal / 10)").count() == 200
+    assert seen.value == 400
+
+
+def test_positions_of_dealt_rows(spark):
+    """As with_position, also where order values repeat, are null or far apart."""
+    rng = random.Random(4)
+    values = [rng.randrange(300) for _ in range(200)] + [rng.randrange(1 << 40) for _ in range(50)] + [-5, None, None]
+    df = spark.createDataFrame([(v, k) for k, v in enumerate(values)], "ordinal long, k long").repartition(5)
+    rows = lambda found: sorted(map(tuple, found.select("ordinal", "k", "position").collect()))
+    for bits, size in ((3, 7), (14, 1000)):
+        assert rows(dealt_positions(df, "ordinal", size, bits=bits)) == rows(with_position(df, "ordinal", bits=bits))
+
+
+def test_source_files_grow_in_number(spark, tmp_path):
+    """A file is one task's, so more rows make more files, and these stay in the order of the rows."""
+    df = spark.range(1000).select(F.col("id").alias("ordinal"), F.concat(F.lit("a\nb"), F.col("id").cast("string")).alias("job_title"))
+    path = listing_queries.in_files(df, str(tmp_path / "csv"), file_rows=50)
+    assert max(len(f.read_text().splitlines()) for f in (tmp_path / "csv").glob("*.csv")) < 2 * 2 * 50
+    read = read_listings_csv(spark, path).orderBy("ordinal")
+    assert [r["job_title"] for r in read.collect()] == [f"a\nb{k}" for k in range(1000)]
+    packed = spark.range(300).select(F.col("id").alias("page"), F.concat(F.lit('[{"id": "'), F.col("id").cast("string"), F.lit('"}]')).alias("value"))
+    path = listing_queries.in_payloads(packed, str(tmp_path / "json"), file_blocks=10)
+    assert max(len(f.read_text().splitlines()) for f in (tmp_path / "json").glob("*.txt")) < 2 * 10 + 1
+    assert [r["id"] for r in read_listings_json(spark, path).orderBy("ordinal").collect()] == [str(k) for k in range(300)]
