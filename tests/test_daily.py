@@ -79,6 +79,14 @@ def test_trigrams(spark):
     assert got == {t: list(dict.fromkeys(t[k : k + 3] for k in range(len(t) - 2))) for t in texts}
 
 
+def test_trigrams_of_batches():
+    texts = ["", "ab", "abc", "abcabc", "a😀é b", "\0\0\0\0", "\U0010ffff" * 3, "éab", "x\ny"]
+    for some in (texts, texts[:2], [], [texts[4]]):
+        want = {t[k : k + 3] for t in some for k in range(len(t) - 2)}
+        got = textindex.batch_grams(some)
+        assert set(got) == want and len(got) == len(want)
+
+
 def test_searches_skip_files_and_find_the_same(spark, tmp_path):
     rng = random.Random(3)
     names = [f"Company {k:02d}" for k in range(20)]
@@ -98,3 +106,18 @@ def test_searches_skip_files_and_find_the_same(spark, tmp_path):
     assert len(textindex.search_indexed(spark, path, "quark07").inputFiles()) <= 4 < 20 < total
     assert textindex.search_indexed(spark, path, "no such text").inputFiles() == []
     assert len(textindex.search_indexed(spark, path, "it").inputFiles()) == total
+
+
+def test_listings_are_worked_out_once_for_the_index(spark, tmp_path):
+    """Dealing by ranges looks at the rows twice, but what they come from runs once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    df = ls.normalize_listings(ls.map_aliases(raw(spark, [{"job_title": f"t{k}", "company_name": f"c{k % 7}"} for k in range(100)])))
+    textindex.write_indexed(df.withColumn("title", counted("title")), str(tmp_path / "once"), file_rows=20)
+    assert seen.value == 100
+    assert [r["title"] for r in textindex.search_indexed(spark, str(tmp_path / "once"), "t42").collect()] == ["t42"]
