@@ -12,8 +12,14 @@ shuffles:
    can be shared if it is the first that two sets share, which bounds the similarity.
 3. Sets with a common signature are candidates. Each group is first compared with one leader, the member with the fewest
    tokens of its own. Groups whose members are then in one component are done. In the others, all pairs between the
-   largest component and the rest, and among the rest, are compared. No group is expanded into all its pairs otherwise.
-4. Candidates are verified on all their shared tokens. Verified links give the components.
+   largest component and the rest, and among the rest, are compared, if the rest has SMALL members at most: the pairs are so
+   many times the members.
+4. The other groups are split by what their members do not have in common with the leader. The differences of two sets from
+   one leader tell what the two share: of linked sets, one of them outside the leader's component, a known number of
+   differences must be the same. Differences are ordered, those that the leader has last, and prefixes of them that must
+   meet are indexed. The groups found so are treated as in 3, again with a leader each. After MOST_ROUNDS splits, what
+   is still open is compared in pairs.
+5. Candidates are verified on all their shared tokens. Verified links give the components.
 
 Tokens are compared by 40 bits beside the bucket number, sets by 64 bits.
 """
@@ -27,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from larkspur.llm import arrays as A
 from larkspur.llm.components import components, free_names
@@ -43,6 +49,9 @@ RARE = 256
 #: Sets from so many tokens on use combinations; one class for so many tokens.
 COMBINED_FROM = 20
 CLASS_TOKENS = 8
+#: Open groups with more sets outside their largest component are split by differences from their leader; so many times at most.
+SMALL = 32
+MOST_ROUNDS = 4
 #: Documents that one packed row names at most; it bounds the arrays of a task, too.
 MOST_SETS = 2048
 #: So much text at most, but for a longer single one.
@@ -342,9 +351,31 @@ def overlap(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(found, pa.int64())
 
 
+@F.arrow_udf(StructType([StructField("near", LongType()), StructField("apart", ArrayType(LongType()))]))
+def differences(tokens: pa.Array, leader: pa.Array) -> pa.Array:
+    """How many tokens a sorted array shares with its leader's, and those that one of both has: first those the leader lacks, each
+    part in an order that is the same for all."""
+    near, apart = [], []
+    for x, y in zip(tokens, leader):
+        x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+        gained, lost = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+        near.append(len(x) - len(gained))
+        apart += [part[np.argsort(A.mixed(part))] for part in (gained, lost)]
+    ends = np.concatenate([[0], np.cumsum([len(part) for part in apart], dtype=np.int64)[1::2]]).astype(np.int32)
+    values = np.concatenate(apart).view(np.int64) if apart else np.zeros(0, np.int64)
+    A.release()
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+    return pa.StructArray.from_arrays([pa.array(near, pa.int64()), lists], ["near", "apart"])
+
+
 def admissible(a: str, b: str) -> Column:
     """Whether two sets may be linked, by their sizes and by how many tokens they can share from a signature on."""
-    return 9 * F.least(f"{a}.left", f"{b}.left") >= 4 * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+    shared = F.least(f"{a}.left", f"{b}.left") + F.col(f"{a}.near") + F.col(f"{b}.near") - F.col(f"{a}.base")
+    return 9 * shared >= 4 * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
+def ordered_pair(a: str, b: str) -> list[Column]:
+    return [F.least(f"{a}.set_id", f"{b}.set_id").alias("a"), F.greatest(f"{a}.set_id", f"{b}.set_id").alias("b")]
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -372,46 +403,105 @@ def set_links(members: DataFrame, docs: DataFrame, text: str) -> tuple[DataFrame
     )
     signed = sets.select("set_id", "n", F.explode(F.arrays_zip("signs", "lefts")).alias("x"))
     signed = signed.select("set_id", "n", F.col("x.signs").alias("sign"), F.col("x.lefts").alias("left"))
-    leaders = (
-        signed.groupBy("sign")
-        .agg(F.min(F.struct((F.col("n") - F.col("left")).alias("own"), "set_id", "n", "left")).alias("l"), F.count(F.lit(1)).alias("size"))
-        .where("size > 1")
-    )
-    groups = signed.alias("s").join(leaders, "sign")
-    stars = stored(
-        groups.where(F.col("s.set_id") != F.col("l.set_id"))
-        .where(admissible("s", "l"))
-        .select(F.least("l.set_id", "s.set_id").alias("a"), F.greatest("l.set_id", "s.set_id").alias("b"))
-        .distinct(),
-        "stars",
-    )
-    links = stored(verified(stars, sets), "links")
-    labels = components(links)
-
-    # What the leaders left open: groups of several components.
-    labelled = groups.select("sign", "s.*").drop("s.sign").join(labels, F.col("set_id") == F.col("node"), "left")
-    labelled = labelled.select("sign", "set_id", "n", "left", F.coalesce("label", "set_id").alias("label"))
-    reach = [F.min("n").alias("least"), F.max("left").alias("most")]
+    none = [F.lit(0).cast("long").alias(c) for c in ("near", "base", "side")]
+    signed = signed.select("sign", "set_id", "n", "left", (F.col("n") - F.col("left")).alias("own"), *none)
+    tried, every, labels = None, None, None
+    for step in range(MOST_ROUNDS + 1):
+        leaders = (
+            signed.groupBy("sign")
+            .agg(F.min(F.struct("own", "set_id", "n", "left", "near", "base")).alias("l"), F.count(F.lit(1)).alias("size"))
+            .where("size > 1")
+        )
+        groups = signed.alias("s").join(leaders, "sign")
+        stars = groups.where(F.col("s.set_id") != F.col("l.set_id")).where(admissible("s", "l")).select(*ordered_pair("l", "s")).distinct()
+        stars = stored(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "stars")
+        links = stored(verified(stars, sets), "links")
+        if every is None or not links.isEmpty():
+            every = links if every is None else every.unionByName(links)
+            labels = components(every)
+        tried = stars if tried is None else tried.unionByName(stars)
+
+        opened = open_members(groups, labels)
+        large = F.col("outside") > (SMALL if step < MOST_ROUNDS else 1 << 62)
+        small = opened.where(~large)
+        rest = (
+            small.where((F.col("label") != F.col("top")) & F.col("able")).alias("x")
+            .join(small.alias("y"), F.col("x.sign") == F.col("y.sign"))
+            .where((F.col("x.label") != F.col("y.label")) & admissible("x", "y"))
+            .where("x.side = 0 OR x.side <> y.side")
+            .select(*ordered_pair("x", "y"))
+            .distinct()
+            .join(tried, ["a", "b"], "left_anti")
+        )
+        rest = stored(rest, "rest")
+        late = stored(verified(rest, sets), "late")
+        if not late.isEmpty():
+            every = every.unionByName(late)
+            labels = components(every)
+        split = opened.where(large & F.col("able"))
+        if split.isEmpty():
+            return labels, every
+        tried = tried.unionByName(rest)
+        signed = stored(split_groups(split, sets, labels), "signed")
+
+
+def open_members(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the groups that their leaders left open, those of several components, with their component and the largest one, the
+    leader and how many are outside the largest one; ``able`` says whether a member may be linked with some other."""
+    labelled = groups.select("s.*", F.col("l.set_id").alias("leader"), "size").join(labels, F.col("set_id") == F.col("node"), "left")
+    labelled = labelled.drop("node").withColumn("label", F.coalesce("label", "set_id"))
+    reach = [F.min("n").alias("least"), F.max("left").alias("most"), F.max("near").alias("most_near")]
     parts = labelled.groupBy("sign", "label").agg(F.count(F.lit(1)).alias("size"), *reach)
     largest = parts.groupBy("sign").agg(
-        F.max(F.struct("size", "label")).alias("top"), F.count(F.lit(1)).alias("parts"), F.min("least").alias("least"), F.max("most").alias("most")
+        F.max(F.struct("size", "label")).alias("top"), F.count(F.lit(1)).alias("parts"),
+        F.min("least").alias("least"), F.max("most").alias("most"), F.max("most_near").alias("most_near"),
+    )
+    open_groups = largest.where("parts > 1").select("sign", "top.label", "top.size", "least", "most", "most_near").toDF("sign", "top", "alike", "least", "most", "most_near")
+    able = 9 * (F.least("left", "most") + F.col("near") + F.col("most_near") - F.col("base")) >= 4 * (F.col("n") + F.col("least"))
+    opened = labelled.join(open_groups, "sign").withColumn("able", able).withColumn("outside", F.col("size") - F.col("alike"))
+    return stored(opened.drop("least", "most", "most_near", "size", "alike"), "opened")
+
+
+def split_groups(opened: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Smaller groups that hold each pair of members of one leader that may be linked, but for pairs within one component.
+
+    Let x share i tokens with the leader, which has m, and y share j. Then x and y share i + j - m tokens and as many as they both
+    differ in from the leader; that must be 4/9 of both sizes at least. A set outside the leader's component meets the other ones
+    outside it (side 0) and those inside it (sides 1 and 2) in groups of their own, as the latter have few differences.
+    """
+    tokens = sets.select("set_id", "n", "lost", "tokens")
+    heads = tokens.select(F.col("set_id").alias("leader"), F.col("tokens").alias("of_leader"))
+    ranks = labels.select(F.col("node"), F.col("label").alias("part"))
+    pairs = opened.where("set_id <> leader").select("leader", "set_id").distinct()
+    pairs = pairs.join(ranks, F.col("set_id") == F.col("node"), "left").select("leader", "set_id", F.coalesce("part", "set_id").alias("part"))
+    pairs = pairs.join(ranks.toDF("node", "home"), F.col("leader") == F.col("node"), "left").drop("node")
+    pairs = pairs.withColumn("far", F.col("part") != F.coalesce("home", "leader")).drop("part", "home")
+    told = pairs.join(tokens, "set_id").join(heads, "leader").withColumn("d", differences("tokens", "of_leader"))
+    told = told.select(
+        "leader", "set_id", "n", "lost", "far", "d.near", "d.apart", (F.octet_length("of_leader") / 8).cast("long").alias("base")
     )
-    open_groups = largest.where("parts > 1").select("sign", F.col("top.label").alias("top"), "least", "most")
-    opened = stored(labelled.join(open_groups, "sign"), "opened")
-    able = 9 * F.least("left", "most") >= 4 * (F.col("n") + F.col("least"))  # with some member of the group
-    rest = (
-        opened.where((F.col("label") != F.col("top")) & able).alias("x")
-        .join(opened.alias("y"), F.col("x.sign") == F.col("y.sign"))
-        .where((F.col("x.label") != F.col("y.label")) & admissible("x", "y"))
-        .select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
+    told = stored(told.withColumn("needs", 4 * F.col("n") - 9 * F.col("near")), "apart")
+    least = told.groupBy("leader").agg(
+        F.min(F.when(F.col("far"), F.col("needs"))).alias("least_far"), F.min(F.when(~F.col("far"), F.col("needs"))).alias("least_near")
     )
-    late = stored(verified(rest, sets), "late")
-    if late.isEmpty():
-        return labels, links
-    every = links.unionByName(late)
-    return components(every), every
+    both = told.join(least, "leader")
+
+    def prefixes(rows: DataFrame, others: str, side: int, kind: int) -> DataFrame:
+        # So many equal differences at least; if that may be none, the differences end with one that all sets have.
+        equal = F.ceil((F.col("needs") + F.col(others) + 9 * (F.col("base") - F.col("lost"))) / 9)
+        size = F.size("apart").cast("long")
+        rows = rows.where(F.col(others).isNotNull()).withColumn("length", size - F.greatest(equal, F.lit(0)) + 1).where("length > 0")
+        shown = F.slice(F.concat("apart", F.array(F.lit(0).cast("long"))), 1, F.col("length").cast("int"))
+        rows = rows.select("leader", "set_id", "n", "lost", "near", "base", size.alias("own"), F.posexplode(shown).alias("rank", "token"))
+        return rows.select(
+            F.xxhash64("leader", F.lit(kind), "token").alias("sign"), "set_id", "n",
+            (F.col("own") - F.col("rank") + F.col("lost")).alias("left"), "own", "near", "base", F.lit(side).cast("long").alias("side"),
+        )
+
+    among = prefixes(both.where("far"), "least_far", 0, 0)
+    inside = prefixes(both.where("NOT far"), "least_far", 2, 1)
+    outside = prefixes(both.where("far"), "least_near", 1, 1).join(inside.select("sign").distinct(), "sign", "left_semi")
+    return among.unionByName(inside).unionByName(outside)
 
 
 def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -156,3 +156,41 @@ def test_jaccard_of_frequent_tokens(spark):
         docs.append((i, " ".join(t + (["tail", str(rng.randrange(4))] if rng.random() < 0.5 else []))))
     got = jaccard.join_documents(frame(spark, docs)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.components(docs)
+
+
+def edited_copies(seed, n, odd=True):
+    """Copies of one text with so many edits that most of them are linked with no other; odd ones are copies of copies, cut short or
+    share words."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(110)]
+    docs = []
+    for i in range(n):
+        t = list(docs[rng.randrange(len(docs))][1].split()) if odd and docs and i % 9 == 0 else list(base)
+        for j in range(rng.choice([0, 1, 2, 3, 4, 4, 5])):
+            k = rng.randrange(len(t))
+            t[k : k + rng.choice([0, 1, 1])] = rng.choice([[f"u{i}_{j}"], [f"v{rng.randrange(9)}"] if odd else [f"v{i}_{j}"], []])
+        docs.append((i, " ".join(t[: -rng.randrange(1, 20)] if odd and i % 7 == 0 else t)))
+    return docs
+
+
+def test_jaccard_compares_few_pairs_of_edited_copies(spark, monkeypatch):
+    docs = edited_copies(5, 400, odd=False)
+    compared = []
+
+    def counted(pairs, sets, verify=jaccard.verified):
+        compared.append(pairs.count())
+        return verify(pairs, sets)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    got = jaccard.join_documents(frame(spark, docs)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.components(docs)
+    assert sum(compared) < 15 * len(docs)
+
+
+@pytest.mark.parametrize(("seed", "rounds"), [(6, 4), (7, 1)])
+def test_jaccard_of_groups_split_often(spark, monkeypatch, seed, rounds):
+    monkeypatch.setattr(jaccard, "SMALL", 0)
+    monkeypatch.setattr(jaccard, "MOST_ROUNDS", rounds)
+    docs = edited_copies(seed, 150) + [(1000 + i, t) for i, t in made_docs(seed, 6, 15)]
+    got = jaccard.join_documents(frame(spark, docs)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.components(docs)
