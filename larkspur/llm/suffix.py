@@ -9,8 +9,10 @@ to be compared; the others are known to repeat it, and any shard carries them, s
 sends one sample per batch to its shard. A shard takes its samples in batches of document order. Each
 batch gets a sorted array, which is scanned against the sorted levels: a sample whose code is there already repeats an
 earlier one in all its stretches. New codes become a level, and levels of one size class are merged, so that a shard holds
-a logarithmic number of them. Last, samples that agree in the key but not in the code are handed out again
-with the fingerprint of each of their stretches, and later ones of equal stretches are marked.
+a logarithmic number of them. Last, samples that agree in the key but not in the code are handed out again: their bytes go
+to the shard of their key, which takes the fingerprint of each of their stretches and marks later ones of equal
+stretches. Samples of a key that HOT ones have are dealt by the fingerprints of their stretches instead, so that no shard gets
+them all.
 
 A suffix array of every byte would shuffle 16 bytes per byte of text; sampled ones need 19 bytes per sample, about 0.5 per
 byte. Codes and stretches have 64 bits each. Keys have 32 bits beside the shard number; equal keys of unequal grams only
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
@@ -43,6 +46,10 @@ MOST_DOCS = 2048
 #: Set beside the number of further stretches of a sample that is known to repeat an earlier one.
 KNOWN = np.uint8(128)
 KNOWN_TOGETHER = 512
+#: From so many samples of one key on, their stretches are spread by fingerprint, which takes several times the bytes.
+HOT = 1000
+#: In place of the shard that an open sample's bytes go to: it is not open, or it is spread.
+DONE, SPREAD = -2, -1
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -195,12 +202,12 @@ class Levels:
         return self.merge(*self.arrays) if self.arrays else (np.zeros(0, A.U64), np.zeros(0, np.int64))
 
 
-FOUND = "doc long, tie long, first long, last long, open boolean"
-FOUND_NAMES = ("doc", "tie", "first", "last", "open")
+FOUND = "doc long, tie long, first long, last long, goes int"
+FOUND_NAMES = ("doc", "tie", "first", "last", "goes")
 
 
 def scan_shard(table: pa.Table) -> pa.Table:
-    """For applyInArrow on one shard: runs of stretches that repeat an earlier run, and runs that are open."""
+    """For applyInArrow on one shard: runs of stretches that repeat an earlier run, and runs that are open, with where they go."""
     heads = lengths(table.column("docs"), np.int64)
     base = np.repeat(np.cumsum(heads) - heads, lengths(table.column("at"), np.uint16))
     docs, ties = joined(table.column("docs"), np.int64), joined(table.column("ties"), np.int64)
@@ -231,7 +238,11 @@ def scan_shard(table: pa.Table) -> pa.Table:
     key = key[samples]
     same = np.zeros(len(key) + 1, bool)
     same[1:-1] = key[1:] == key[:-1]
-    left = samples[same[1:] | same[:-1]]
+    open_ones = same[1:] | same[:-1]
+    left = samples[open_ones]
+    head = np.flatnonzero(~same[:-1])
+    alike = np.repeat(np.diff(np.append(head, len(key))), np.diff(np.append(head, len(key))))
+    goes = np.where(alike >= HOT, SPREAD, table.column("shard")[0].as_py() if table.num_rows else 0)[open_ones]
     repeats = np.concatenate(repeats) if repeats else np.zeros(0, np.int64)
     chosen = np.concatenate([repeats, left])
     at, first, more = (np.concatenate([c, x[chosen]]) for c, x in zip(carried, (at, first, more)))
@@ -240,7 +251,7 @@ def scan_shard(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(
         [
             pa.array(docs[doc]), pa.array(ties[doc]), pa.array(first), pa.array(first + more),
-            pa.array(np.repeat([False, True], [len(at) - len(left), len(left)])),
+            pa.array(np.concatenate([np.full(len(at) - len(left), DONE), goes]).astype(np.int32)),
         ],
         names=list(FOUND_NAMES),
     )
@@ -265,29 +276,60 @@ def dealt_stretches(prints: np.ndarray, at: np.ndarray, first: np.ndarray, docs:
     return dealt(STRETCHES, shard, shards, at, docs, {"print": prints, "first": first.astype(np.uint32), "known": known})
 
 
-def stretch_rows(shards: int):
-    """For mapInArrow over (doc, tie, text, firsts, lasts): each open stretch, one row per shard."""
+OPEN = STRETCHES | {"more": pa.binary(), "text": pa.binary()}
+OPEN_DDL = f"{STRETCHES_DDL}, more binary, text binary"
+
+
+def bytes_of(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of the given stretches, one after the other."""
+    ends = np.cumsum(sizes)
+    return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
+
+
+def dealt_bytes(data: np.ndarray, at: np.ndarray, first: np.ndarray, more: np.ndarray, goes: np.ndarray, docs: tuple, shards: int) -> pa.RecordBatch:
+    """One row per shard with the open runs that go there; ``data`` has the bytes of all runs."""
+    ends = np.cumsum(more + SIZE)
+    batch = dealt(
+        {k: kind for k, kind in OPEN.items() if k not in ("print", "known")}, goes, shards, at, docs,
+        {"first": first.astype(np.uint32), "more": more.astype(np.uint8), "text": np.arange(len(at), dtype=np.int32)},
+    )
+    runs = [np.frombuffer(x.as_py(), np.int32) for x in batch.column("text")]
+    texts = pa.array([packed(bytes_of(data, (ends - more - SIZE)[x], (more + SIZE)[x])) for x in runs], pa.binary())
+    none = pa.nulls(batch.num_rows, pa.binary())
+    columns = {k: batch.column(k) for k in batch.schema.names} | {"text": texts, "print": none, "known": none}
+    return pa.RecordBatch.from_arrays([columns[k] for k in OPEN], names=list(OPEN))
+
+
+def open_rows(shards: int):
+    """For mapInArrow over (doc, tie, text, firsts, lasts, goes): each open run's bytes or stretches, one row of each per shard."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, MOST_DOCS):
                 batch = whole.slice(lo, MOST_DOCS)
                 docs = np.asarray(batch.column("doc"), np.int64), np.asarray(batch.column("tie"), np.int64)
-                firsts, lasts = batch.column("firsts"), batch.column("lasts")
-                ends = np.asarray(firsts.offsets, np.int64)
-                owner = np.repeat(np.arange(len(firsts)), np.diff(ends))
-                low, high = np.asarray(firsts.values, np.int64)[ends[0] : ends[-1]], np.asarray(lasts.values, np.int64)[ends[0] : ends[-1]]
-                found = []
+                ends = np.asarray(batch.column("firsts").offsets, np.int64)
+                owner = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+                low, high, goes = (np.asarray(batch.column(c).values, np.int64)[ends[0] : ends[-1]] for c in ("firsts", "lasts", "goes"))
+                found, held = [], []
                 for row, end, data, bounds in A.slices(batch.column("text")):
                     part = slice(*np.searchsorted(owner, [row, end]))
-                    size = high[part] - low[part] + 1
-                    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    first, at = np.repeat(low[part], size) + step, np.repeat(owner[part], size)
+                    at, first, more, to = owner[part], low[part], high[part] - low[part], goes[part]
                     place = first + bounds[at - row]
-                    found.append((A.Fingerprints(data).of(place, place + SIZE), at, first))
-                if not found or not sum(len(f[0]) for f in found):
-                    continue
-                yield dealt_stretches(*(np.concatenate(c) for c in zip(*found)), docs, shards)
+                    if (there := to != SPREAD).any():
+                        held.append((bytes_of(data, place[there], more[there] + SIZE), at[there], first[there], more[there], to[there]))
+                    if not there.all():
+                        size = more[~there] + 1
+                        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                        place = np.repeat(place[~there], size) + step
+                        prints = A.Fingerprints(data).of(place, place + SIZE)
+                        found.append((prints, np.repeat(at[~there], size), np.repeat(first[~there], size) + step))
+                if held:
+                    yield dealt_bytes(*(np.concatenate(c) for c in zip(*held)), docs, shards)
+                if found:
+                    spread = dealt_stretches(*(np.concatenate(c) for c in zip(*found)), docs, shards)
+                    none = pa.nulls(spread.num_rows, pa.binary())
+                    yield pa.RecordBatch.from_arrays([*spread.columns, none, none], names=list(OPEN))
             A.release()
 
     return rows
@@ -296,15 +338,53 @@ def stretch_rows(shards: int):
 REPEATED = "doc long, tie long, first long, last long"
 
 
-def scan_stretches(table: pa.Table) -> pa.Table:
-    """For applyInArrow on one shard of stretches: runs of stretches that also start earlier."""
+def stretch_columns(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Documents (doc, tie) of packed stretches, and the place among them, fingerprint, first byte and known flag of each stretch."""
     heads = lengths(table.column("docs"), np.int64)
     base = np.repeat(np.cumsum(heads) - heads, lengths(table.column("at"), np.uint16))
     docs, ties = joined(table.column("docs"), np.int64), joined(table.column("ties"), np.int64)
-    place, named = ordered_docs(docs, ties)
-    at = place[base + joined(table.column("at"), np.uint16)]
+    at = base + joined(table.column("at"), np.uint16)
     prints, first = joined(table.column("print"), np.uint64), joined(table.column("first"), np.uint32).astype(np.int64)
-    known = joined(table.column("known"), np.uint8) == 1
+    return docs, ties, at, prints, first, joined(table.column("known"), np.uint8) == 1
+
+
+def byte_columns(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """The same of packed runs given by their bytes."""
+    found = []
+    base = 0
+    for row in table.select(["docs", "ties", "at", "first", "more", "text"]).to_batches():
+        for docs, ties, at, first, more, text in zip(*(row.column(k) for k in range(row.num_columns))):
+            docs, ties = np.frombuffer(docs.as_py(), np.int64), np.frombuffer(ties.as_py(), np.int64)
+            at, first = np.frombuffer(at.as_py(), np.uint16), np.frombuffer(first.as_py(), np.uint32).astype(np.int64)
+            size = np.frombuffer(more.as_py(), np.uint8).astype(np.int64) + 1
+            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            begin = np.cumsum(size + SIZE - 1) - (size + SIZE - 1)
+            place = np.repeat(begin, size) + step
+            prints = A.Fingerprints(np.frombuffer(text.as_py(), np.uint8)).of(place, place + SIZE)
+            found.append((docs, ties, np.repeat(at.astype(np.int64) + base, size), prints, np.repeat(first, size) + step))
+            base += len(docs)
+    kinds = (np.int64, np.int64, np.int64, np.uint64, np.int64)
+    columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, kind) for kind in kinds]
+    return *columns, np.zeros(len(columns[3]), bool)
+
+
+def scan_open(table: pa.Table) -> pa.Table:
+    """For applyInArrow on one shard of open runs: runs of stretches that also start earlier."""
+    with_bytes = pc.is_valid(table.column("text"))
+    spread, held = stretch_columns(table.filter(pc.invert(with_bytes))), byte_columns(table.filter(with_bytes))
+    held = held[0], held[1], held[2] + len(spread[0]), *held[3:]
+    return later_runs(*(np.concatenate(c) for c in zip(spread, held)))
+
+
+def scan_stretches(table: pa.Table) -> pa.Table:
+    """For applyInArrow on one shard of stretches: runs of stretches that also start earlier."""
+    return later_runs(*stretch_columns(table))
+
+
+def later_runs(docs: np.ndarray, ties: np.ndarray, at: np.ndarray, prints: np.ndarray, first: np.ndarray, known: np.ndarray) -> pa.Table:
+    """Runs of the stretches that are known or that equal an earlier one."""
+    place, named = ordered_docs(docs, ties)
+    at = place[at]
     done_at, done_first = at[known], first[known]
     at, first, prints = at[~known], first[~known], prints[~known]
     order = np.lexsort((first, at, prints))
@@ -357,12 +437,13 @@ def cut(texts: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
     )
 
 
-def by_document(runs: DataFrame) -> DataFrame:
-    """The runs of each document as two lists in the same order."""
-    gathered = runs.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+def by_document(runs: DataFrame, *more: str) -> DataFrame:
+    """The runs of each document as two lists in the same order; further columns are lists of their name."""
+    gathered = runs.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last", *more)).alias("runs"))
     return gathered.select(
-        F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), F.col("runs.first").alias("firsts"), F.col("runs.last").alias("lasts")
-    )
+        F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), F.col("runs.first").alias("firsts"), F.col("runs.last").alias("lasts"),
+        *(F.col(f"runs.{c}").alias(c) for c in more),
+    )
 
 
 def repeated_runs(texts: DataFrame) -> DataFrame:
@@ -372,12 +453,12 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     found = stored(
         texts.mapInArrow(sample_rows(shards), SAMPLES_DDL).groupBy("shard").applyInArrow(scan_shard, FOUND), "found"
     )
-    opened = by_document(found.where("open"))
+    opened = by_document(found.where(F.col("goes") != DONE), "goes")
     stretches = texts.join(opened, (F.col("doc") == F.col("_doc")) & (F.col("tie") == F.col("_tie"))).select(
-        "doc", "tie", "text", "firsts", "lasts"
+        "doc", "tie", "text", "firsts", "lasts", "goes"
     )
-    late = stretches.mapInArrow(stretch_rows(shards), STRETCHES_DDL).groupBy("shard").applyInArrow(scan_stretches, REPEATED)
-    return stored(found.where("NOT open").drop("open").unionByName(late), "repeats")
+    late = stretches.mapInArrow(open_rows(shards), OPEN_DDL).groupBy("shard").applyInArrow(scan_open, REPEATED)
+    return stored(found.where(F.col("goes") == DONE).drop("goes").unionByName(late), "repeats")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -125,6 +125,29 @@ def test_a_hot_passage_sends_one_sample_per_batch():
     assert max(sizes) < 2 * sorted(sizes)[16]
 
 
+def test_removed_bytes_of_a_hot_gram(spark):
+    """More samples of one gram than HOT, among them pairs that share 100 bytes and more, and rarer ones."""
+    rng = random.Random(14)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, tail, rare = text(60), text(90), text(80)
+    docs = [text(rng.randrange(120)) + passage + tail[: rng.randrange(90)] + text(60) for _ in range(2 * suffix.HOT)]
+    docs += [text(60) + rare + tail[: rng.randrange(90)] + text(50) for _ in range(100)]
+    assert removed(suffix.remove_repeats(frame(spark, list(enumerate(docs))))) == brute.removed_bytes(list(enumerate(docs)))
+
+
+def test_open_runs_are_sent_as_bytes():
+    """One open run of 60 stretches takes about its 159 bytes, not a fingerprint of each stretch."""
+    rng = random.Random(13)
+    texts = [f"{rng.getrandbits(1600):0400x}" for _ in range(500)]
+    columns = [pa.array(range(500), pa.int64()), pa.array([0] * 500, pa.int64()), pa.array(texts)]
+    columns += [pa.array([[k]] * 500, pa.list_(pa.int64())) for k in (100, 159)] + [pa.array([[i % 4] for i in range(500)], pa.list_(pa.int32()))]
+    batch = pa.RecordBatch.from_arrays(columns, names=["doc", "tie", "text", "firsts", "lasts", "goes"])
+    made = pa.Table.from_batches(list(suffix.open_rows(4)(iter([batch]))))
+    assert made.nbytes < 200 * 500
+    got = [suffix.scan_open(made.slice(k, 1)).num_rows for k in range(4)]
+    assert made.num_rows == 4 and got == [0] * 4
+
+
 def test_levels_stay_few():
     levels = suffix.Levels()
     for k in range(64):
