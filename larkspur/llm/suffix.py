@@ -361,11 +361,12 @@ def byte_columns(table: pa.Table) -> tuple[np.ndarray, ...]:
             begin = np.cumsum(size + SIZE - 1) - (size + SIZE - 1)
             place = np.repeat(begin, size) + step
             prints = A.Fingerprints(np.frombuffer(text.as_py(), np.uint8)).of(place, place + SIZE)
-            found.append((docs, ties, np.repeat(at.astype(np.int64) + base, size), prints, np.repeat(first, size) + step))
+            place, named = ordered_docs(docs, ties)
+            known = np.repeat((named[place] != np.arange(len(docs)))[at], size)  # a batch's further rows alike in all, as in dealt_stretches
+            found.append((docs, ties, np.repeat(at.astype(np.int64) + base, size), prints, np.repeat(first, size) + step, known))
             base += len(docs)
-    kinds = (np.int64, np.int64, np.int64, np.uint64, np.int64)
-    columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, kind) for kind in kinds]
-    return *columns, np.zeros(len(columns[3]), bool)
+    kinds = (np.int64, np.int64, np.int64, np.uint64, np.int64, bool)
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else tuple(np.zeros(0, kind) for kind in kinds)
 
 
 def scan_open(table: pa.Table) -> pa.Table:
