@@ -13,12 +13,14 @@ shuffles:
 3. Sets with a common signature are candidates. Each group is first compared with one leader, the member with the fewest
    tokens of its own. Groups whose members are then in one component are done. In the others, all pairs between the
    largest component and the rest, and among the rest, are compared, if the rest has SMALL members at most: the pairs are so
-   many times the members.
-4. The other groups are split by what their members do not have in common with the leader. The differences of two sets from
-   one leader tell what the two share: of linked sets, one of them outside the leader's component, a known number of
-   differences must be the same. Differences are ordered, those that the leader has last, and prefixes of them that must
-   meet are indexed. The groups found so are treated as in 3, again with a leader each. After MOST_ROUNDS splits, what
-   is still open is compared in pairs.
+   many times the members. So they are in larger groups, up to WIDE, whose sets are mostly unlike: a few members tell by sketches
+   of SKETCH_BITS how many others each is like, and only pairs whose sketches allow a link are compared.
+4. The other groups are split by what their members do not have in common with the leader. A set that has under 4/5 of its tokens
+   from the leader must share others with each partner; prefixes of those are indexed. Of two sets that both have 4/5 from it, a
+   known number of differences from the leader must be the same; prefixes of those, what the leader has last, are indexed.
+   Either prefix has about a quarter of the set's tokens at most. Leaders are chosen by what holds for a set in all groups, so that
+   groups of much the same members are split once. The groups found so are treated as in 3, again with a leader each.
+   After MOST_ROUNDS splits, what is still open is compared in pairs.
 5. Candidates are verified on all their shared tokens. Verified links give the components.
 
 Tokens are compared by 40 bits beside the bucket number, sets by 64 bits.
@@ -27,6 +29,7 @@ Tokens are compared by 40 bits beside the bucket number, sets by 64 bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +52,13 @@ RARE = 256
 #: Sets from so many tokens on use combinations; one class for so many tokens.
 COMBINED_FROM = 20
 CLASS_TOKENS = 8
-#: Open groups with more sets outside their largest component are split by differences from their leader; so many times at most.
+#: Open groups with more sets outside their largest component are split by differences from their leader, so many times at most, if
+#: some PROBES of these sets may each be linked with more than so many others, or if they are more than WIDE.
 SMALL = 32
+WIDE = 2000
 MOST_ROUNDS = 4
+PROBES = 16
+SKETCH_BITS = 1024
 #: Documents that one packed row names at most; it bounds the arrays of a task, too.
 MOST_SETS = 2048
 #: So much text at most, but for a longer single one.
@@ -368,10 +375,41 @@ def differences(tokens: pa.Array, leader: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(near, pa.int64()), lists], ["near", "apart"])
 
 
-def admissible(a: str, b: str) -> Column:
+@F.arrow_udf(ArrayType(LongType()))
+def sketch(tokens: pa.Array) -> pa.Array:
+    """For each bit whether an odd number of tokens falls on it: two arrays differ in so many tokens at least as their sketches in bits."""
+    owner = np.repeat(np.arange(len(tokens)), lengths(tokens, np.uint64))
+    place = (A.mixed(joined(tokens, np.uint64) ^ A.U64(A.STEPS[9])) % A.U64(SKETCH_BITS)).astype(np.int64)
+    odd = np.bincount(owner * SKETCH_BITS + place, minlength=len(tokens) * SKETCH_BITS) % 2
+    words = np.packbits(odd.astype(np.uint8)).view(np.int64)
+    A.release()
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(tokens) + 1) * (SKETCH_BITS // 64), pa.int32()), pa.array(words))
+
+
+def n_tokens(column: str) -> Column:
+    return (F.octet_length(column) / 8).cast("long")
+
+
+def of(row: str | Column, name: str) -> Column:
+    return F.col(f"{row}.{name}") if isinstance(row, str) else row[name]
+
+
+def admissible(a: str | Column, b: str | Column) -> Column:
     """Whether two sets may be linked, by their sizes and by how many tokens they can share from a signature on."""
-    shared = F.least(f"{a}.left", f"{b}.left") + F.col(f"{a}.near") + F.col(f"{b}.near") - F.col(f"{a}.base")
-    return 9 * shared >= 4 * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+    shared = F.least(of(a, "left"), of(b, "left")) + of(a, "near") + of(b, "near") - of(a, "base")
+    return 9 * shared >= 4 * (of(a, "n") + of(b, "n"))
+
+
+def like(a: str | Column, b: str | Column) -> Column:
+    """Whether two sets may be linked, by their sketches."""
+    apart = reduce(Column.__add__, [F.bit_count(of(a, "bits")[k].bitwiseXOR(of(b, "bits")[k])) for k in range(SKETCH_BITS // 64)])
+    return of(a, "room") + of(b, "room") + 18 * F.least(of(a, "lost"), of(b, "lost")) >= 9 * apart
+
+
+def may_link(a: str | Column, b: str | Column) -> Column:
+    """Whether two members of one group, of different components, have to be compared there."""
+    sides = (of(a, "side") == 0) | (of(a, "side") != of(b, "side"))
+    return (of(a, "label") != of(b, "label")) & sides & admissible(a, b)
 
 
 def ordered_pair(a: str, b: str) -> list[Column]:
@@ -401,10 +439,10 @@ def set_links(members: DataFrame, docs: DataFrame, text: str) -> tuple[DataFrame
         .applyInArrow(signatures, SETS),
         "sets",
     )
-    signed = sets.select("set_id", "n", F.explode(F.arrays_zip("signs", "lefts")).alias("x"))
-    signed = signed.select("set_id", "n", F.col("x.signs").alias("sign"), F.col("x.lefts").alias("left"))
+    own = F.col("n") - F.col("lost") - n_tokens("tokens")
+    signed = sets.select("set_id", "n", own.alias("own"), F.explode(F.arrays_zip("signs", "lefts")).alias("x"))
     none = [F.lit(0).cast("long").alias(c) for c in ("near", "base", "side")]
-    signed = signed.select("sign", "set_id", "n", "left", (F.col("n") - F.col("left")).alias("own"), *none)
+    signed = signed.select(F.col("x.signs").alias("sign"), "set_id", "n", F.col("x.lefts").alias("left"), "own", *none)
     tried, every, labels = None, None, None
     for step in range(MOST_ROUNDS + 1):
         leaders = (
@@ -422,23 +460,16 @@ def set_links(members: DataFrame, docs: DataFrame, text: str) -> tuple[DataFrame
         tried = stars if tried is None else tried.unionByName(stars)
 
         opened = open_members(groups, labels)
-        large = F.col("outside") > (SMALL if step < MOST_ROUNDS else 1 << 62)
-        small = opened.where(~large)
-        rest = (
-            small.where((F.col("label") != F.col("top")) & F.col("able")).alias("x")
-            .join(small.alias("y"), F.col("x.sign") == F.col("y.sign"))
-            .where((F.col("x.label") != F.col("y.label")) & admissible("x", "y"))
-            .where("x.side = 0 OR x.side <> y.side")
-            .select(*ordered_pair("x", "y"))
-            .distinct()
-            .join(tried, ["a", "b"], "left_anti")
-        )
-        rest = stored(rest, "rest")
+        large = crowding(opened.where(F.col("outside") > SMALL), sets)
+        crowded = F.col("crowded") & F.lit(step < MOST_ROUNDS)
+        rest = open_pairs(opened.where(F.col("outside") <= SMALL), may_link("x", "y"))
+        rest = rest.unionByName(open_pairs(large.where(~crowded), may_link("x", "y") & like("x", "y")))
+        rest = stored(rest.distinct().join(tried, ["a", "b"], "left_anti"), "rest")
         late = stored(verified(rest, sets), "late")
         if not late.isEmpty():
             every = every.unionByName(late)
             labels = components(every)
-        split = opened.where(large & F.col("able"))
+        split = large.where(crowded & F.col("able"))
         if split.isEmpty():
             return labels, every
         tried = tried.unionByName(rest)
@@ -462,12 +493,36 @@ def open_members(groups: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(opened.drop("least", "most", "most_near", "size", "alike"), "opened")
 
 
+def open_pairs(opened: DataFrame, wanted: Column) -> DataFrame:
+    """The wanted pairs (a, b) of a set outside the largest component and another one of its group."""
+    x = opened.where((F.col("label") != F.col("top")) & F.col("able")).alias("x")
+    return x.join(opened.alias("y"), F.col("x.sign") == F.col("y.sign")).where(wanted).select(*ordered_pair("x", "y"))
+
+
+def crowding(opened: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of open groups with their sketches, and whether the group is ``crowded``: sets outside its largest component may be
+    linked with more than SMALL others each, as some of them tell, or are more than WIDE. It decides how pairs are found, not which."""
+    sketches = sets.join(opened.select("set_id").distinct(), "set_id", "left_semi").select(
+        "set_id", "lost", sketch("tokens").alias("bits"), (9 * n_tokens("tokens") - 8 * F.col("n")).alias("room")
+    )
+    sketched = stored(opened.join(sketches, "set_id"), "sketched")
+    member = F.struct("label", "side", "left", "near", "base", "n", "bits", "room", "lost")
+    chosen = (F.col("label") != F.col("top")) & F.col("able") & (F.pmod(F.xxhash64("set_id"), "outside") < PROBES)
+    probes = sketched.where(chosen).groupBy("sign").agg(F.collect_list(member).alias("probes"))  # about PROBES
+    met = F.size(F.filter("probes", lambda p: may_link(p, F.col("member")) & like(p, F.col("member"))))
+    counted = sketched.withColumn("member", member).join(probes, "sign").groupBy("sign").agg((F.sum(met) / F.first(F.size("probes"))).alias("met"))
+    return sketched.join(counted, "sign", "left").withColumn("crowded", F.coalesce(F.col("met") > SMALL, F.lit(False)) | (F.col("outside") > WIDE)).drop("met")
+
+
 def split_groups(opened: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
     """Smaller groups that hold each pair of members of one leader that may be linked, but for pairs within one component.
 
-    Let x share i tokens with the leader, which has m, and y share j. Then x and y share i + j - m tokens and as many as they both
-    differ in from the leader; that must be 4/9 of both sizes at least. A set outside the leader's component meets the other ones
-    outside it (side 0) and those inside it (sides 1 and 2) in groups of their own, as the latter have few differences.
+    Let x share i tokens with the leader, which has m, and y share j. Linked sets share 4/5 of either size at least. If i is less
+    than that, x is outer, and the rest must be tokens that both have and the leader lacks. Outer sets (side 0) meet each other and the
+    inner ones (side 1) by these. Inner sets share i + j - m tokens and as many as they both differ in from the leader; that must be
+    4/9 of both sizes at least, and all they differ in is a quarter of a size at most. An inner set outside the leader's component
+    meets the other ones outside it (side 0) and those inside it (sides 1 and 2) in groups of their own, as the latter have few
+    differences.
     """
     tokens = sets.select("set_id", "n", "lost", "tokens")
     heads = tokens.select(F.col("set_id").alias("leader"), F.col("tokens").alias("of_leader"))
@@ -478,30 +533,45 @@ def split_groups(opened: DataFrame, sets: DataFrame, labels: DataFrame) -> DataF
     pairs = pairs.withColumn("far", F.col("part") != F.coalesce("home", "leader")).drop("part", "home")
     told = pairs.join(tokens, "set_id").join(heads, "leader").withColumn("d", differences("tokens", "of_leader"))
     told = told.select(
-        "leader", "set_id", "n", "lost", "far", "d.near", "d.apart", (F.octet_length("of_leader") / 8).cast("long").alias("base")
+        "leader", "set_id", "n", "lost", "far", "d.near", "d.apart", n_tokens("tokens").alias("held"), n_tokens("of_leader").alias("base")
     )
-    told = stored(told.withColumn("needs", 4 * F.col("n") - 9 * F.col("near")), "apart")
-    least = told.groupBy("leader").agg(
+    owed = F.expr("(4 * n + 4) div 5") - F.col("lost") - F.col("near")
+    told = stored(told.withColumns({"needs": 4 * F.col("n") - 9 * F.col("near"), "owed": owed}), "apart")
+    inner = told.where("owed <= 0")
+    least = inner.groupBy("leader").agg(
         F.min(F.when(F.col("far"), F.col("needs"))).alias("least_far"), F.min(F.when(~F.col("far"), F.col("needs"))).alias("least_near")
     )
-    both = told.join(least, "leader")
+    both = inner.join(least, "leader")
+
+    def exploded(rows: DataFrame, shown: Column, kind: int, side: int, **made: Column) -> DataFrame:
+        rows = rows.withColumns(made).select("*", F.posexplode(shown).alias("rank", "token"))
+        sign = F.xxhash64("leader", F.lit(kind), "token").alias("sign")
+        left = (F.col("most") - F.col("rank") + F.col("lost")).alias("left")
+        return rows.select(sign, "set_id", "n", left, "own", "near", "base", F.lit(side).cast("long").alias("side"))
 
     def prefixes(rows: DataFrame, others: str, side: int, kind: int) -> DataFrame:
         # So many equal differences at least; if that may be none, the differences end with one that all sets have.
-        equal = F.ceil((F.col("needs") + F.col(others) + 9 * (F.col("base") - F.col("lost"))) / 9)
         size = F.size("apart").cast("long")
-        rows = rows.where(F.col(others).isNotNull()).withColumn("length", size - F.greatest(equal, F.lit(0)) + 1).where("length > 0")
+        of_both = F.ceil((F.col("needs") + F.col(others) + 9 * (F.col("base") - F.col("lost"))) / 9)
+        alone = F.ceil(size - F.col("held") - 2 * F.col("lost") + 3 * F.col("n") / 4)
+        rows = rows.where(F.col(others).isNotNull()).withColumn("length", size - F.greatest(of_both, alone, F.lit(0)) + 1).where("length > 0")
         shown = F.slice(F.concat("apart", F.array(F.lit(0).cast("long"))), 1, F.col("length").cast("int"))
-        rows = rows.select("leader", "set_id", "n", "lost", "near", "base", size.alias("own"), F.posexplode(shown).alias("rank", "token"))
-        return rows.select(
-            F.xxhash64("leader", F.lit(kind), "token").alias("sign"), "set_id", "n",
-            (F.col("own") - F.col("rank") + F.col("lost")).alias("left"), "own", "near", "base", F.lit(side).cast("long").alias("side"),
-        )
+        return exploded(rows, shown, kind, side, own=size, most=size)
+
+    def gained(rows: DataFrame, side: int) -> DataFrame:
+        # Tokens that the leader lacks, without as many as must be shared but for one.
+        none = F.lit(0).cast("long")
+        length = F.col("held") - F.col("near") - F.greatest(F.col("owed"), F.lit(1)) + 1
+        own = F.col("n") - F.col("lost") - F.col("held") + (1 << 40) * side  # outer sets lead
+        shown = F.slice("apart", 1, F.col("length").cast("int"))
+        return exploded(rows.withColumn("length", length).where("length > 0"), shown, 2, side, own=own, most=F.col("held"), near=none, base=none)
 
     among = prefixes(both.where("far"), "least_far", 0, 0)
     inside = prefixes(both.where("NOT far"), "least_far", 2, 1)
     outside = prefixes(both.where("far"), "least_near", 1, 1).join(inside.select("sign").distinct(), "sign", "left_semi")
-    return among.unionByName(inside).unionByName(outside)
+    outer = gained(told.where("owed > 0"), 0)
+    meeting = gained(inner, 1).join(outer.select("sign").distinct(), "sign", "left_semi")
+    return among.unionByName(inside).unionByName(outside).unionByName(outer).unionByName(meeting)
 
 
 def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -217,3 +217,55 @@ def test_jaccard_of_groups_split_often(spark, monkeypatch, seed, rounds):
     docs = edited_copies(seed, 150) + [(1000 + i, t) for i, t in made_docs(seed, 6, 15)]
     got = jaccard.join_documents(frame(spark, docs)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.components(docs)
+
+
+def kept_lines(seed, n):
+    """Copies of one text that keep some of its lines, with edits: each two have hundreds of shingles in common, few are linked."""
+    rng = random.Random(seed)
+    lines = [[f"l{k}w{j}" for j in range(30)] for k in range(7)]
+    docs = []
+    for i in range(n):
+        t = [w for k in sorted(rng.sample(range(7), rng.choice([2, 3, 4, 5]))) for w in lines[k]]
+        for _ in range(rng.randrange(4)):
+            t[rng.randrange(len(t))] = f"v{rng.randrange(40)}"
+        docs.append((i, " ".join(t)))
+    return docs
+
+
+def test_jaccard_splits_no_groups_of_unlike_sets(spark, monkeypatch):
+    docs = kept_lines(15, 240)
+    made = []
+
+    def counted(df, name, store=jaccard.stored):
+        out = store(df, name)
+        if name in ("rest", "signed"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", counted)
+    got = jaccard.join_documents(frame(spark, docs)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.components(docs)
+    assert sum(made) < 15 * len(docs)
+
+
+@pytest.mark.parametrize(("wide", "rounds"), [(0, 4), (20, 2)])
+def test_jaccard_of_unlike_sets_split_all_the_same(spark, monkeypatch, wide, rounds):
+    monkeypatch.setattr(jaccard, "SMALL", 0)
+    monkeypatch.setattr(jaccard, "WIDE", wide)
+    monkeypatch.setattr(jaccard, "MOST_ROUNDS", rounds)
+    docs = kept_lines(16, 120) + [(1000 + i, t) for i, t in edited_copies(17, 80)]
+    got = jaccard.join_documents(frame(spark, docs)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.components(docs)
+
+
+def test_sketches_tell_no_more_differences_than_there_are(spark):
+    rng = random.Random(18)
+    sets = [{rng.randrange(1 << 62) for _ in range(rng.choice([0, 1, 30, 900]))} for _ in range(6)]
+    sets += [s | {k} for k, s in enumerate(sets)]
+    rows = [(i, np.array(sorted(s), np.uint64).tobytes()) for i, s in enumerate(sets)]
+    bits = spark.createDataFrame(rows, "i int, tokens binary").select("i", jaccard.sketch("tokens").alias("bits")).collect()
+    for x in bits:
+        for y in bits:
+            apart = sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(x["bits"], y["bits"]))
+            differ = len(sets[x["i"]] ^ sets[y["i"]])
+            assert apart <= differ and (differ > 1 or apart == differ)
